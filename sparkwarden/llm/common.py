@@ -156,3 +156,15 @@ def rolled(hashes: np.ndarray, n: int) -> np.ndarray:
     for i in range(n):
         out = (out + hashes[i : i + m]) * np.uint64(0xC2B2AE3D27D4EB4F)
     return mixed(out)
+
+
+def bounded_sample(df: DataFrame, key: str, by: str, per_value: int) -> DataFrame:
+    """At most about per_value rows for each value of `by`, chosen by a hash of key; all of a value that has fewer."""
+    counts = F.broadcast(df.groupBy(by).count().withColumnRenamed("count", "_rows").orderBy(F.desc("_rows")).limit(4096))
+    draw = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30)) / float(1 << 30)
+    return df.join(counts, by).where(draw * F.col("_rows") < per_value).drop("_rows")
+
+
+def fold(key: str, folds: int = 5):
+    """crc32 of the key as text, modulo folds; a null key counts as the empty string."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % folds

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontamination, repetition, sharding, warc
+from . import decontamination, language, repetition, sharding, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontamination.op1_decontaminate,
     "op3_warc": warc.op3_warc,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op7_repetition": repetition.op7_repetition,
     "op9_shard": sharding.op9_shard,
+    "op10_language": language.op10_language,
 }
 
 ORACLE = {"op1_decontaminate": decontamination.ORACLE, "op3_warc": warc.ORACLE}
