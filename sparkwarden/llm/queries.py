@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, repetition, sharding, toxicity, warc
+from . import decontamination, language, licenses, packing, repetition, sharding, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontamination.op1_decontaminate,
     "op3_warc": warc.op3_warc,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op6_pack": packing.op6_pack,
     "op7_repetition": repetition.op7_repetition,
+    "op8_licenses": licenses.op8_licenses,
     "op9_shard": sharding.op9_shard,
     "op10_language": language.op10_language,
 }
 
-ORACLE = {"op1_decontaminate": decontamination.ORACLE, "op3_warc": warc.ORACLE}
+ORACLE = {"op1_decontaminate": decontamination.ORACLE, "op3_warc": warc.ORACLE, "op8_licenses": licenses.ORACLE}

@@ -1,8 +1,8 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
 Labels mark documents, so tokens are labelled first: of the words and word beginnings that occur almost only in
-toxic documents, a greedy cover takes those that explain most toxic documents not explained yet, and every token
-with one of them is toxic. A two-state chain over each line (cut at SEGMENT words) with hashed features of a word
+toxic documents, those spread over many unlike ones are taken, then by a greedy cover those that explain most toxic
+documents not explained yet; every token with one of them is toxic. A two-state chain over each line (cut at SEGMENT words) with hashed features of a word
 and its neighbours is trained on these tokens by stochastic gradients of its likelihood. Forward-backward gives
 each token's marginal; their sum, maximum and mean give the document's score by a logistic fit.
 
@@ -41,17 +41,20 @@ def lines_of(text: bytes | None) -> list[list[bytes]]:
 
 
 def features(word: bytes) -> list[str]:
-    """The word and its beginnings of 3 to 6 letters."""
+    """The word and its beginnings of 3 to 8 letters."""
     w = word.decode("utf-8", "ignore").lower()[:80]
-    return [f"w={w}", *(f"p={w[:n]}" for n in range(3, 7) if len(w) > n)]
+    return [f"w={w}", *(f"p={w[:n]}" for n in range(3, 9) if len(w) > n)]
 
 
 def _bucket(place: str, feature: str) -> int:
     return zlib.crc32(f"{place}{feature}".encode()) % BUCKETS
 
 
-def cues(toxic: list[set[bytes]], clean: list[set[bytes]], purity: float = 0.97) -> set[str]:
-    """Features that mark toxic tokens; each document is the set of its words."""
+def cues(toxic: list[set[bytes]], clean: list[set[bytes]], purity: float = 0.95) -> set[str]:
+    """Features that mark toxic tokens; each document is the set of its words.
+
+    Pure features that are spread over many unlike documents are taken at once, others by the cover.
+    """
     known: dict[bytes, list[str]] = {}
 
     def of(words: set[bytes]) -> set[str]:
@@ -75,10 +78,14 @@ def cues(toxic: list[set[bytes]], clean: list[set[bytes]], purity: float = 0.97)
             a, b = inside[f] / max(1, len(toxic)), against[f] / max(1, len(clean))
             if inside[f] >= least and a >= purity * (a + b):
                 where.setdefault(f, []).append(i)
+    # near copies share their least word hash mostly, and count as one
+    sketch = [min(map(zlib.crc32, d), default=0) for d in toxic]
+    spread = max(4, round(0.01 * len(set(sketch))))
+    taken = {f for f, v in where.items() if len({sketch[i] for i in v}) >= spread}
     # the most frequent first; of equal ones the purest, then the whole word
     heap = [(-len(v), against[f], f.startswith("p="), -len(f), f) for f, v in where.items()]
     heapq.heapify(heap)
-    open_, taken = set(range(len(toxic))), set()
+    open_ = set(range(len(toxic))).difference(*(where[f] for f in taken))
     while heap and open_:
         gain, b, p, n, f = heapq.heappop(heap)
         now = sum(i in open_ for i in where[f])
