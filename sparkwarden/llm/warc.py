@@ -4,7 +4,7 @@ Headers (id, payload digest, payload size) are shuffled by digest; of the record
 with the largest id stays a response and all others become revisits that refer to it. Deduplicated archives are
 written with fresh headers, and read back.
 
-An archive is a folder of uncompressed WARC/1.1 files: Spark's text writer puts one record in a row, and the two
+An archive is a folder of gzipped WARC/1.1 files: Spark's text writer puts one record in a row, and the two
 line ends that close a record are its row separator, so that writing goes through Spark to any store. Reading
 goes by Content-Length, since payloads may hold any bytes that text may.
 
@@ -15,13 +15,14 @@ without records; extra input columns are not carried over.
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lookup, scratch_path, table
+from .common import BROADCAST_ROWS, lookup, scratch_path, table
 
 #: Records a file may hold.
 FILE_RECORDS = 4000
@@ -51,9 +52,12 @@ def resolved(pages: DataFrame, page: str = "page_id", url: str = "url", payload:
     )
     heads = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("_kept"), F.count("*").alias("_n")).where(F.col("_n") > 1)
     heads = heads.withColumnRenamed("payload_digest", "_digest")
-    # only groups of two or more are looked up; hot ones number fewer than 1000 and are broadcast
-    total = rows.count()
-    marked = lookup(rows.withColumn("_digest", F.col("payload_digest")), heads, "_digest", "_n", total)
+    rows = rows.withColumn("_digest", F.col("payload_digest"))
+    # groups of two or more go to the rows if a count bounds them; else rows are shuffled to them, hot groups apart
+    if heads.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        marked = rows.join(F.broadcast(heads.drop("_n")), "_digest", "left")
+    else:
+        marked = lookup(rows, heads, "_digest", "_n", rows.count())
     response = F.col("_kept").isNull() | (F.col("page_id") == F.col("_kept")) | (F.col("payload_bytes") < least_bytes)
     return marked.select(
         "page_id", "url", "body", "payload_digest", "payload_bytes", F.when(response, "response").otherwise("revisit").alias("record_type"),
@@ -73,11 +77,12 @@ def write_archives(records: DataFrame, path: str, date: str = "2000-01-01T00:00:
         F.lit("\r\nWARC-Payload-Digest: sha1:"), c("payload_digest"), F.lit("\r\n"), refers, F.lit("X-Page: "), c("page_id").cast("string"),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), size.cast("string"), F.lit(_END),
     )
-    records.select(F.concat(head, http, stored).alias("value")).write.option("lineSep", _END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    records.select(F.concat(head, http, stored).alias("value")).write.option("lineSep", _END).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
 def parsed(data: bytes) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
-    """Records of a WARC file: WARC headers, HTTP headers, payload."""
+    """Records of a WARC file, gzipped or not: WARC headers, HTTP headers, payload."""
+    data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
     at = 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
