@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, licenses, packing, repetition, sharding, toxicity, warc
+from . import decontamination, language, licenses, neardup, packing, repetition, sharding, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontamination.op1_decontaminate,
     "op3_warc": warc.op3_warc,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_neardup": neardup.op5_neardup,
     "op6_pack": packing.op6_pack,
     "op7_repetition": repetition.op7_repetition,
     "op8_licenses": licenses.op8_licenses,
@@ -15,4 +16,4 @@ QUERIES = {
     "op10_language": language.op10_language,
 }
 
-ORACLE = {"op1_decontaminate": decontamination.ORACLE, "op3_warc": warc.ORACLE, "op8_licenses": licenses.ORACLE}
+ORACLE = {"op1_decontaminate": decontamination.ORACLE, "op3_warc": warc.ORACLE, "op5_neardup": neardup.ORACLE, "op8_licenses": licenses.ORACLE}
