@@ -1,6 +1,6 @@
 """Language identification: averaged hashed subword embeddings under a linear softmax.
 
-A text is the mean of the embeddings of its words' character n-grams; embeddings and softmax are trained by
+A text is the mean of the embeddings of its words' n-grams (of UTF-8 bytes); embeddings and softmax are trained by
 stochastic gradient descent in numpy, on snippets of a bounded sample. A temperature fitted on a part of the
 sample calibrates the probabilities, and a threshold on them rejects texts like no learned language.
 
@@ -14,7 +14,7 @@ columns named like an output are replaced.
 from __future__ import annotations
 
 import random
-import zlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +27,8 @@ from .common import bounded_sample, fold, slices, table
 
 #: Training rows for each language at most (the bound of the sample), and bytes of text a training row may have.
 PER_LANGUAGE, ROW_BYTES = 300, 20_000
-BUCKETS, DIM, EPOCHS, SNIPPET_WORDS = 1 << 15, 16, 6, 24
+BITS, DIM, EPOCHS, SNIPPET_WORDS = 15, 16, 6, 24
+BUCKETS = 1 << BITS
 #: Part of correct calibration snippets that the rejection threshold keeps.
 KEPT_SHARE = 0.995
 _WORDS_KEPT = 300_000
@@ -35,17 +36,42 @@ _WORDS_KEPT = 300_000
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
+_ASCII_LETTER = re.compile(rb"[A-Za-z]")
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_LETTERS).split() if text else []
 
 
-def ngrams(word: bytes) -> list[int]:
-    """Buckets of the letters' n-grams of 1 to 4 characters, word ends marked; none if there is no letter."""
-    w = "".join(c for c in word.decode("utf-8", "ignore").lower() if c.isalpha())
-    if not w:
-        return []
-    w = f"<{w[:64]}>" if len(w) <= 64 else f"<{w}>"
-    return [zlib.crc32(w[i : i + n].encode()) % BUCKETS for n in (1, 2, 3, 4) for i in range(len(w) - n + 1) if w[i : i + n] not in "<>"]
+def ngrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words' n-grams of 1 to 5 bytes, a space at each end of a word, and how many each word has."""
+    low = [w if w.isascii() else w.decode("utf-8", "ignore").lower().encode() for w in words]
+    buf = np.frombuffer(b" " + b" ".join(low) + b" ", np.uint8)
+    sizes = np.fromiter(map(len, low), np.int64, len(low))
+    ends = np.cumsum(sizes + 1)
+    inner = np.cumsum(buf == 32) - 1  # word that a byte is in; a space is with the word after it
+    gap = buf == 32
+    grams, owners = [], []
+    code = np.zeros(len(buf), np.uint64)
+    for n in range(1, 6):
+        m = len(buf) - n + 1
+        if m <= 0:
+            break
+        code = code[:m] * np.uint64(257) + buf[n - 1 :].astype(np.uint64) + np.uint64(1)
+        ok = ~gap[:m] if n == 1 else np.ones(m, bool)
+        for k in range(1, n - 1):
+            ok &= ~gap[k : k + m]
+        if n == 2:
+            ok &= ~(gap[:m] & gap[1 : 1 + m])
+        if n > 1:
+            ok[ends[-1] :] = False
+        at = np.flatnonzero(ok)
+        h = (code[at] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+        grams.append((h >> np.uint64(64 - BITS)).astype(np.int64))
+        owners.append(inner[at])
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return np.concatenate(grams)[order], np.bincount(owner, minlength=len(low))
 
 
 class LanguageModel:
@@ -60,7 +86,9 @@ class LanguageModel:
             self._fit(rows, random.Random(seed), np.random.default_rng(seed))
 
     def _fit(self, rows: list[tuple[bytes, str]], rng: random.Random, nrng: np.random.Generator) -> None:
-        known: dict[bytes, list[int]] = {}
+        distinct = sorted({w for text, _ in rows for w in words_of(text)})
+        grams, counts = ngrams(distinct) if distinct else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        known = dict(zip(distinct, np.split(grams, np.cumsum(counts)[:-1]), strict=True)) if distinct else {}
         snippets: list[tuple[np.ndarray, int]] = []
         for text, lang in rows:
             words = words_of(text)
@@ -68,13 +96,7 @@ class LanguageModel:
             y = self.languages.index(lang)
             for i in range(0, min(len(words), 6 * SNIPPET_WORDS), SNIPPET_WORDS):
                 size = rng.choice((3, 6, 12, SNIPPET_WORDS))
-                grams: list[int] = []
-                for w in words[i : i + size]:
-                    if w not in known:
-                        known[w] = ngrams(w)
-                    grams += known[w]
-                if grams:
-                    snippets.append((np.array(grams), y))
+                snippets.append((np.concatenate([known[w] for w in words[i : i + size]]), y))
         rng.shuffle(snippets)
         if not snippets:
             return
@@ -127,17 +149,21 @@ class _Words(dict):
 
     def __init__(self, model: LanguageModel):
         super().__init__()
-        self.model, self.rows = model, np.zeros((4096, len(model.languages) + 1), np.float64)
+        self.model, self.rows = model, np.zeros((0, len(model.languages) + 1))
+
+    def learn(self, words: list[bytes]) -> None:
+        for i in range(0, len(words), 1 << 13):
+            part = words[i : i + (1 << 13)]
+            grams, counts = ngrams(part)
+            new = np.column_stack((np.add.reduceat(self.model.table[grams], np.cumsum(counts) - counts, axis=0), counts))
+            self.update(zip(part, range(len(self), len(self) + len(part)), strict=True))
+            if len(self) > len(self.rows):
+                self.rows = np.concatenate((self.rows, np.zeros((max(4096, len(self)), self.rows.shape[1]))))
+            self.rows[len(self) - len(part) : len(self)] = new
+
 
-    def __missing__(self, word: bytes) -> int:
-        i = len(self)
-        if i == len(self.rows):
-            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
-        grams = ngrams(word)
-        self.rows[i, :-1] = self.model.table[grams].sum(0) if grams else 0
-        self.rows[i, -1] = len(grams)
-        self[word] = i
-        return i
+def has_letter(text: bytes | None) -> bool:
+    return bool(text) and (_ASCII_LETTER.search(text) is not None or not text.isascii() and any(map(str.isalpha, text.decode("utf-8", "ignore"))))
 
 
 class Predictor:
@@ -148,14 +174,16 @@ class Predictor:
         """Language or und, probability, and whether it is too low to be trusted."""
         m = self.model
         sums = np.zeros((len(texts), len(m.languages) + 1))
-        for k, t in enumerate(texts):
-            if len(self.words) > _WORDS_KEPT:
-                self.words = _Words(m)
-            words = words_of(t)
-            for i in range(0, len(words), 1 << 16):
-                ids = [self.words[w] for w in words[i : i + (1 << 16)]]
-                sums[k] += self.words.rows[ids].sum(0)
-        seen = sums[:, -1] > 0
+        seen = np.fromiter(map(has_letter, texts), bool, len(texts))
+        split = [words_of(t) for t in texts]
+        if len(self.words) > _WORDS_KEPT:
+            self.words = _Words(m)
+        if m.languages:
+            self.words.learn(list(set().union(*split) - self.words.keys()))
+        get, rows = self.words.__getitem__, self.words.rows
+        for k, words in enumerate(split):
+            for i in range(0, len(words), 1 << 16) if m.languages else ():
+                sums[k] += rows[list(map(get, words[i : i + (1 << 16)]))].sum(0)
         if not m.languages:
             return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         p = _softmax((sums[:, :-1] / np.maximum(sums[:, -1:], 1) + m.bias) / m.temperature)
