@@ -30,7 +30,7 @@ from .common import bounded_sample, fold, slices, table
 
 #: Training rows of each class at most (the bound of the sample), and bytes of text a training row may have.
 PER_CLASS, ROW_BYTES = 2000, 16_000
-BUCKETS, SEGMENT, EPOCHS = 1 << 17, 128, 4
+BUCKETS, PREFIX, SEGMENT, EPOCHS = 1 << 17, 10, 128, 4
 _WORDS_KEPT = 300_000
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 or c == 10 else 32 for c in range(256))
@@ -46,8 +46,20 @@ def features(word: bytes) -> list[str]:
     return [f"w={w}", *(f"p={w[:n]}" for n in range(3, 9) if len(w) > n)]
 
 
-def _bucket(place: str, feature: str) -> int:
-    return zlib.crc32(f"{place}{feature}".encode()) % BUCKETS
+def buckets(words: list[bytes]) -> np.ndarray:
+    """Hashed features of each word: itself and its beginnings of 3 to 10 bytes; bucket 0 stands for none."""
+    low = [w if w.isascii() else w.decode("utf-8", "ignore").lower().encode() for w in words]
+    sizes = np.fromiter(map(len, low), np.int64, len(low))
+    buf = np.frombuffer(b"".join(low) + bytes(PREFIX), np.uint8)
+    at = np.cumsum(sizes) - sizes
+    out = np.zeros((len(low), PREFIX - 1), np.int64)
+    out[:, 0] = np.fromiter(map(zlib.crc32, low), np.int64, len(low)) % (BUCKETS - 1) + 1
+    h = np.zeros(len(low), np.uint64)
+    for n in range(1, PREFIX + 1):
+        h = (h + buf[at + n - 1].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        if n >= 3:
+            out[:, n - 2] = np.where(sizes > n, ((h ^ (h >> np.uint64(29))) >> np.uint64(7)).astype(np.int64) % (BUCKETS - 1) + 1, 0)
+    return out
 
 
 def cues(toxic: list[set[bytes]], clean: list[set[bytes]], purity: float = 0.95) -> set[str]:
@@ -100,17 +112,17 @@ def cues(toxic: list[set[bytes]], clean: list[set[bytes]], purity: float = 0.95)
 
 
 class Chain:
-    """Two-state chain: weights of hashed features for state 1 against 0, transition and start weights."""
+    """Two-state chain: weights of hashed features (own, of the word before, of the word after) for state 1 against 0, transition and start weights."""
 
     def __init__(self) -> None:
-        self.weights = np.zeros(BUCKETS, np.float64)
+        self.weights = np.zeros((3, BUCKETS))
         self.trans = np.zeros((2, 2))
         self.start = 0.0
 
-    def parts(self, word: bytes) -> tuple[float, float, float]:
-        """What a word adds to its own log-odds, to the next word's and to the one before."""
-        f = features(word)
-        return tuple(float(sum(self.weights[_bucket(p, x)] for x in f)) for p in ("0", "-", "+"))
+    def parts(self, words: list[bytes]) -> np.ndarray:
+        """What each word adds to its own log-odds, to the next word's and to the one before."""
+        f = buckets(words)
+        return np.column_stack([w[f].sum(1) for w in self.weights])
 
 
 def _step(r: np.ndarray, a: float, b: float, c: float, d: float) -> np.ndarray:
@@ -147,28 +159,30 @@ def marginals(emission: np.ndarray, lengths: np.ndarray, trans: np.ndarray, star
 def trained(segments: list[tuple[list[bytes], list[int]]], seed: int = 5) -> Chain:
     """Stochastic gradient ascent (Adagrad) on the likelihood of labelled segments."""
     chain, rng = Chain(), np.random.default_rng(seed)
-    ids: dict[bytes, list[list[int]]] = {}
+    distinct = sorted({w for words, _ in segments for w in words})
+    if not distinct:
+        return chain
+    known = dict(zip(distinct, buckets(distinct), strict=True))
+    none = np.zeros(PREFIX - 1, np.int64)
     data = []
     for words, labels in segments:
-        for w in words:
-            if w not in ids:
-                ids[w] = [[_bucket(p, f) for f in features(w)] for p in ("0", "-", "+")]
-        feats = [ids[w][0] + (ids[words[i - 1]][1] if i else []) + (ids[words[i + 1]][2] if i + 1 < len(words) else []) for i, w in enumerate(words)]
-        data.append((np.array([x for f in feats for x in f]), np.array([len(f) for f in feats]), np.array(labels)))
-    seen = np.full(BUCKETS, 1e-3)
+        rows = [none, *(known[w] for w in words), none]
+        data.append((np.stack([np.stack(rows[1:-1]), np.stack(rows[:-2]) + BUCKETS, np.stack(rows[2:]) + 2 * BUCKETS], 1).reshape(len(words), -1), np.array(labels)))
+    seen = np.full(3 * BUCKETS, 1e-3)
+    weights = chain.weights.reshape(-1)
     seen_t, seen_s = np.full((2, 2), 1.0), 1.0
     for _ in range(EPOCHS):
         for group in np.array_split(rng.permutation(len(data)), max(1, len(data) // 64)):
-            flat = np.concatenate([data[i][0] for i in group])
-            sizes = np.concatenate([data[i][1] for i in group])
-            gold = np.concatenate([data[i][2] for i in group]).astype(float)
+            at = np.concatenate([data[i][0] for i in group])
+            gold = np.concatenate([data[i][1] for i in group]).astype(float)
             lengths = np.array([len(data[i][1]) for i in group])
-            emission = np.add.reduceat(chain.weights[flat], np.cumsum(sizes) - sizes)
+            emission = weights[at].sum(1)
             m = 1 / (1 + np.exp(-np.clip(marginals(emission, lengths, chain.trans, chain.start), -40, 40)))
             error = gold - m
-            grad = np.bincount(flat, np.repeat(error, sizes), BUCKETS) - 1e-4 * chain.weights
+            grad = np.bincount(at.reshape(-1), np.repeat(error, at.shape[1]), 3 * BUCKETS) - 1e-4 * weights
+            grad[[0, BUCKETS, 2 * BUCKETS]] = 0
             seen += grad**2
-            chain.weights += 0.3 * grad / np.sqrt(seen)
+            weights += 0.3 * grad / np.sqrt(seen)
             inner = np.ones(len(gold), bool)
             inner[np.cumsum(lengths) - lengths] = False
             at = np.flatnonzero(inner)
@@ -183,17 +197,20 @@ def trained(segments: list[tuple[list[bytes], list[int]]], seed: int = 5) -> Cha
 
 
 class _Words(dict):
+    """word -> row of its parts"""
+
     def __init__(self, chain: Chain):
         super().__init__()
-        self.chain, self.rows = chain, np.zeros((4096, 3))
+        self.chain, self.rows = chain, np.zeros((0, 3))
 
-    def __missing__(self, word: bytes) -> int:
-        i = len(self)
-        if i == len(self.rows):
-            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
-        self.rows[i] = self.chain.parts(word)
-        self[word] = i
-        return i
+    def learn(self, words: list[bytes]) -> None:
+        if not words:
+            return
+        new = self.chain.parts(words)
+        self.update(zip(words, range(len(self), len(self) + len(words)), strict=True))
+        if len(self) > len(self.rows):
+            self.rows = np.concatenate((self.rows, np.zeros((max(4096, len(self)), 3))))
+        self.rows[len(self) - len(words) : len(self)] = new
 
 
 class Tagger:
@@ -209,11 +226,14 @@ class Tagger:
         ids: list[int] = []
         lengths: list[int] = []
         counts = np.zeros(len(texts), np.int64)
+        split = [lines_of(t) for t in texts]
         known = self.words
-        for k, t in enumerate(texts):
+        known.learn(list(set().union(*(line for lines in split for line in lines)) - known.keys()))
+        get = known.__getitem__
+        for k, lines in enumerate(split):
             before = len(ids)
-            for line in lines_of(t):
-                ids += [known[w] for w in line]
+            for line in lines:
+                ids += map(get, line)
                 n = len(line)
                 while n > SEGMENT:
                     lengths.append(SEGMENT)
