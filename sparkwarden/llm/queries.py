@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, licenses, neardup, packing, repetition, sharding, toxicity, warc
+from . import decontamination, language, licenses, neardup, packing, pii, repetition, sharding, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontamination.op1_decontaminate,
+    "op2_pii": pii.op2_pii,
     "op3_warc": warc.op3_warc,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_neardup": neardup.op5_neardup,

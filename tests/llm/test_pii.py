@@ -1,0 +1,81 @@
+"""Base finds against Python's re; bootstrapping on a small corpus with a known context."""
+
+import hashlib
+import re
+
+import pytest
+
+from sparkwarden.llm import pii
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    return sum(sum(divmod(int(x) * (1 + k % 2), 10)) for k, x in enumerate(reversed(d))) % 10 == 0
+
+
+def plain(text):
+    out = []
+    for o, (kind, p) in enumerate(PATTERNS.items()):
+        for m in re.finditer(p, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = kind == "email" or kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")) or kind == "card" and 12 <= len(digits) <= 19 and luhn(digits) or kind == "phone" and 9 <= len(digits) <= 15
+            if ok:
+                out.append((m.start(), o, m.end(), kind))
+    return sorted(out)
+
+
+TEXTS = [
+    "mail a.b+c@ex-ample.co.uk, x@y@z.com a@b.c_d@e.f .@-.- é@é.com ñandú@site.org é", "1.2.3.4 1.2.3.4.5.6.7.8 256.1.1.1 10.0.0.255. 0001.2.3.4 99999999999999999999.1.1.1 a1.1.1.1b",
+    "4111 1111 1111 1111, 4111-1111-1111-1111 4111  1111 1111 1111 41111111111111112 4222222222222 5", "+1 (555) 123-4567 +44.20.7946.0958 +1234567 +1-2-3-4-5-6-7-8-9-0-1-2-3-4-5-6 ++1 212 555 1234) +(1)",
+    "東京 +81 3 1234 5678 東京 user@host.example 10.1.2.3 4111111111111111 é", None, "", "no data here", "7" * 60_000, "1 " * 60_000, "a" * 100_000 + "@", "a@b" + ".c" * 50_000, "1.2.3.4 " * 3000, "+1" + "(" * 50_000,
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "clash") for i, t in enumerate(TEXTS)] + [(0, TEXTS[0], "clash"), (None, TEXTS[1], "clash"), (None, TEXTS[2], "clash")]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, spans string")
+
+
+def test_base_finds(docs):
+    got = pii.digested(docs).collect()
+    assert len(got) == len(TEXTS) + 3
+    want = {}
+    for i, t in enumerate(TEXTS):
+        want[i] = ",".join(f"{k}:{a}:{b}" for a, _, b, k in plain(t))
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(r)
+    for i, w in want.items():
+        assert by[i][0].base == w
+        assert by[i][0].n_email == w.count("email")
+        assert set(w.split(",")) <= set(by[i][0].spans.split(","))
+    assert len(by[0]) == 2 and sorted(r.base for r in by[None]) == sorted([want[1], want[2]])
+
+
+def test_no_rows(docs):
+    assert pii.digested(docs.limit(0)).count() == 0
+    assert pii.redacted(docs.limit(0)).count() == 0
+
+
+def test_bootstrapping_finds_unseen_identifiers(spark):
+    rows = [(i, f'Some words {i}. api token = "{hashlib.sha1(str(i).encode()).hexdigest()}" follows') for i in range(12)]
+    rows += [(100, 'Here token = "Zx81qq77" ends'), (101, "the year 200012 and room b1234567 stay"), (102, 'new token = "plainword" here')]
+    rows += [(200 + i, f"the code {i}") for i in range(30)]
+    found = {r.doc_id: r.spans for r in pii.digested(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    at = rows[0][1].index('"') + 1
+    assert found[0] == f"secret:{at}:{at + 40}"
+    assert found[100] == "id:14:22"
+    assert found[101] == found[102] == found[205] == ""
+
+
+def test_redaction(spark):
+    rows = [(1, "Write to a@b.org or +1 (555) 123-4567!", 0), (2, None, 0), (3, "plain", 0), (4, "x 10.0.0.1", 0), (4, "x 10.0.0.1", 0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars int")
+    out = pii.redacted(df)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id, r.text or "") for r in out.collect()) == [(1, "Write to <EMAIL> or <PHONE>!"), (2, ""), (3, "plain"), (4, "x <IP>"), (4, "x <IP>")]
