@@ -168,8 +168,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without any benchmark window, with docs' columns."""
-    return contamination(docs, benchmark, **options).where(F.col("n_hit") == 0).select(*docs.columns)
+    """The documents without any benchmark window, with docs' columns as they are."""
+    found = contamination(docs.withColumn("_keep", F.struct(*docs.columns)), benchmark, **options)
+    return found.where(F.col("n_hit") == 0).select("_keep.*")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
