@@ -20,6 +20,7 @@ each; an empty table gives no pieces; very long texts are cut over windows; othe
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from .common import slices, small, table, written
 LENGTH, END_ID = 2048, 1
 #: Share of all rows that a source needs for a queue of its own, so queues number 256 at most, and one for the rest.
 MIN_SHARE = 1 / 256
-_WORDS_KEPT = 300_000
+_WORDS_KEPT = 700_000
 _REST = "\x00rest"
 
 
@@ -44,8 +45,16 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: ASCII punctuation but the apostrophe, which starts contractions.
+_TAIL = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+
+
 class Encoder:
-    """Ids of texts by a tokenizer that drops white space, so that texts may be cut at ASCII white space and each word kept."""
+    """Ids of texts by a tokenizer that ignores case and white space, and keeps letters apart from other characters.
+
+    So texts may be cut at ASCII white space, and a word from the punctuation after its last letter or digit; each
+    part's ids are kept. Words with an apostrophe or a special token's sign stay whole.
+    """
 
     def __init__(self, path: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -53,18 +62,34 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path or default_tokenizer())
         self.words: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {b"": b""}
+
+    @staticmethod
+    def cut(word: bytes) -> tuple[bytes, bytes]:
+        if b"'" in word or b"<|" in word:
+            return word, b""
+        low = word.lower()
+        body = low.rstrip(_TAIL)
+        if len(body) == len(low) or not body:
+            return low, b""
+        last = body[-1]
+        apart = chr(last).isalnum() if last < 128 else body[-4:].decode("utf-8", "ignore")[-1:].lower()[-1:].isalpha()
+        return (body, low[len(body) :]) if apart else (low, b"")
 
     def __call__(self, texts: list[bytes | None], end: int = END_ID) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, and the end id."""
         last = np.array([end], "<u4").tobytes()
         split = [t.split() if t else [] for t in texts]
         if len(self.words) > _WORDS_KEPT:
-            self.words = {}
-        missing = list(set().union(*split) - self.words.keys())
+            self.words, self.parts = {}, {b"": b""}
+        cuts = {w: self.cut(w) for w in set().union(*split) - self.words.keys()}
+        missing = list({x for c in cuts.values() for x in c} - self.parts.keys())
         for i in range(0, len(missing), 4096):
             part = missing[i : i + 4096]
             encoded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.words.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, encoded, strict=True))
+            self.parts.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, encoded, strict=True))
+        known = self.parts
+        self.words.update((w, known[a] + known[b]) for w, (a, b) in cuts.items())
         get = self.words.__getitem__
         return [b"".join(map(get, words)) + last for words in split]
 

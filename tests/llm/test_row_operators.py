@@ -258,3 +258,15 @@ def test_chain_marginals_are_exact():
 
 def test_crc32_of_pieces():
     assert zlib.crc32(np.array([1], "<u4").tobytes()) == zlib.crc32(b"\x01\x00\x00\x00")
+
+
+def test_words_and_tails_encode_as_the_whole_text():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    e = packing.Encoder()
+    pieces = ["Word,", "don't", "it's!!", "É!", "…!!", "€..", "naïve)", "≠", "a≠", "x́,", "12.", "３,", "ª.", "<|endoftext|>", "<|EndOfText|>", "A<|startoftext|>b.", "İ.", "ΑΣ,", "%%%", "co-op,", " x,", "ﬁ.", "ⅷ!", "#", "東京、,"]
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        text = "".join(rng.choice(pieces) + rng.choice([" ", "\n", "  ", "\t"]) for _ in range(8))
+        assert np.frombuffer(e([text.encode()])[0], "<u4").tolist() == [*t.encode(text, add_special_tokens=False).ids, 1], text
