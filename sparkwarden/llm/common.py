@@ -57,8 +57,10 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    _remove(spark, path)
+def drop_table(df: DataFrame) -> None:
+    """Remove the files of a table made by written() that nothing reads any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _remove(df.sparkSession, folder)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
