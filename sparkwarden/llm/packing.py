@@ -49,6 +49,10 @@ def default_tokenizer() -> str:
 _TAIL = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 
 
+#: Characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, others from 256 on.
+_SIGNS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+
+
 class Encoder:
     """Ids of texts by a tokenizer that ignores case and white space, and keeps letters apart from other characters.
 
@@ -63,6 +67,16 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path or default_tokenizer())
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {b"": b""}
+        # words of letters only need no look at added tokens and no splitting, if the tokenizer is of that kind
+        self.direct = all(self._letters(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in ("word", "naïve", "東京", "straße", "and"))
+
+    def _letters(self, word: str) -> list[int] | None:
+        """Ids of a word of letters straight from the vocabulary's merges; none if it has other characters."""
+        if not word.isascii():
+            word = self.tokenizer.normalizer.normalize_str(word)
+        if not word.isalpha():
+            return None
+        return [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_SIGNS))]
 
     @staticmethod
     def cut(word: bytes) -> tuple[bytes, bytes]:
@@ -84,6 +98,10 @@ class Encoder:
             self.words, self.parts = {}, {b"": b""}
         cuts = {w: self.cut(w) for w in set().union(*split) - self.words.keys()}
         missing = list({x for c in cuts.values() for x in c} - self.parts.keys())
+        if self.direct:
+            letters = ((w, self._letters(w.decode())) for w in missing)
+            self.parts.update((w, array("I", ids).tobytes()) for w, ids in letters if ids is not None)
+            missing = [w for w in missing if w not in self.parts]
         for i in range(0, len(missing), 4096):
             part = missing[i : i + 4096]
             encoded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
