@@ -68,21 +68,23 @@ class Encoder:
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {b"": b""}
         # words of letters only need no look at added tokens and no splitting, if the tokenizer is of that kind
+        self._merge = self.tokenizer.model.tokenize
         self.direct = all(self._letters(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in ("word", "naïve", "東京", "straße", "and"))
 
     def _letters(self, word: str) -> list[int] | None:
         """Ids of a word of letters straight from the vocabulary's merges; none if it has other characters."""
-        if not word.isascii():
-            word = self.tokenizer.normalizer.normalize_str(word)
-        if not word.isalpha():
-            return None
-        return [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_SIGNS))]
+        if word.isascii():
+            return [t.id for t in self._merge(word)] if word.isalpha() else None
+        word = self.tokenizer.normalizer.normalize_str(word)
+        return [t.id for t in self._merge(word.encode().decode("latin-1").translate(_SIGNS))] if word.isalpha() else None
 
     @staticmethod
     def cut(word: bytes) -> tuple[bytes, bytes]:
+        low = word.lower()
+        if low.isalpha():
+            return low, b""
         if b"'" in word or b"<|" in word:
             return word, b""
-        low = word.lower()
         body = low.rstrip(_TAIL)
         if len(body) == len(low) or not body:
             return low, b""
