@@ -65,6 +65,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_tokenizer())
+        #: 16 bits an id where the vocabulary allows, in parts and tables
+        self.kind, self._code = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {b"": b""}
         # words of letters only need no look at added tokens and no splitting, if the tokenizer is of that kind
@@ -93,8 +95,8 @@ class Encoder:
         return (body, low[len(body) :]) if apart else (low, b"")
 
     def __call__(self, texts: list[bytes | None], end: int = END_ID) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, and the end id."""
-        last = np.array([end], "<u4").tobytes()
+        """Ids of each text and the end id, little-endian, as self.kind."""
+        last = np.array([end], self.kind).tobytes()
         split = [t.split() if t else [] for t in texts]
         if len(self.words) > _WORDS_KEPT:
             self.words, self.parts = {}, {b"": b""}
@@ -102,12 +104,12 @@ class Encoder:
         missing = list({x for c in cuts.values() for x in c} - self.parts.keys())
         if self.direct:
             letters = ((w, self._letters(w.decode())) for w in missing)
-            self.parts.update((w, array("I", ids).tobytes()) for w, ids in letters if ids is not None)
+            self.parts.update((w, array(self._code, ids).tobytes()) for w, ids in letters if ids is not None)
             missing = [w for w in missing if w not in self.parts]
         for i in range(0, len(missing), 4096):
             part = missing[i : i + 4096]
             encoded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.parts.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, encoded, strict=True))
+            self.parts.update((w, array(self._code, e.ids).tobytes()) for w, e in zip(part, encoded, strict=True))
         known = self.parts
         self.words.update((w, known[a] + known[b]) for w, (a, b) in cuts.items())
         get = self.words.__getitem__
@@ -117,6 +119,7 @@ class Encoder:
 def _tokenise(path: str | None, end: int, queues: set[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = Encoder(path), TaskContext.get().partitionId()
+        width = int(encoder.kind[-1])
         used: dict[str, int] = {}
         for b in batches:
             texts, sources = b.column("text").to_pylist(), b.column("queue").to_pylist()
@@ -125,7 +128,7 @@ def _tokenise(path: str | None, end: int, queues: set[str]):
                 names = [s if s in queues else _REST for s in sources[i:j]]
                 starts, sizes = [], []
                 for q, x in zip(names, ids, strict=True):
-                    n = len(x) // 4
+                    n = len(x) // width
                     starts.append(used.get(q, 0))
                     sizes.append(n)
                     used[q] = starts[-1] + n
@@ -197,21 +200,25 @@ class Schedule:
                 yield window + self.before // size, offset, k
 
     def _cut(self, span: tuple[int, int], at: int, stop: int, first: int, whole: int, end: int) -> Iterator[tuple[int, int, int]]:
-        size, low = self.length, span[0]
-        w = at * whole // ((span[1] - low) * size)
+        size, (low, high) = self.length, span
+        w = at * whole // ((high - low) * size)
         while w > 0 and self._given(span, w * size, whole) > at:
             w -= 1
+        b = w * size
+        low0, high0 = low * b // whole, high * b // whole
         while at < stop:
-            b0, b1 = w * size, min((w + 1) * size, end)
-            until = self._given(span, b1, whole)
+            b = min(b + size, end)
+            low1, high1 = low * b // whole, high * b // whole
+            until = high1 - low1
             if until > at:
-                k = min(until, stop) - at
-                yield w, low * b1 // whole - low * b0 // whole + at - self._given(span, b0, whole), k
+                k = (until if until < stop else stop) - at
+                yield w, low1 + at - high0, k
                 at += k
+            low0, high0 = low1, high1
             w += 1
 
 
-def _pieces(held):
+def _pieces(held, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schedule: Schedule = held.value
         for b in batches:
@@ -219,12 +226,18 @@ def _pieces(held):
             cols: list[list] = [[] for _ in range(7)]
             size = 0
             for doc, q, at, n, ids in rows:
-                view = memoryview(ids.as_buffer())
-                start = 0
+                view = np.frombuffer(ids.as_buffer(), kind).astype("<u4").tobytes()
+                start, many = 0, 0
                 for w, offset, k in schedule.pieces(q, at, n):
-                    for c, v in zip(cols, (doc, start, k, n, w, offset, view[4 * start : 4 * (start + k)].tobytes()), strict=True):
-                        c.append(v)
+                    cols[1].append(start)
+                    cols[2].append(k)
+                    cols[4].append(w)
+                    cols[5].append(offset)
+                    cols[6].append(view[4 * start : 4 * (start + k)])
                     start += k
+                    many += 1
+                cols[0] += [doc] * many
+                cols[3] += [n] * many
                 size += 4 * n
                 if size > 8 << 20:
                     yield _batch(cols)
@@ -249,10 +262,11 @@ def packed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     tokens = written(rows.mapInArrow(_tokenise(tokenizer, end, queues), "doc_id bigint, queue string, part bigint, nth bigint, doc_tokens bigint, ids binary"), "tokens")
     by_part = tokens.groupBy("queue", "part").agg(F.sum("doc_tokens").alias("n"))
     totals = {r[0]: r[1] for r in by_part.groupBy("queue").agg(F.sum("n")).collect()}
+    kind = Encoder(tokenizer).kind
     held = spark.sparkContext.broadcast(Schedule(totals, targets, length))
     first = by_part.withColumn("first", F.sum("n").over(W.partitionBy("queue").orderBy("part")) - F.col("n")).drop("n")
     placed = tokens.join(small(first), ["queue", "part"]).select("doc_id", "queue", (F.col("first") + F.col("nth")).alias("at"), "doc_tokens", "ids")
-    return placed.mapInArrow(_pieces(held), "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
+    return placed.mapInArrow(_pieces(held, kind), "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
 
 
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
