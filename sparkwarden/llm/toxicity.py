@@ -137,8 +137,8 @@ def layout(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, live
 
 
-def marginals(emission: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start: float) -> np.ndarray:
-    """Log-odds of state 1 for each token; emission holds the segments one after another."""
+def messages(emission: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward log-odds of state 1 for each token; emission holds the segments one after another."""
     order, live = layout(lengths)
     first = (np.cumsum(lengths) - lengths)[order]
     fwd, bwd = np.empty(len(emission)), np.zeros(len(emission))
@@ -153,9 +153,23 @@ def marginals(emission: np.ndarray, lengths: np.ndarray, trans: np.ndarray, star
         at = first[:n] + t
         r[:n] = _step(emission[at + 1] + bwd[at + 1], trans[1, 0], trans[1, 1], trans[0, 0], trans[0, 1])
         bwd[at] = r[:n]
+    return fwd, bwd
+
+
+def marginals(emission: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start: float) -> np.ndarray:
+    """Log-odds of state 1 for each token given its segment."""
+    fwd, bwd = messages(emission, lengths, trans, start)
     return fwd + bwd
 
 
+def pairs(emission: np.ndarray, fwd: np.ndarray, bwd: np.ndarray, at: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Probabilities [4, n] of the states (0, 0), (0, 1), (1, 0), (1, 1) of the tokens at - 1 and at."""
+    left, right = fwd[at - 1], emission[at] + bwd[at]
+    x = np.stack([np.full(len(at), trans[0, 0]), trans[0, 1] + right, trans[1, 0] + left, trans[1, 1] + left + right])
+    x = np.exp(x - x.max(0))
+    return x / x.sum(0)
+
+
 def trained(segments: list[tuple[list[bytes], list[int]]], seed: int = 5) -> Chain:
     """Stochastic gradient ascent (Adagrad) on the likelihood of labelled segments."""
     chain, rng = Chain(), np.random.default_rng(seed)
@@ -177,7 +191,8 @@ def trained(segments: list[tuple[list[bytes], list[int]]], seed: int = 5) -> Cha
             gold = np.concatenate([data[i][1] for i in group]).astype(float)
             lengths = np.array([len(data[i][1]) for i in group])
             emission = weights[at].sum(1)
-            m = 1 / (1 + np.exp(-np.clip(marginals(emission, lengths, chain.trans, chain.start), -40, 40)))
+            fwd, bwd = messages(emission, lengths, chain.trans, chain.start)
+            m = 1 / (1 + np.exp(-np.clip(fwd + bwd, -40, 40)))
             error = gold - m
             grad = np.bincount(at.reshape(-1), np.repeat(error, at.shape[1]), 3 * BUCKETS) - 1e-4 * weights
             grad[[0, BUCKETS, 2 * BUCKETS]] = 0
@@ -186,8 +201,9 @@ def trained(segments: list[tuple[list[bytes], list[int]]], seed: int = 5) -> Cha
             inner = np.ones(len(gold), bool)
             inner[np.cumsum(lengths) - lengths] = False
             at = np.flatnonzero(inner)
-            # pairs of neighbours: observed less expected, the latter by the marginals' product, a mean-field step
-            pair = np.array([[((1 - gold[at - 1]) * (1 - gold[at]) - (1 - m[at - 1]) * (1 - m[at])).sum(), ((1 - gold[at - 1]) * gold[at] - (1 - m[at - 1]) * m[at]).sum()], [(gold[at - 1] * (1 - gold[at]) - m[at - 1] * (1 - m[at])).sum(), (gold[at - 1] * gold[at] - m[at - 1] * m[at]).sum()]])
+            was, is_ = gold[at - 1], gold[at]
+            observed = np.array([((1 - was) * (1 - is_)).sum(), ((1 - was) * is_).sum(), (was * (1 - is_)).sum(), (was * is_).sum()])
+            pair = (observed - pairs(emission, fwd, bwd, at, chain.trans).sum(1)).reshape(2, 2)
             seen_t += pair**2
             chain.trans += 0.1 * pair / np.sqrt(seen_t)
             lead = error[np.cumsum(lengths) - lengths].sum()

@@ -253,6 +253,12 @@ def test_chain_marginals_are_exact():
             y = [code >> i & 1 for i in range(n)]
             weight[code] = np.exp(sum(e[i] * y[i] for i in range(n)) + start * y[0] + sum(trans[y[i], y[i + 1]] for i in range(n - 1)))
         want = [np.log(sum(v for c, v in weight.items() if c >> i & 1) / sum(v for c, v in weight.items() if not c >> i & 1)) for i in range(n)]
+        if n > 1:
+            fwd, bwd = toxicity.messages(e, np.array([n]), trans, start)
+            got = toxicity.pairs(e, fwd, bwd, np.arange(1, n), trans)
+            total = sum(weight.values())
+            for k, (a, b) in enumerate(((0, 0), (0, 1), (1, 0), (1, 1))):
+                assert np.allclose(got[k], [sum(v for c, v in weight.items() if (c >> i - 1 & 1, c >> i & 1) == (a, b)) / total for i in range(1, n)])
         assert np.allclose(toxicity.marginals(np.concatenate((e, [9.0])), np.array([n, 1]), trans, start)[:n], want)
 
 
