@@ -70,19 +70,27 @@ def snippets(findings: DataFrame, lines: DataFrame, around: int = 2) -> DataFram
     return met.groupBy("ordinal").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("snippet"))
 
 
-def json_report(findings: DataFrame, scan_path: str, suppressed: int = 0) -> DataFrame:
-    """One row: the report as JSON. Findings carry ordinal, type, file, line, message, sink and vuln_score."""
+def json_rows(findings: DataFrame, scan_path: str, suppressed: int = 0) -> DataFrame:
+    """The JSON report as rows (ordinal, json): its summary, then a row for each finding; no task holds them all.
+
+    Findings carry ordinal, type, file, line, message, sink and vuln_score.
+    """
     sev = S.json_severity(F.col("type"), F.col("sink"), F.col("vuln_score"))
     rows = numbered(findings.withColumn("severity", sev))
-    each = F.struct("ordinal", F.struct("id", "type", "severity", "file", "line", "message", "sink", F.col("vuln_score").alias("confidence")).alias("f"))
-    total = rows.agg(
-        F.transform(F.array_sort(F.collect_list(each)), lambda x: x["f"]).alias("findings"), F.count("*").alias("total"),
-        *[F.count_if(F.col("severity") == s).alias(s) for s in ("high", "medium", "low")],
-    )
-    return total.select(F.to_json(F.struct(
+    each = F.to_json(F.struct("id", "type", "severity", "file", "line", "message", "sink", F.col("vuln_score").alias("confidence")))
+    total = rows.agg(F.count("*").alias("total"), *[F.count_if(F.col("severity") == s).alias(s) for s in ("high", "medium", "low")])
+    head = total.select(F.lit(None).cast("bigint").alias("ordinal"), F.to_json(F.struct(
         F.lit("1.0.0").alias("schema_version"), F.struct(F.lit("sparkwarden").alias("tool"), F.lit(scan_path).alias("scan_path")).alias("metadata"),
-        F.struct("total", F.struct("high", "medium", "low").alias("by_severity"), F.lit(suppressed).alias("suppressed")).alias("summary"), "findings",
-    )).alias("report"))
+        F.struct("total", F.struct("high", "medium", "low").alias("by_severity"), F.lit(suppressed).alias("suppressed")).alias("summary"),
+    )).alias("json"))
+    return head.unionByName(rows.select(F.col("ordinal").cast("bigint").alias("ordinal"), each.alias("json")))
+
+
+def json_report(findings: DataFrame, scan_path: str, suppressed: int = 0) -> str:
+    """The report as one document, for projects whose findings the driver can print; rows come a partition at a time."""
+    rows = json_rows(findings, scan_path, suppressed).orderBy(F.col("ordinal").asc_nulls_first()).toLocalIterator()
+    head = next(rows)["json"]
+    return head[:-1] + ',"findings":[' + ",".join(r["json"] for r in rows) + "]}"
 
 
 def sarif_results(findings: DataFrame) -> DataFrame:

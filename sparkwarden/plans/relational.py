@@ -134,8 +134,7 @@ def severity_counts(spark, sf_dir):
 
 
 def json_report(spark, sf_dir):
-    few = findings(spark, sf_dir)
-    return R.json_report(few, "documents")
+    return R.json_rows(findings(spark, sf_dir), "documents")
 
 
 def sarif_results(spark, sf_dir):

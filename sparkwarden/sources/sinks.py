@@ -35,7 +35,7 @@ def render(findings: DataFrame, form: str, scan_path: str = "") -> str:
     """A report as text: json, sarif, markdown, html or text."""
     rows = report_columns(findings)
     if form == "json":
-        return R.json_report(rows, scan_path).first()[0]
+        return R.json_report(rows, scan_path)
     if form == "sarif":
         return R.sarif(rows)
     if form == "markdown":

@@ -69,7 +69,7 @@ def findings(spark):
 
 
 def test_reports(findings):
-    report = json.loads(R.json_report(findings, "p").first()[0])
+    report = json.loads(R.json_report(findings, "p"))
     assert report["summary"]["total"] == 30 == len(report["findings"]) and report["findings"][9]["id"] == "VP-0010"
     assert sum(report["summary"]["by_severity"].values()) == 30
     doc = json.loads(R.sarif(findings))
