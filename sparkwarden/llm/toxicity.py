@@ -16,9 +16,10 @@ read whole; input columns named like an output are replaced.
 from __future__ import annotations
 
 import heapq
+import sys
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ from pyspark.sql import types as T
 
 from .common import bounded_sample, fold, slices, table
 
-#: Training rows of each class at most (the bound of the sample), and bytes of text a training row may have.
-PER_CLASS, ROW_BYTES = 2000, 16_000
+#: Toxic and clean training rows at most (the bound of the sample), and bytes of text a training row may have.
+TOXIC_ROWS, CLEAN_ROWS, ROW_BYTES = 1200, 5000, 8_000
 BUCKETS, PREFIX, SEGMENT, EPOCHS = 1 << 17, 10, 128, 4
 _WORDS_KEPT = 300_000
 
@@ -62,33 +63,29 @@ def buckets(words: list[bytes]) -> np.ndarray:
     return out
 
 
-def cues(toxic: list[set[bytes]], clean: list[set[bytes]], purity: float = 0.95) -> set[str]:
+def cues(toxic: list[set[bytes]], clean: Iterable[set[bytes]], purity: float = 0.95) -> set[str]:
     """Features that mark toxic tokens; each document is the set of its words.
 
     Pure features that are spread over many unlike documents are taken at once, others by the cover.
     """
-    known: dict[bytes, list[str]] = {}
 
     def of(words: set[bytes]) -> set[str]:
-        out: set[str] = set()
-        for w in words:
-            if w not in known:
-                known[w] = features(w)
-            out.update(known[w])
-        return out
+        return {sys.intern(f) for w in words for f in features(w)}
 
     against, inside = Counter(), Counter()
-    for d in clean:
-        against.update(of(d))
-    sets = [of(d) for d in toxic]
-    for s in sets:
-        inside.update(s)
-    least = max(2, round(0.003 * len(toxic)))
+    least = max(2, round(0.01 * len(toxic)))
+    for d in toxic:
+        inside.update(of(d))
+    inside = Counter({f: n for f, n in inside.items() if n >= least})  # no others can be cues
+    sets = [of(d) & inside.keys() for d in toxic]
+    n_clean = 0
+    for n_clean, d in enumerate(clean, 1):
+        against.update(of(d) & inside.keys())
     where: dict[str, list[int]] = {}
     for i, s in enumerate(sets):
         for f in s:
-            a, b = inside[f] / max(1, len(toxic)), against[f] / max(1, len(clean))
-            if inside[f] >= least and a >= purity * (a + b):
+            a, b = inside[f] / max(1, len(toxic)), against[f] / max(1, n_clean)
+            if a >= purity * (a + b):
                 where.setdefault(f, []).append(i)
     # near copies share their least word hash mostly, and count as one
     sketch = [min(map(zlib.crc32, d), default=0) for d in toxic]
@@ -181,7 +178,7 @@ def trained(segments: list[tuple[list[bytes], list[int]]], seed: int = 5) -> Cha
     data = []
     for words, labels in segments:
         rows = [none, *(known[w] for w in words), none]
-        data.append((np.stack([np.stack(rows[1:-1]), np.stack(rows[:-2]) + BUCKETS, np.stack(rows[2:]) + 2 * BUCKETS], 1).reshape(len(words), -1), np.array(labels)))
+        data.append((np.stack([np.stack(rows[1:-1]), np.stack(rows[:-2]) + BUCKETS, np.stack(rows[2:]) + 2 * BUCKETS], 1).reshape(len(words), -1).astype(np.int32), np.array(labels)))
     seen = np.full(3 * BUCKETS, 1e-3)
     weights = chain.weights.reshape(-1)
     seen_t, seen_s = np.full((2, 2), 1.0), 1.0
@@ -320,12 +317,15 @@ class ToxicityModel:
             self.constant = float(classes[1] > 0)
             return
         rows = sorted(set(rows))
-        docs = [(lines_of(t), y) for t, y in rows]
-        bags = [{w for line in d for w in line} for d, _ in docs]
-        found = cues([b for b, (_, y) in zip(bags, docs, strict=True) if y], [b for b, (_, y) in zip(bags, docs, strict=True) if not y])
-        marked = {w for b in bags for w in b if not found.isdisjoint(features(w))}
+        order = np.random.default_rng(3).permutation(len(rows))
+        toxic = [lines_of(rows[i][0]) for i in order if rows[i][1]]
+        clean = [rows[i][0] for i in order if not rows[i][1]]
+        bags = [{w for line in d for w in line} for d in toxic]
+        found = cues(bags, ({w for line in lines_of(t) for w in line} for t in clean))
+        docs = [*toxic, *(lines_of(t) for t in clean[: len(toxic) + 50])]
+        marked = {w for d in docs for line in d for w in line if not found.isdisjoint(features(w))}
         with_cue, without = [], []
-        for d, _ in docs:
+        for d in docs:
             for line in d:
                 for i in range(0, len(line), SEGMENT):
                     words = line[i : i + SEGMENT]
@@ -333,7 +333,7 @@ class ToxicityModel:
                     (with_cue if any(labels) else without).append((words, labels))
         rng = np.random.default_rng(3)
         some = rng.permutation(len(without))[: 2 * len(with_cue) + 200]
-        pick = rng.permutation(len(with_cue))[:6000]
+        pick = rng.permutation(len(with_cue))[:4000]
         self.chain = trained([with_cue[i] for i in pick] + [without[i] for i in some[: 2 * len(pick) + 200]])
         self._scale(rows)
 
@@ -356,7 +356,7 @@ class ToxicityModel:
 def fitted(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> ToxicityModel:
     """A model of a bounded sample of the documents that have a label; rows with a null label have none."""
     marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
-    chosen = bounded_sample(marks, "k", "y", PER_CLASS).select("k", "y").limit(3 * PER_CLASS)
+    chosen = bounded_sample(marks, "k", "y", F.when(F.col("y") == 1, TOXIC_ROWS).otherwise(CLEAN_ROWS)).select("k", "y").limit(2 * (TOXIC_ROWS + CLEAN_ROWS))
     rows = docs.where(F.octet_length(text).between(1, ROW_BYTES)).select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t"))
     return ToxicityModel([(bytes(r["t"]), r["y"]) for r in rows.join(F.broadcast(chosen), "k").select("t", "y").collect()])
 
