@@ -178,7 +178,10 @@ class Linker:
         if rows.isEmpty():
             return links.limit(0)
         self.classes = written(self.classes.join(small(rows.select("node")), "node", "left_semi"), "few")
-        self.sets = written(self.full_sets(small(rows.where(F.col("n") > K).select(F.col("node").alias("id")))), "sets")
+        sets = written(self.full_sets(small(rows.where(F.col("n") > K).select(F.col("node").alias("id")))), "sets")
+        # sets of up to K hashes are whole in their sketches; those that a link to a larger set allows are read from there
+        own = self.classes.where((F.col("n") <= K) & (100 * F.col("n") > self.percent * K)).select(F.col("node").alias("id"), "values")
+        self.sets = sets.unionByName(own)
         members = written(rows.select("node", "n", F.explode("values").alias("value")), "members")
         weight = members.groupBy("value").agg(F.count("*").alias("w"))
         # a member's weight: how frequent its values are; the original of many copies has the most

@@ -83,6 +83,19 @@ def test_frequent_values_by_join(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 3, 85)
 
 
+def test_large_group_of_sizes_around_k(spark):
+    rows = []
+    for size in (128, 134):  # 126 and 132 shingles: below and above K; every shared value is frequent
+        for i in range(50):
+            w = [f"b{k}" for k in range(size)]
+            w[3 + 2 * i] = f"x{len(rows)}"
+            rows.append((len(rows), " ".join(w)))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want = brute(rows, 3, 85)
+    assert {c for _, c in want.values()} == {0}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_empty(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
