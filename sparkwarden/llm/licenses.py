@@ -4,6 +4,10 @@ A text is cut into sentences, each is normalised and mapped to a known sentence'
 identifiers is matched against licence rules in their order; a rule takes its identifiers out of the sequence, so a
 longer rule placed first keeps a shorter one from claiming its sentences again. Nothing is shuffled.
 
+Notices are wrapped at any column: lines up to a full stop or a line without a letter or digit are also joined, and what
+they say together is looked up first, among complete sentences (WHOLE). n_sentences counts lines, as the SQL does; the
+SQL knows no joined lines, so for texts with wrapped notices the query gives identifiers that the SQL does not.
+
 Defined cases: null and empty texts have no sentences and no licence; a sentence repeated counts each time; repeated
 rows get equal results; texts are read whole; an empty table gives no rows; input columns named like an output are
 replaced.
@@ -48,6 +52,21 @@ SENTENCES = {
     "reserved": "all rights reserved",
 }
 
+#: Complete sentences of the licences' own texts, and runs that their layout joins, to identifiers.
+WHOLE = {
+    SENTENCES["mit_grant"] + " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": ["mit_grant"],
+    SENTENCES["mit_keep"].replace("notice shall", "notice including the next paragraph shall"): ["mit_keep"],
+    SENTENCES["as_is"] + " including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": ["as_is"],
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": ["as_is"],
+    SENTENCES["apache2_ref2"] + " " + SENTENCES["apache2_keep"]: ["apache2_ref2", "apache2_keep"],
+    SENTENCES["apache2_copy"] + " http www apache org licenses license 2 0": ["apache2_copy"],
+    SENTENCES["apache2_copy"] + " https www apache org licenses license 2 0": ["apache2_copy"],
+    SENTENCES["apache2_basis"] + " without warranties or conditions of any kind either express or implied": ["apache2_basis"],
+    SENTENCES["gpl_hope"] + " without even the implied warranty of merchantability or fitness for a particular purpose": ["gpl_hope"],
+    SENTENCES["bsd_grant"] + " 1": ["bsd_grant"],
+    SENTENCES["bsd_grant"] + " " + SENTENCES["bsd_source"]: ["bsd_grant", "bsd_source"],
+}
+
 #: Rules in order: name, licence, sentence identifiers that follow each other among a text's known sentences.
 RULES = [
     ("apache2_notice", "Apache-2.0", ["apache2_ref2", "apache2_keep", "apache2_copy", "apache2_basis"]),
@@ -83,20 +102,34 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _OUT = ("n_sentences", "n_known", "sentence_ids", "rules", "licenses")
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences; they end at a line's end, or at a full stop before white space or the text's end."""
-    marked = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), r"\.[ \t\r\n]|\.$|\n", "|")
-    plain = F.regexp_replace(marked, r"[^a-z0-9|]+", " ")
-    return F.filter(F.transform(F.split(plain, r"\|", -1), lambda s: F.trim(s)), lambda s: s != "")
+def segments(text: Column) -> Column:
+    """Normalised sentences by segment: a segment ends at a full stop (not that of "v. 2.0") before white space or the
+    text's end, or at a line without a letter or digit; a sentence ends there too, and at a line's end."""
+    low = F.translate(F.coalesce(text, F.lit("")), _UPPER + "#", _LOWER + "*")
+    marked = F.regexp_replace(low, r"(?<!\bv)\.(?:[ \t\r\n]|$)", "#")
+    marked = F.regexp_replace(F.regexp_replace(marked, r"\n[^a-z0-9#|]*\n", "#"), r"\.[ \t\r\n]|\.$|\n", "|")
+    plain = F.regexp_replace(marked, r"[^a-z0-9|#]+", " ")
+    return F.transform(F.split(plain, "#", -1), lambda x: F.filter(F.transform(F.split(x, r"\|", -1), lambda s: F.trim(s)), lambda s: s != ""))
 
 
 def recognised(df: DataFrame, text: str = "text", known: dict[str, str] | None = None, rules: list[tuple[str, str, list[str]]] | None = None) -> DataFrame:
     """df with n_sentences, n_known, sentence_ids (known ones in order), rules and licenses (in rule order)."""
     known, rules = known or SENTENCES, rules or RULES
     ids = F.create_map(*[x for k, s in known.items() for x in (F.lit(s), F.lit(k))])
-    out = df.drop(*_OUT, "_s", "_q", "_hit").withColumn("_s", sentences(F.col(text)))
-    out = out.withColumn("sentence_ids", F.filter(F.transform("_s", lambda s: ids[s]), lambda k: k.isNotNull()))
-    out = out.withColumn("n_sentences", F.size("_s").cast("long")).withColumn("n_known", F.size("sentence_ids").cast("long")).drop("_s")
+    whole = {s: [k] for k, s in known.items()} | (WHOLE if known is SENTENCES else {})
+    joined = F.create_map(*[x for s, k in whole.items() for x in (F.lit(s), F.array(*map(F.lit, k)))])
+    least = min(map(len, whole))
+    out = df.drop(*_OUT, "_s", "_q", "_hit").withColumn("_s", segments(F.col(text)))
+
+    def single(lines: Column) -> Column:
+        return F.filter(F.transform(lines, lambda s: ids[s]), lambda k: k.isNotNull())
+
+    def several(lines: Column) -> Column:
+        one = F.array_join(lines, " ")
+        return F.when(F.length(one) >= least, F.coalesce(joined[one], single(lines))).otherwise(F.array().cast("array<string>"))
+
+    out = out.withColumn("sentence_ids", F.flatten(F.transform("_s", several)))
+    out = out.withColumn("n_sentences", F.aggregate("_s", F.lit(0).cast("long"), lambda n, x: n + F.size(x))).withColumn("n_known", F.size("sentence_ids").cast("long")).drop("_s")
 
     def step(state: Column, rule: Column) -> Column:
         found = F.contains(state["left"], rule["pattern"])
