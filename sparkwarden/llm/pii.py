@@ -4,8 +4,7 @@ Base kinds are regular expressions with checks. Regexes keep possessive loops an
 the last match, or at a run's first character), so that long runs cost linear time and no stack.
 
 Bootstrapping: seed entities (base finds, and long hexadecimal secrets) induce lexical patterns, the two words and
-punctuation before them, if they end in a sign that introduces a value (colon, equals, quote, bracket): in prose, any
-frequent words come to stand before many seeds as a corpus grows, and say nothing. Identifier-like words (letters and digits, one digit at least) that follow a pattern are its
+punctuation before them, or the name and signs that touch them (token="). Identifier-like words (letters and digits, one digit at least) that follow a pattern are its
 other instances. Patterns and instances form a graph, scored in turn: a pattern's confidence is the mean score of its
 distinct instances times the part of its occurrences in the corpus that an instance follows; an instance's score is
 one less the product of its patterns' doubts, and 1 for seeds. Patterns with CONFIDENCE and SUPPORT give spans
@@ -37,8 +36,8 @@ BASE = {
 _NEEDS = {"email": lambda t: F.contains(t, F.lit("@")), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"), "card": lambda t: t.rlike(r"[0-9][0-9\x20-]{10}"), "phone": lambda t: F.contains(t, F.lit("+"))}
 _WORD = r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{6,}+"
 _SECRET = r"^[0-9a-f]{32,}$"
-_SIGN = r"[:=\"'(\[<]\s*$"
-_CONTEXT = r"((?:\S+\s+){1,2}[^\sA-Za-z0-9]*)$"
+_NAME = r"(?<![A-Za-z0-9])[A-Za-z0-9]++[^\sA-Za-z0-9]++"
+_CONTEXT = rf"((?:\S+\s+){{1,2}}[^\sA-Za-z0-9]*|{_NAME})$"
 KINDS = [*BASE, "secret", "id"]
 #: Least confidence and distinct trusted instances of a pattern, rounds of scoring, characters of context.
 CONFIDENCE, SUPPORT, ROUNDS, CONTEXT = 0.8, 5, 3, 48
@@ -88,8 +87,11 @@ def _background(docs: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
     """How often each pattern's words follow each other anywhere: pattern, everywhere."""
     heads = patterns.select("pattern", F.regexp_replace(F.regexp_replace("pattern", r"\s+[^\sA-Za-z0-9]*$", ""), r"\s+", " ").alias("head"))
     words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+", -1)
-    w = docs.select(words.alias("w"))
-    pairs = w.select(F.explode(F.concat(F.col("w"), F.zip_with("w", F.slice("w", 2, 1 << 30), lambda a, b: F.concat_ws(" ", a, b)))).alias("head"))
+    names = F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(_NAME + "(?=[A-Za-z0-9])"), F.lit(0)), F.lower)
+    w = docs.select(words.alias("w"), names.alias("names"))
+    # a name's head holds its signs and no white space; a tab keeps it from being counted as a word
+    heads = heads.withColumn("head", F.when(F.col("pattern").rlike(r"\s"), F.col("head")).otherwise(F.concat(F.lit("\t"), F.col("pattern"))))
+    pairs = w.select(F.explode(F.concat(F.col("w"), F.zip_with("w", F.slice("w", 2, 1 << 30), lambda a, b: F.concat_ws(" ", a, b)), F.transform("names", lambda n: F.concat(F.lit("\t"), n)))).alias("head"))
     counts = pairs.join(small(heads.select("head").distinct()), "head", "left_semi").groupBy("head").agg(F.count("*").alias("everywhere"))
     return heads.join(counts, "head").select("pattern", "everywhere")
 
@@ -97,7 +99,7 @@ def _background(docs: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
 def induced(docs: DataFrame, occurrences: DataFrame, text: str = "text", confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """pattern, confidence and support of the patterns that are trusted, by iterated scores of the pattern-instance graph."""
     seed = (F.col("kind") != "word") | F.col("found").rlike(_SECRET)
-    graph = occurrences.where(F.col("pattern").rlike(_SIGN)).groupBy("pattern", "found").agg(F.count("*").alias("n"), F.max(seed).alias("seed"))
+    graph = occurrences.where(F.col("pattern") != "").groupBy("pattern", "found").agg(F.count("*").alias("n"), F.max(seed).alias("seed"))
     graph = written(graph, "graph")
     rich = graph.groupBy("pattern").agg(F.count_if("seed").alias("seeds"), F.sum("n").alias("seen")).where(F.col("seeds") >= support)
     rich = written(rich, "rich")

@@ -73,6 +73,16 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     assert found[101] == found[102] == found[205] == ""
 
 
+@pytest.mark.parametrize("context", ["account number ", "token=", 'key="', "pin:"])
+def test_bootstrapping_in_prose_and_without_spaces(spark, context):
+    rows = [(i, f"some words {i} then {context}{hashlib.sha1(str(i).encode()).hexdigest()} follows") for i in range(12)]
+    rows += [(100, f"also {context}Zx81qq77 ends"), (101, "the year 200012 and room b1234567 stay")]
+    found = {r.doc_id: r.spans for r in pii.digested(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    at = 5 + len(context)
+    assert found[100] == f"id:{at}:{at + 8}"
+    assert found[101] == "" and found[3].startswith("secret:")
+
+
 def test_redaction(spark):
     rows = [(1, "Write to a@b.org or +1 (555) 123-4567!", 0), (2, None, 0), (3, "plain", 0), (4, "x 10.0.0.1", 0), (4, "x 10.0.0.1", 0)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars int")
