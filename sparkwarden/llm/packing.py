@@ -10,8 +10,9 @@ Positions: the tokenising task numbers its own tokens by queue, and a small tabl
 task gives each task its start. Documents are tokenised once, into a table in the shared scratch folder.
 
 Targets are the sources' own shares unless given; given targets hold until some queue cannot fill its part of a
-window, and the rest is packed by the shares of what is left. A queue with less than a 2048th of the tokens shares
-one queue with its like, and so do sources with less than MIN_SHARE of the rows.
+window, and the rest is packed by the shares of what is left; a target without tokens is an error. A source with less
+than a token a window (a 2048th of the tokens) that no target names shares one queue with its like, where documents
+follow each other by the part of their source that is before them, so each source is spread over the whole queue.
 
 Defined cases: a null text is empty, and has just the end id; a null source is the queue ""; repeated rows are packed
 each; an empty table gives no pieces; very long texts are cut over windows; other input columns are ignored.
@@ -33,8 +34,8 @@ from pyspark.sql import Window as W
 from .common import slices, small, table, written
 
 LENGTH, END_ID = 2048, 1
-#: Share of all rows that a source needs for a queue of its own, so queues number 256 at most, and one for the rest.
-MIN_SHARE = 1 / 256
+#: Documents of the shared queue that are put in order together.
+BUCKET_ROWS = 20_000
 _WORDS_KEPT = 700_000
 _REST = "\x00rest"
 
@@ -116,7 +117,7 @@ class Encoder:
         return [b"".join(map(get, words)) + last for words in split]
 
 
-def _tokenise(path: str | None, end: int, queues: set[str]):
+def _tokenise(path: str | None, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = Encoder(path), TaskContext.get().partitionId()
         width = int(encoder.kind[-1])
@@ -125,7 +126,7 @@ def _tokenise(path: str | None, end: int, queues: set[str]):
             texts, sources = b.column("text").to_pylist(), b.column("queue").to_pylist()
             for i, j in slices(texts):
                 ids = encoder(texts[i:j], end)
-                names = [s if s in queues else _REST for s in sources[i:j]]
+                names = sources[i:j]
                 starts, sizes = [], []
                 for q, x in zip(names, ids, strict=True):
                     n = len(x) // width
@@ -154,7 +155,10 @@ class Schedule:
             whole = sum(weights.values())
             if weights and min(weights.values()) * length < whole:
                 raise ValueError("a target is below one token in a window")
-            if weights and set(weights) == {q for q, v in targets.items() if v > 0}:
+            missing = {q for q, v in targets.items() if v > 0} - set(weights)
+            if names and missing:
+                raise ValueError(f"targets without tokens: {sorted(missing)}")
+            if weights:
                 windows = min((totals[q] - 1) * whole // (w * length) for q, w in weights.items())
                 self.before, self.first_weight = max(0, windows) * length, whole
                 at = 0
@@ -251,21 +255,39 @@ def _pieces(held, kind: str):
     return run
 
 
+def _shared(placed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """placed with one queue _REST: documents in the order of the part of their source's tokens (queue, n) before them."""
+    part = placed.join(small(sizes), "queue").withColumn("before", F.col("at") / F.col("n")).drop("n")
+    many = placed.count() // BUCKET_ROWS + 1
+    # all sources begin at 0, so their first documents are dealt by name
+    part = part.withColumn("bucket", F.when(F.col("at") == 0, -1 - F.pmod(F.xxhash64("queue"), F.lit(many))).otherwise(F.floor(F.col("before") * many)))
+    counts = part.groupBy("bucket").agg(F.sum("doc_tokens").alias("n"))
+    starts = counts.select("bucket", (F.sum("n").over(W.orderBy("bucket")) - F.col("n")).alias("start"))
+    inside = F.sum("doc_tokens").over(W.partitionBy("bucket").orderBy("before", "queue", "at").rowsBetween(W.unboundedPreceding, 0)) - F.col("doc_tokens")
+    out = part.withColumn("inside", inside).join(small(starts), "bucket")
+    return out.select("doc_id", F.lit(_REST).alias("queue"), (F.col("start") + F.col("inside")).alias("at"), "doc_tokens", "ids")
+
+
 def packed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", tokenizer: str | None = None, targets: dict[str, float] | None = None, length: int = LENGTH, end: int = END_ID) -> DataFrame:
     """Pieces: doc_id, start, length, doc_tokens, sequence_id, offset and ids (little-endian unsigned 32-bit)."""
     spark = df.sparkSession
     queue = F.coalesce(F.col(source).cast("string"), F.lit(""))
     rows = df.select(F.col(key).cast("long").alias("doc_id"), queue.alias("queue"), F.col(text).cast("binary").alias("text"))
-    by_source = rows.groupBy("queue").count()
-    all_rows = by_source.agg(F.sum("count")).first()[0] or 0
-    queues = {r[0] for r in by_source.where(F.col("count") >= all_rows * MIN_SHARE).select("queue").collect()}
-    tokens = written(rows.mapInArrow(_tokenise(tokenizer, end, queues), "doc_id bigint, queue string, part bigint, nth bigint, doc_tokens bigint, ids binary"), "tokens")
-    by_part = tokens.groupBy("queue", "part").agg(F.sum("doc_tokens").alias("n"))
-    totals = {r[0]: r[1] for r in by_part.groupBy("queue").agg(F.sum("n")).collect()}
+    tokens = written(rows.mapInArrow(_tokenise(tokenizer, end), "doc_id bigint, queue string, part bigint, nth bigint, doc_tokens bigint, ids binary"), "tokens")
+    runs = written(tokens.groupBy("queue", "part").agg(F.sum("doc_tokens").alias("n")), "runs")
+    by_source = runs.groupBy("queue").agg(F.sum("n").alias("n"))
+    whole = by_source.agg(F.sum("n")).first()[0] or 0
+    named = [q for q, v in (targets or {}).items() if v > 0]
+    totals = {r[0]: r[1] for r in by_source.where((F.col("n") * length >= whole) | F.col("queue").isin(named)).collect()}
+    rest = whole - sum(totals.values())
     kind = Encoder(tokenizer).kind
-    held = spark.sparkContext.broadcast(Schedule(totals, targets, length))
-    first = by_part.withColumn("first", F.sum("n").over(W.partitionBy("queue").orderBy("part")) - F.col("n")).drop("n")
+    first = runs.withColumn("first", F.sum("n").over(W.partitionBy("queue").orderBy("part")) - F.col("n")).drop("n")
     placed = tokens.join(small(first), ["queue", "part"]).select("doc_id", "queue", (F.col("first") + F.col("nth")).alias("at"), "doc_tokens", "ids")
+    if rest:
+        own = F.col("queue").isin(list(totals))
+        placed = placed.where(own).unionByName(_shared(placed.where(~own), by_source.where(~own)))
+        totals[_REST] = rest
+    held = spark.sparkContext.broadcast(Schedule(totals, targets, length))
     return placed.mapInArrow(_pieces(held, kind), "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
 
 

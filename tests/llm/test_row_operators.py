@@ -176,6 +176,31 @@ def test_packing_keeps_proportions_in_every_window():
         assert max(share) - min(share) <= 2 and abs(sum(share) / full - 2048 * totals[q] / whole) < 0.1
 
 
+def test_packing_gives_small_sources_their_share(spark):
+    many = [(k, "word " * 99, f"s{k // 10}") for k in range(3000)]  # 300 equal sources
+    got = packing.packed(spark.createDataFrame(many, "doc_id bigint, text string, source string"))
+    sources = {}
+    for r in got.collect():
+        sources.setdefault(r.sequence_id, set()).add(r.doc_id // 10)
+    last = max(sources)
+    assert all(len(x) == 300 for w, x in sources.items() if w < last)
+    # fewer tokens than one a window: spread over the shared queue, each token once
+    rows = packing.packed(spark.createDataFrame(many, "doc_id bigint, text string, source string"), length=256).collect()
+    spots = sorted((r.sequence_id * 256 + r.offset, r.length) for r in rows)
+    assert [a for a, _ in spots] == list(np.cumsum([0, *(n for _, n in spots)])[:-1])
+    early = {r.doc_id // 10 for r in rows if r.sequence_id <= max(x.sequence_id for x in rows) // 5}
+    assert len(early) == 300
+
+
+def test_packing_keeps_targets_of_small_sources(spark):
+    rows = [(k, "word " * 99, "a") for k in range(600)] + [(9000, "word " * 9000, "b")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    first = [r for r in packing.packed(df, targets={"a": 0.5, "b": 0.5}).collect() if r.sequence_id == 0]
+    assert sum(r.length for r in first if r.doc_id == 9000) == 1024
+    with pytest.raises(ValueError, match="without tokens"):
+        packing.packed(df, targets={"a": 0.5, "c": 0.5})
+
+
 def test_warc_round_trip(spark, tmp_path):
     html = ["<p>é</p>\r\n\r\nWARC/1.1\r\n\r\n", "", None, "<p>é</p>\r\n\r\nWARC/1.1\r\n\r\n", "x" * 300_000, "y"]
     pages = spark.createDataFrame([(i, None if i == 3 else f"http://a/{i}", h, "z") for i, h in enumerate(html)] + [(5, "http://a/5", "y", "z")], "page_id bigint, url string, html string, record_type string")
