@@ -101,10 +101,11 @@ def sarif_results(findings: DataFrame) -> DataFrame:
     return f.join(index, "rule").select("ordinal", "rule", "rule_index", S.sarif_level(F.col("type"), F.col("vuln_score")).alias("level"), mark.alias("fingerprint"))
 
 
-def sarif(findings: DataFrame, most: int = 5000) -> str:
-    """A SARIF 2.1.0 document of at most so many results, which is what viewers of such documents take."""
-    rows = sarif_results(findings).join(findings.select("ordinal", "file", "line", "message"), "ordinal").orderBy("ordinal").limit(most).collect()
-    used = sorted({r["rule"] for r in rows})
+def sarif(findings: DataFrame) -> str:
+    """A SARIF 2.1.0 document of all results; rows come a partition at a time."""
+    found = sarif_results(findings)
+    used = sorted(r["rule"] for r in found.select("rule").distinct().collect())
+    rows = found.join(findings.select("ordinal", "file", "line", "message"), "ordinal").orderBy("ordinal").toLocalIterator()
     results = [
         {"ruleId": r["rule"], "ruleIndex": used.index(r["rule"]), "level": r["level"], "message": {"text": r["message"] or ""}, "partialFingerprints": {"primary": r["fingerprint"]},
          "locations": [{"physicalLocation": {"artifactLocation": {"uri": r["file"] or ""}, "region": {"startLine": r["line"] or 1}}}]}
@@ -128,13 +129,13 @@ def markdown(findings: DataFrame) -> str:
     return "\n".join(out)
 
 
-def html_report(findings: DataFrame, most: int = 1000) -> str:
+def html_report(findings: DataFrame) -> str:
     sev = S.html_severity(F.col("severity"), F.lit(None).cast("string"))
     charts = {
         "severity": [list(r) for r in severity_counts(findings, sev, ["critical", "high", "medium", "low", "info", "unknown"]).where("n > 0").collect()],
         "files": [list(r) for r in top_counts(findings, F.element_at(F.split(F.coalesce("file", F.lit("unknown")), "/", -1), -1), TOP_FILES).collect()],
         "types": [list(r) for r in top_counts(findings, F.coalesce("type", F.lit("unknown")), TOP_TYPES).collect()],
     }
-    rows = findings.withColumn("level", sev).withColumn("fix", S.remediation(F.coalesce("type", F.lit("")))).orderBy(S.severity_of(F.col("level")).desc(), "ordinal").limit(most).select("level", "type", "file", "line", "message", "fix").collect()
+    rows = findings.withColumn("level", sev).withColumn("fix", S.remediation(F.coalesce("type", F.lit("")))).orderBy(S.severity_of(F.col("level")).desc(), "ordinal").select("level", "type", "file", "line", "message", "fix").toLocalIterator()
     body = "".join("<tr>" + "".join(f"<td>{html.escape(str(x)) if x is not None else ''}</td>" for x in r) + "</tr>" for r in rows)
     return f"<!doctype html><meta charset='utf-8'><title>Scan</title><script>const charts={json.dumps(charts)};</script><table>{body}</table>"

@@ -45,7 +45,7 @@ def render(findings: DataFrame, form: str, scan_path: str = "") -> str:
     if form != "text":
         raise ValueError(f"no format {form}")
     counts = R.severity_counts(rows, F.lower("severity"), ["critical", "high", "medium", "low"]).collect()
-    listed = rows.orderBy(S.severity_of(F.col("severity")).desc(), "ordinal").limit(1000).collect()
+    listed = rows.orderBy(S.severity_of(F.col("severity")).desc(), "ordinal").toLocalIterator()
     return "\n".join([*(f"[{r.severity}] {r.file}:{r.line} {r.type} {r.message}" for r in listed), *(f"{r.severity}: {r.n}" for r in counts)])
 
 

@@ -45,3 +45,16 @@ def test_labelled_findings(spark, tmp_path):
     f = spark.createDataFrame([("function_analysis", ["eval"], 3), ("bandit", [], 1)], "type string, dangerous_calls array<string>, cyclomatic_complexity int")
     sinks.write_labelled(f, str(tmp_path / "l"))
     assert sorted((r.type, r.label) for r in readers.read_labelled(spark, str(tmp_path / "l")).collect()) == [("bandit", 0), ("function_analysis", 1)]
+
+
+def test_reports_list_all_findings(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from sparkwarden.sources.sinks import render
+
+    found = spark.range(5200).select(F.col("id").alias("ordinal"), F.concat(F.lit("f"), "id").alias("file"), F.lit(1).alias("line"), F.lit("R1").alias("rule_id"), F.lit("x").alias("type"), F.lit("high").alias("severity"), F.lit("m").alias("message"))
+    assert len(json.loads(render(found, "sarif"))["runs"][0]["results"]) == 5200
+    assert render(found, "html").count("<tr>") == 5200
+    assert render(found, "text").count("[high] ") == 5200
