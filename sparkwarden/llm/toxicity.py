@@ -31,6 +31,8 @@ from .common import bounded_sample, fold, slices, table
 
 #: Toxic and clean training rows at most (the bound of the sample), and bytes of text a training row may have.
 TOXIC_ROWS, CLEAN_ROWS, ROW_BYTES = 1200, 5000, 8_000
+#: Least share of the toxic training rows that a cue is in, and segments with cues that the chain is trained on at most.
+CUE_SUPPORT, CUE_SEGMENTS = 0.003, 6000
 BUCKETS, PREFIX, SEGMENT, EPOCHS = 1 << 17, 10, 128, 4
 _WORDS_KEPT = 300_000
 
@@ -73,7 +75,7 @@ def cues(toxic: list[set[bytes]], clean: Iterable[set[bytes]], purity: float = 0
         return {sys.intern(f) for w in words for f in features(w)}
 
     against, inside = Counter(), Counter()
-    least = max(2, round(0.01 * len(toxic)))
+    least = max(2, round(CUE_SUPPORT * len(toxic)))
     for d in toxic:
         inside.update(of(d))
     inside = Counter({f: n for f, n in inside.items() if n >= least})  # no others can be cues
@@ -333,7 +335,7 @@ class ToxicityModel:
                     (with_cue if any(labels) else without).append((words, labels))
         rng = np.random.default_rng(3)
         some = rng.permutation(len(without))[: 2 * len(with_cue) + 200]
-        pick = rng.permutation(len(with_cue))[:4000]
+        pick = rng.permutation(len(with_cue))[:CUE_SEGMENTS]
         self.chain = trained([with_cue[i] for i in pick] + [without[i] for i in some[: 2 * len(pick) + 200]])
         self._scale(rows)
 

@@ -300,6 +300,12 @@ def test_language(spark, none):
     assert {r.lang_pred for r in language.identified(df, language.fitted(none)).collect()} == {"und"}
 
 
+def test_rare_toxic_words_are_cues():
+    toxic = [{b"word%d" % i, b"vilexin" if i < 6 else b"zogwart"} for i in range(1200)]  # 0.5 % hold the rare word
+    found = toxicity.cues(toxic, ({b"word%d" % i} for i in range(1200)))
+    assert not found.isdisjoint(toxicity.features(b"vilexin"))
+
+
 def test_toxicity(spark, none):
     rng = np.random.default_rng(0)
     words = [a + b + c for a in "bdfgkl" for b in "aeiou" for c in ("n", "r", "st", "m")]
