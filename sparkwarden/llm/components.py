@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lookup, written
 
 
-def _starred(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over edges (u, v), u > v: each node's chosen neighbours are linked to the least one."""
+def _starred(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """One star step over edges (u, v), u > v: each node's chosen neighbours are linked to the least one. Nodes of many edges are joined by broadcast."""
     both = edges.select(F.col("u").alias("n"), F.col("v").alias("m"))
     if large:
         both = both.unionByName(edges.select(F.col("v").alias("n"), F.col("u").alias("m")))
-    least = both.groupBy("n").agg(F.least(F.min("m"), F.first("n")).alias("low"))
-    joined = both.join(least, "n")
+    least = both.groupBy("n").agg(F.least(F.min("m"), F.first("n")).alias("low"), F.count("*").alias("degree"))
+    joined = lookup(both, least, "n", "degree", 2 * total if large else total)
     if large:
         out = joined.where(F.col("m") > F.col("n")).select(F.col("m").alias("u"), F.col("low").alias("v"))
     else:
@@ -26,12 +26,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (the least node reachable) for each node with an edge; edges go either way."""
     now = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     now = written(now, "edges")
-    if now.isEmpty():
+    total = now.count()
+    if not total:
         return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     state = None
     while True:
-        now = written(_starred(written(_starred(now, True), "large"), False), "small")
+        now = written(_starred(written(_starred(now, True, total), "large"), False, total), "small")
         seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40)), F.sum(F.col("u") % (1 << 40))).first())
+        total = seen[0]
         if seen == state:
             break
         state = seen

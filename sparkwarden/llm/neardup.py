@@ -1,33 +1,40 @@
 """Near-duplicates by bottom-k sketches of one hash function.
 
-A document is the set of its n-word shingles' hashes; equal sets form a class, represented by its least id. A
-class's sketch holds the K least hashes. The first few values of each sketch go to inverted lists; documents that
-meet in a list are a candidate pair, the union sketch estimates their Jaccard similarity, and pairs that may be
-similar enough are confirmed on their full sets (sets of up to K hashes are their own sketches).
-
-Frequent values, whose lists would be long (a passage in many documents), are set aside: values are retained in the
-order (not frequent, hash), the same for all documents. If J >= t and a share s of the union is frequent, the rest has a
-similarity of (t - s) / (1 - s) at least, so two documents retain no common value with a probability of about
-((1 - t) / (1 - s)) ** r: below 1e-9 at t = 0.8 for r = LEAST_RETAINED and s <= 0.2, and for r = MOST_RETAINED and
-s <= HOT_SHARE. Lists of what is not frequent hold LIST members at most, so their pairs stay in proportion to the input.
-
-A set of up to K hashes needs no such bound: if it has more values that are not frequent than a link may leave unshared,
-that many of them are retained, and two linked sets share one of these for certain (the prefix bound). Documents that have
-not, or that consist of frequent values beyond HOT_SHARE (members of large groups of near copies, mostly), meet among
-themselves. Each of their lists names the member with the most frequent values as its centre, which is compared with
-all; after each round, members of the centre's component are one, and only other components go on. What is left after
-ROUNDS rounds, or one without a link, is compared pair by pair: in each list, members outside its largest component with
-all that are not of theirs. So no link is lost.
+A document is the set of its n-word shingles' hashes; equal sets form a class, represented by its first row. A class's
+sketch holds the K least hashes. The first few values of each sketch go to inverted lists; classes that meet in two
+lists at least are a candidate pair, the union sketch estimates their Jaccard similarity, and pairs that may be similar
+enough are confirmed on their full sets (sets of up to K hashes are their own sketches).
+
+Frequent values, whose lists would hold more than LIST members (a passage in many documents), are set aside: values are
+retained in the order (not frequent, hash), the same for all. If J >= t and a share s of the union is frequent, the rest
+has a similarity of (t - s) / (1 - s) at least, so two documents retain fewer than two common values with a probability
+below 1e-9 at t = 0.8 for LEAST_RETAINED values and s <= 0.2, and for MOST_RETAINED and s <= HOT_SHARE. The estimate
+drops a pair whose similarity is t with a probability below 1e-9 (Chernoff's bound at K values, see `lowest`).
+
+A set of up to K hashes needs no such bounds: if it has two values more that are not frequent than a link may leave
+unshared, that many are retained, and two linked sets share two of these for certain (the prefix bound).
+
+Documents that have not, or that consist of frequent values beyond HOT_SHARE (members of large groups of near copies,
+mostly), are joined on their full sets, without estimates; with exact=True all documents are. Their values are put in the
+order (frequent, count, hash), rarest first, and a set's prefix of n - ceil(t * n) + 1 values is listed with positions: two
+linked sets share a value of both prefixes, and at the first one, enough of each must be left to reach the overlap that
+their sizes ask for. Lists of rare values give pairs at once. In the list of a frequent value the member with the fewest
+rare values is its centre, and compared with all; a list whose members are one component is settled, others take their
+next centre among components without one. After ROUNDS centres, members outside a list's largest component meet the
+rest by positions: the rare values of a copy that is not linked use up what a link could leave unshared, so almost no
+pair is left, and none that is linked is lost.
 
 Defined cases: null and empty texts have empty sets and no links; texts of fewer words than a shingle are one shingle;
-rows with a null id are not linked (null component_id, kept); repeated rows are one class; an empty table gives no rows;
-input columns named like an output are replaced.
+very long texts are read whole, a buffer of words at a time; rows with a null id are not linked (null component_id,
+kept); repeated rows are one class; rows of one id with unlike texts are classes of their own, and each is kept if its id
+is its component's least; an empty table gives no rows; input columns named like an output are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +46,15 @@ from .common import BROADCAST_ROWS, drop_table, lookup, mixed, rolled, slices, s
 from .components import components
 
 #: Hashes in a sketch; values retained with few and with many frequent ones; members of a list before its value counts as frequent.
-K, LEAST_RETAINED, MOST_RETAINED, LIST = 128, 18, 32, 32
-#: Share of frequent values up to which the others suffice, and values in the lists of documents beyond it.
-HOT_SHARE, HOT_RETAINED, ROUNDS = 0.6, 16, 5
-#: Frequent values that a task may hold.
-HELD_VALUES = 1_000_000
+K, LEAST_RETAINED, MOST_RETAINED, LIST = 128, 18, 36, 32
+#: Share of frequent values up to which the others suffice, and centres that a frequent value's list takes.
+HOT_SHARE, ROUNDS = 0.6, 3
+#: Values that a task may hold, and those of centres' sets that are broadcast.
+HELD_VALUES, HELD_SETS = 1_000_000, 4_000_000
 
 _LONGS = T.ArrayType(T.LongType())
 _SETS = T.StructType([T.StructField("n", T.LongType()), T.StructField("fp", T.StringType()), T.StructField("values", _LONGS)])
+_TAKEN = T.StructType([T.StructField("cold", T.LongType()), T.StructField("taken", _LONGS)])
 
 
 def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
@@ -76,26 +84,82 @@ def _setter(size: int, keep: int | None):
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else [], pa.int64()))
             yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(fp, pa.string()), lists], ["n", "fp", "values"])
 
-    return F.arrow_udf(make, _SETS)
+    # not to be evaluated again, below other operators, for filters that follow from joins on its result
+    return F.arrow_udf(make, _SETS).asNondeterministic()
 
 
-def _without(rows: DataFrame, values: DataFrame, count: int) -> DataFrame:
-    """rows (node, n, cold, ...) with the given values taken out of cold."""
-    if count <= HELD_VALUES:
-        held = rows.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in values.select("value").collect()], np.int64)))
+def _flat(a: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    return a.flatten().to_numpy(), np.concatenate(([0], np.cumsum(a.value_lengths().to_numpy())))
 
-        def drop(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            hot = held.value
-            for a in batches:
-                flat, ends = a.flatten().to_numpy(), np.concatenate(([0], np.cumsum(a.value_lengths().to_numpy())))
-                at = np.minimum(np.searchsorted(hot, flat), len(hot) - 1)
-                keep = hot[at] != flat
-                left = np.concatenate(([0], np.cumsum(keep)))
-                yield pa.ListArray.from_arrays(pa.array(left[ends], pa.int32()), pa.array(flat[keep], pa.int64()))
 
-        return rows.withColumn("cold", F.arrow_udf(drop, _LONGS)("cold"))
-    kept = rows.select("node", F.explode("cold").alias("value")).join(values.select("value"), "value", "left_anti").groupBy("node").agg(F.sort_array(F.collect_list("value")).alias("cold"))
-    return rows.drop("cold").join(kept, "node", "left").withColumn("cold", F.coalesce("cold", F.array().cast(_LONGS)))
+def _inside(flat: np.ndarray, held: np.ndarray) -> np.ndarray:
+    if not len(held):
+        return np.zeros(len(flat), bool)
+    return held[np.minimum(np.searchsorted(held, flat), len(held) - 1)] == flat
+
+
+def _limit(n, cold, k, percent: int):
+    """Values to retain of a set of n hashes, k of them in its sketch and cold of these not frequent."""
+    few = np.where(k - cold <= 0.2 * k, LEAST_RETAINED, MOST_RETAINED)
+    return np.where(n <= K, (100 - percent) * n // 100 + 2, few)
+
+
+def _saturated(n: Column, cold: Column, k: Column, percent: int) -> Column:
+    """Whether the values that are not frequent do not suffice."""
+    return F.when(n <= K, cold < F.floor((100 - percent) * n / 100) + 2).otherwise(k - cold > HOT_SHARE * k)
+
+
+def _taker(hot, shared, percent: int):
+    """The retained values of sketches without frequent ones; of these, only those in shared if it is given."""
+
+    def take(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for sizes, a in batches:
+            n, (flat, ends) = sizes.to_numpy(), _flat(a)
+            keep = ~_inside(flat, hot.value)
+            before = np.concatenate(([0], np.cumsum(keep)))
+            cold = before[ends[1:]] - before[ends[:-1]]
+            lengths = np.diff(ends)
+            most = _limit(n, cold, lengths, percent)
+            keep &= before[1:] - np.repeat(before[ends[:-1]], lengths) <= np.repeat(most, lengths)
+            if shared is not None:
+                keep &= _inside(flat, shared.value)
+            left = np.concatenate(([0], np.cumsum(keep)))
+            lists = pa.ListArray.from_arrays(pa.array(left[ends], pa.int32()), pa.array(flat[keep], pa.int64()))
+            yield pa.StructArray.from_arrays([pa.array(cold, pa.int64()), lists], ["cold", "taken"])
+
+    return F.arrow_udf(take, _TAKEN).asNondeterministic()
+
+
+def _orderer(hot, percent: int):
+    """Prefixes of whole sets: values that are not frequent, then the others, rarest first; and how many are not."""
+
+    def order(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for a in batches:
+            values, rank = hot.value
+            flat, ends = _flat(a)
+            lengths = np.diff(ends)
+            at = np.minimum(np.searchsorted(values, flat), max(0, len(values) - 1))
+            frequent = _inside(flat, values)
+            place = np.where(frequent, rank[at] + 1, 0) if len(values) else np.zeros(len(flat), np.int64)
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            # of equal places the hash decides: the sets are sorted, and so is lexsort for equal keys
+            new = np.lexsort((place, row))
+            most = lengths - -(-percent * lengths // 100) + 1
+            keep = np.arange(len(flat)) - np.repeat(ends[:-1], lengths) < np.repeat(most, lengths)
+            left = np.concatenate(([0], np.cumsum(keep)))
+            cold = np.bincount(row[~frequent], minlength=len(lengths))
+            lists = pa.ListArray.from_arrays(pa.array(left[ends], pa.int32()), pa.array(flat[new][keep], pa.int64()))
+            yield pa.StructArray.from_arrays([pa.array(cold, pa.int64()), lists], ["cold", "taken"])
+
+    return F.arrow_udf(order, _TAKEN).asNondeterministic()
+
+
+def lowest(t: float, k: int, chance: float = 1e-9) -> float:
+    """The estimate that k values of a similarity t fall below with less than the chance, by Chernoff's bound."""
+    f = t
+    while f > 0.01 and k * (f * log(f / t) + (1 - f) * log((1 - f) / (1 - t)) if t < 1 else 1e9) < -log(chance):
+        f -= 0.005
+    return f
 
 
 def _estimate(a: Column, b: Column, na: Column, nb: Column) -> Column:
@@ -107,137 +171,207 @@ def _estimate(a: Column, b: Column, na: Column, nb: Column) -> Column:
 
 
 class Linker:
-    """Links between classes of documents. percent: 100 * intersection >= percent * union links two sets."""
+    """Links between classes (node, id, fp, n, values) of documents (id, text). percent: 100 * intersection >= percent * union links two sets."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, size: int, percent: int):
-        self.docs, self.classes, self.size, self.percent = docs, classes, size, percent
-        t = percent / 100
-        self.floor = t - 6 * (t * (1 - t) / K) ** 0.5
-        self.sets: DataFrame | None = None
-
-    def full_sets(self, wanted: DataFrame) -> DataFrame:
-        """(id, values): the whole sets of the wanted nodes (id), from their texts."""
-        texts = self.docs.where(F.col("id").isNotNull()).join(wanted, "id", "left_semi")
-        sets = texts.withColumn("s", _setter(self.size, None)(F.col("text"))).select("id", F.col("s.fp").alias("fp"), F.col("s.values").alias("values"))
-        return sets.join(self.classes.select(F.col("node").alias("id"), "fp"), ["id", "fp"], "left_semi").dropDuplicates(["id"]).drop("fp")
+        self.docs, self.size, self.percent = docs, size, percent
+        # smaller sets are linked with no unlike one
+        self.classes = classes.where(100 * F.col("n") >= percent * (F.col("n") + 1))
+        self.floor = lowest(percent / 100, K)
+        self.spark = docs.sparkSession
+
+    def whole_sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, n, values): the whole sets of the nodes, of those beyond the sketch from their texts."""
+        chosen = self.classes.join(small(nodes), "node", "left_semi")
+        large = chosen.where(F.col("n") > K).select("node", F.col("id").alias("i"), F.col("fp").alias("f"), "n")
+        texts = self.docs.join(small(large.select(F.col("i").alias("id")).distinct()), "id", "left_semi")
+        made = texts.withColumn("s", _setter(self.size, None)(F.col("text"))).select("id", F.col("s.fp").alias("fp"), F.col("s.values").alias("values"))
+        sets = made.join(small(large), (F.col("id") == F.col("i")) & (F.col("fp") == F.col("f"))).select("node", "n", "values").dropDuplicates(["node"])
+        return sets.unionByName(chosen.where(F.col("n") <= K).select("node", "n", "values"))
 
     def alike(self, na: Column, nb: Column) -> Column:
         """Sizes that a link allows."""
-        return (100 * F.least(na, nb) >= self.percent * F.greatest(na, nb)) & (F.least(na, nb) > 0)
+        return 100 * F.least(na, nb) >= self.percent * F.greatest(na, nb)
+
+    def enough(self, common: Column, na: Column, nb: Column) -> Column:
+        return (100 + self.percent) * common >= self.percent * (na + nb)
+
+    def _linked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that their whole sets link."""
+        one, two = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("values").alias(f"v{x}")) for x in "ab")
+        full = pairs.select("a", "b").join(one, "a").join(two, "b")
+        return full.where(self.enough(F.size(F.array_intersect("va", "vb")), F.col("na"), F.col("nb"))).select("a", "b")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The links (a, b) among pairs of nodes (a, b). Only sketches and sets that pairs name are shuffled."""
         pairs = written(pairs, "pairs")
-        named = small(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+        named = small(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         classes = self.classes.join(named, "node", "left_semi")
         one, two = (classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("values").alias(f"v{x}")) for x in "ab")
-        near = pairs.join(one, "a").join(two, "b").where(self.alike(F.col("na"), F.col("nb")))
-        near = near.withColumn("est", _estimate(F.col("va"), F.col("vb"), F.col("na"), F.col("nb"))).where(F.col("est") >= self.floor)
-        inside = F.when((F.col("na") <= K) & (F.col("nb") <= K), F.size(F.array_intersect("va", "vb")))
-        near = written(near.select("a", "b", "na", "nb", inside.cast("long").alias("inside")), "near")
-        link = 100 * F.col("inside") >= self.percent * (F.col("na") + F.col("nb") - F.col("inside"))
-        sure = near.where(F.col("inside").isNotNull() & link).select("a", "b")
-        open_ = near.where(F.col("inside").isNull())
+        near = pairs.join(one, "a").join(two, "b")
+        whole = (F.col("na") <= K) & (F.col("nb") <= K)
+        near = near.withColumn("est", _estimate(F.col("va"), F.col("vb"), F.col("na"), F.col("nb")))
+        near = written(near.where(F.when(whole, 100 * F.col("est") >= self.percent - 1e-9).otherwise(F.col("est") >= self.floor)).select("a", "b", whole.alias("sure")), "near")
+        drop_table(pairs)
+        open_ = near.where(~F.col("sure"))
         if open_.isEmpty():
-            return sure
-        wanted = small(open_.select(F.col("a").alias("id")).unionByName(open_.select(F.col("b").alias("id"))).distinct())
-        sets = self.sets if self.sets is not None else self.full_sets(wanted)
-        one, two = (sets.select(F.col("id").alias(x), F.col("values").alias(f"v{x}")) for x in "ab")
-        full = open_.drop("inside").join(one, "a").join(two, "b").withColumn("inside", F.size(F.array_intersect("va", "vb")).cast("long"))
-        return written(sure.unionByName(full.where(link).select("a", "b")), "links")
-
-    def links(self) -> DataFrame:
-        rows = self.classes.where("n > 0").select("node", "n", F.size("values").alias("k"), F.col("values").alias("cold"))
-        first = rows
+            return near.select("a", "b")
+        sets = written(self.whole_sets(open_.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets")
+        out = written(near.where("sure").select("a", "b").unionByName(self._linked(open_, sets)), "links")
+        drop_table(sets)
+        return out
+
+    def _held(self, values: DataFrame):
+        return self.spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in values.select("value").collect()], np.int64)))
+
+    def _without(self, hot: DataFrame) -> DataFrame:
+        """Retained values by a shuffle, for more frequent values than a task may hold."""
+        each = self.classes.select("node", F.explode("values").alias("value")).join(hot.select("value"), "value", "left_anti")
+        kept = each.groupBy("node").agg(F.sort_array(F.collect_list("value")).alias("left"))
+        rows = self.classes.select("node", "n", F.size("values").alias("k")).join(kept, "node", "left").withColumn("left", F.coalesce("left", F.array().cast(_LONGS)))
+        rows = rows.withColumn("cold", F.size("left").cast("long"))
+        few = F.when(F.col("k") - F.col("cold") <= 0.2 * F.col("k"), LEAST_RETAINED).otherwise(MOST_RETAINED)
+        most = F.when(F.col("n") <= K, F.floor((100 - self.percent) * F.col("n") / 100) + 2).otherwise(few)
+        return rows.withColumn("taken", F.slice("left", 1, most.cast("int"))).drop("left")
+
+    def _taken(self, hot: DataFrame | None, many: int, shared: DataFrame | None = None) -> DataFrame:
+        """(node, n, k, cold, taken) of the classes; shared: only retained values that are in it."""
+        if many > HELD_VALUES:
+            rows = self._without(hot)
+        else:
+            held = self._held(hot) if hot is not None else self.spark.sparkContext.broadcast(np.zeros(0, np.int64))
+            some = self._held(shared) if shared is not None else None
+            rows = self.classes.select("node", "n", F.size("values").alias("k"), _taker(held, some, self.percent)("n", "values").alias("x"))
+            rows = rows.select("node", "n", "k", F.col("x.cold").alias("cold"), F.col("x.taken").alias("taken"))
+        return rows
+
+    def links(self, exact: bool = False) -> DataFrame:
+        if exact:
+            return self.joined(self.classes.select("node"), None)
+        hot, many = None, 0
         while True:
-            share = 1 - F.size("cold") / F.col("k")
-            # of a set that is its own sketch, one value more than a link may leave unshared is enough, by the prefix bound
-            bound = (F.floor((100 - self.percent) * F.col("n") / 100) + 1).cast("int")
-            taken = F.slice("cold", 1, F.when(F.col("n") <= K, bound).when(share <= 0.2, LEAST_RETAINED).otherwise(MOST_RETAINED))
-            lists = written(rows.select("node", "n", F.explode(taken).alias("value")), "lists")
-            counts = lists.groupBy("value").count()
-            hot = written(counts.where(F.col("count") > LIST), "hot")
-            found = hot.count()
+            # values retained once need no list
+            counts = self._taken(hot, many).select(F.explode("taken").alias("value")).groupBy("value").count().where("count > 1")
+            counts = written(counts, "counts")
+            listed, found = counts.agg(F.count("*"), F.count_if(F.col("count") > LIST)).first()
             if not found:
                 break
-            drop_table(lists)
-            before, rows = rows, written(_without(rows, hot, found), "cold")
-            if before is not first:
-                drop_table(before)
+            new = counts.where(F.col("count") > LIST).select("value")
+            hot, many = written(new if hot is None else hot.unionByName(new), "hot"), many + found
+            drop_table(counts)
+        inside = many <= HELD_VALUES and listed <= HELD_VALUES
+        rows = self._taken(hot, many, counts if inside else None)
+        rows = written(rows, "rows")
+        lists = rows.select("node", "n", F.explode("taken").alias("value"))
+        if not inside:
+            lists = written(lists.join(counts.select("value").hint("shuffle_hash"), "value", "left_semi"), "lists")
         one, two = (lists.select("value", F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
         met = one.join(two, "value").where((F.col("a") < F.col("b")) & self.alike(F.col("na"), F.col("nb")))
-        found = self.confirmed(met.groupBy("a", "b").agg(F.count("*").alias("overlap")).drop("overlap"))
-        drop_table(lists)
-        few = F.when(F.col("n") <= K, F.size("cold") < bound).otherwise(1 - F.size("cold") / F.col("k") > HOT_SHARE)
-        saturated = rows.where(few).select("node")
-        return found.unionByName(self._saturated(saturated, found))
-
-    def _saturated(self, rows: DataFrame, links: DataFrame) -> DataFrame:
-        """Links among documents of frequent values, enough to join all that belong together."""
-        rows = written(self.classes.join(small(rows), "node", "left_semi").select("node", "n", F.slice("values", 1, HOT_RETAINED).alias("values")), "saturated")
-        if rows.isEmpty():
-            return links.limit(0)
-        self.classes = written(self.classes.join(small(rows.select("node")), "node", "left_semi"), "few")
-        sets = written(self.full_sets(small(rows.where(F.col("n") > K).select(F.col("node").alias("id")))), "sets")
-        # sets of up to K hashes are whole in their sketches; those that a link to a larger set allows are read from there
-        own = self.classes.where((F.col("n") <= K) & (100 * F.col("n") > self.percent * K)).select(F.col("node").alias("id"), "values")
-        self.sets = sets.unionByName(own)
-        members = written(rows.select("node", "n", F.explode("values").alias("value")), "members")
-        weight = members.groupBy("value").agg(F.count("*").alias("w"))
-        # a member's weight: how frequent its values are; the original of many copies has the most
-        heavy = lookup(members.select("node", "value"), weight.withColumn("k", F.col("w")), "value", "k", members.count())
-        members = written(members.join(heavy.groupBy("node").agg(F.sum("w").alias("w")), "node"), "weighed")
-        done = members.select("value", "node").limit(0)
-        all_links = None
-        of = components(links)
-        for _ in range(ROUNDS):
-            now = members.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        found = self.confirmed(met.groupBy("a", "b").agg(F.count("*").alias("overlap")).where("overlap > 1").select("a", "b"))
+        drop_table(counts)
+        return self.joined(rows.where(_saturated(F.col("n"), F.col("cold"), F.col("k"), self.percent)).select("node"), found)
+
+    def _prefixes(self, sets: DataFrame) -> DataFrame:
+        """(node, n, cold, taken) of whole sets."""
+        counts = written(sets.select(F.explode("values").alias("value")).groupBy("value").count().where(F.col("count") > LIST), "frequent")
+        if counts.count() <= HELD_VALUES:
+            rows = sorted((r["value"], r["count"]) for r in counts.collect())
+            values, n = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+            rank = np.empty(len(n), np.int64)
+            rank[np.lexsort((values, n))] = np.arange(len(n))
+            held = self.spark.sparkContext.broadcast((values, rank))
+            made = sets.select("node", "n", _orderer(held, self.percent)("values").alias("x"))
+            return made.select("node", "n", F.col("x.cold").alias("cold"), F.col("x.taken").alias("taken"))
+        each = sets.select("node", "n", F.explode("values").alias("value"))
+        each = lookup(each, counts.withColumn("w", F.col("count")), "value", "count", each.count())
+        each = each.groupBy("node").agg(F.first("n").alias("n"), F.count_if(F.col("w").isNull()).alias("cold"), F.array_sort(F.collect_list(F.struct(F.coalesce("w", F.lit(0)).alias("w"), "value"))).alias("x"))
+        most = F.col("n") - F.ceil(self.percent * F.col("n") / 100) + 1
+        return each.select("node", "n", "cold", F.slice(F.transform("x", lambda x: x["value"]), 1, most.cast("int")).alias("taken"))
+
+    def _first(self, one: DataFrame, two: DataFrame, more: Column) -> DataFrame:
+        """Pairs (a, b) of one (value, x, nx, px, ...) and two (value, y, ny, py, ...) that may share their first value here."""
+        left = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+        met = one.join(two, "value").where(more & self.alike(F.col("nx"), F.col("ny")) & self.enough(left, F.col("nx"), F.col("ny")))
+        return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    def joined(self, nodes: DataFrame, links: DataFrame | None) -> DataFrame:
+        """links, and links among the nodes, enough to join all that belong together, by their whole sets."""
+        nodes = written(nodes, "saturated")
+        links = links if links is not None else nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+        if nodes.isEmpty():
+            return links
+        sets = written(self.whole_sets(nodes), "whole")
+        lists = written(self._prefixes(sets).select("node", "n", "cold", F.posexplode("taken").alias("p", "value")), "prefixes")
+        rare = lists.where("p < cold")
+        one, two = (rare.select("value", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("p").alias(f"p{x}")) for x in "xy")
+        found = self._linked(self._first(one, two, F.col("x") < F.col("y")), sets)
+        links = written(links.unionByName(found), "links")
+        hot = lists.where("p >= cold")
+        tried = None
+        for last in range(ROUNDS + 1):
+            of = components(links)
+            now = hot.join(small(of), "node", "left").withColumn("component", F.coalesce("component", "node"))
             # lists with one component are settled
             several = now.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("value")
-            now = written(now.join(several, "value", "left_semi"), "open")
-            fresh = now.join(done, ["value", "node"], "left_anti")
-            centre = fresh.groupBy("value").agg(F.max_by(F.struct("node", "n", "component"), F.struct("w", -F.col("node"))).alias("c"))
-            centre = written(centre.select("value", F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("c.component").alias("ca")), "centres")
-            if centre.isEmpty():
-                return all_links if all_links is not None else links.limit(0)
-            met = fresh.join(centre, "value").where((F.col("component") != F.col("ca")) & self.alike(F.col("na"), F.col("n")))
-            pairs = met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-            new = self.confirmed(pairs)
-            all_links = new if all_links is None else written(all_links.unionByName(new), "all")
-            of = components(links.unionByName(all_links))
-            done = written(done.unionByName(centre.select("value", F.col("a").alias("node"))), "done")
-            if new.isEmpty():
+            now = written(now.join(small(written(several, "several")), "value", "left_semi"), "open")
+            if now.isEmpty():
+                return links
+            if last == ROUNDS:
                 break
-        # what is left: in lists of several components, members outside a list's largest one meet all others there
-        now = written(members.join(of, "node", "left").withColumn("component", F.coalesce("component", "node")).join(done, ["value", "node"], "left_anti"), "rest")
-        sizes = now.groupBy("value", "component").agg(F.count("*").alias("m")).groupBy("value").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("k")).where("k > 1")
-        apart = now.join(sizes, "value").where(F.col("component") != F.col("main")).select("value", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-        met = apart.join(now, "value").where((F.col("cx") != F.col("component")) & self.alike(F.col("nx"), F.col("n")))
-        met = met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
-        return all_links.unionByName(self.confirmed(met.select("a", "b").distinct()))
-
-
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 85) -> DataFrame:
-    """A row for each of docs: key, n_shingles, component_id and kept."""
+            fresh = now
+            if tried is not None:
+                before = tried.join(small(of), "node", "left").select("value", F.coalesce("component", "node").alias("component")).distinct()
+                fresh = now.join(small(written(before, "before")), ["value", "component"], "left_anti")
+            best = F.max_by(F.struct("node", "n", "component"), F.struct(-F.col("cold"), "n", -F.col("node")))
+            centres = written(fresh.groupBy("value").agg(best.alias("c")).select("value", F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("c.component").alias("ca")), "centres")
+            if centres.isEmpty():
+                break
+            met = now.join(small(centres), "value").where((F.col("component") != F.col("ca")) & self.alike(F.col("na"), F.col("n")))
+            met = written(met.select("a", F.col("node").alias("b")).distinct(), "met")
+            own = sets.join(small(centres.select(F.col("a").alias("node")).distinct()), "node", "left_semi").select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("values").alias("va"))
+            held = own.agg(F.sum("na")).first()[0]
+            full = met.join(F.broadcast(own) if held <= HELD_SETS else own, "a").join(sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("values").alias("vb")), "b")
+            new = full.where(self.enough(F.size(F.array_intersect("va", "vb")), F.col("na"), F.col("nb"))).select("a", "b")
+            links = written(links.unionByName(new), "links")
+            centres = centres.select("value", F.col("a").alias("node"))
+            tried = centres if tried is None else tried.unionByName(centres)
+        # what is left: in lists of several components, members outside a list's largest one meet the others there
+        main = now.groupBy("value", "component").agg(F.count("*").alias("m")).groupBy("value").agg(F.max_by("component", F.struct("m", "component")).alias("main"))
+        apart = now.join(small(written(main, "main")), "value").where(F.col("component") != F.col("main"))
+        one = apart.select("value", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("p").alias("px"), F.col("component").alias("cx"))
+        two = now.select("value", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("p").alias("py"), F.col("component").alias("cy"))
+        rest = written(self._first(small(written(one, "apart")), two, F.col("cx") != F.col("cy")), "rest")
+        return links.unionByName(self._linked(rest, sets))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 85, exact: bool = False) -> DataFrame:
+    """A row for each of docs: key, n_shingles, component_id and kept. exact: all links by whole sets, without estimates."""
     with small_batches(docs.sparkSession):
-        return _near_duplicates(docs, key, text, size, percent)
+        return _near_duplicates(docs, key, text, size, percent, exact)
 
 
-def _near_duplicates(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    docs = docs.drop("n_shingles", "component_id", "kept", "_fp")
+def _near_duplicates(docs: DataFrame, key: str, text: str, size: int, percent: int, exact: bool) -> DataFrame:
+    docs = docs.drop("n_shingles", "component_id", "kept")
     narrow = docs.select(F.col(key).alias("id"), F.col(text).cast("binary").alias("text"))
-    made = docs.withColumn("_s", _setter(size, K)(F.col(text).cast("binary")))
+    made = narrow.select("id", _setter(size, K)("text").alias("s"))
     # the documents themselves are not written again; only what linking needs is
-    base = written(made.select(F.col(key).alias("id"), F.col("_s.fp").alias("fp"), F.col("_s.n").alias("n"), F.col("_s.values").alias("values")), "sketches")
+    base = written(made.select("id", F.monotonically_increasing_id().alias("node"), F.col("s.fp").alias("fp"), F.col("s.n").alias("n"), F.col("s.values").alias("values")), "sketches")
     some = base.where("n > 0 AND id IS NOT NULL")
-    heads = written(some.groupBy("fp").agg(F.min("id").alias("node"), F.count("*").alias("members")), "classes")
-    own = some.withColumn("node", F.col("id")).join(heads.select("fp", "node"), ["fp", "node"], "left_semi").dropDuplicates(["fp"])
-    classes = written(own.select("node", "fp", "n", "values"), "nodes")
+    heads = written(some.groupBy("fp").agg(F.min(F.struct("id", "node")).alias("x"), F.count("*").alias("members")).select("fp", F.col("x.id").alias("least"), F.col("x.node").alias("first"), "members"), "classes")
+    groups = heads.where("members > 1").select("fp", "first", "members")
+    copies = some.select("fp", "node")
+    many = groups.count()
+    copies = copies.join(F.broadcast(groups.drop("members")), "fp") if many <= BROADCAST_ROWS else lookup(copies, groups, "fp", "members", some.count())
+    copies = written(copies.where(F.col("node") != F.col("first")).select("node"), "copies")
+    classes = written(some.join(small(copies), "node", "left_anti").select("node", "id", "fp", "n", "values"), "nodes")
     rows = written(base.select("id", "n", "fp"), "rows")
     drop_table(base)
-    of = written(components(Linker(narrow, classes, size, percent).links()), "components")
-    moved = heads.join(of, "node", "left").withColumn("component_id", F.coalesce("component", "node")).where((F.col("members") > 1) | (F.col("component_id") != F.col("node"))).select("fp", "component_id", "members")
-    moved = written(moved, "moved")
+    of = written(components(Linker(narrow.where(F.col("id").isNotNull()), classes, size, percent).links(exact)), "components")
+    linked = heads.join(small(of), F.col("first") == F.col("node"), "left").withColumn("component", F.coalesce("component", "first"))
+    linked = linked.where((F.col("members") > 1) | F.col("node").isNotNull()).select("fp", "component", "least", "members")
+    linked = written(linked, "linked")
+    least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    moved = written(linked.join(least, "component").select("fp", "component_id", "members"), "moved")
     joined = rows.join(F.broadcast(moved.drop("members")), "fp", "left") if moved.count() <= BROADCAST_ROWS else lookup(rows, moved, "fp", "members", rows.count())
     out = joined.withColumn("component_id", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component_id", "id")).otherwise(F.col("id")))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -104,3 +104,35 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 102), (102, 100), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
     assert got == dict.fromkeys(range(31), 0) | dict.fromkeys((100, 101, 102), 100)
+
+
+def test_exact_mode_and_hot_group_of_unlike_copies(spark):
+    """A group of copies that are edited, cut at their ends, or changed alike, so that only some are linked with its centre."""
+    rng = np.random.default_rng(11)
+    rows = []
+    base = [f"b{i}" for i in range(150)]
+    for i in range(220):
+        w = list(base)
+        for k in rng.integers(0, len(w), rng.integers(0, 14)):
+            w[k] = f"x{rng.integers(1e9)}"
+        if i % 4 == 1:
+            w = w[: rng.integers(90, 150)]
+        if i % 4 == 2:
+            w[10:30] = [f"v{k}" for k in range(20)]
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute(rows, 3, 85)
+    assert len({c for _, c in want.values()}) > 20
+    for exact in (False, True):
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, exact=exact).collect()} == want
+
+
+def test_one_id_with_unlike_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a), (5, a), (5, b), (7, b), (7, b), (9, "c " * 200_000)]
+    got = sorted((r.doc_id, r.component_id, r.kept, r.n_shingles) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == [(1, 1, True, 38), (5, 1, False, 38), (5, 5, True, 38), (7, 5, False, 38), (7, 5, False, 38), (9, 9, True, 1)]
+
+
+def test_lowest_estimate():
+    assert 0.5 < neardup.lowest(0.8, 128) < 0.66 and neardup.lowest(0.85, 128) < 0.72
