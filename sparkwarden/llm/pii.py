@@ -3,12 +3,19 @@
 Base kinds are regular expressions with checks. Regexes keep possessive loops and start only where a match can (after
 the last match, or at a run's first character), so that long runs cost linear time and no stack.
 
-Bootstrapping: seed entities (base finds, and long hexadecimal secrets) induce lexical patterns, the two words and
-punctuation before them, or the name and signs that touch them (token="). Identifier-like words (letters and digits, one digit at least) that follow a pattern are its
-other instances. Patterns and instances form a graph, scored in turn: a pattern's confidence is the mean score of its
-distinct instances times the part of its occurrences in the corpus that an instance follows; an instance's score is
-one less the product of its patterns' doubts, and 1 for seeds. Patterns with CONFIDENCE and SUPPORT give spans
-of the kinds `secret` (hexadecimal) and `id` (other words), where no base span lies.
+Bootstrapping: seed entities (base finds, hexadecimal words of letters and digits, access keys of a published format)
+induce lexical patterns, the two words and punctuation before them, or the name and signs that touch them (token=").
+Identifier-like words (letters and digits, one digit at least) that follow a pattern are its other instances. Patterns
+and instances form a graph. A round takes the patterns with SUPPORT trusted instances, counts how often their words
+occur anywhere, and scores the graph in turn: a pattern's confidence is the mean score of its distinct instances times
+its share, the part of its occurrences in the corpus that an instance follows; an instance's score is one less the product
+of its patterns' doubts, and 1 for seeds. Patterns whose share is below CONFIDENCE can't be trusted and have no vote.
+Instances with CONFIDENCE are trusted, and induce patterns in the next round, until a round finds no new one. Trusted
+patterns give spans of the kinds `secret` (seeds' forms) and `id` (other words), where no base span lies; words of the
+published key format are spans wherever they stand.
+
+Counting stays in proportion to what is found: occurrences are counted over a 64th, an 8th and all of the texts, and a
+pattern leaves as soon as its count alone proves its share too low, so common words are never counted to the end.
 
 Positions are code points, ends exclusive. Matching cuts a text into gaps and matches, and sums over these, not over
 characters, give positions.
@@ -34,13 +41,19 @@ BASE = {
 }
 #: What a text must hold for a kind to be looked for; each is implied by its pattern and checks.
 _NEEDS = {"email": lambda t: F.contains(t, F.lit("@")), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"), "card": lambda t: t.rlike(r"[0-9][0-9\x20-]{10}"), "phone": lambda t: F.contains(t, F.lit("+"))}
-_WORD = r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{6,}+"
-_SECRET = r"^[0-9a-f]{32,}$"
+#: Least characters of an identifier-like word, and of a hexadecimal one that is a seed; characters of context.
+WORD_CHARS, SEED_CHARS, CONTEXT = 6, 16, 48
+_WORD = rf"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{{{WORD_CHARS},}}+"
+#: Access key ids as their issuer publishes them: a fixed format.
+_KEY = r"^A[KS]IA[0-9A-Z]{16}$"
+_SECRET = rf"^(?:(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{{{SEED_CHARS},}}|A[KS]IA[0-9A-Z]{{16}})$"
 _NAME = r"(?<![A-Za-z0-9])[A-Za-z0-9]++[^\sA-Za-z0-9]++"
 _CONTEXT = rf"((?:\S+\s+){{1,2}}[^\sA-Za-z0-9]*|{_NAME})$"
 KINDS = [*BASE, "secret", "id"]
-#: Least confidence and distinct trusted instances of a pattern, rounds of scoring, characters of context.
-CONFIDENCE, SUPPORT, ROUNDS, CONTEXT = 0.8, 5, 3, 48
+#: Least confidence and distinct trusted instances of a pattern, and scorings of the graph in a round.
+CONFIDENCE, SUPPORT, SCORINGS = 0.8, 5, 3
+#: Parts of the texts that counts are taken over in turn, and patterns' heads that are looked up in an expression.
+PARTS, HELD_HEADS = (64, 8, 1), 2000
 _PIECE = "array<struct<gap:bigint,size:bigint,found:string,left:string>>"
 
 
@@ -83,37 +96,76 @@ def _occurrences(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataF
     return pieces.select("id", "k"), written(found.where(_valid(F.col("kind"), F.col("found"))), "occurrences")
 
 
-def _background(docs: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
-    """How often each pattern's words follow each other anywhere: pattern, everywhere."""
-    heads = patterns.select("pattern", F.regexp_replace(F.regexp_replace("pattern", r"\s+[^\sA-Za-z0-9]*$", ""), r"\s+", " ").alias("head"))
-    words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+", -1)
-    names = F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(_NAME + "(?=[A-Za-z0-9])"), F.lit(0)), F.lower)
-    w = docs.select(words.alias("w"), names.alias("names"))
-    # a name's head holds its signs and no white space; a tab keeps it from being counted as a word
-    heads = heads.withColumn("head", F.when(F.col("pattern").rlike(r"\s"), F.col("head")).otherwise(F.concat(F.lit("\t"), F.col("pattern"))))
-    pairs = w.select(F.explode(F.concat(F.col("w"), F.zip_with("w", F.slice("w", 2, 1 << 30), lambda a, b: F.concat_ws(" ", a, b)), F.transform("names", lambda n: F.concat(F.lit("\t"), n)))).alias("head"))
-    counts = pairs.join(small(heads.select("head").distinct()), "head", "left_semi").groupBy("head").agg(F.count("*").alias("everywhere"))
-    return heads.join(counts, "head").select("pattern", "everywhere")
+def _heads(docs: DataFrame, text: str, heads: DataFrame, part: int) -> DataFrame:
+    """head, everywhere: how often the heads occur in a part of the texts. A name's head starts with a tab."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    if part > 1:
+        docs = docs.where(F.pmod(F.xxhash64(F.lit("part"), t), F.lit(part)) == 0)
+    some = [r[0] for r in heads.limit(HELD_HEADS + 1).collect()]
+    held = len(some) <= HELD_HEADS
+    found = (lambda a, of: F.filter(a, lambda x: x.isin(of))) if held else (lambda a, of: a)
+    kinds: dict[str, list[str]] = {"name": [], "pair": [], "word": []}
+    for h in some:
+        kinds["name" if h[0] == "\t" else "pair" if " " in h else "word"].append(h)
+    lists = []
+    words = F.split(F.lower(t), r"\s+", -1)
+    if not held or kinds["word"]:
+        lists.append(found(words, kinds["word"]))
+    if not held or kinds["pair"]:
+        lists.append(found(F.zip_with(words, F.slice(words, 2, 1 << 30), lambda a, b: F.concat_ws(" ", a, b)), kinds["pair"]))
+    if not held or kinds["name"]:
+        names = F.regexp_extract_all(t, F.lit(_NAME + "(?=[A-Za-z0-9])"), F.lit(0))
+        lists.append(found(F.transform(names, lambda n: F.concat(F.lit("\t"), F.lower(n))), kinds["name"]))
+    each = docs.select(F.explode(F.concat(*lists)).alias("head"))
+    if not held:
+        each = each.join(small(heads), "head", "left_semi")
+    return each.groupBy("head").agg(F.count("*").alias("everywhere"))
+
+
+def _background(docs: DataFrame, text: str, patterns: DataFrame, confidence: float) -> DataFrame:
+    """pattern and share (the part of its words' occurrences that an instance follows; 0 if below confidence) of patterns (pattern, seen)."""
+    c = F.col
+    head = F.regexp_replace(F.regexp_replace("pattern", r"\s+[^\sA-Za-z0-9]*$", ""), r"\s+", " ")
+    heads = patterns.select("pattern", "seen", F.when(c("pattern").rlike(r"\s"), head).otherwise(F.concat(F.lit("\t"), "pattern")).alias("head"))
+    left, gone = heads, []
+    for part in PARTS:
+        counts = written(_heads(docs, text, left.select("head").distinct(), part), "everywhere")
+        share = F.least(F.lit(1.0), c("seen") / F.greatest(F.coalesce("everywhere", F.lit(0)), F.lit(1)))
+        now = written(left.join(small(counts), "head", "left").withColumn("share", share), "shares")
+        gone.append(now.where(c("share") < confidence).select("pattern", F.lit(0.0).alias("share")))
+        left = now.where(c("share") >= confidence).select("pattern", "seen", "head")
+        if left.isEmpty():
+            break
+    out = now.where(c("share") >= confidence).select("pattern", "share")
+    for x in gone:
+        out = out.unionByName(x)
+    return out
 
 
 def induced(docs: DataFrame, occurrences: DataFrame, text: str = "text", confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """pattern, confidence and support of the patterns that are trusted, by iterated scores of the pattern-instance graph."""
-    seed = (F.col("kind") != "word") | F.col("found").rlike(_SECRET)
-    graph = occurrences.where(F.col("pattern") != "").groupBy("pattern", "found").agg(F.count("*").alias("n"), F.max(seed).alias("seed"))
+    c = F.col
+    seed = (c("kind") != "word") | c("found").rlike(_SECRET)
+    graph = occurrences.where(c("pattern") != "").groupBy("pattern", "found").agg(F.count("*").alias("n"), F.max(seed).alias("seed"))
     graph = written(graph, "graph")
-    rich = graph.groupBy("pattern").agg(F.count_if("seed").alias("seeds"), F.sum("n").alias("seen")).where(F.col("seeds") >= support)
-    rich = written(rich, "rich")
-    if rich.isEmpty():
-        return rich.select("pattern", F.lit(0.0).alias("confidence"), F.col("seeds").alias("support"))
-    usual = _background(docs, text, rich)
-    edges = written(graph.join(small(rich), "pattern").join(small(written(usual, "usual")), "pattern").withColumn("share", F.least(F.lit(1.0), F.col("seen") / F.col("everywhere"))), "edges")
-    scores = edges.groupBy("found").agg(F.max("seed").cast("double").alias("score"))
-    for _ in range(ROUNDS):
-        by = edges.join(scores, "found").groupBy("pattern").agg((F.avg("score") * F.max("share")).alias("confidence"), F.count_if(F.col("score") >= confidence).alias("support"))
-        by = written(by, "patterns")
-        doubt = F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence"))))
-        scores = written(edges.join(small(by), "pattern").groupBy("found").agg(F.when(F.max("seed"), 1.0).otherwise(1 - F.exp(doubt)).alias("score")), "scores")
-    return by.where((F.col("confidence") >= confidence) & (F.col("support") >= support))
+    first = written(graph.groupBy("found").agg(F.max("seed").cast("double").alias("score")), "seeds")
+    scores, counted, trusted = first, None, graph.select("pattern", F.lit(0.0).alias("confidence"), F.lit(0).cast("long").alias("support")).limit(0)
+    while True:
+        rich = graph.join(small(scores.where(c("score") > 0)), "found", "left").groupBy("pattern").agg(F.count_if(c("score") >= confidence).alias("support"), F.sum("n").alias("seen"))
+        rich = rich.where(c("support") >= support).select("pattern", "seen")
+        rich = written(rich if counted is None else rich.join(small(counted.select("pattern")), "pattern", "left_anti"), "rich")
+        if rich.isEmpty():
+            return trusted
+        new = written(_background(docs, text, rich, confidence), "background")
+        counted = new if counted is None else written(counted.unionByName(new), "counted")
+        edges = written(graph.join(small(counted.where("share > 0")), "pattern"), "edges")
+        for _ in range(SCORINGS):
+            by = edges.join(small(scores), "found").groupBy("pattern").agg((F.avg("score") * F.max("share")).alias("confidence"), F.count_if(c("score") >= confidence).alias("support"))
+            by = written(by, "patterns")
+            doubt = F.sum(F.log(F.greatest(F.lit(1e-9), 1 - c("confidence"))))
+            voted = edges.join(small(by), "pattern").groupBy("found").agg((1 - F.exp(doubt)).alias("voted"))
+            scores = written(first.join(small(written(voted, "voted")), "found", "left").select("found", F.greatest("score", F.coalesce("voted", F.lit(0.0))).alias("score")), "scores")
+        trusted = by.where((c("confidence") >= confidence) & (c("support") >= support))
 
 
 def entities(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -121,7 +173,9 @@ def entities(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[
     rows, occurrences = _occurrences(docs, key, text)
     trusted = induced(docs, occurrences, text)
     base = occurrences.where(F.col("kind") != "word").drop("pattern")
-    words = occurrences.where(F.col("kind") == "word").join(small(trusted.select("pattern")), "pattern", "left_semi").drop("pattern")
+    words = occurrences.where(F.col("kind") == "word")
+    key = F.col("found").rlike(_KEY)
+    words = words.where(~key).join(small(trusted.select("pattern")), "pattern", "left_semi").drop("pattern").unionByName(words.where(key).drop("pattern"))
     b = base.select(F.col("id").alias("i2"), F.col("k").alias("k2"), F.col("start").alias("s2"), F.col("end").alias("e2"))
     c = F.col
     words = words.join(b, (c("k") == c("k2")) & c("id").eqNullSafe(c("i2")) & (c("start") < c("e2")) & (c("s2") < c("end")), "left_anti")
@@ -169,4 +223,4 @@ def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = digested(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", *[f"n_{k}" for k in BASE], F.sha2("base", 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", *[f"n_{k}" for k in BASE], F.sha2("base", 256).alias("base_sha256"), "spans", F.coalesce(F.size("entities"), F.lit(0)).cast("long").alias("n_spans"))
