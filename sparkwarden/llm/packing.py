@@ -1,18 +1,21 @@
 """Mixture-controlled packing: deficit round-robin over source queues into windows of a fixed number of tokens.
 
-Every window takes from each queue its target share of the window's tokens; what rounding leaves a queue short is
-its deficit, carried to the next window. The carried deficits have a closed form: up to stream position b, queue q
-has given floor(C[q] * b / W) - floor(C[q-1] * b / W) tokens, where C are the running sums of the weights and W is
-their total. So a document's pieces follow from the position of its first token in its queue alone, every window
-but the last is full, and no task needs another's state: deficits carry over partitions by arithmetic.
+A queue is the documents of a source, one after another. Its tokens are served in quanta of QUANTUM, eight to a window.
+With each quantum that any queue serves, every queue's deficit grows by its weight's share of a quantum, and serving one
+costs a whole one; the queue whose deficit is due first (reaches half a quantum first) serves next, and what it lacks
+or has left is carried to the next window. Quantum k of queue q is due at (2 k + 1) / (2 w[q]), so its place in
+the stream is the number of quanta of all queues that are due earlier, a sum of one quotient for each queue: no task needs
+another's state, and deficits carry over windows and partitions by arithmetic. A queue that has ended is not
+served any more; the ends of queues, less than a quantum each, follow at last. Every window but the last is full.
 
 Positions: the tokenising task numbers its own tokens by queue, and a small table of token counts by queue and
 task gives each task its start. Documents are tokenised once, into a table in the shared scratch folder.
 
-Targets are the sources' own shares unless given; given targets hold until some queue cannot fill its part of a
-window, and the rest is packed by the shares of what is left; a target without tokens is an error. A source with less
-than a token a window (a 2048th of the tokens) that no target names shares one queue with its like, where documents
-follow each other by the part of their source that is before them, so each source is spread over the whole queue.
+Targets are the sources' own shares unless given; given targets hold until some queue ends, then the others go on by
+theirs; a target without tokens is an error, and so is one below a 2^20th; sources without a target follow when the named
+ones have ended. A source with less than a 2048th of the tokens that no target names shares one queue with its like,
+where documents follow each other by the part of their source that is before them, so each source is spread over the
+whole queue.
 
 Defined cases: a null text is empty, and has just the end id; a null source is the queue ""; repeated rows are packed
 each; an empty table gives no pieces; very long texts are cut over windows; other input columns are ignored.
@@ -34,6 +37,10 @@ from pyspark.sql import Window as W
 from .common import slices, small, table, written
 
 LENGTH, END_ID = 2048, 1
+#: Tokens that a queue serves at once.
+QUANTUM = 256
+#: Sources of less than a part of so many tokens share a queue; weights are whole numbers up to WEIGHTS.
+SHARES, WEIGHTS = 2048, 1 << 20
 #: Documents of the shared queue that are put in order together.
 BUCKET_ROWS = 20_000
 _WORDS_KEPT = 700_000
@@ -69,6 +76,7 @@ class Encoder:
         #: 16 bits an id where the vocabulary allows, in parts and tables
         self.kind, self._code = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
         self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {b"": b""}
         # words of letters only need no look at added tokens and no splitting, if the tokenizer is of that kind
         self._merge = self.tokenizer.model.tokenize
@@ -98,10 +106,17 @@ class Encoder:
     def __call__(self, texts: list[bytes | None], end: int = END_ID) -> list[bytes]:
         """Ids of each text and the end id, little-endian, as self.kind."""
         last = np.array([end], self.kind).tobytes()
-        split = [t.split() if t else [] for t in texts]
+        # lower case first: fewer words. Special tokens are told by their case
+        split = [(t.lower() if b"<|" not in t else t).split() if t else [] for t in texts]
         if len(self.words) > _WORDS_KEPT:
-            self.words, self.parts = {}, {b"": b""}
-        cuts = {w: self.cut(w) for w in set().union(*split) - self.words.keys()}
+            # the last words stay at hand; those of them that come again are kept
+            self.older, self.words, self.parts = self.words, {}, {b"": b""}
+        new = set().union(*split) - self.words.keys()
+        if self.older:
+            again = new & self.older.keys()
+            self.words.update((w, self.older[w]) for w in again)
+            new -= again
+        cuts = {w: self.cut(w) for w in new}
         missing = list({x for c in cuts.values() for x in c} - self.parts.keys())
         if self.direct:
             letters = ((w, self._letters(w.decode())) for w in missing)
@@ -117,15 +132,26 @@ class Encoder:
         return [b"".join(map(get, words)) + last for words in split]
 
 
+#: Encoders of this worker by path, with the words they have seen in earlier tasks.
+_encoders: dict[str | None, Encoder] = {}
+
+
+def encoder(path: str | None) -> Encoder:
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def _tokenise(path: str | None, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(path), TaskContext.get().partitionId()
-        width = int(encoder.kind[-1])
+        encode, part = encoder(path), TaskContext.get().partitionId()
+        width = int(encode.kind[-1])
         used: dict[str, int] = {}
         for b in batches:
             texts, sources = b.column("text").to_pylist(), b.column("queue").to_pylist()
             for i, j in slices(texts):
-                ids = encoder(texts[i:j], end)
+                ids = encode(texts[i:j], end)
                 names = sources[i:j]
                 starts, sizes = [], []
                 for q, x in zip(names, ids, strict=True):
@@ -144,113 +170,84 @@ def _tokenise(path: str | None, end: int):
 class Schedule:
     """Where the tokens of queues go. totals: tokens by queue; targets: weights by queue, or none."""
 
-    def __init__(self, totals: dict[str, int], targets: dict[str, float] | None = None, length: int = LENGTH):
-        self.length, names = length, sorted(totals)
-        self.taken = dict.fromkeys(names, 0)
-        self.before = 0
-        self.first: dict[str, tuple[int, int]] = {}
-        self.first_weight = 1
-        if targets:
-            weights = {q: round(targets[q] / sum(targets.values()) * (1 << 20)) for q in names if targets.get(q, 0) > 0}
-            whole = sum(weights.values())
-            if weights and min(weights.values()) * length < whole:
-                raise ValueError("a target is below one token in a window")
-            missing = {q for q, v in targets.items() if v > 0} - set(weights)
-            if names and missing:
-                raise ValueError(f"targets without tokens: {sorted(missing)}")
-            if weights:
-                windows = min((totals[q] - 1) * whole // (w * length) for q, w in weights.items())
-                self.before, self.first_weight = max(0, windows) * length, whole
-                at = 0
-                for q, w in weights.items():
-                    self.first[q] = (at, at + w)
-                    at += w
-                    self.taken[q] = self._given(self.first[q], self.before, whole)
-        left = {q: totals[q] - self.taken[q] for q in names}
-        self.total = sum(left.values())
-        few = [q for q in names if left[q] * length < self.total]
-        groups = [[q] for q in names if left[q] * length >= self.total]
-        if few:
-            # all the small queues may be less than one token a window together: then they follow the first queue's tokens
-            if sum(left[q] for q in few) * length < self.total and groups:
-                groups[0] += few
-            else:
-                groups.append(few)
-        self.second: dict[str, tuple[int, int, int]] = {}
-        at = 0
-        for g in groups:
-            size = sum(left[q] for q in g)
-            base = 0
-            for q in g:
-                self.second[q] = (at, at + size, base)
-                base += left[q]
-            at += size
-
-    @staticmethod
-    def _given(span: tuple[int, int], b: int, whole: int) -> int:
-        return span[1] * b // whole - span[0] * b // whole
-
-    def pieces(self, queue: str, at: int, n: int) -> Iterator[tuple[int, int, int]]:
-        """(sequence_id, offset, length) of the queue's tokens at .. at + n, in order."""
-        size = self.length
-        stop = min(at + n, self.taken[queue])
-        if at < stop:
-            yield from self._cut(self.first[queue], at, stop, 0, self.first_weight, self.before)
-        start = max(at, self.taken[queue])
-        if start < at + n:
-            low, high, base = self.second[queue]
-            shift = base - self.taken[queue]
-            for window, offset, k in self._cut((low, high), start + shift, at + n + shift, 0, self.total, self.total):
-                yield window + self.before // size, offset, k
-
-    def _cut(self, span: tuple[int, int], at: int, stop: int, first: int, whole: int, end: int) -> Iterator[tuple[int, int, int]]:
-        size, (low, high) = self.length, span
-        w = at * whole // ((high - low) * size)
-        while w > 0 and self._given(span, w * size, whole) > at:
-            w -= 1
-        b = w * size
-        low0, high0 = low * b // whole, high * b // whole
-        while at < stop:
-            b = min(b + size, end)
-            low1, high1 = low * b // whole, high * b // whole
-            until = high1 - low1
-            if until > at:
-                k = (until if until < stop else stop) - at
-                yield w, low1 + at - high0, k
-                at += k
-            low0, high0 = low1, high1
-            w += 1
+    def __init__(self, totals: dict[str, int], targets: dict[str, float] | None = None, length: int = LENGTH, quantum: int = QUANTUM):
+        self.length, self.quantum = length, max(1, min(quantum, length))
+        names = sorted(totals)
+        wanted = {q: v for q, v in (targets or {}).items() if v > 0}
+        missing = wanted.keys() - {q for q in names if totals[q]}
+        if names and missing:
+            raise ValueError(f"targets without tokens: {sorted(missing)}")
+        whole = sum(wanted.values()) if wanted else max(1, sum(totals.values()))
+        weights = {q: round((wanted if wanted else totals).get(q, 0) / whole * WEIGHTS) for q in names}
+        if any(not weights[q] for q in wanted if q in weights):
+            raise ValueError(f"a target is below 1 / {WEIGHTS}")
+        self.index = {q: i for i, q in enumerate(names)}
+        full = np.array([totals[q] // self.quantum for q in names], np.int64)
+        #: first the queues with a target, then those without
+        self.group = np.array([int(bool(wanted) and q not in wanted) for q in names], np.int64)
+        self.weight = np.array([max(1, weights[q]) if q in wanted or not wanted else max(1, round(totals[q] / sum(totals.values()) * WEIGHTS)) for q in names], np.int64)
+        self.full = full
+        self.before = np.array([full[self.group < g].sum() for g in self.group], np.int64)
+        rest = np.array([totals[q] for q in names], np.int64) - full * self.quantum
+        self.tail = full.sum() * self.quantum + np.cumsum(rest) - rest
+
+    def place(self, queue: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """The place in the stream of the queues' whole quanta k: how many are due before them."""
+        out = self.before[queue].copy()
+        mine, group = self.weight[queue], self.group[queue]
+        # equal due times go by the queues' order; halves of quanta keep numbers whole
+        due = 2 * k + 1
+        for r in range(len(self.full)):
+            w = self.weight[r]
+            earlier = (due * w + np.where(queue > r, mine, mine - 1)) // (2 * mine)
+            out += np.where(group == self.group[r], np.minimum(earlier, self.full[r]), 0)
+        return out
+
+    def pieces(self, queue: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row, sequence_id, offset and length of the pieces of runs of n tokens of queues from at on, in order."""
+        size, length = self.quantum, self.length
+        first, many = at // size, (at + n - 1) // size - at // size + 1
+        row = np.repeat(np.arange(len(at)), many)
+        k = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + first[row]
+        low, high = np.maximum(at[row], k * size), np.minimum((at + n)[row], (k + 1) * size)
+        q = queue[row]
+        ended = k >= self.full[q]
+        start = np.where(ended, self.tail[q], 0) + low - np.minimum(k, self.full[q]) * size
+        start[~ended] += self.place(q[~ended], k[~ended]) * size
+        # runs that are next to each other are one, but windows end pieces
+        joined = np.concatenate(([False], (row[1:] == row[:-1]) & (start[1:] == start[:-1] + (high - low)[:-1])))
+        heads = np.flatnonzero(~joined)
+        row, start, run = row[heads], start[heads], np.add.reduceat(high - low, heads) if len(heads) else low
+        windows = (start + run - 1) // length - start // length + 1
+        part = np.repeat(np.arange(len(row)), windows)
+        w = np.arange(len(part)) - np.repeat(np.cumsum(windows) - windows, windows) + (start // length)[part]
+        begin, end = np.maximum(start[part], w * length), np.minimum((start + run)[part], (w + 1) * length)
+        return row[part], w, begin - w * length, end - begin
 
 
 def _pieces(held, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schedule: Schedule = held.value
         for b in batches:
-            rows = zip(b.column("doc_id").to_pylist(), b.column("queue").to_pylist(), b.column("at").to_pylist(), b.column("doc_tokens").to_pylist(), b.column("ids"), strict=True)
-            cols: list[list] = [[] for _ in range(7)]
-            size = 0
-            for doc, q, at, n, ids in rows:
-                view = np.frombuffer(ids.as_buffer(), kind).astype("<u4").tobytes()
-                start, many = 0, 0
-                for w, offset, k in schedule.pieces(q, at, n):
-                    cols[1].append(start)
-                    cols[2].append(k)
-                    cols[4].append(w)
-                    cols[5].append(offset)
-                    cols[6].append(view[4 * start : 4 * (start + k)])
-                    start += k
-                    many += 1
-                cols[0] += [doc] * many
-                cols[3] += [n] * many
-                size += 4 * n
-                if size > 8 << 20:
-                    yield _batch(cols)
-                    cols, size = [[] for _ in range(7)], 0
-            if cols[0]:
-                yield _batch(cols)
-
-    def _batch(cols: list[list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.binary())], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+            sizes = b.column("doc_tokens").to_numpy()
+            ends = np.cumsum(sizes)
+            i = 0
+            while i < len(sizes):
+                # about two million tokens at once
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + (1 << 21), side="right")))
+                x = b.slice(i, j - i)
+                n = sizes[i:j]
+                queue = np.array([schedule.index[q] for q in x.column("queue").to_pylist()], np.int64)
+                row, window, offset, length = schedule.pieces(queue, x.column("at").to_numpy(), n)
+                before = np.cumsum(length) - length
+                start = before - (np.cumsum(n) - n)[row]
+                # the pieces' ids are the documents' ids, cut
+                ids = b"".join(np.frombuffer(t.as_buffer(), kind).astype("<u4").tobytes() for t in x.column("ids"))
+                bounds = 4 * np.concatenate((before, [before[-1] + length[-1]]))
+                cut = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(ids)]).cast(pa.binary())
+                docs = x.column("doc_id").take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([docs, *(pa.array(c) for c in (start, length, n[row], window, offset)), cut], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+                i = j
 
     return run
 
@@ -278,9 +275,9 @@ def packed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     by_source = runs.groupBy("queue").agg(F.sum("n").alias("n"))
     whole = by_source.agg(F.sum("n")).first()[0] or 0
     named = [q for q, v in (targets or {}).items() if v > 0]
-    totals = {r[0]: r[1] for r in by_source.where((F.col("n") * length >= whole) | F.col("queue").isin(named)).collect()}
+    totals = {r[0]: r[1] for r in by_source.where((F.col("n") * SHARES >= whole) | F.col("queue").isin(named)).collect()}
     rest = whole - sum(totals.values())
-    kind = Encoder(tokenizer).kind
+    kind = encoder(tokenizer).kind
     first = runs.withColumn("first", F.sum("n").over(W.partitionBy("queue").orderBy("part")) - F.col("n")).drop("n")
     placed = tokens.join(small(first), ["queue", "part"]).select("doc_id", "queue", (F.col("first") + F.col("nth")).alias("at"), "doc_tokens", "ids")
     if rest:

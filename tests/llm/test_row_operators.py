@@ -159,37 +159,64 @@ def test_packing_is_an_exact_round_trip(docs, none, targets):
     assert packing.packed(none).count() == 0
 
 
-def test_packing_keeps_proportions_in_every_window():
-    totals = {"a": 1_000_003, "b": 333_333, "c": 70_001, "d": 5, "e": 1}
-    s = packing.Schedule(totals)
-    per = {q: Counter() for q in totals}
-    spots = set()
+def plain_round_robin(full, weights):
+    """Served queues, by deficits that grow with what any queue serves: the one due first, at half a quantum, serves."""
+    from fractions import Fraction
+
+    served = dict.fromkeys(full, 0)
+    out = []
+    while any(served[q] < full[q] for q in full):
+        q = min((q for q in sorted(full) if served[q] < full[q]), key=lambda q: (Fraction(2 * served[q] + 1, 2 * weights[q]), q))
+        served[q] += 1
+        out.append(q)
+    return out
+
+
+@pytest.mark.parametrize("targets", [None, {"a": 0.2, "b": 0.7, "c": 0.1}])
+def test_packing_serves_quanta_by_deficits(targets):
+    totals = {"a": 40_003, "b": 13_333, "c": 2_801, "d": 300, "e": 1}
+    s = packing.Schedule(totals, targets, length=512, quantum=64)
+    spots, order = [], {}
     for q, n in totals.items():
-        for w, offset, k in s.pieces(q, 0, n):
-            per[q][w] += k
-            spots.add((w, offset, k))
-    whole = sum(totals.values())
-    assert sum(k for _, _, k in spots) == whole
-    full = whole // 2048
-    for q in "abc":
-        share = [per[q][w] for w in range(full)]
-        assert max(share) - min(share) <= 2 and abs(sum(share) / full - 2048 * totals[q] / whole) < 0.1
+        row, window, offset, length = s.pieces(np.array([s.index[q]]), np.array([0]), np.array([n]))
+        assert length.sum() == n and not row.any()
+        spots += zip((window * 512 + offset).tolist(), length.tolist(), strict=True)
+        k = np.arange(n // 64)
+        order.update(zip(s.place(np.full(len(k), s.index[q]), k).tolist(), [q] * len(k), strict=True))
+    spots.sort()
+    assert [x for x, _ in spots] == list(np.cumsum([0, *(n for _, n in spots)])[:-1])
+    got = [order[i] for i in range(len(order))]
+    first = [q for q in totals if not targets or q in targets]
+    weights = {q: int(s.weight[s.index[q]]) for q in totals}
+    want = plain_round_robin({q: totals[q] // 64 for q in first}, weights)
+    want += plain_round_robin({q: totals[q] // 64 for q in totals if q not in first}, weights)
+    assert got == want
+    # while all have tokens, no queue is two quanta off its share at any place
+    share = {q: weights[q] / sum(weights[x] for x in first) for q in first}
+    until = min(max(i for i, x in enumerate(got) if x == q) for q in first if q in "abc")
+    for q in first:
+        ahead = np.cumsum([x == q for x in got[:until]]) - share[q] * np.arange(1, until + 1)
+        assert np.abs(ahead).max() < 2
 
 
 def test_packing_gives_small_sources_their_share(spark):
-    many = [(k, "word " * 99, f"s{k // 10}") for k in range(3000)]  # 300 equal sources
-    got = packing.packed(spark.createDataFrame(many, "doc_id bigint, text string, source string"))
+    many = [(k, "word " * 299, f"s{k // 10}") for k in range(4000)]  # 400 equal sources of 3000 tokens
+    got = packing.packed(spark.createDataFrame(many, "doc_id bigint, text string, source string")).collect()
     sources = {}
-    for r in got.collect():
+    for r in got:
         sources.setdefault(r.sequence_id, set()).add(r.doc_id // 10)
-    last = max(sources)
-    assert all(len(x) == 300 for w, x in sources.items() if w < last)
-    # fewer tokens than one a window: spread over the shared queue, each token once
-    rows = packing.packed(spark.createDataFrame(many, "doc_id bigint, text string, source string"), length=256).collect()
+    # a window has eight quanta, so fifty windows serve all queues once
+    for w in range(0, max(sources) - 100, 50):
+        assert len(set().union(*(sources[x] for x in range(w, w + 50)))) == 400
+    assert len(got) <= 4000 * (300 / packing.QUANTUM + 1.2)
+    # sources of less than their part share a queue, and are spread over it, each token once
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(packing, "SHARES", 256)
+        rows = packing.packed(spark.createDataFrame(many, "doc_id bigint, text string, source string"), length=256).collect()
     spots = sorted((r.sequence_id * 256 + r.offset, r.length) for r in rows)
     assert [a for a, _ in spots] == list(np.cumsum([0, *(n for _, n in spots)])[:-1])
     early = {r.doc_id // 10 for r in rows if r.sequence_id <= max(x.sequence_id for x in rows) // 5}
-    assert len(early) == 300
+    assert len(early) == 400
 
 
 def test_packing_keeps_targets_of_small_sources(spark):
@@ -197,6 +224,7 @@ def test_packing_keeps_targets_of_small_sources(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     first = [r for r in packing.packed(df, targets={"a": 0.5, "b": 0.5}).collect() if r.sequence_id == 0]
     assert sum(r.length for r in first if r.doc_id == 9000) == 1024
+    assert packing.packed(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), length=1000).where("offset + length > 1000").count() == 0
     with pytest.raises(ValueError, match="without tokens"):
         packing.packed(df, targets={"a": 0.5, "c": 0.5})
 
