@@ -23,18 +23,20 @@ each; an empty table gives no pieces; very long texts are cut over windows; othe
 
 from __future__ import annotations
 
+import gc
 import os
-from array import array
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import slices, small, table, written
+from .common import small, table, written
 
 LENGTH, END_ID = 2048, 1
 #: Tokens that a queue serves at once.
@@ -43,7 +45,7 @@ QUANTUM = 256
 SHARES, WEIGHTS = 2048, 1 << 20
 #: Documents of the shared queue that are put in order together.
 BUCKET_ROWS = 20_000
-_WORDS_KEPT = 700_000
+_WORDS_KEPT = 500_000
 _REST = "\x00rest"
 
 
@@ -57,6 +59,9 @@ def default_tokenizer() -> str:
 _TAIL = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 
 
+#: A lower-case ASCII word without an apostrophe, and the punctuation after its last letter or digit.
+_BODY_TAIL = re.compile(rb"^([^'\n]*[a-z0-9])([" + re.escape(_TAIL) + rb"]+)$", re.M)
+
 #: Characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, others from 256 on.
 _SIGNS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
@@ -74,20 +79,22 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path or default_tokenizer())
         #: 16 bits an id where the vocabulary allows, in parts and tables
-        self.kind, self._code = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.words: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {b"": b""}
         # words of letters only need no look at added tokens and no splitting, if the tokenizer is of that kind
         self._merge = self.tokenizer.model.tokenize
-        self.direct = all(self._letters(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in ("word", "naïve", "東京", "straße", "and"))
+        self.direct = False
+        probe = ["word", "naïve", "東京", "straße", "and", "über", "ελλάδα"]
+        signs = [self._signs(w) for w in probe]
+        self.direct = [x and [t.id for t in self._merge(x)] for x in signs] == [self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe]
 
-    def _letters(self, word: str) -> list[int] | None:
-        """Ids of a word of letters straight from the vocabulary's merges; none if it has other characters."""
+    def _signs(self, word: str) -> str | None:
+        """A word of letters as the vocabulary spells it; none if it has other characters."""
         if word.isascii():
-            return [t.id for t in self._merge(word)] if word.isalpha() else None
+            return word.lower() if word.isalpha() else None
         word = self.tokenizer.normalizer.normalize_str(word)
-        return [t.id for t in self._merge(word.encode().decode("latin-1").translate(_SIGNS))] if word.isalpha() else None
+        return word.encode().decode("latin-1").translate(_SIGNS) if word.isalpha() else None
 
     @staticmethod
     def cut(word: bytes) -> tuple[bytes, bytes]:
@@ -103,33 +110,55 @@ class Encoder:
         apart = chr(last).isalnum() if last < 128 else body[-4:].decode("utf-8", "ignore")[-1:].lower()[-1:].isalpha()
         return (body, low[len(body) :]) if apart else (low, b"")
 
-    def __call__(self, texts: list[bytes | None], end: int = END_ID) -> list[bytes]:
+    def __call__(self, texts: list[bytes | None] | pa.Array, end: int = END_ID) -> list[bytes]:
         """Ids of each text and the end id, little-endian, as self.kind."""
         last = np.array([end], self.kind).tobytes()
+        a = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary())).cast(pa.large_string()).fill_null("")
         # lower case first: fewer words. Special tokens are told by their case
-        split = [(t.lower() if b"<|" not in t else t).split() if t else [] for t in texts]
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(a, "<|"), a, pc.ascii_lower(a)))
+        words = lists.flatten().dictionary_encode()
+        distinct = words.dictionary.cast(pa.large_binary()).to_pylist()
         if len(self.words) > _WORDS_KEPT:
             # the last words stay at hand; those of them that come again are kept
-            self.older, self.words, self.parts = self.words, {}, {b"": b""}
-        new = set().union(*split) - self.words.keys()
+            self.older, self.words = self.words, {}
+        gc.disable()  # what is made here has no cycles, and there is much of it
+        try:
+            self._learn(set(distinct) - self.words.keys())
+        finally:
+            gc.enable()
+        ids = pa.array(list(map(self.words.__getitem__, distinct)), pa.large_binary()).take(words.indices)
+        at = np.frombuffer(ids.buffers()[1], np.int64)[: len(ids) + 1][lists.offsets.to_numpy()] if len(ids) else np.zeros(len(a) + 1, np.int64)
+        data = memoryview(ids.buffers()[2] or b"")
+        return [bytes(data[i:j]) + last for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+    def _learn(self, new: set[bytes]) -> None:
+        known = self.words
         if self.older:
             again = new & self.older.keys()
-            self.words.update((w, self.older[w]) for w in again)
+            known.update(zip(again, map(self.older.__getitem__, again), strict=True))
             new -= again
-        cuts = {w: self.cut(w) for w in new}
-        missing = list({x for c in cuts.values() for x in c} - self.parts.keys())
+        other = [w for w in new if not w.isalpha()]
+        joined = b"\n".join(w for w in other if w.isascii() and b"<|" not in w)
+        cuts = {a + b: (a, b) for a, b in _BODY_TAIL.findall(joined)}
+        cuts.update((w, self.cut(w)) for w in other if not w.isascii())
+        parts = {x for c in cuts.values() for x in c if x}
+        parts.update(new - cuts.keys())
+        parts -= known.keys()
         if self.direct:
-            letters = ((w, self._letters(w.decode())) for w in missing)
-            self.parts.update((w, array(self._code, ids).tobytes()) for w, ids in letters if ids is not None)
-            missing = [w for w in missing if w not in self.parts]
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
+            spelt = {w: x for w in parts if (x := self._signs(w.decode()))}
+            tokens = list(map(self._merge, spelt.values()))
+            ends = 2 * np.cumsum([0, *map(len, tokens)]) if self.kind == "<u2" else 4 * np.cumsum([0, *map(len, tokens)])
+            ids = np.fromiter((t.id for x in tokens for t in x), self.kind).tobytes()
+            at = ends.tolist()
+            known.update(zip(spelt, map(ids.__getitem__, map(slice, at, at[1:])), strict=True))
+            parts -= spelt.keys()
+        rest = list(parts)
+        for i in range(0, len(rest), 4096):
+            part = rest[i : i + 4096]
             encoded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.parts.update((w, array(self._code, e.ids).tobytes()) for w, e in zip(part, encoded, strict=True))
-        known = self.parts
-        self.words.update((w, known[a] + known[b]) for w, (a, b) in cuts.items())
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) + last for words in split]
+            known.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(part, encoded, strict=True))
+        known[b""] = b""
+        known.update([(w, known[a] + known[b]) for w, (a, b) in cuts.items()])
 
 
 #: Encoders of this worker by path, with the words they have seen in earlier tasks.
@@ -143,15 +172,24 @@ def encoder(path: str | None) -> Encoder:
     return _encoders[path]
 
 
+def runs_of(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs (start, stop) of rows that hold about so much; one large row is a run of its own."""
+    ends, i = np.cumsum(sizes), 0
+    while i < len(sizes):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, side="right")))
+        yield i, j
+        i = j
+
+
 def _tokenise(path: str | None, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(path), TaskContext.get().partitionId()
         width = int(encode.kind[-1])
         used: dict[str, int] = {}
         for b in batches:
-            texts, sources = b.column("text").to_pylist(), b.column("queue").to_pylist()
-            for i, j in slices(texts):
-                ids = encode(texts[i:j], end)
+            texts, sources = b.column("text"), b.column("queue").to_pylist()
+            for i, j in runs_of(pc.binary_length(texts).to_numpy(), 8 << 20):
+                ids = encode(texts.slice(i, j - i), end)
                 names = sources[i:j]
                 starts, sizes = [], []
                 for q, x in zip(names, ids, strict=True):
@@ -230,11 +268,7 @@ def _pieces(held, kind: str):
         schedule: Schedule = held.value
         for b in batches:
             sizes = b.column("doc_tokens").to_numpy()
-            ends = np.cumsum(sizes)
-            i = 0
-            while i < len(sizes):
-                # about two million tokens at once
-                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + (1 << 21), side="right")))
+            for i, j in runs_of(sizes, 1 << 21):
                 x = b.slice(i, j - i)
                 n = sizes[i:j]
                 queue = np.array([schedule.index[q] for q in x.column("queue").to_pylist()], np.int64)
@@ -247,7 +281,6 @@ def _pieces(held, kind: str):
                 cut = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(ids)]).cast(pa.binary())
                 docs = x.column("doc_id").take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([docs, *(pa.array(c) for c in (start, length, n[row], window, offset)), cut], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
-                i = j
 
     return run
 
@@ -269,7 +302,7 @@ def packed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """Pieces: doc_id, start, length, doc_tokens, sequence_id, offset and ids (little-endian unsigned 32-bit)."""
     spark = df.sparkSession
     queue = F.coalesce(F.col(source).cast("string"), F.lit(""))
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), queue.alias("queue"), F.col(text).cast("binary").alias("text"))
+    rows = df.select(F.col(key).cast("long").alias("doc_id"), queue.alias("queue"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     tokens = written(rows.mapInArrow(_tokenise(tokenizer, end), "doc_id bigint, queue string, part bigint, nth bigint, doc_tokens bigint, ids binary"), "tokens")
     runs = written(tokens.groupBy("queue", "part").agg(F.sum("doc_tokens").alias("n")), "runs")
     by_source = runs.groupBy("queue").agg(F.sum("n").alias("n"))
