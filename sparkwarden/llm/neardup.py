@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import BROADCAST_ROWS, drop_table, lookup, mixed, rolled, slices, small, small_batches, table, words_hashed, written
-from .components import components
+from .components import components, joined
 
 #: Hashes in a sketch; values retained with few and with many frequent ones; members of a list before its value counts as frequent.
 K, LEAST_RETAINED, MOST_RETAINED, LIST = 128, 18, 36, 32
@@ -245,7 +245,8 @@ class Linker:
             rows = rows.select("node", "n", "k", F.col("x.cold").alias("cold"), F.col("x.taken").alias("taken"))
         return rows
 
-    def links(self, exact: bool = False) -> DataFrame:
+    def components(self, exact: bool = False) -> DataFrame:
+        """node, component (the least node linked over any others) of linked classes."""
         if exact:
             return self.joined(self.classes.select("node"), None)
         hot, many = None, 0
@@ -295,27 +296,26 @@ class Linker:
         return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     def joined(self, nodes: DataFrame, links: DataFrame | None) -> DataFrame:
-        """links, and links among the nodes, enough to join all that belong together, by their whole sets."""
+        """Components by links, and by links among the nodes, enough to join all that belong together, by their whole sets."""
         nodes = written(nodes, "saturated")
         links = links if links is not None else nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
         if nodes.isEmpty():
-            return links
+            return written(components(links), "components")
         sets = written(self.whole_sets(nodes), "whole")
         lists = written(self._prefixes(sets).select("node", "n", "cold", F.posexplode("taken").alias("p", "value")), "prefixes")
         rare = lists.where("p < cold")
         one, two = (rare.select("value", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("p").alias(f"p{x}")) for x in "xy")
         found = self._linked(self._first(one, two, F.col("x") < F.col("y")), sets)
-        links = written(links.unionByName(found), "links")
+        of = written(components(links.unionByName(found)), "components")
         hot = lists.where("p >= cold")
         tried = None
         for last in range(ROUNDS + 1):
-            of = components(links)
             now = hot.join(small(of), "node", "left").withColumn("component", F.coalesce("component", "node"))
             # lists with one component are settled
             several = now.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("value")
             now = written(now.join(small(written(several, "several")), "value", "left_semi"), "open")
             if now.isEmpty():
-                return links
+                return of
             if last == ROUNDS:
                 break
             fresh = now
@@ -332,7 +332,7 @@ class Linker:
             held = own.agg(F.sum("na")).first()[0]
             full = met.join(F.broadcast(own) if held <= HELD_SETS else own, "a").join(sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("values").alias("vb")), "b")
             new = full.where(self.enough(F.size(F.array_intersect("va", "vb")), F.col("na"), F.col("nb"))).select("a", "b")
-            links = written(links.unionByName(new), "links")
+            of = joined(of, written(new, "new"))
             centres = centres.select("value", F.col("a").alias("node"))
             tried = centres if tried is None else tried.unionByName(centres)
         # what is left: in lists of several components, members outside a list's largest one meet the others there
@@ -341,7 +341,7 @@ class Linker:
         one = apart.select("value", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("p").alias("px"), F.col("component").alias("cx"))
         two = now.select("value", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("p").alias("py"), F.col("component").alias("cy"))
         rest = written(self._first(small(written(one, "apart")), two, F.col("cx") != F.col("cy")), "rest")
-        return links.unionByName(self._linked(rest, sets))
+        return of if rest.isEmpty() else joined(of, written(self._linked(rest, sets), "new"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 85, exact: bool = False) -> DataFrame:
@@ -366,7 +366,7 @@ def _near_duplicates(docs: DataFrame, key: str, text: str, size: int, percent: i
     classes = written(some.join(small(copies), "node", "left_anti").select("node", "id", "fp", "n", "values"), "nodes")
     rows = written(base.select("id", "n", "fp"), "rows")
     drop_table(base)
-    of = written(components(Linker(narrow.where(F.col("id").isNotNull()), classes, size, percent).links(exact)), "components")
+    of = Linker(narrow.where(F.col("id").isNotNull()), classes, size, percent).components(exact)
     linked = heads.join(small(of), F.col("first") == F.col("node"), "left").withColumn("component", F.coalesce("component", "first"))
     linked = linked.where((F.col("members") > 1) | F.col("node").isNotNull()).select("fp", "component", "least", "members")
     linked = written(linked, "linked")
