@@ -118,7 +118,6 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _searcher(held):
     """An Arrow function of a text column and the results of the blocks before (or nulls)."""
 
-    @F.arrow_udf(_TYPE)
     def search(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         patterns: Patterns = held.value
         for text, before in batches:
@@ -137,7 +136,8 @@ def _searcher(held):
                 ["n_words", "hit_ranges", "items"],
             )
 
-    return search
+    # a filter on the result must not be evaluated apart, below the projection
+    return F.arrow_udf(search, _TYPE).asNondeterministic()
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, bytes | None]]]:

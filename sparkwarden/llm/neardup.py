@@ -377,6 +377,21 @@ def _near_duplicates(docs: DataFrame, key: str, text: str, size: int, percent: i
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 85) -> DataFrame:
+    """docs with one row of each group of near-duplicates: the least key (a null comes last), of equal keys the first row.
+
+    Rows are told apart by their place, so rows of one key with unlike texts are judged each, and of repeated rows one stays.
+    """
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    marks = near_duplicates(rows.select("_row", text), "_row", text, size, percent).select("_row", "component_id")
+    named = written(marks.join(rows.select("_row", F.col(key).alias("_key")), "_row"), "marks")
+    order = F.struct(F.col("_key").isNull(), "_key", "_row")
+    heads = named.groupBy("component_id").agg(F.min(order).alias("least"), F.count("*").alias("members")).where("members > 1")
+    heads = written(heads.select("component_id", F.col("least._row").alias("first"), "members"), "groups")
+    gone = written(lookup(named, heads, "component_id", "members", named.count()).where(F.col("_row") != F.col("first")).select("_row"), "gone")
+    return rows.join(small(gone), "_row", "left_anti").select(*docs.columns)
+
+
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 

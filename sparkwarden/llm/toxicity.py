@@ -382,7 +382,8 @@ def scored(df: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame
                 spans += x
             yield pa.StructArray.from_arrays([pa.array(np.concatenate(scores) if scores else [], pa.float64()), pa.array(spans, kind)], ["score", "toxic_spans"])
 
-    out = df.drop("score", "toxic_spans", "predicted").withColumn("_t", F.arrow_udf(score, _TYPE)(F.col(text).cast("binary")))
+    # a filter on the result must not be evaluated apart, below the projection
+    out = df.drop("score", "toxic_spans", "predicted").withColumn("_t", F.arrow_udf(score, _TYPE).asNondeterministic()(F.col(text).cast("binary")))
     out = out.select(*[c for c in out.columns if c != "_t"], F.col("_t.score").alias("score"), F.col("_t.toxic_spans").alias("toxic_spans"))
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 

@@ -136,3 +136,12 @@ def test_one_id_with_unlike_texts(spark):
 
 def test_lowest_estimate():
     assert 0.5 < neardup.lowest(0.8, 128) < 0.66 and neardup.lowest(0.85, 128) < 0.72
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(5, a, 1), (1, a, 2), (5, b, 3), (7, "c d", 4), (7, "c d", 5), (None, a, 6), (None, "e f", 7), (8, "", 8), (9, None, 9)]
+    got = neardup.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string, kept int"))
+    assert got.columns == ["doc_id", "text", "kept"]
+    assert sorted(r.kept for r in got.collect() if r.kept not in (4, 5)) == [2, 3, 7, 8, 9]
+    assert got.where("kept IN (4, 5)").count() == 1

@@ -66,3 +66,20 @@ def test_stages(spark, sf):
     for r in out:
         total[r.doc_id] = total.get(r.doc_id, 0) + r.length
     assert total == {i: len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in kept["pii"].items()}
+
+
+@pytest.mark.parametrize("many", [0, 1])
+def test_defined_cases_of_the_stages(spark, sf, tmp_path, many):
+    """Empty tables; nulls, repeated rows, unlike texts of one id, clashing columns and a very long text."""
+    path, docs, bench = sf
+    long = " ".join(f"word{i % 5000}" for i in range(60_000))
+    rows = [(4, docs[0][1], None, None, 5, "x", 1), (4, docs[0][1], None, None, 5, "x", 1), (4, docs[4][1], "en", "s", 6, "y", 2), (8, long, "en", "s", 7, "z", 3), (12, None, None, None, None, None, None), (None, docs[8][1], "en", "", 8, "x", 4)]
+    now = spark.createDataFrame(rows if many else [], "doc_id bigint, text string, lang string, source string, n_chars bigint, kept string, score int")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        columns = now.columns
+        now = stage(spark, now, path)
+        assert now.columns == columns
+        now = spark.createDataFrame(now.collect(), now.schema)
+    assert sorted((r.doc_id or 0, r.score or 0) for r in now.collect()) == ([(0, 4), (4, 1), (4, 2), (8, 3), (12, 0)] if many else [])
+    pieces = corpus_pipeline.STAGES[-1][1](spark, now, path).collect()
+    assert len({r.doc_id for r in pieces}) == (4 if many else 0)
