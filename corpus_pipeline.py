@@ -3,6 +3,11 @@
 toxic documents go; one document of each group of near-duplicates stays; documents with benchmark passages go;
 personal data is replaced by its kind; what is left is packed into windows. Each stage takes (spark, docs, sf_dir) and
 its result is written as Parquet and read again as the next one's docs. All but the last return the documents' columns.
+
+Defined cases, of every stage: a null or empty text is clean, alike with none, and packed as the end id alone; nulls in other
+columns are kept; very long texts are judged whole; of repeated rows one is left by the near-duplicate stage, and of
+equal copies the one with the least id; rows of one id with unlike texts are judged each; an empty table gives no rows; extra
+columns are carried over to the last stage, also those named like an operator's outputs.
 """
 
 from __future__ import annotations
@@ -21,10 +26,8 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group linked by five-word shingles and a similarity of 0.8."""
-    marks = neardup.near_duplicates(docs.select("doc_id", "text"), size=5, percent=80)
-    gone = marks.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The document with the least id of each group linked by five-word shingles and a similarity of 0.8; of repeated rows one."""
+    return neardup.deduplicated(docs, size=5, percent=80)
 
 
 def decontamination_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
