@@ -114,6 +114,8 @@ class Encoder:
         """Ids of each text and the end id, little-endian, as self.kind."""
         last = np.array([end], self.kind).tobytes()
         a = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary())).cast(pa.large_string()).fill_null("")
+        # a copy that starts at byte 0: the kernels below misread some slices
+        a = pa.concat_arrays([a, pa.array([], pa.large_string())])
         # lower case first: fewer words. Special tokens are told by their case
         lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(a, "<|"), a, pc.ascii_lower(a)))
         words = lists.flatten().dictionary_encode()

@@ -389,3 +389,11 @@ def test_words_and_tails_encode_as_the_whole_text():
     for _ in range(300):
         text = "".join(rng.choice(pieces) + rng.choice([" ", "\n", "  ", "\t"]) for _ in range(8))
         assert np.frombuffer(e([text.encode()])[0], e.kind).tolist() == [*t.encode(text, add_special_tokens=False).ids, 1], text
+    import pyarrow as pa
+
+    texts = ["é " * 40 + "Übung", None, "東京 a", "", "naïve <|endoftext|> É", "x" * 9000 + "é", "last Ñ"]
+    want = [[*t.encode(x or "", add_special_tokens=False).ids, 1] for x in texts]
+    for kind in (pa.string(), pa.large_string()):
+        for i in range(len(texts)):
+            got = e(pa.array(texts, kind).slice(i))
+            assert [np.frombuffer(x, e.kind).tolist() for x in got] == want[i:]
