@@ -20,11 +20,17 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--output")
     s.add_argument("--profile", default="standard")
     s.add_argument("--min-severity")
-    s.add_argument("--baseline", help="Parquet written by --save-baseline")
+    s.add_argument("--baseline", help="Parquet written by --save-baseline, or a JSON document of findings")
     s.add_argument("--save-baseline")
     s.add_argument("--show-suppressed", action="store_true")
     s.add_argument("--fail-on", choices=["low", "medium", "high", "critical"])
     s.add_argument("--model", help="a saved pipeline, for the deep profile")
+    s.add_argument("--rules", action="append", help="a folder of further rules")
+    s.add_argument("--latest", help="CSV of name, latest: the newest versions of packages")
+    s.add_argument("--advisories", help="JSON lines of package, version and advisories")
+    s.add_argument("--commits", help="CSV of file, author, ts, for churn")
+    s.add_argument("--bandit", help="a captured report")
+    s.add_argument("--eslint", help="a captured report")
     t = sub.add_parser("train", help="fit a model on a labelled CSV")
     t.add_argument("csv")
     t.add_argument("model")
@@ -36,6 +42,82 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def _tables(args: argparse.Namespace, spark) -> dict:
+    """What a scan is told of packages, commits and other tools' findings."""
+    from pyspark.sql import functions as F
+
+    from sparkwarden.sources import readers
+
+    out: dict = {"tools": []}
+    if args.latest:
+        out["latest"] = spark.read.schema("name string, latest string").csv(args.latest, header=True)
+    if args.advisories:
+        out["advisories"] = spark.read.schema("name string, version string, severity string").json(args.advisories)
+    if args.commits:
+        out["commits"] = spark.read.schema("file string, author string, ts timestamp").csv(args.commits, header=True)
+    for tool in ("bandit", "eslint"):
+        if path := getattr(args, tool):
+            out["tools"].append(readers.tool_findings(spark.read.text(path, wholetext=True).select(F.col("value").alias("json")), tool))
+    return out
+
+
+def _scan(args: argparse.Namespace, spark) -> int:
+    from pyspark.sql import functions as F
+
+    from sparkwarden.operators.rules import load_all
+    from sparkwarden.plans import config
+    from sparkwarden.plans.scan import scan_project
+    from sparkwarden.plans.tables import held
+    from sparkwarden.sources import readers, sinks
+
+    log = logging.getLogger("sparkwarden")
+    raw, warnings = config.load_config(args.path)
+    for w in warnings:
+        log.warning("configuration: %s", w)
+    c = config.overridden(raw, {"output.format": args.format, "output.file": args.output, "severity.minimum": args.min_severity, "ml.model_path": args.model})
+    ignore = list(c["scan"]["exclude"])
+    file = os.path.join(args.path, ".sparkwardenignore")
+    if os.path.isfile(file):
+        ignore += readers.ignore_patterns(spark.read.text(file))
+    deep = config.profile(args.profile).ml_scoring
+    model = None
+    if c["ml"]["enabled"] and c["ml"]["model_path"]:
+        if not deep:
+            log.warning("profile %s scores nothing: the model is not used", args.profile)
+        else:
+            from pyspark.ml import PipelineModel
+
+            model = PipelineModel.load(c["ml"]["model_path"])
+    folders = [*c["rules"]["additional_dirs"], *(args.rules or [])]
+    options = _tables(args, spark) | {"languages": tuple(c["scan"]["languages"]), "disabled": tuple(c["rules"]["disabled"]), "rules": load_all(folders) if folders else None}
+    baseline = readers.baseline(spark, args.baseline) if args.baseline else None
+    # everything is scanned once; what is reported is a part of it
+    every, errors = scan_project(spark, args.path, args.profile, "low", ignore, baseline, True, model, **options)
+    every = held(every.withColumn("place", F.monotonically_increasing_id()))
+    if args.save_baseline:
+        sinks.save_baseline(every, args.save_baseline)
+    for row in errors.orderBy("file").toLocalIterator():
+        log.warning("%s: %s", row["file"], row["error"])
+    found, hidden = shown(every, c["severity"]["minimum"], args.show_suppressed)
+    form, out = c["output"]["format"], c["output"]["file"]
+    if out:
+        sinks.write_report(found, out, form, args.path, hidden)
+    else:
+        print(sinks.render(found, form, args.path, hidden))
+    return int(bool(args.fail_on) and sinks.level_counts(found, args.fail_on)[1])
+
+
+def shown(every, minimum: str, suppressed: bool):
+    """The findings to report, in their order, and how many are suppressed."""
+    from pyspark.sql import functions as F
+
+    from sparkwarden.operators.scoring import at_least
+
+    hidden = every.where("suppression_reason IS NOT NULL").count()
+    kept = every if suppressed else every.where("suppression_reason IS NULL")
+    return at_least(kept, minimum).orderBy(F.col("place")), hidden
+
+
 def run(args: argparse.Namespace, spark) -> int:
     from pyspark.sql import functions as F
 
@@ -44,28 +126,7 @@ def run(args: argparse.Namespace, spark) -> int:
     from sparkwarden.sources import readers, sinks
 
     if args.command == "scan":
-        raw, warnings = config.load_config(args.path)
-        for w in warnings:
-            logging.getLogger("sparkwarden").warning("configuration: %s", w)
-        c = config.overridden(config.scan_config(raw, config.find_config(args.path)), output_format=args.format, output_file=args.output, minimum_severity=args.min_severity)
-        ignore = [*c.exclude]
-        file = os.path.join(args.path, ".sparkwardenignore")
-        if os.path.isfile(file):
-            ignore += readers.ignore_patterns(spark.read.text(file))
-        model = None
-        if args.model:
-            from pyspark.ml import PipelineModel
-
-            model = PipelineModel.load(args.model)
-        baseline = spark.read.parquet(args.baseline) if args.baseline else None
-        found = scan(spark, args.path, args.profile, c.minimum_severity, ignore, baseline, args.show_suppressed, model)
-        if args.save_baseline:
-            sinks.save_baseline(scan(spark, args.path, args.profile), args.save_baseline)
-        if c.output_file:
-            sinks.write_report(found, c.output_file, c.output_format, args.path)
-        else:
-            print(sinks.render(found, c.output_format, args.path))
-        return int(bool(args.fail_on) and sinks.level_counts(found, args.fail_on)[1])
+        return _scan(args, spark)
     if args.command == "train":
         from sparkwarden.operators.learning import FEATURES, features, train
 
@@ -81,14 +142,29 @@ def run(args: argparse.Namespace, spark) -> int:
     return 0
 
 
+def session():
+    """The session there is, or a new one; on one machine its temporary folder serves as the shared one, if none is set."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.builder.appName("sparkwarden").getOrCreate()
+    master = spark.sparkContext.master
+    if spark.conf.get("spark.checkpoint.dir", None) is None and (master == "local" or master.startswith("local[")):
+        import atexit
+        import shutil
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="sparkwarden-")
+        atexit.register(shutil.rmtree, folder, True)
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return spark
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     level = logging.DEBUG if args.debug else logging.INFO if args.verbose else logging.WARNING
     logging.basicConfig(level=level, filename=args.log_file)
-    from pyspark.sql import SparkSession
-
     try:
-        return run(args, SparkSession.builder.appName("sparkwarden").getOrCreate())
+        return run(args, session())
     except Exception as e:  # a command reports its error by its code
         logging.getLogger("sparkwarden").error("%s", e)
         return 2

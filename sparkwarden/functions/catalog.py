@@ -165,6 +165,13 @@ CWE_RULES = {
 # fixed values: SARIF rule of a finding's type, VP003 for others
 SARIF_RULES = {"taint_analysis": "VP001", "interprocedural_taint": "VP002", "dangerous_function": "VP003", "hardcoded_secret": "VP004", "high_complexity": "VP005", "js_vulnerability": "VP006", "dangerous_js_function": "VP006"}
 SARIF_NAMES = {"VP001": "TaintedDataFlow", "VP002": "InterproceduralTaintFlow", "VP003": "DangerousFunction", "VP004": "HardcodedSecret", "VP005": "HighComplexity", "VP006": "JavaScriptVulnerability"}
+#: What each rule finds, its level and its tag.
+SARIF_TEXTS = {
+    "VP001": ("Untrusted data reaches a dangerous call", "error", "CWE-20"), "VP002": ("Untrusted data reaches a dangerous call through other functions", "error", "CWE-20"),
+    "VP003": ("A dangerous function is called", "warning", "CWE-78"), "VP004": ("A secret is written in the source", "error", "CWE-798"),
+    "VP005": ("A function has many paths", "note", "CWE-1121"), "VP006": ("A weakness in JavaScript code", "warning", "CWE-94"),
+}
+SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
 # fixed values: remediation by part of a type, the first that fits
 REMEDIATION = {
     "eval_usage": "Replace eval() with ast.literal_eval() or a safe parser.",

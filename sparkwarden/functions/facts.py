@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkwarden.plans.tables import held
+
 from .catalog import JS_DANGEROUS, JS_VALIDATION, SENSITIVE_KEYWORDS, VALIDATION_FUNCTIONS, VALIDATION_MODULES
 
 _NAME = pa.struct([("pos", pa.int64()), ("id", pa.string())])
@@ -101,11 +103,20 @@ def _spark_type(t: pa.DataType) -> T.DataType:
     return from_arrow_type(t)
 
 
+def _extracted(files: DataFrame, extract, kind: pa.DataType) -> DataFrame:
+    """files(file, content) to file and the fields of what the function finds, as a table: each file is parsed once.
+
+    The function counts as nondeterministic, so filters that follow from later joins are not evaluated by parsing again.
+    """
+    parse = F.arrow_udf(extract, _spark_type(kind)).asNondeterministic()
+    return held(files.select("file", parse("content").alias("x")).select("file", "x.*"))
+
+
 class PythonFacts:
-    """functions, calls, assigns and errors of files(file, content); facts are extracted once and shared."""
+    """functions, calls, assigns and errors of files(file, content), each read from its own column of one table."""
 
     def __init__(self, files: DataFrame):
-        facts = files.select("file", F.arrow_udf(_python, _spark_type(_FACTS))("content").alias("x")).select("file", "x.*")
+        facts = _extracted(files, _python, _FACTS)
         self.facts = facts
         self.functions = facts.select("file", F.explode("functions").alias("x")).select("file", "x.*")
         self.calls = facts.select("file", F.explode("calls").alias("x")).select("file", "x.*")
@@ -164,5 +175,5 @@ def _javascript(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def javascript(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(functions, dangerous calls) of JavaScript files."""
-    facts = files.select("file", F.arrow_udf(_javascript, _spark_type(_JS))("content").alias("x"))
-    return tuple(facts.select("file", F.explode(f"x.{k}").alias("x")).select("file", "x.*") for k in ("functions", "calls"))
+    facts = _extracted(files, _javascript, _JS)
+    return tuple(facts.select("file", F.explode(k).alias("x")).select("file", "x.*") for k in ("functions", "calls"))

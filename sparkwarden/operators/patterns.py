@@ -49,15 +49,15 @@ def line_findings(lines: DataFrame, rules: list[Rule], flags: str = UNICODE) ->
     return rows.select("file", F.col("no").alias("line"), F.explode(none).alias("r")).select("file", "line", *[f"r.{k}" for k in COLUMNS[2:]])
 
 
-def postmessage_findings(lines: DataFrame, flags: str = UNICODE, ahead: int = 20) -> DataFrame:
-    """Message listeners with no origin check in the next lines: a window that looks ahead."""
-    line = F.col("line")
-    window = W.partitionBy("file").orderBy("line_no").rowsBetween(1, ahead)
-    seen = F.coalesce(F.max(_any(line, C.ORIGIN, flags)).over(window), F.lit(False))
-    # only files with a listener reach the window
-    files = lines.where(line.rlike(flags + C.LISTENER)).select("file").distinct()
-    rows = lines.join(files, "file", "left_semi").select("file", "line_no", line.rlike(flags + C.LISTENER).alias("listens"), is_comment(line).alias("comment"), seen.alias("seen"))
-    return rows.where("listens AND NOT comment AND NOT seen").select("file", F.col("line_no").alias("line"), *_fields(C.POSTMESSAGE))
+def postmessage_findings(files: DataFrame, flags: str = UNICODE, ahead: int = 20) -> DataFrame:
+    """Message listeners with no origin check in the next lines: each looks ahead in its own file's array of lines."""
+    text = F.regexp_replace("content", "\r\n?", "\n")
+    # only files with a listener are split
+    some = files.where(F.col("content").rlike(flags + C.LISTENER)).select("file", F.split(text, "\n", -1).alias("all"))
+    each = some.select("file", "all", F.posexplode("all").alias("i", "line"))
+    listens = F.col("line").rlike(flags + C.LISTENER) & ~is_comment(F.col("line"))
+    seen = F.exists(F.slice("all", F.col("i") + 2, F.lit(ahead)), lambda x: _any(x, C.ORIGIN, flags))
+    return each.where(listens & ~seen).select("file", (F.col("i") + 1).cast("bigint").alias("line"), *_fields(C.POSTMESSAGE))
 
 
 def _newlines(text: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 SEVERITIES, CONFIDENCES = ("critical", "high", "medium", "low", "info"), ("high", "medium", "low")
 PATTERNS, LANGUAGES = ("function_call", "import", "string_match", "ast_pattern"), ("python", "javascript", "typescript", "go")
-SCHEMA = "id string, name string, severity string, confidence string, category string, message string, cwe string, enabled boolean, languages array<string>, tags array<string>, pattern_type string, names array<string>"
+SCHEMA = "id string, name string, severity string, confidence string, category string, message string, cwe string, enabled boolean, languages array<string>, tags array<string>, pattern_type string, names array<string>, references array<string>"
 BUILTIN = os.path.join(os.path.dirname(os.path.dirname(__file__)), "rules")
 
 
@@ -40,7 +40,7 @@ def parsed(rule: dict) -> tuple:
     names = list(dict.fromkeys([*([p["name"]] if p.get("name") else []), *(p.get("names") or [])]))
     return (
         rule["id"], rule["name"], str(rule["severity"]).lower(), str(rule.get("confidence", "medium")).lower(), rule.get("category", "general"), rule["message"], rule.get("cwe"), bool(rule.get("enabled", True)),
-        [str(x).lower() for x in rule.get("languages", ["python"])], list(rule.get("tags", [])), p["type"], names,
+        [str(x).lower() for x in rule.get("languages", ["python"])], list(rule.get("tags", [])), p["type"], names, [str(x) for x in rule.get("references") or []],
     )
 
 
@@ -85,6 +85,27 @@ def rule_table(spark: SparkSession, rules: list[dict] | None = None) -> DataFram
     return spark.createDataFrame([parsed(r) for r in (load_all() if rules is None else rules)], SCHEMA)
 
 
+def rules_for(rules: DataFrame, language: str) -> DataFrame:
+    """The enabled rules for a language."""
+    from pyspark.sql import functions as F
+
+    return rules.where(F.col("enabled") & F.array_contains("languages", language.lower()))
+
+
+def rule_by_id(rules: DataFrame, rule_id: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    return rules.where(F.col("id") == rule_id)
+
+
+def callees(rules: DataFrame, language: str | None = None) -> DataFrame:
+    """(callee, id): the function names that call rules look for."""
+    from pyspark.sql import functions as F
+
+    some = rules_for(rules, language) if language else rules.where("enabled")
+    return some.where("pattern_type = 'function_call'").select(F.explode("names").alias("callee"), "id")
+
+
 def merged_rules(builtin: DataFrame, user: DataFrame) -> DataFrame:
     """The same merge on tables: a full outer join by id, the user's side first."""
     from pyspark.sql import functions as F

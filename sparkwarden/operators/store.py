@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+TOP_KINDS, RECENT = 10, 5
 LEVELS = ("high", "medium", "low", "critical")
 SCANS = "id string, scan_path string, status string, total_findings bigint, high_count bigint, medium_count bigint, low_count bigint, critical_count bigint, files_scanned bigint, scan_duration double, metadata string, created_at timestamp"
 FINDINGS = "id bigint, finding_id string, type string, severity string, file string, line bigint, message string, rule_id string, cwe string, details string, scan_id string"
@@ -42,8 +43,23 @@ def without(rows: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
     return rows.join(deleted, key, "left_anti")
 
 
+def distribution(findings: DataFrame, by: str, n: int | None = None) -> DataFrame:
+    """(by, n): findings of each value, the most frequent first if only n are asked for."""
+    out = findings.groupBy(by).agg(F.count("*").alias("n"))
+    return out.orderBy(F.desc("n"), by).limit(n) if n else out
+
+
+def stat_rows(findings: DataFrame) -> DataFrame:
+    """The dashboard's counts in one table (measure, value, n): all findings, by severity, and the ten most frequent types."""
+    c = F.col
+    total = findings.agg(F.lit("total_findings").alias("measure"), F.lit(None).cast("string").alias("value"), F.count("*").alias("n"))
+    severity = distribution(findings, "severity").select(F.lit("severity").alias("measure"), c("severity").alias("value"), "n")
+    kinds = distribution(findings, "type", TOP_KINDS).select(F.lit("type").alias("measure"), c("type").alias("value"), "n")
+    return total.unionByName(severity).unionByName(kinds)
+
+
 class FindingStore:
-    """Tables `scans` and `findings` below a folder."""
+    """Tables `scans`, `findings` and `deleted` (ids of scans that are gone) below a folder."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -53,13 +69,17 @@ class FindingStore:
         there = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if there else self.spark.createDataFrame([], schema)
 
+    @property
+    def deleted(self) -> DataFrame:
+        return self._read("deleted", "id string")
+
     @property
     def scans(self) -> DataFrame:
-        return self._read("scans", SCANS)
+        return without(self._read("scans", SCANS), self.deleted, "id")
 
     @property
     def findings(self) -> DataFrame:
-        return self._read("findings", FINDINGS)
+        return without(self._read("findings", FINDINGS), self.deleted.withColumnRenamed("id", "scan_id"), "scan_id").select(*[f.split()[0] for f in FINDINGS.split(", ")])
 
     def add_scan(self, findings: DataFrame, scan_path: str, files_scanned: int | None = None, duration: float | None = None, metadata: str | None = None) -> str:
         """Append a scan; findings carry ordinal, type, severity, file, line, message, rule_id and cwe."""
@@ -87,24 +107,28 @@ class FindingStore:
         return page(filtered(self.findings.where(F.col("scan_id") == scan), severity, kind), [F.col("id")], number, size)
 
     def delete_scan(self, scan: str) -> bool:
-        """Drop a scan's partition, and its row from the table of scans, which is rewritten beside and swapped in."""
+        """Name the scan in the table of deletions, from when on no read sees it or its findings; then remove its files.
+
+        The one appended row is what deletes, so a crash at any point leaves the scan whole or gone.
+        """
         if self.get_scan(scan).isEmpty():
             return False
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path
+        self.spark.createDataFrame([(scan,)], "id string").coalesce(1).write.mode("append").parquet(f"{self.path}/deleted")
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         fs = path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        self.scans.where(F.col("id") != scan).write.parquet(f"{self.path}/scans-next")
-        fs.delete(path(f"{self.path}/scans"), True)
-        fs.rename(path(f"{self.path}/scans-next"), path(f"{self.path}/scans"))
         fs.delete(path(f"{self.path}/findings/scan_id={scan}"), True)
         self.spark.catalog.refreshByPath(self.path)
         return True
 
     def stats(self) -> dict:
-        f = self.findings
+        found = {"severity": {}, "type": {}}
+        total = 0
+        for r in stat_rows(self.findings).collect():
+            if r["measure"] == "total_findings":
+                total = r["n"]
+            else:
+                found[r["measure"]][r["value"]] = r["n"]
+        recent = self.scans.orderBy(F.desc("created_at")).limit(RECENT).collect()
         return {
-            "total_scans": self.scans.count(), "total_findings": f.count(),
-            "severity_distribution": {r[0]: r[1] for r in f.groupBy("severity").count().collect()},
-            "type_distribution": {r[0]: r[1] for r in f.groupBy("type").count().orderBy(F.desc("count"), "type").limit(10).collect()},
-            "recent_scans": [r.asDict() for r in self.scans.orderBy(F.desc("created_at")).limit(5).collect()],
+            "total_scans": self.scans.count(), "total_findings": total, "severity_distribution": found["severity"], "type_distribution": found["type"], "recent_scans": [r.asDict() for r in recent],
         }

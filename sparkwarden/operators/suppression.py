@@ -77,12 +77,25 @@ def fingerprint(findings: DataFrame) -> tuple[Column, Column]:
 
 
 def known(findings: DataFrame, baseline: DataFrame, within: int = 5, kind: str = "left_semi") -> DataFrame:
-    """Findings that the baseline has, at most so many lines away (kind left_anti: those it has not). A range join with an equality key; a missing line is 0."""
+    """Findings that the baseline has, at most so many lines away (kind left_anti: those it has not); a missing line is 0.
+
+    Lines fall in buckets of within + 1, and a finding asks for its own bucket and the two beside it, so a file with many
+    equal findings is joined by equality and not as a product.
+    """
     fr, fm = fingerprint(findings)
     br, bm = fingerprint(baseline)
-    b = baseline.select(F.coalesce("file", F.lit("")).alias("_f"), br.alias("_r"), bm.alias("_m"), F.coalesce("line", F.lit(0)).alias("_l")).distinct()
-    near = F.abs(F.coalesce(findings["line"], F.lit(0)) - F.col("_l")) <= within
-    return findings.join(b, (F.coalesce(findings["file"], F.lit("")) == F.col("_f")) & (fr == F.col("_r")) & (fm == F.col("_m")) & near, kind)
+    line, size = F.coalesce(findings["line"], F.lit(0)).cast("bigint"), within + 1
+    old_line = F.coalesce("line", F.lit(0)).cast("bigint")
+    b = baseline.select(F.coalesce("file", F.lit("")).alias("_f"), br.alias("_r"), bm.alias("_m"), old_line.alias("_l"), F.floor(old_line / size).alias("_b")).distinct()
+    # of a bucket the lines next to its neighbours suffice: its first for the bucket before, its last for the one after
+    own = b.groupBy("_f", "_r", "_m", "_b").agg(F.min("_l").alias("_low"), F.max("_l").alias("_high"))
+    low = own.select("_f", "_r", "_m", F.col("_b").alias("_at"), F.col("_low").alias("_x"), F.col("_high").alias("_y"))
+    before = own.select("_f", "_r", "_m", (F.col("_b") - 1).alias("_at"), F.col("_low").alias("_x"), F.lit(None).cast("bigint").alias("_y"))
+    after = own.select("_f", "_r", "_m", (F.col("_b") + 1).alias("_at"), F.lit(None).cast("bigint").alias("_x"), F.col("_high").alias("_y"))
+    near = low.unionByName(before).unionByName(after).groupBy("_f", "_r", "_m", "_at").agg(F.collect_set("_x").alias("_xs"), F.collect_set("_y").alias("_ys"))
+    hit = F.exists(F.concat("_xs", "_ys"), lambda x: F.abs(line - x) <= within)
+    at = F.floor(line / size)
+    return findings.join(near, (F.coalesce(findings["file"], F.lit("")) == F.col("_f")) & (fr == F.col("_r")) & (fm == F.col("_m")) & (at == F.col("_at")) & hit, kind)
 
 
 def suppressed(findings: DataFrame, lines: DataFrame, patterns: list[str], baseline: DataFrame | None = None, within: int = 5, marker: str = MARKER) -> DataFrame:

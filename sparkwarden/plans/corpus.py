@@ -32,6 +32,9 @@ SNIPPETS = [
     ("k8s/d{}.yaml", "apiVersion: v1\nkind: Pod\nspec:\n  containers:\n  - resources:\n      limits:\n        cpu: 1"),
     ("k8s/d{}.yaml", "privileged: true\nhostPID: true"),
     ("web/d{}.js", "a.__proto__ = b; // sparkwarden-ignore: vp-js-001, OTHER\nc.__proto__ = d; // sparkwarden-ignore-line\ne.__proto__ = f; // SPARKWARDEN-IGNORE: VP-JS-005\ng.__proto__ = h;"),
+    ("sec/d{}.py", "def parse(path, password):\n    tree = ET.parse(path)\n    hashlib.md5(password)\n    jinja2.Template(path)\n    conn.search_s(path)\n    hashlib.sha1(tree)\n    return redirect(path)"),
+    ("srv/d{}.go", 'package main\nimport "crypto/rc4"\nfunc k() { rows.Query("a" + b) }'),
+    ("lib/d{}.py", "import sys\n\ndef last(a):\n    v = input()\n    v = recv()\n    os.popen(v, v)\n    w = open(a)\n    return w"),
 ]
 
 

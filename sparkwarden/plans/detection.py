@@ -14,7 +14,9 @@ from sparkwarden.operators.rules import load_all, rule_table
 from sparkwarden.operators.suppression import ignored, inline_markers, suppressed
 from sparkwarden.sources.readers import iac_kind, lines, scannable_count, scanned
 
-from .corpus import CODE_SQL, SNIPPETS, files, quoted
+from .config import profile
+from .corpus import CODE_SQL, files, quoted
+from .scan import findings_of
 
 ASCII = ""  # the flags of patterns that SQL engines share
 SHOWN = ["file", "line", "rule_id", "severity", "cwe"]
@@ -49,7 +51,7 @@ def js_redos_backref(spark, sf_dir):
 
 
 def js_postmessage_window(spark, sf_dir):
-    return P.postmessage_findings(lines(scanned(files(spark, sf_dir), "js_patterns")), ASCII).select(*SHOWN)
+    return P.postmessage_findings(scanned(files(spark, sf_dir), "js_patterns"), ASCII).select(*SHOWN)
 
 
 def ts_line_rules(spark, sf_dir):
@@ -101,9 +103,8 @@ def py_flow(spark, sf_dir):
 
 
 def py_flow_propagated(spark, sf_dir):
-    # one snippet stands in many files, and calls go by name, so the corpus is one file of each kind here
-    one = files(spark, sf_dir).where(F.regexp_extract("file", "([0-9]+)", 1).cast("bigint") < len(SNIPPETS))
-    return PY.flow_findings(PythonFacts(scanned(one, "python")), propagate=True).select("source_func", "sink_func", "sink", "sink_line", "tainted_var", F.size("call_chain").cast("bigint").alias("chain_length"))
+    flows = PY.flow_findings(_facts(spark, sf_dir), propagate=True)
+    return flows.select("source_func", "sink_func", "sink", "sink_line", "tainted_var", F.size("call_chain").cast("bigint").alias("chain_length"))
 
 
 def py_parse_errors(spark, sf_dir):
@@ -119,6 +120,12 @@ def js_dangerous_calls(spark, sf_dir):
     return calls.select("file", "callee", F.col("lineno").alias("line"))
 
 
+def scan_findings(spark, sf_dir):
+    """The scan's analyzers over all files of the corpus, with patterns that SQL engines share."""
+    found = findings_of(files(spark, sf_dir), profile("standard"), flags=ASCII).where(F.coalesce(F.col("rule_id") != REDOS.rule_id, F.lit(True)))
+    return found.groupBy("file", "type", "line", F.coalesce("rule_id", F.lit("")).alias("rule_id")).agg(F.count("*").alias("n"))
+
+
 def scanner_dispatch(spark, sf_dir):
     fs = files(spark, sf_dir)
     kinds = scanned(fs, "iac").groupBy(iac_kind(F.col("file")).alias("kind")).agg(F.count("*").alias("n"))
@@ -153,7 +160,7 @@ def suppression_reasons(spark, sf_dir):
 QUERIES = {
     k: globals()[k]
     for k in """secret_scan js_line_rules js_redos js_redos_backref js_postmessage_window ts_line_rules go_offset_rules terraform dockerfile kubernetes html_script_scan
-    py_function_findings py_taint_asof py_flow py_flow_propagated py_parse_errors yaml_rule_match js_dangerous_calls scanner_dispatch suppress_ignore suppress_inline suppression_reasons""".split()
+    py_function_findings py_taint_asof py_flow py_flow_propagated py_parse_errors yaml_rule_match js_dangerous_calls scan_findings scanner_dispatch suppress_ignore suppress_inline suppression_reasons""".split()
 }
 
 
@@ -208,10 +215,12 @@ _FUNCTIONS = [
     _fn(3, "outer", 1, 3, {"dangerous": "os.system,exec"}, 6, 3),
     _fn(3, "inner", 2, 1, {"dangerous": "os.system"}),
     _fn(5, "fetch", 1, 4, {"ssrf": "requests.get"}, validation="html.escape,re.match", sensitive=2),
+    _fn(22, "parse", 1, 6, {"xxe": "ET.parse", "weak_crypto": "hashlib.md5,hashlib.sha1", "template_injection": "jinja2.Template", "open_redirect": "redirect", "ldap_injection": "conn.search_s"}, sensitive=1),
+    _fn(24, "last", 3, 5, {"dangerous": "input", "path_traversal": "open"}),
 ]
-_TAINTS = [(0, "data", "eval", 3, 2, "input", 2), (2, "raw", "pickle.loads", 6, 5, "open", 2), (4, "q", "cursor.execute", 3, 2, "request.args", 2), (5, "session_id", "requests.get", 3, 2, "read", 2)]
-_FLOWS = [(0, "load", "load", "eval", 3, "data", 1), (4, "first", "first", "cursor.execute", 3, "q", 1)]
-_CALLS = {0: [("input", 2), ("eval", 3)], 2: [("yaml.load", 4), ("open", 5), ("pickle.loads", 6), ("pickle.loads", 7)], 3: [("os.system", 3), ("exec", 9)], 5: [("requests.get", 3)]}
+_TAINTS = [(0, "data", "eval", 3, 2, "input", 2), (2, "raw", "pickle.loads", 6, 5, "open", 2), (4, "q", "cursor.execute", 3, 2, "request.args", 2), (5, "session_id", "requests.get", 3, 2, "read", 2), (24, "v", "os.popen", 6, 5, "recv", 2), (24, "v", "os.popen", 6, 5, "recv", 2)]
+_FLOWS = [(0, "load", "load", "eval", 3, "data", 1), (4, "first", "first", "cursor.execute", 3, "q", 1), (24, "last", "last", "os.popen", 6, "v", 1), (24, "last", "last", "os.popen", 6, "v", 1)]
+_CALLS = {0: [("input", 2), ("eval", 3)], 2: [("yaml.load", 4), ("open", 5), ("pickle.loads", 6), ("pickle.loads", 7)], 3: [("os.system", 3), ("exec", 9)], 5: [("requests.get", 3)], 22: [("ET.parse", 2), ("hashlib.md5", 3), ("jinja2.Template", 4), ("conn.search_s", 5), ("hashlib.sha1", 6), ("redirect", 7)], 24: [("input", 4), ("recv", 5), ("os.popen", 6), ("open", 7)]}
 
 
 def _rule_rows() -> list[tuple]:
@@ -250,7 +259,7 @@ SELECT file, line_no AS line, '{_PM.rule_id}' AS rule_id, '{_PM.severity}' AS se
     "py_function_findings": _expected(_FUNCTIONS, _FN, "file, " + _FN.removeprefix("sid, ")),
     "py_taint_asof": _expected(_TAINTS, "sid, variable, sink, sink_line, source_line, source, trace_length", "file, variable, sink, sink_line, source_line, source, trace_length"),
     "py_flow": _expected(_FLOWS, "sid, a, b, sink, sink_line, tainted_var, chain_length", "file || '::' || a AS source_func, file || '::' || b AS sink_func, sink, sink_line, tainted_var, chain_length"),
-    "py_flow_propagated": _expected([*_FLOWS, (4, "first", "helper", "os.popen", 7, "z", 2)], "sid, a, b, sink, sink_line, tainted_var, chain_length", "file || '::' || a AS source_func, file || '::' || b AS sink_func, sink, sink_line, tainted_var, chain_length", f"WHERE doc_id < {len(SNIPPETS)}"),
+    "py_flow_propagated": _expected([*_FLOWS, (4, "first", "helper", "os.popen", 7, "z", 2)], "sid, a, b, sink, sink_line, tainted_var, chain_length", "file || '::' || a AS source_func, file || '::' || b AS sink_func, sink, sink_line, tainted_var, chain_length"),
     "py_parse_errors": _expected([(6, "SyntaxError")], "sid, error", "file, error"),
     "yaml_rule_match": _expected(_rule_rows(), "sid, line, callee, rule_id, severity, description", "file, line, callee, rule_id, severity, description"),
     "js_dangerous_calls": _expected([(7, "eval", 2), (7, "setTimeout", 3)], "sid, callee, line", "file, callee, line"),
@@ -264,3 +273,16 @@ SELECT file, line_no, a = '' AND (b OR c = '') AS all_rules, CASE WHEN a <> '' T
 g AS (SELECT *, EXISTS (SELECT 1 FROM f o WHERE o.file = f.file AND o.line = 7 AND abs(f.line - 11) <= 5) AS old FROM f)
 SELECT reason, count(*) AS n FROM (SELECT CASE WHEN ign THEN 'ignore_file' WHEN whole THEN 'inline_ignore_line' WHEN rule THEN 'inline_ignore_rule' WHEN old THEN 'baseline' ELSE 'active' END AS reason FROM g) GROUP BY reason""",
 }
+
+#: analyzer's query, its type, the finding's file and line, its rule
+_PARTS = [
+    ("py_function_findings", "'function_analysis'", "file", "line", "''"), ("py_taint_asof", "'taint_analysis'", "file", "sink_line", "''"),
+    ("py_flow", "'interprocedural_taint'", "split_part(sink_func, '::', 1)", "sink_line", "''"), ("js_dangerous_calls", "'dangerous_call'", "file", "line", "''"),
+    *((q, "t.type", "file", "line", "q.rule_id") for q in ("js_line_rules", "js_postmessage_window", "ts_line_rules", "go_offset_rules", "terraform", "dockerfile", "kubernetes")),
+]
+_TYPES = _values([(r.rule_id, r.type) for r in [*C.JS_RULES, C.POSTMESSAGE, *C.TS_RULES, *C.GO_RULES, *C.TF_BLOCK_RULES, *C.TF_LINE_RULES, *C.DOCKER_RULES, C.DOCKER_NO_USER, *C.K8S_RULES, C.K8S_NO_LIMITS]], "rule_id, type").replace("e(", "t(", 1)
+ORACLE["scan_findings"] = (
+    f"WITH {_TYPES}, every AS ("
+    + " UNION ALL ".join(f"SELECT {file} AS file, {kind} AS type, {line} AS line, {rule} AS rule_id FROM ({ORACLE[q]}) q" + (" JOIN t ON t.rule_id = q.rule_id" if kind == "t.type" else "") for q, kind, file, line, rule in _PARTS)
+    + f" UNION ALL SELECT file, 'function_analysis', line, '' FROM ({_expected([(7, 1)], 'sid, line', 'file, line')}) q) SELECT file, type, line, rule_id, count(*) AS n FROM every GROUP BY ALL"
+)

@@ -134,7 +134,7 @@ def severity_counts(spark, sf_dir):
 
 
 def json_report(spark, sf_dir):
-    return R.json_rows(findings(spark, sf_dir), "documents")
+    return R.json_rows(findings(spark, sf_dir)).select("ordinal", "json")
 
 
 def sarif_results(spark, sf_dir):
@@ -229,7 +229,7 @@ _NVD = '{"vulnerabilities": [{"cve": {"id": "CVE-1", "descriptions": [{"lang": "
 
 
 def nvd_patterns(spark, sf_dir):
-    rows = _projects(spark, sf_dir).where("project % 10 = 0").select("project", F.lit(_NVD).alias("json"))
+    rows = _projects(spark, sf_dir).select("project", F.lit(_NVD).alias("json"))
     p = SRC.nvd_patterns(rows)
     return p.groupBy("cve_id", "description", F.array_join("cwes", ",").alias("cwes"), F.array_join("products", ",").alias("products")).agg(F.count("*").alias("n"))
 
@@ -287,8 +287,9 @@ def synthetic_samples(spark, sf_dir):
 
 def code_context(spark, sf_dir):
     fs = SRC.scanned(files(spark, sf_dir), "python")
-    f = _table(spark, sf_dir, "documents").where(f"doc_id % {len(SNIPPETS)} IN (0, 1, 3, 4)").select("doc_id", F.element_at(F.array(*[F.lit(n) for n, _ in SNIPPETS]), (F.col("doc_id") % len(SNIPPETS) + 1).cast("int")).alias("n"))
-    f = f.select(F.col("doc_id").alias("ordinal"), F.replace("n", F.lit("{}"), F.col("doc_id").cast("string")).alias("file"), F.lit(3).cast("bigint").alias("line"))
+    n = F.element_at(F.array(*[F.lit(n) for n, _ in SNIPPETS]), (F.col("doc_id") % len(SNIPPETS) + 1).cast("int"))
+    f = _table(spark, sf_dir, "documents").select("doc_id", n.alias("n")).where("n LIKE '%.py'")
+    f = f.select(F.col("doc_id").alias("ordinal"), F.replace("n", F.lit("{}"), F.col("doc_id").cast("string")).alias("file"), (F.col("doc_id") % 9 + 1).alias("line"))
     return L.code_context(f, SRC.lines(fs), PythonFacts(fs).functions)
 
 
@@ -313,7 +314,7 @@ def store_scan_counts(spark, sf_dir):
 
 
 def store_stats(spark, sf_dir):
-    return _stored(spark, sf_dir).groupBy("severity", "type").agg(F.count("*").alias("n"))
+    return ST.stat_rows(_stored(spark, sf_dir))
 
 
 def store_page(spark, sf_dir):
@@ -375,6 +376,22 @@ _SAMPLES = [(g[i % len(g)], y, k, "synthetic", i) for k, (bad, good) in _KINDS.i
 _FEATURE = {"dangerous_calls": "CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END", "cyclomatic_complexity": "doc_id % 25", "max_nesting_depth": "doc_id % 8", "sensitive_data_involved": "CASE WHEN doc_id % 13 = 0 THEN 1 ELSE 0 END"}
 _ONE = f"{_F}, s AS (SELECT *, {_SEV} AS sv, {_CONF} AS cf FROM f)"
 
+def _field(name: str, value: str, text: bool = True) -> str:
+    """A field of a JSON object in SQL, left out if it is null."""
+    shown = f"""'"' || {value} || '"'""" if text else f"CAST({value} AS VARCHAR)"
+    return f"""CASE WHEN {value} IS NULL THEN '' ELSE ',"{name}":' || {shown} END"""
+
+
+_MESSAGE = """CASE type WHEN 'taint_analysis' THEN 'Tainted variable ''' || coalesce(variable, 'unknown') || ''' flows from source to dangerous sink ''' || coalesce(sink, 'unknown') || ''''
+  WHEN 'interprocedural_taint' THEN 'Interprocedural taint flow: ? reaches sink ''' || coalesce(sink, '?') || ''' via call chain' WHEN 'dangerous_function' THEN 'Dangerous function call: unknown'
+  WHEN 'hardcoded_secret' THEN 'Hardcoded secret detected: ' || coalesce(variable, '?') WHEN 'high_complexity' THEN 'High cyclomatic complexity: ?' ELSE message END"""
+_JSON_PARTS = " || ".join([
+    _field("type", "type"), _field("severity", _JSON), _field("file", "file"), _field("line", "line", False), _field("message", _MESSAGE),
+    _field("sink", "CASE WHEN type IN ('taint_analysis', 'interprocedural_taint') THEN coalesce(sink, 'unknown') END"),
+    _field("variable", "CASE type WHEN 'interprocedural_taint' THEN 'unknown' WHEN 'taint_analysis' THEN coalesce(variable, 'unknown') WHEN 'hardcoded_secret' THEN coalesce(variable, 'unknown') END"),
+    _field("function", "CASE WHEN type = 'dangerous_function' THEN 'unknown' END"), _field("confidence", "vuln_score", False),
+])
+
 ORACLE = {
     "classify_findings": f"WITH {_REGISTRY}, x AS (SELECT doc_id, {_RANKED} AS rule_id, CASE WHEN doc_id % 5 = 0 THEN 0.5 ELSE CAST(doc_id % 101 AS DOUBLE) / 100 END AS ml FROM documents) SELECT doc_id, x.rule_id, ['Low', 'Medium', 'High', 'Critical'][s] AS severity, ['Low', 'Medium', 'High'][c] AS confidence, rule_description, round_even(CAST(0.05 AS DOUBLE) * s * c + CAST(0.4 AS DOUBLE) * ml, 3) AS combined_score FROM x JOIN reg ON x.rule_id = reg.rule_id",
     "combined_score": f"WITH {_ONE} SELECT ordinal, round_even(greatest(0.0, least(1.0, CAST(0.05 AS DOUBLE) * sv * cf + CAST(0.4 AS DOUBLE) * coalesce(vuln_score, 0.5))), 3) AS score FROM s",
@@ -388,7 +405,8 @@ ORACLE = {
     "top_types": f"WITH {_F} SELECT type AS label, count(*) AS n FROM f GROUP BY type ORDER BY n DESC, min(ordinal) LIMIT 8",
     "report_ids": "SELECT doc_id AS ordinal, 'VP-' || CASE WHEN row_number() OVER (ORDER BY doc_id) < 10000 THEN lpad(CAST(row_number() OVER (ORDER BY doc_id) AS VARCHAR), 4, '0') ELSE CAST(row_number() OVER (ORDER BY doc_id) AS VARCHAR) END AS id FROM documents",
     "severity_counts": f"WITH {_F}, m AS (SELECT {_MD} AS level FROM f) SELECT v.severity, count(level) AS n FROM (VALUES ('critical'), ('high'), ('medium'), ('low')) v(severity) LEFT JOIN m ON level = v.severity GROUP BY v.severity",
-    "sarif_results": f"WITH {_F}, r AS (SELECT *, {_RULE} AS rule, {_LEVEL} AS level FROM f) SELECT ordinal, rule, dense_rank() OVER (ORDER BY rule) - 1 AS rule_index, level, rule || '/' || file || '/' || coalesce(CAST(line AS VARCHAR), '0') || '/' || coalesce(variable, '') AS fingerprint FROM r",
+    "json_report": f"""WITH {_F}, n AS (SELECT *, row_number() OVER (ORDER BY ordinal) AS i FROM f) SELECT ordinal, '{{"id":"VP-' || CASE WHEN i < 10000 THEN lpad(CAST(i AS VARCHAR), 4, '0') ELSE CAST(i AS VARCHAR) END || '"' || {_JSON_PARTS} || '}}' AS json FROM n""",
+    "sarif_results": f"WITH {_F}, r AS (SELECT *, {_RULE} AS rule, {_LEVEL} AS level FROM f) SELECT ordinal, rule, dense_rank() OVER (ORDER BY rule) - 1 AS rule_index, level, rule || '/' || file || '/' || coalesce(CAST(line AS VARCHAR), '') || '/' || coalesce(variable, '') AS fingerprint FROM r",
     "sarif_context": f"WITH {CODE_SQL} SELECT doc_id AS ordinal, string_agg(l.line, chr(10) ORDER BY l.line_no) AS snippet FROM code JOIN lines l USING (file) WHERE l.line_no BETWEEN doc_id % 6 - 1 AND doc_id % 6 + 3 GROUP BY doc_id",
     "baseline_exact": _OLD.format("", 0), "baseline_fuzzy": _OLD.format("", 5), "baseline_new": _OLD.format("NOT", 5),
     "deps_requirements": f"WITH {_REQ} SELECT project, name, version FROM d",
@@ -397,7 +415,7 @@ ORACLE = {
     "dependency_summary": f"WITH {_REP} SELECT project, count(*) AS n_dependencies, count(*) FILTER (WHERE vulnerable) AS num_vulnerable_dependencies, count(*) FILTER (WHERE outdated) AS num_outdated_dependencies, arg_min(severity, {_RANKS}) FILTER (WHERE severity IS NOT NULL) AS max_dependency_severity FROM x GROUP BY project",
     "osv_parse": f"WITH v(k, vuln_id, summary, cves, severity, cvss_score, urls, ranges) AS (VALUES {_rows([(i, *out) for i, (_, _, out) in enumerate(_OSV)])}) SELECT doc_id AS project, vuln_id, summary, cves, severity, cvss_score, urls, ranges FROM documents JOIN v ON doc_id % 3 = k",
     "most_severe": f"WITH {_F}, v AS (SELECT file AS package, ordinal, 'V' || CAST(ordinal AS VARCHAR) AS vuln_id, lower(coalesce(severity, 'unknown')) AS severity FROM f), q AS (SELECT *, row_number() OVER (PARTITION BY package ORDER BY {_RANKS}, ordinal) AS i, count(*) OVER (PARTITION BY package) AS total_vulnerabilities FROM v) SELECT package, vuln_id, severity, total_vulnerabilities FROM q WHERE i = 1",
-    "nvd_patterns": "SELECT cve_id, description, cwes, products, count(*) AS n FROM documents, (VALUES ('CVE-1', 'd1', 'CWE-79,CWE-89', 'c1,c2'), ('CVE-2', 'd2', '', '')) v(cve_id, description, cwes, products) WHERE doc_id % 10 = 0 GROUP BY ALL",
+    "nvd_patterns": "SELECT cve_id, description, cwes, products, count(*) AS n FROM documents, (VALUES ('CVE-1', 'd1', 'CWE-79,CWE-89', 'c1,c2'), ('CVE-2', 'd2', '', '')) v(cve_id, description, cwes, products) GROUP BY ALL",
     "cwe_map": f"WITH m(i, cwe, rule_id, type, severity) AS (VALUES {_rows([(i, k, *C.CWE_RULES.get(k, (None, None, None))) for i, k in enumerate([*C.CWE_RULES, 'CWE-0'])])}) SELECT doc_id AS project, cwe, rule_id, type, severity FROM documents JOIN m ON doc_id % {len(C.CWE_RULES) + 1} = i",
     "cache_ttl": "WITH c AS (SELECT user_id, CAST(floor(max(epoch(ts))) AS BIGINT) AS ts FROM events GROUP BY user_id) SELECT sha256(lower('PyPI:Pkg' || CAST(user_id AS VARCHAR) || ':1.0')) AS key, ts, (SELECT max(ts) FROM c) - ts <= 86400 AS hit FROM c",
     "churn_features": "SELECT 'f' || CAST(event_id % 200 AS VARCHAR) AS file, count(*) AS commit_count, count(DISTINCT user_id) AS unique_authors, CAST(floor((epoch(TIMESTAMP '2030-01-01') - floor(epoch(max(ts)))) / 86400) AS BIGINT) AS last_modified_days FROM events GROUP BY 1",
@@ -405,10 +423,10 @@ ORACLE = {
     "features_matrix": "SELECT doc_id, " + ", ".join(f"CAST({_FEATURE.get(n, 0)} AS DOUBLE) AS {n}" for n in L.FEATURES) + " FROM documents",
     "confusion_by_lang": f"WITH d AS (SELECT lang, toxic = 1 AS y, doc_id % 3 = 0 AS d FROM documents JOIN labels USING (doc_id)), g AS (SELECT lang AS grp, count(*) FILTER (WHERE d AND y) AS tp, count(*) FILTER (WHERE d AND NOT y) AS fp, count(*) FILTER (WHERE NOT d AND NOT y) AS tn, count(*) FILTER (WHERE NOT d AND y) AS fn FROM d GROUP BY GROUPING SETS ((lang), ())) SELECT *, round({_P}, 4) AS precision, round({_R}, 4) AS recall, round(CASE WHEN ({_P}) + ({_R}) = 0 THEN 0 ELSE 2 * ({_P}) * ({_R}) / (({_P}) + ({_R})) END, 4) AS f1_score, {_ratio('fp', 'fp + tn')} AS false_positive_rate, {_ratio('tp + tn', 'tp + fp + tn + fn')} AS accuracy FROM g",
     "synthetic_samples": f"SELECT code, CAST(label AS INTEGER) AS label, type, source, CAST(variant AS INTEGER) AS variant FROM (VALUES {_rows(_SAMPLES)}) v(code, label, type, source, variant)",
-    "code_context": f"WITH {CODE_SQL}, n AS (SELECT file, max(line_no) AS n FROM lines GROUP BY file), e(sid, a, b) AS (VALUES (0, 1, 4), (1, NULL, NULL), (3, 1, 9), (4, 1, 4)) SELECT doc_id AS ordinal, CAST(coalesce(a, greatest(1, 3 - 10)) AS BIGINT) AS first_line, CAST(coalesce(b, least(n, 3 + 10)) AS BIGINT) AS last_line FROM code JOIN e USING (sid) JOIN n USING (file)",
+    "code_context": f"WITH {CODE_SQL}, n AS (SELECT file, max(line_no) AS n FROM lines GROUP BY file), g(sid, a, b) AS (VALUES (0, 1, 4), (1, 1, 2), (2, 3, 8), (3, 1, 9), (3, 2, 3), (4, 1, 4), (4, 6, 7), (5, 1, 5), (22, 1, 7), (24, 3, 8)), x AS (SELECT doc_id, file, sid, doc_id % 9 + 1 AS line FROM code WHERE file LIKE '%.py'), i AS (SELECT doc_id, arg_min(a, a) AS a, arg_min(b, a) AS b FROM x JOIN g USING (sid) WHERE line BETWEEN a AND b GROUP BY doc_id) SELECT doc_id AS ordinal, CAST(coalesce(a, greatest(1, line - 10)) AS BIGINT) AS first_line, CAST(coalesce(b, least(n, line + 10)) AS BIGINT) AS last_line FROM x LEFT JOIN i USING (doc_id) JOIN n USING (file)",
     "embedding_join": "SELECT doc_id AS ordinal, CAST(64 AS BIGINT) AS size, round(coalesce(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 0.0), 4) AS norm FROM documents LEFT JOIN embeddings ON doc_id = vec_id",
     "store_scan_counts": f"WITH {_E} SELECT scan_id, count(*) AS total_findings, " + ", ".join(f"count(*) FILTER (WHERE severity = '{x}') AS {x}_count" for x in ST.LEVELS) + " FROM e GROUP BY scan_id",
-    "store_stats": f"WITH {_E} SELECT severity, type, count(*) AS n FROM e GROUP BY severity, type",
+    "store_stats": f"WITH {_E} SELECT 'total_findings' AS measure, NULL AS value, count(*) AS n FROM e UNION ALL SELECT 'severity', severity, count(*) FROM e GROUP BY severity UNION ALL (SELECT 'type', type, count(*) AS n FROM e GROUP BY type ORDER BY n DESC, type LIMIT 10)",
     "store_page": f"WITH {_E} SELECT id, scan_id, severity, type FROM e WHERE severity = 'high' AND type = 'click' ORDER BY id LIMIT 20 OFFSET 40",
     "store_pages": f"WITH {_E} SELECT count(*) AS total, CAST(ceil(count(*) / 50.0) AS BIGINT) AS pages FROM e WHERE severity = 'high'",
     "store_delete": f"WITH {_E} SELECT scan_id, count(*) AS n FROM e WHERE scan_id NOT IN ('s1', 's7') GROUP BY scan_id",

@@ -8,16 +8,21 @@ import uuid
 from pyspark.sql import DataFrame
 
 
-def held(df: DataFrame) -> DataFrame:
-    """df written below spark.checkpoint.dir and read again; removed when the driver ends."""
-    spark = df.sparkSession
+def folder(spark, name: str) -> str:
+    """A path below spark.checkpoint.dir, removed when the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    path = f"{base.rstrip('/')}/held-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def held(df: DataFrame) -> DataFrame:
+    """df written below spark.checkpoint.dir and read again; removed when the driver ends."""
+    path = folder(df.sparkSession, "held")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _remove(spark, path: str) -> None:

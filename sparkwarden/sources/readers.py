@@ -107,6 +107,11 @@ def read_baseline(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True).select(F.explode("findings").alias("f")).select("f.*")
 
 
+def baseline(spark: SparkSession, path: str) -> DataFrame:
+    """A baseline: the document if the name ends in .json, else a Parquet table."""
+    return read_baseline(spark, path) if path.lower().endswith(".json") else spark.read.parquet(path)
+
+
 def ignore_patterns(rows: DataFrame) -> list[str]:
     """Patterns of an ignore file's lines, a driver-side list as in any project configuration."""
     return [r[0].strip() for r in rows.collect() if r[0].strip() and not r[0].strip().startswith("#")]

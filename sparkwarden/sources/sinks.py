@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkwarden.operators import reports as R
 from sparkwarden.operators import scoring as S
+from sparkwarden.operators.suppression import fingerprint
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
@@ -22,40 +23,71 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
-def report_columns(findings: DataFrame) -> DataFrame:
-    """findings with every column that reports read, null where there is none; messages by type."""
-    have = set(findings.columns)
-    kinds = {"ordinal": "bigint", "type": "string", "file": "string", "line": "bigint", "severity": "string", "message": "string", "rule_description": "string", "sink": "string", "variable": "string", "tainted_var": "string", "function": "string", "vuln_score": "double", "rule_id": "string", "cwe": "string"}
-    out = findings.select(*[(F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in kinds.items()])
-    names = {n: F.col(n) for n in ("variable", "sink", "tainted_var", "function")}
-    return out.withColumn("message", R.message(F.col("type"), names, F.coalesce("message", "rule_description", F.lit(""))))
-
-
-def render(findings: DataFrame, form: str, scan_path: str = "") -> str:
-    """A report as text: json, sarif, markdown, html or text."""
-    rows = report_columns(findings)
+def document(findings: DataFrame, form: str, scan_path: str = "", suppressed: int = 0, lines: DataFrame | None = None) -> R.Document:
+    """A report: json, sarif, html or text, of all findings; markdown has its top lists."""
     if form == "json":
-        return R.json_report(rows, scan_path)
+        return R.json_document(findings, scan_path, suppressed)
     if form == "sarif":
-        return R.sarif(rows)
-    if form == "markdown":
-        return R.markdown(rows)
+        return R.sarif_document(findings, lines)
     if form == "html":
-        return R.html_report(rows)
-    if form != "text":
+        return R.html_document(findings)
+    if form == "text":
+        return R.text_document(findings)
+    if form != "markdown":
         raise ValueError(f"no format {form}")
-    counts = R.severity_counts(rows, F.lower("severity"), ["critical", "high", "medium", "low"]).collect()
-    listed = rows.orderBy(S.severity_of(F.col("severity")).desc(), "ordinal").toLocalIterator()
-    return "\n".join([*(f"[{r.severity}] {r.file}:{r.line} {r.type} {r.message}" for r in listed), *(f"{r.severity}: {r.n}" for r in counts)])
+    none = findings.sparkSession.createDataFrame([], "position bigint, text string")
+    return R.Document(R.markdown(findings, scan_path, suppressed), none, "", "")
+
+
+def render(findings: DataFrame, form: str, scan_path: str = "", suppressed: int = 0) -> str:
+    """A report as one text, for findings that the driver can print; rows come a partition at a time."""
+    d = document(findings, form, scan_path, suppressed)
+    return d.head + d.sep.join(r["text"] for r in d.rows.orderBy("position").toLocalIterator()) + d.tail
+
 
+def write_report(findings: DataFrame, path: str, form: str, scan_path: str = "", suppressed: int = 0, lines: DataFrame | None = None) -> None:
+    write_document(findings.sparkSession, document(findings, form, scan_path, suppressed, lines), path)
 
-def write_report(findings: DataFrame, path: str, form: str, scan_path: str = "") -> None:
-    write_text(findings.sparkSession, path, render(findings, form, scan_path))
+
+def write_document(spark: SparkSession, d: R.Document, path: str) -> None:
+    """A document as one file: Spark writes its rows in parts, and the driver copies them, one after another, as streams."""
+    from sparkwarden.plans.tables import folder
+
+    parts = folder(spark, "report")
+    d.rows.orderBy("position").select(F.col("text").alias("value")).write.option("lineSep", d.sep or "\n").text(parts)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    name = jvm.org.apache.hadoop.fs.Path
+    target, source = name(path), name(parts)
+    out = target.getFileSystem(conf).create(target, True)
+    try:
+        out.write(bytearray(d.head.encode()))
+        fs = source.getFileSystem(conf)
+        sizes = {f.getPath().toString(): f.getLen() for f in fs.listStatus(source) if f.getPath().getName().startswith("part-") and f.getLen()}
+        for x in sorted(sizes):
+            # what stands between rows also ends the last one, and is left out there
+            size = sizes[x] - (len(d.sep.encode()) if x == max(sizes) else 0)
+            into = fs.open(name(x))
+            try:
+                bounded = jvm.org.apache.commons.io.input.BoundedInputStream(into, size)
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(bounded, out, 1 << 16, False)
+            finally:
+                into.close()
+        out.write(bytearray(d.tail.encode()))
+    finally:
+        out.close()
 
 
 def save_baseline(findings: DataFrame, path: str) -> None:
-    """All findings as Parquet with the full key that comparisons use, so the next scan knows each again."""
-    report_columns(findings).select("file", "line", "rule_id", "type", "message").write.mode("overwrite").parquet(path)
+    """All findings of a scan, by the key that comparisons use, so the next scan knows each again: a document if the name ends in .json, else Parquet."""
+    rule, text = fingerprint(findings)
+    have = findings.columns
+    rule, text = (F.col("known_rule"), F.col("known_message")) if "known_rule" in have else (rule, text)
+    rows = findings.select("ordinal", "file", F.col("line").cast("bigint").alias("line"), rule.alias("rule_id"), "type", text.alias("message"))
+    if not path.lower().endswith(".json"):
+        rows.drop("ordinal").write.mode("overwrite").parquet(path)
+        return
+    rows = R.numbered(rows).select("position", F.to_json(F.struct("file", "line", "rule_id", "type", "message")).alias("text"))
+    write_document(findings.sparkSession, R.Document('{"findings": [\n', rows, ",\n", "\n]}"), path)
 
 
 def write_labelled(findings: DataFrame, path: str) -> None:

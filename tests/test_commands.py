@@ -15,7 +15,7 @@ def test_scan_writes_reports_and_knows_its_baseline(spark, tmp_path, capsys):
     path, out, base = str(tmp_path / "p"), str(tmp_path / "r.json"), str(tmp_path / "base")
     assert main(["scan", path, "--format", "json", "--output", out, "--save-baseline", base, "--fail-on", "critical"]) == 1
     report = json.load(open(out))
-    assert report["summary"]["total"] == 3 and {f["type"] for f in report["findings"]} == {"function_analysis", "taint_analysis", "interprocedural_taint"}
+    assert report["summary"]["total_findings"] == 3 and {f["type"] for f in report["findings"]} == {"function_analysis", "taint_analysis", "interprocedural_taint"}
     assert spark.read.parquet(base).count() == 3
     assert main(["scan", path, "--format", "text"]) == 0 and "function_analysis" in capsys.readouterr().out
     assert main(["scan", path, "--profile", "none"]) == 2
@@ -58,3 +58,65 @@ def test_reports_list_all_findings(spark):
     assert len(json.loads(render(found, "sarif"))["runs"][0]["results"]) == 5200
     assert render(found, "html").count("<tr>") == 5200
     assert render(found, "text").count("[high] ") == 5200
+
+
+def test_scan_with_all_that_is_known(spark, tmp_path, capsys, caplog):
+    root = tmp_path / "pr(oj)+ x"
+    (root / "build").mkdir(parents=True)
+    (root / "a.py").write_text("def f():\n    x = input()\n    eval(x)\n")
+    (root / "build" / "b.py").write_text("def g(y):\n    eval(y)\n")
+    (root / "broken.py").write_text("def (:\n")
+    (root / "w.js").write_text("a.__proto__ = b;\n")
+    (root / "requirements.txt").write_text("left==1.0\nright>=2.0\n# no\n")
+    (root / "package.json").write_text('{"dependencies": {"npm-one": "^1.0.0"}}')
+    (root / "more").mkdir()
+    (root / "more" / "r.yml").write_text("rules:\n- {id: OWN-1, name: own, severity: high, message: own rule, pattern: {type: function_call, name: input}}\n")
+    (root / ".sparkwarden.yml").write_text(f"scan: {{exclude: ['build/*']}}\nrules: {{additional_dirs: ['{root / 'more'}'], disabled: [vp-js-001]}}\n")
+    (tmp_path / "latest.csv").write_text("name,latest\nleft,2.0\nnpm-one,9.9\n")
+    (tmp_path / "adv.json").write_text('{"name": "left", "version": "1.0", "severity": "high"}\n{"name": "npm-one", "version": "1.0.0", "severity": "low"}\n')
+    (tmp_path / "commits.csv").write_text("file,author,ts\na.py,ann,2020-01-01 00:00:00\na.py,bob,2020-01-02 00:00:00\n")
+    (tmp_path / "bandit.json").write_text('{"results": [{"filename": "a.py", "line_number": 3, "test_id": "B307", "issue_text": "eval", "issue_severity": "MEDIUM"}]}')
+    out = str(tmp_path / "out.json")
+    path = str(root / ".." / root.name)
+    tables = ["--latest", str(tmp_path / "latest.csv"), "--advisories", str(tmp_path / "adv.json"), "--commits", str(tmp_path / "commits.csv"), "--bandit", str(tmp_path / "bandit.json")]
+    assert main(["scan", path, "--format", "json", "--output", out, *tables]) == 0
+    report = json.load(open(out))
+    found = {(f["type"], f.get("file")) for f in report["findings"]}
+    assert ("rule_match", "a.py") in found and ("bandit", "a.py") in found and {f for t, f in found if t == "dependencies"} == {"requirements.txt", "package.json"}
+    assert not any(f and f.startswith("build/") for _, f in found) and not any(f == "w.js" and t == "prototype_pollution" for t, f in found)
+    assert report["summary"]["suppressed_findings"] > 0
+    assert "broken.py" in caplog.text
+    # either form of a baseline knows every finding again
+    for base in (str(tmp_path / "base"), str(tmp_path / "base.json")):
+        assert main(["scan", path, "--format", "json", "--output", out, "--save-baseline", base, *tables]) == 0
+        assert main(["scan", path, "--format", "json", "--output", str(tmp_path / "again.json"), "--baseline", base, *tables]) == 0
+        again = json.load(open(tmp_path / "again.json"))
+        assert again["findings"] == [] and again["summary"]["suppressed_findings"] >= len(report["findings"])
+
+
+def test_dependencies_and_churn(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from sparkwarden.plans.scan import scan_project
+
+    (tmp_path / "requirements.txt").write_text("left==1.0\nright>=2.0\nplain\n")
+    (tmp_path / "a.py").write_text("def f(x):\n    eval(x)\n")
+    latest = spark.createDataFrame([("left", "2.0"), ("right", "2.0")], "name string, latest string")
+    advisories = spark.createDataFrame([("left", "1.0", "medium"), ("left", "1.0", "critical")], "name string, version string, severity string")
+    commits = spark.createDataFrame([("a.py", "x", "2020-01-01"), ("a.py", "y", "2020-01-03")], "file string, author string, ts string").withColumn("ts", F.to_timestamp("ts"))
+    found, errors = scan_project(spark, str(tmp_path), latest=latest, advisories=advisories, commits=commits, now=F.lit("2020-01-13").cast("timestamp"))
+    assert errors.isEmpty()
+    rows = {r.type: r for r in found.collect()}
+    d = rows["dependencies"]
+    assert (d.num_vulnerable_dependencies, d.num_outdated_dependencies, d.max_dependency_severity, len(d.dependencies)) == (1, 1, "critical", 3)
+    f = rows["function_analysis"]
+    assert (f.commit_count, f.unique_authors, f.last_modified_days, d.commit_count) == (2, 2, 10, 0)
+
+
+def test_each_file_is_parsed_once(spark, tmp_path):
+    from sparkwarden.functions.facts import PythonFacts
+
+    files = spark.createDataFrame([("a.py", "def f(x):\n    eval(x)\n")], "file string, content string")
+    facts = PythonFacts(files)
+    for table in (facts.functions, facts.calls, facts.assigns, facts.errors):
+        assert "Python" not in table._jdf.queryExecution().executedPlan().toString()

@@ -32,7 +32,7 @@ def test_redos_back_reference(files):
 @pytest.mark.parametrize(("gap", "safe"), [(1, True), (20, True), (21, False)])
 def test_origin_check_within_twenty_lines(files, gap, safe):
     f = files(("a.js", "addEventListener('message', h)\n" + "x\n" * (gap - 1) + "if (event.origin)"))
-    assert (P.postmessage_findings(R.lines(f)).count() == 0) == safe
+    assert (P.postmessage_findings(f).count() == 0) == safe
 
 
 def test_go_offsets(files):
@@ -103,3 +103,15 @@ def test_javascript_facts(files):
     assert [(g["name"], g["lineno"], g["nesting"], g["validation"]) for g in f["functions"]] == [("a", 1, 1, ["escape"]), ("<anonymous>", 5, 0, [])]
     assert [(c["callee"], c["lineno"]) for c in f["calls"]] == [("eval", 3), ("setTimeout", 5)]
     assert javascript(files(("a.js", None)))[1].count() == 0
+
+
+def test_calls_go_to_the_own_file_then_the_module_then_the_only_name(files):
+    from sparkwarden.functions.facts import PythonFacts
+    from sparkwarden.operators import python_code as PY
+
+    main = "def run():\n    a = input()\n    helper(a)\n    util.clean(a)\n    lonely(a)\n    shared(a)\n\ndef helper(p):\n    eval(p)\n"
+    util = "def clean(q):\n    exec(q)\n\ndef helper(p):\n    compile(p)\n\ndef shared(s):\n    eval(s)\n"
+    other = "def clean(q):\n    eval(q)\n\ndef lonely(z):\n    deeper(z)\n\ndef deeper(w):\n    execfile(w)\n\ndef shared(s):\n    eval(s)\n"
+    f = PythonFacts(files(("main.py", main), ("pkg/util.py", util), ("other.py", other)))
+    got = {(r.sink_func, r.sink, len(r.call_chain)) for r in PY.flow_findings(f, propagate=True).collect()}
+    assert got == {("main.py::helper", "eval", 2), ("pkg/util.py::clean", "exec", 2), ("other.py::deeper", "execfile", 3)}

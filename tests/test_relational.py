@@ -13,6 +13,7 @@ from sparkwarden.operators import scoring as S
 from sparkwarden.operators import suppression as SU
 from sparkwarden.operators.store import FindingStore
 from sparkwarden.plans import config
+from sparkwarden.sources.sinks import render
 from sparkwarden.plans.scan import scan
 from sparkwarden.sources import readers as SRC
 from sparkwarden.streaming.incremental import new_findings
@@ -69,17 +70,51 @@ def findings(spark):
 
 
 def test_reports(findings):
-    report = json.loads(R.json_report(findings, "p"))
-    assert report["summary"]["total"] == 30 == len(report["findings"]) and report["findings"][9]["id"] == "VP-0010"
-    assert sum(report["summary"]["by_severity"].values()) == 30
-    doc = json.loads(R.sarif(findings))
-    assert doc["version"] == "2.1.0" and len(doc["runs"][0]["results"]) == 30
-    text = R.markdown(findings)
-    assert text.count("| `src/") == 20 and "*10 more*" in text and "m\\|" in text
-    page = R.html_report(findings)
+    report = json.loads(render(findings, "json", "p", 4))
+    assert report["summary"]["total_findings"] == 30 == len(report["findings"]) and report["findings"][9]["id"] == "VP-0010"
+    assert sum(report["summary"]["by_severity"].values()) == 30 and report["summary"]["suppressed_findings"] == 4 and report["metadata"]["scan_path"] == "p"
+    assert report["findings"][1] == {"id": "VP-0002", "type": "taint_analysis", "severity": "high", "file": "src/f2.py", "line": 2, "message": "Tainted variable 'x' flows from source to dangerous sink 'eval'", "sink": "eval", "variable": "x"}
+    text = render(findings, "markdown", "p", 3)
+    assert text.count("| `src/") == 20 + 30 and "*10 more*" in text and "m\\|" in text and "**Suppressed**: 3" in text
+    assert text.count("<details>") == 30 and "[CWE-1](https://cwe.mitre.org/data/definitions/1.html)" in text and "| **Score** | 0.90 |" in text
+    page = render(findings, "html")
     assert "&lt;" not in page and page.count("<tr>") == 30
 
 
+def test_sarif(spark):
+    rows = [
+        (1, "taint_analysis", "a.py", 3, "x", None, None, "eval", ["1: input", "3: eval"], None, None), (2, "interprocedural_taint", "a.py", None, None, "y", None, "exec", None, ["f", "g"], 0.4),
+        (3, "hardcoded_secret", "b.py", 9, "key", None, None, None, None, None, 0.9), (4, "function_analysis", None, None, None, None, "run", None, None, None, None),
+    ]
+    f = spark.createDataFrame(rows, "ordinal bigint, type string, file string, line bigint, variable string, tainted_var string, function string, sink string, trace array<string>, call_chain array<string>, vuln_score double")
+    lines = spark.createDataFrame([("a.py", i, f"line {i}") for i in range(1, 6)], "file string, line_no bigint, line string")
+    d = R.sarif_document(f, lines)
+    doc = json.loads(d.head + d.sep.join(r["text"] for r in d.rows.orderBy("position").collect()) + d.tail)
+    run = doc["runs"][0]
+    assert doc["version"] == "2.1.0" and [r["id"] for r in run["tool"]["driver"]["rules"]] == ["VP001", "VP002", "VP003", "VP004"]
+    one, two, three, four = run["results"]
+    place = one["locations"][0]["physicalLocation"]
+    assert place["artifactLocation"] == {"uri": "a.py", "uriBaseId": "%SRCROOT%"} and place["region"] == {"startLine": 3, "startColumn": 1, "snippet": {"text": "line 3"}}
+    assert place["contextRegion"] == {"startLine": 1, "endLine": 5, "snippet": {"text": "line 1\nline 2\nline 3\nline 4\nline 5"}}
+    assert one["properties"]["trace"] == ["1: input", "3: eval"] and one["fingerprints"] == {"sparkwarden/v1": "VP001/a.py/3/x"} and one["level"] == "error"
+    assert two["message"]["text"] == "Interprocedural taint: 'y' reaches 'exec' via f -> g" and two["properties"] == {"confidence": 0.4, "callChain": ["f", "g"]} and two["ruleIndex"] == 1
+    assert three["ruleId"] == "VP004" and "snippet" not in three["locations"][0]["physicalLocation"]["region"]
+    assert four["fingerprints"]["sparkwarden/v1"] == "VP003///run" and "properties" not in four
+
+
+@pytest.mark.parametrize("form", ["json", "sarif", "html", "text", "markdown"])
+def test_written_reports_are_the_rendered_ones(findings, tmp_path, form):
+    import re
+
+    from sparkwarden.sources.sinks import write_report
+
+    path = tmp_path / "r"
+    for f in (findings, findings.limit(1), findings.limit(0)):
+        write_report(f, str(path), form, "p")
+        stamp = lambda x: re.sub(r'"scan_timestamp": "[^"]*"', "", x)
+        assert stamp(path.read_text()) == stamp(render(f, form, "p"))
+
+
 def test_ids_follow_the_order_over_partitions(spark):
     df = spark.range(2000).select((F.lit(5000) - F.col("id")).alias("ordinal"))
     got = sorted((r.ordinal, r.id) for r in R.numbered(df, splits=7).collect())
@@ -93,6 +128,8 @@ def test_store(spark, findings, tmp_path):
     assert [r.total_findings for r in s.get_scan(a).collect()] == [30]
     assert [r.id for r in s.get_findings(a, severity="low", number=2, size=3).collect()] == [10, 13, 16] or s.get_findings(a, severity="low", number=2, size=3).count() == 3
     assert s.list_scans(1, 1).count() == 1 and s.stats()["total_findings"] == 34
+    stats = s.stats()
+    assert stats["severity_distribution"] == {r["severity"]: r["n"] for r in s.findings.groupBy("severity").agg(F.count("*").alias("n")).collect()} and len(stats["recent_scans"]) == 2
     assert s.delete_scan(a) and s.stats()["total_findings"] == 4 and s.get_scan(b).count() == 1
     with pytest.raises(ValueError):
         s.list_scans(0)
@@ -124,7 +161,7 @@ def test_configuration(tmp_path):
     (tmp_path / ".sparkwarden.yml").write_text("severity: {minimum: odd}\nscan: {languages: [cobol]}\n")
     raw, warn = config.load_config(str(tmp_path))
     assert raw["severity"]["minimum"] == "odd" and raw["scan"]["paths"] == ["."] and len(warn) == 2
-    assert config.overridden(config.scan_config(raw), output_format="json", output_file=None).output_format == "json"
+    assert config.overridden(raw, {"output.format": "json", "output.file": None})["output"] == {"format": "json", "file": None}
 
 
 def test_scan_end_to_end(spark, tmp_path):
@@ -152,3 +189,23 @@ def test_incremental_findings(spark, tmp_path):
     q = new_findings(spark, str(tmp_path / "in"), detect, str(tmp_path / "out"), str(tmp_path / "state"), old)
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_baseline_lines_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    f = [(i, rng.choice("ab"), rng.choice([None, *range(60)]), "t", rng.choice("mn")) for i in range(120)]
+    old = [(rng.choice("ab"), rng.choice([None, *range(60)]), "t", rng.choice("mn")) for _ in range(25)]
+    df, base = spark.createDataFrame(f, "ordinal int, file string, line bigint, type string, message string"), spark.createDataFrame(old, "file string, line bigint, type string, message string")
+    for within in (0, 1, 5, 7):
+        want = {i for i, a, n, t, m in f if any((a, t, m) == (x, y, z) and abs((n or 0) - (k or 0)) <= within for x, k, y, z in old)}
+        assert {r.ordinal for r in SU.known(df, base, within).collect()} == want
+        assert {r.ordinal for r in SU.known(df, base, within, "left_anti").collect()} == set(range(120)) - want
+
+
+def test_rule_lookups(spark):
+    t = RU.rule_table(spark)
+    assert RU.rule_by_id(t, "VP-PY-001").first().names == ["eval"] and t.where(F.size("references") > 0).count() == 10
+    assert RU.rules_for(t, "Python").count() + RU.rules_for(t, "javascript").count() == 24
+    assert {r.id for r in RU.callees(t, "python").where("callee = 'eval'").collect()} == {"VP-PY-001"}
