@@ -178,7 +178,7 @@ def rolled(hashes: np.ndarray, n: int) -> np.ndarray:
 
 def bounded_sample(df: DataFrame, key: str, by: str, per_value) -> DataFrame:
     """At most about per_value (a number, or a column of `by`) rows for each value of `by`, chosen by a hash of key; all of a value that has fewer."""
-    counts = F.broadcast(df.groupBy(by).count().withColumnRenamed("count", "_rows").orderBy(F.desc("_rows")).limit(4096))
+    counts = small(df.groupBy(by).count().withColumnRenamed("count", "_rows"))
     draw = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30)) / float(1 << 30)
     return df.join(counts, by).where(draw * F.col("_rows") < per_value).drop("_rows")
 

@@ -1,30 +1,38 @@
 """Benchmark decontamination by Wu-Manber multi-pattern search over words.
 
 Patterns are the windows of `window` consecutive words of each benchmark item (an item of fewer words is one
-window). For each window length, a table of two-word blocks says how far a search may jump, buckets by the
-window's last block select candidate windows, and comparison of all words confirms them.
+window). For each window length, a table of two-word blocks says how far a search may jump: places whose block allows a
+jump, or that have a word of no window less than a length before them, are skipped. At places without a jump, buckets by
+the hash of the window's last block (and its first, as a prefix check) select candidate windows, and comparison of all
+words confirms them.
 
-The benchmark is cut into blocks of at most BLOCK_BYTES of text, each broadcast and searched by a pass of its
-own in the same task chain, so that its size has no bound and nothing is shuffled.
+Words are numbers, windows are places in one array of the items' words, and tables are sorted arrays: about 30 bytes for
+each word of the benchmark. A buffer of texts is searched at once.
+
+The benchmark is cut into blocks of at most BLOCK_BYTES of text. One block is broadcast and searched at a time; with more
+than one, each pass ends in a table in the shared scratch folder, so neither driver nor workers hold more than a
+block, whatever the benchmark's size. Nothing is shuffled.
 
 Defined cases: null or empty texts and items have no words, are never hit and never hit; items with the same
-window all count; repeated document rows each get the same result; an empty benchmark leaves every document
-clean; items with a null id count as the id "" ; input columns named like an output are replaced.
+window all count, and repeated items once; repeated document rows each get the same result; very long texts are searched
+whole; an empty benchmark leaves every document clean, and an empty documents table gives no rows; items with a null id
+count as the id "" ; input columns named like an output are replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import drop_table, mixed, slices, table, written
 
 WINDOW = 10
-#: UTF-8 bytes of benchmark text that one broadcast holds.
-BLOCK_BYTES = 8 << 20
+#: UTF-8 bytes of benchmark text that one broadcast holds, and pairs of places and windows that are compared at once.
+BLOCK_BYTES, PAIRS = 8 << 20, 1 << 20
 OUT = ("n_words", "n_hit", "hit_ranges", "items")
 _TYPE = "struct<n_words:bigint,hit_ranges:array<struct<start:bigint,end:bigint>>,items:array<string>>"
 
@@ -36,44 +44,70 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_KEPT).split() if text else []
 
 
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and members of the ranges low .. high."""
+    sizes = high - low
+    row = np.repeat(np.arange(len(low)), sizes)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + low[row]
+
+
 class WuManber:
-    """Windows of `length` word ids; ids are 1 or more, 0 is a word that no window has."""
-
-    def __init__(self, windows: dict[tuple[int, ...], set[str]], length: int, vocabulary: int):
-        self.length, self.block, self.base = length, min(2, length), vocabulary + 1
-        self.shift: dict[int, int] = {}
-        self.buckets: dict[int, list[tuple[tuple[int, ...], frozenset[str]]]] = {}
-        for w, items in windows.items():
-            for last in range(self.block - 1, length):
-                key = self._key(w, last)
-                far = length - 1 - last
-                if far < self.shift.get(key, length):
-                    self.shift[key] = far
-            self.buckets.setdefault(self._key(w, length - 1), []).append((w, frozenset(items)))
-
-    def _key(self, ids, last: int) -> int:
-        return ids[last] if self.block == 1 else ids[last - 1] * self.base + ids[last]
-
-    def find(self, ids: list[int]) -> Iterator[tuple[int, frozenset[str]]]:
-        """First words of the occurrences in order, with their items."""
-        length, n, base, jump, two = self.length, len(ids), self.base, self.shift.get, self.block == 2
-        far = length - self.block + 1
-        at = length - 1
-        while at < n:
-            last = ids[at]
-            if not last:
-                at += length
-                continue
-            key = ids[at - 1] * base + last if two else last
-            step = jump(key, far)
-            if step:
-                at += step
-                continue
-            seen = tuple(ids[at - length + 1 : at + 1])
-            for window, items in self.buckets[key]:
-                if window == seen:
-                    yield at - length + 1, items
-            at += 1
+    """Windows of `length` words, at starts in an array of word numbers; numbers are 1 or more, 0 is a word that no window has."""
+
+    def __init__(self, words: np.ndarray, starts: np.ndarray, items: np.ndarray, length: int, vocabulary: int):
+        self.words, self.length, self.block, self.base = words, length, min(2, length), np.int64(vocabulary + 1)
+        # a block's jump is least in the windows that it ends latest in: length - 1 less its place there
+        at = np.unique(starts[:, None] + np.arange(self.block - 1, length)) if len(starts) <= 1 << 16 else np.flatnonzero(self._covered(starts))
+        latest = starts[np.searchsorted(starts, at - length + 1)]
+        key, far = self._key(words, at), length - 1 - (at - latest)
+        order = np.lexsort((far, key))
+        first = np.concatenate(([True], key[order][1:] != key[order][:-1])) if len(key) else np.zeros(0, bool)
+        self.keys, self.shifts = key[order][first], far[order][first]
+        bucket = self._bucket(words, starts)
+        order = np.argsort(bucket, kind="stable")
+        self.buckets, self.starts, self.items = bucket[order], starts[order], items[order]
+
+    def _covered(self, starts: np.ndarray) -> np.ndarray:
+        change = np.zeros(len(self.words) + 1, np.int32)
+        np.add.at(change, starts + self.block - 1, 1)
+        np.add.at(change, starts + self.length, -1)
+        return np.cumsum(change[:-1]) > 0
+
+    def _key(self, words: np.ndarray, last: np.ndarray) -> np.ndarray:
+        own = words[last].astype(np.int64)
+        return own if self.block == 1 else words[last - 1] * self.base + own
+
+    def _bucket(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        suffix, prefix = self._key(words, starts + self.length - 1), self._key(words, starts + self.block - 1)
+        return mixed(suffix.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + prefix.view(np.uint64))
+
+    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First words of the occurrences, with their items' numbers."""
+        n, length = len(ids), self.length
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if n < length or not len(self.keys):
+            return none
+        # a word of no window lets the search jump its whole length
+        zero = np.where(ids == 0, np.arange(n), -1)
+        at = np.flatnonzero(np.arange(n) - np.maximum.accumulate(zero) >= length)
+        key = self._key(ids, at)
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        at = at[(self.keys[place] == key) & (self.shifts[place] == 0)] - length + 1
+        bucket = self._bucket(ids, at)
+        low, high = np.searchsorted(self.buckets, bucket, "left"), np.searchsorted(self.buckets, bucket, "right")
+        found = [none]
+        ends = np.cumsum(high - low)
+        i = 0
+        while i < len(at):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS, "right")))
+            row, member = _ranges(low[i:j], high[i:j])
+            row += i
+            for k in range(length):
+                same = ids[at[row] + k] == self.words[self.starts[member] + k]
+                row, member = row[same], member[same]
+            found.append((at[row], self.items[member]))
+            i = j
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
 class Patterns:
@@ -81,28 +115,44 @@ class Patterns:
 
     def __init__(self, items: list[tuple[str, bytes | None]], window: int = WINDOW):
         self.ids: dict[bytes, int] = {}
-        by_length: dict[int, dict[tuple[int, ...], set[str]]] = {}
+        self.names = sorted({i for i, _ in items})
+        number = {n: k for k, n in enumerate(self.names)}
+        words, by_length, at = [], {}, 0
         for item, text in items:
-            ids = [self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text)]
+            ids = np.fromiter((self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text)), np.int32)
             length = min(window, len(ids))
-            for i in range(len(ids) - length + 1 if ids else 0):
-                by_length.setdefault(length, {}).setdefault(tuple(ids[i : i + length]), set()).add(item)
-        self.searchers = [WuManber(w, n, len(self.ids)) for n, w in sorted(by_length.items())]
-
-    def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Word ranges (start, end exclusive) under occurrences, merged, and the items that occur."""
+            if length:
+                words.append(ids)
+                starts = at + np.arange(len(ids) - length + 1)
+                by_length.setdefault(length, []).append((starts, np.full(len(starts), number[item], np.int32)))
+                at += len(ids)
+        every = np.concatenate(words) if words else np.zeros(0, np.int32)
+        self.searchers = [WuManber(every, np.concatenate([s for s, _ in v]), np.concatenate([i for _, i in v]), n, len(self.ids)) for n, v in sorted(by_length.items())]
+
+    def search(self, texts: list[bytes | None]) -> tuple[list[int], list[list[tuple[int, int]]], list[set[str]]]:
+        """For each text its words, word ranges (start, end exclusive) under occurrences, merged, and the items that occur."""
         get = self.ids.get
-        ids = [get(w, 0) for w in words]
-        ranges: list[tuple[int, int]] = []
-        found: set[str] = set()
+        split = [words_of(t) for t in texts]
+        counts = [len(w) for w in split]
+        # a word of no window stands between texts
+        first = np.cumsum([0, *(n + 1 for n in counts)])
+        ids = np.zeros(first[-1], np.int32)
+        for a, w in zip(first.tolist(), split, strict=False):
+            ids[a : a + len(w)] = np.fromiter((get(x, 0) for x in w), np.int32, len(w))
+        change = np.zeros(len(ids) + 1, np.int32)
+        items: list[set[str]] = [set() for _ in texts]
         for s in self.searchers:
-            for at, items in s.find(ids):
-                found |= items
-                if ranges and ranges[-1][0] <= at <= ranges[-1][1]:
-                    ranges[-1] = (ranges[-1][0], max(ranges[-1][1], at + s.length))
-                else:
-                    ranges.append((at, at + s.length))
-        return merged(ranges), found
+            at, item = s.find(ids)
+            np.add.at(change, at, 1)
+            np.add.at(change, at + s.length, -1)
+            pairs = np.unique(np.stack((np.searchsorted(first, at, "right") - 1, item)), axis=1)
+            for k, i in pairs.T.tolist():
+                items[k].add(self.names[i])
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], np.cumsum(change) > 0)).astype(np.int8)))
+        ranges: list[list[tuple[int, int]]] = [[] for _ in texts]
+        for a, b, k in zip(edge[0::2].tolist(), edge[1::2].tolist(), (np.searchsorted(first, edge[0::2], "right") - 1).tolist(), strict=True):
+            ranges[k].append((a - int(first[k]), b - int(first[k])))
+        return counts, ranges, items
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -121,16 +171,17 @@ def _searcher(held):
     def search(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         patterns: Patterns = held.value
         for text, before in batches:
+            texts, earlier = text.to_pylist(), before.to_pylist()
             counts, ranges, items = [], [], []
-            for t, b in zip(text, before, strict=True):
-                words = words_of(t.as_py())
-                r, found = patterns.search(words)
-                if (b := b.as_py()) is not None and b["n_words"] is not None:
-                    r = merged([(x["start"], x["end"]) for x in b["hit_ranges"]] + r)
-                    found = found | set(b["items"])
-                counts.append(len(words))
-                ranges.append([{"start": x, "end": y} for x, y in r])
-                items.append(sorted(found))
+            for i, j in slices(texts):
+                n, r, found = patterns.search(texts[i:j])
+                for k, b in enumerate(earlier[i:j]):
+                    if b is not None and b["n_words"] is not None:
+                        r[k] = merged([(x["start"], x["end"]) for x in b["hit_ranges"]] + r[k])
+                        found[k] |= set(b["items"])
+                counts += n
+                ranges += [[{"start": x, "end": y} for x, y in a] for a in r]
+                items += map(sorted, found)
             yield pa.StructArray.from_arrays(
                 [pa.array(counts, pa.int64()), pa.array(ranges, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))],
                 ["n_words", "hit_ranges", "items"],
@@ -140,28 +191,30 @@ def _searcher(held):
     return F.arrow_udf(search, _TYPE).asNondeterministic()
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, bytes | None]]]:
-    """The items, so many bytes of text at a time: the driver never holds more than one block."""
+def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> tuple[int, Iterator[list[tuple[str, bytes | None]]]]:
+    """How many blocks, and the items of each, so many bytes of text at a time: the driver never holds more than one."""
     narrow = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.col(text).cast("binary").alias("t")).where(F.octet_length("t") > 0)
     total = narrow.agg(F.sum(F.octet_length("t").cast("long") + 64)).first()[0] or 0
-    n = -(-total // block_bytes)
-    for k in range(n):
-        rows = narrow.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else narrow
-        yield [(r["i"], bytes(r["t"])) for r in rows.collect()]
+    n = max(1, -(-total // block_bytes))
+    part = lambda k: narrow.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else narrow
+    return n, ([(r["i"], bytes(r["t"])) for r in part(k).distinct().collect()] for k in range(n))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with n_words, n_hit, hit_ranges (word ranges, end exclusive) and items (sorted ids as strings)."""
     out = docs.drop(*OUT, "_hits").withColumn("_hits", F.lit(None).cast(_TYPE))
     raw: Column = F.col(text).cast("binary")
-    blocks = 0
-    for block in _blocks(benchmark, item, item_text, block_bytes):
+    before = None
+    many, blocks = _blocks(benchmark, item, item_text, block_bytes)
+    for block in blocks:
         held = docs.sparkSession.sparkContext.broadcast(Patterns(block, window))
         out = out.withColumn("_hits", _searcher(held)(raw, F.col("_hits")))
-        blocks += 1
-    if not blocks:
-        held = docs.sparkSession.sparkContext.broadcast(Patterns([], window))
-        out = out.withColumn("_hits", _searcher(held)(raw, F.col("_hits")))
+        if many > 1:
+            out = written(out, "block")
+            held.unpersist()
+            if before is not None:
+                drop_table(before)
+            before = out
     h = F.col("_hits")
     hit = F.aggregate(h["hit_ranges"], F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
     return out.select(*[c for c in out.columns if c != "_hits"], h["n_words"].alias("n_words"), hit.alias("n_hit"), h["hit_ranges"].alias("hit_ranges"), h["items"].alias("items"))

@@ -9,8 +9,10 @@ each token's marginal; their sum, maximum and mean give the document's score by
 With two states a message is one number, its log-odds, so the recursions run over all segments of a buffer at once.
 
 Defined cases: a null or empty text has no tokens and gets the score of none; repeated rows get equal results; with
-no labelled rows, or one class only, every score is that class's share (0 if there is none); very long texts are
-read whole; input columns named like an output are replaced.
+no labelled rows, or one class only, every score is that class's share (0 if there is none); a document with unlike
+labels has none, and labels other than 0 and 1 are none; of ties between cues the most frequent, then the purest, then the
+whole word is taken; very long texts are read whole; an empty table gives no rows; input columns named like an output
+are replaced.
 """
 
 from __future__ import annotations
@@ -30,9 +32,10 @@ from pyspark.sql import types as T
 from .common import bounded_sample, fold, slices, table
 
 #: Toxic and clean training rows at most (the bound of the sample), and bytes of text a training row may have.
-TOXIC_ROWS, CLEAN_ROWS, ROW_BYTES = 1200, 5000, 8_000
-#: Least share of the toxic training rows that a cue is in, and segments with cues that the chain is trained on at most.
-CUE_SUPPORT, CUE_SEGMENTS = 0.003, 6000
+TOXIC_ROWS, CLEAN_ROWS, ROW_BYTES = 2000, 5000, 16_000
+#: Least share of the toxic training rows that a cue is in, and its letters at most; segments with cues that the chain is
+#: trained on at most, and segments without for each of them.
+CUE_SUPPORT, CUE_LETTERS, CUE_SEGMENTS, PLAIN_SEGMENTS = 0.003, 80, 6000, 2
 BUCKETS, PREFIX, SEGMENT, EPOCHS = 1 << 17, 10, 128, 4
 _WORDS_KEPT = 300_000
 
@@ -45,7 +48,7 @@ def lines_of(text: bytes | None) -> list[list[bytes]]:
 
 def features(word: bytes) -> list[str]:
     """The word and its beginnings of 3 to 8 letters."""
-    w = word.decode("utf-8", "ignore").lower()[:80]
+    w = word.decode("utf-8", "ignore").lower()[:CUE_LETTERS]
     return [f"w={w}", *(f"p={w[:n]}" for n in range(3, 9) if len(w) > n)]
 
 
@@ -169,26 +172,38 @@ def pairs(emission: np.ndarray, fwd: np.ndarray, bwd: np.ndarray, at: np.ndarray
     return x / x.sum(0)
 
 
+def placed(ids: list[np.ndarray], none: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of segments one after another, the word before and after each (none at a segment's ends), and lengths."""
+    lengths = np.array([len(x) for x in ids])
+    own = np.concatenate(ids)
+    first = np.cumsum(lengths) - lengths
+    before, after = np.concatenate(([none], own[:-1])), np.concatenate((own[1:], [none]))
+    before[first] = none
+    after[first + lengths - 1] = none
+    return own, before, after, lengths
+
+
 def trained(segments: list[tuple[list[bytes], list[int]]], seed: int = 5) -> Chain:
-    """Stochastic gradient ascent (Adagrad) on the likelihood of labelled segments."""
+    """Stochastic gradient ascent (Adagrad) on the likelihood of labelled segments.
+
+    Segments are kept as numbers of words, and features are looked up for each batch.
+    """
     chain, rng = Chain(), np.random.default_rng(seed)
     distinct = sorted({w for words, _ in segments for w in words})
     if not distinct:
         return chain
-    known = dict(zip(distinct, buckets(distinct), strict=True))
-    none = np.zeros(PREFIX - 1, np.int64)
-    data = []
-    for words, labels in segments:
-        rows = [none, *(known[w] for w in words), none]
-        data.append((np.stack([np.stack(rows[1:-1]), np.stack(rows[:-2]) + BUCKETS, np.stack(rows[2:]) + 2 * BUCKETS], 1).reshape(len(words), -1).astype(np.int32), np.array(labels)))
+    known = np.vstack((buckets(distinct), np.zeros((1, PREFIX - 1), np.int64))).astype(np.int32)
+    none = len(distinct)
+    number = {w: i for i, w in enumerate(distinct)}
+    data = [(np.fromiter((number[w] for w in words), np.int32, len(words)), np.array(labels, np.uint8)) for words, labels in segments]
     seen = np.full(3 * BUCKETS, 1e-3)
     weights = chain.weights.reshape(-1)
     seen_t, seen_s = np.full((2, 2), 1.0), 1.0
     for _ in range(EPOCHS):
         for group in np.array_split(rng.permutation(len(data)), max(1, len(data) // 64)):
-            at = np.concatenate([data[i][0] for i in group])
+            own, before, after, lengths = placed([data[i][0] for i in group], none)
+            at = np.concatenate((known[own], known[before] + BUCKETS, known[after] + 2 * BUCKETS), axis=1)
             gold = np.concatenate([data[i][1] for i in group]).astype(float)
-            lengths = np.array([len(data[i][1]) for i in group])
             emission = weights[at].sum(1)
             fwd, bwd = messages(emission, lengths, chain.trans, chain.start)
             m = 1 / (1 + np.exp(-np.clip(fwd + bwd, -40, 40)))
@@ -197,20 +212,27 @@ def trained(segments: list[tuple[list[bytes], list[int]]], seed: int = 5) -> Cha
             grad[[0, BUCKETS, 2 * BUCKETS]] = 0
             seen += grad**2
             weights += 0.3 * grad / np.sqrt(seen)
-            inner = np.ones(len(gold), bool)
-            inner[np.cumsum(lengths) - lengths] = False
-            at = np.flatnonzero(inner)
-            was, is_ = gold[at - 1], gold[at]
-            observed = np.array([((1 - was) * (1 - is_)).sum(), ((1 - was) * is_).sum(), (was * (1 - is_)).sum(), (was * is_).sum()])
-            pair = (observed - pairs(emission, fwd, bwd, at, chain.trans).sum(1)).reshape(2, 2)
-            seen_t += pair**2
-            chain.trans += 0.1 * pair / np.sqrt(seen_t)
-            lead = error[np.cumsum(lengths) - lengths].sum()
-            seen_s += lead**2
-            chain.start += 0.1 * lead / np.sqrt(seen_s)
+            trans, start = chain_gradient(gold, emission, fwd, bwd, lengths, chain.trans)
+            seen_t += trans**2
+            chain.trans += 0.1 * trans / np.sqrt(seen_t)
+            seen_s += start**2
+            chain.start += 0.1 * start / np.sqrt(seen_s)
     return chain
 
 
+def chain_gradient(gold: np.ndarray, emission: np.ndarray, fwd: np.ndarray, bwd: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, float]:
+    """Gradients of the segments' log-likelihood by the transition and start weights: what is observed less what is expected."""
+    first = np.cumsum(lengths) - lengths
+    inner = np.ones(len(gold), bool)
+    inner[first] = False
+    at = np.flatnonzero(inner)
+    was, is_ = gold[at - 1], gold[at]
+    observed = np.array([((1 - was) * (1 - is_)).sum(), ((1 - was) * is_).sum(), (was * (1 - is_)).sum(), (was * is_).sum()])
+    pair = (observed - pairs(emission, fwd, bwd, at, trans).sum(1)).reshape(2, 2)
+    m = 1 / (1 + np.exp(-np.clip(fwd + bwd, -40, 40)))
+    return pair, float((gold - m)[first].sum())
+
+
 class _Words(dict):
     """word -> row of its parts"""
 
@@ -314,29 +336,41 @@ class ToxicityModel:
     def __init__(self, rows: list[tuple[bytes, int]]):
         self.constant: float | None = None
         self.chain, self.scale = Chain(), np.zeros(4)
+        self.cues: set[str] = set()
         classes = Counter(y for _, y in rows)
         if len(classes) < 2:
             self.constant = float(classes[1] > 0)
             return
         rows = sorted(set(rows))
         order = np.random.default_rng(3).permutation(len(rows))
-        toxic = [lines_of(rows[i][0]) for i in order if rows[i][1]]
+        same: dict[bytes, bytes] = {}  # one object for each word
+
+        def lines(text: bytes) -> list[list[bytes]]:
+            return [[same.setdefault(w, w) for w in line] for line in lines_of(text)]
+
+        toxic = [lines(rows[i][0]) for i in order if rows[i][1]]
         clean = [rows[i][0] for i in order if not rows[i][1]]
         bags = [{w for line in d for w in line} for d in toxic]
-        found = cues(bags, ({w for line in lines_of(t) for w in line} for t in clean))
-        docs = [*toxic, *(lines_of(t) for t in clean[: len(toxic) + 50])]
-        marked = {w for d in docs for line in d for w in line if not found.isdisjoint(features(w))}
+        self.cues = cues(bags, ({w for line in lines_of(t) for w in line} for t in clean))
+        del bags
+        marks: dict[bytes, int] = {}
+
+        def mark(word: bytes) -> int:
+            if word not in marks:
+                marks[word] = int(not self.cues.isdisjoint(features(word)))
+            return marks[word]
+
         with_cue, without = [], []
-        for d in docs:
+        for d in (*toxic, *map(lines, clean)):
             for line in d:
                 for i in range(0, len(line), SEGMENT):
                     words = line[i : i + SEGMENT]
-                    labels = [int(w in marked) for w in words]
-                    (with_cue if any(labels) else without).append((words, labels))
+                    (with_cue if any(map(mark, words)) else without).append(words)
         rng = np.random.default_rng(3)
-        some = rng.permutation(len(without))[: 2 * len(with_cue) + 200]
         pick = rng.permutation(len(with_cue))[:CUE_SEGMENTS]
-        self.chain = trained([with_cue[i] for i in pick] + [without[i] for i in some[: 2 * len(pick) + 200]])
+        some = rng.permutation(len(without))[: PLAIN_SEGMENTS * len(pick) + 200]
+        self.chain = trained([(x, list(map(mark, x))) for x in (*(with_cue[i] for i in pick), *(without[i] for i in some))])
+        del with_cue, without, same, marks
         self._scale(rows)
 
     def _scale(self, rows: list[tuple[bytes, int]]) -> None:
@@ -355,9 +389,15 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(x @ self.scale[:3] + self.scale[3], -30, 30)))
 
 
+def labelled(labels: DataFrame, key: str = "doc_id", label: str = "toxic") -> DataFrame:
+    """(k, y): the labels 0 and 1 of documents that have one only."""
+    marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
+    return marks.groupBy("k").agg(F.min("y").alias("y"), F.max("y").alias("_most")).where("y = _most AND y IN (0, 1)").drop("_most")
+
+
 def fitted(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> ToxicityModel:
     """A model of a bounded sample of the documents that have a label; rows with a null label have none."""
-    marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
+    marks = labelled(labels, key, label)
     chosen = bounded_sample(marks, "k", "y", F.when(F.col("y") == 1, TOXIC_ROWS).otherwise(CLEAN_ROWS)).select("k", "y").limit(2 * (TOXIC_ROWS + CLEAN_ROWS))
     rows = docs.where(F.octet_length(text).between(1, ROW_BYTES)).select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t"))
     return ToxicityModel([(bytes(r["t"]), r["y"]) for r in rows.join(F.broadcast(chosen), "k").select("t", "y").collect()])
@@ -391,4 +431,5 @@ def scored(df: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fitted(docs, table(spark, sf_dir, "labels").where(fold("doc_id") != 0))
-    return scored(docs, model).select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", "predicted", F.size("toxic_spans").cast("long").alias("n_spans"))
+    spans = F.array_join(F.transform("toxic_spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return scored(docs, model).select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", "predicted", F.size("toxic_spans").cast("long").alias("n_spans"), spans.alias("spans"))

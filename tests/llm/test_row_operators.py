@@ -64,6 +64,48 @@ def test_decontamination_against_brute_force(spark, block_bytes):
     assert got == want
 
 
+def test_search_against_plain_windows():
+    """Random texts of few words, so that windows overlap, repeat and share their last and first blocks."""
+    rng = np.random.default_rng(2)
+    words = ["ab", "cd", "ef", "gh"]
+    for trial in range(30):
+        items = [(str(i), " ".join(rng.choice(words, rng.integers(0, 9)))) for i in range(rng.integers(0, 12))]
+        texts = [" ".join(rng.choice([*words, "zz"], rng.integers(0, 60), p=[0.23, 0.23, 0.23, 0.23, 0.08])) for _ in range(8)]
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(dec, "PAIRS", 7)
+            counts, ranges, found = dec.Patterns([(i, t.encode()) for i, t in items], 5).search([*(t.encode() for t in texts), None])
+        for t, n, r, f in zip([*texts, ""], counts, ranges, found, strict=True):
+            w, hit, names = t.split(), set(), set()
+            for name, x in items:
+                v = x.split()
+                size = min(5, len(v))
+                for k in range(len(v) - size + 1 if v else 0):
+                    for at in range(len(w) - size + 1):
+                        if w[at : at + size] == v[k : k + size]:
+                            names.add(name)
+                            hit.update(range(at, at + size))
+            assert (n, f) == (len(w), names) and {k for a, b in r for k in range(a, b)} == hit
+
+
+def test_patterns_are_compact():
+    import pickle
+
+    rng = np.random.default_rng(0)
+    text = b" ".join(b"w%d" % i for i in rng.integers(0, 20_000, 100_000))
+    size = len(pickle.dumps(dec.Patterns([("a", text)])))
+    assert size < 8 * len(text)
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 3000])
+def test_decontamination_in_blocks_equals_one(spark, block_bytes):
+    rng = np.random.default_rng(1)
+    items = [(i, " ".join(f"q{x}" for x in rng.integers(0, 3000, 40))) for i in range(200)]
+    docs = [(i, " ".join(f"q{x}" for x in rng.integers(0, 3000, 30)) + " " + (items[i % 200][1] if i % 3 == 0 else "")) for i in range(120)] + [(500, ("x " * 50_000) + items[7][1])]
+    found = dec.contamination(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), block_bytes=block_bytes)
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in found.collect()}
+    assert got == {i: (len(t.split()), 40 if i % 3 == 0 or i == 500 else 0, [str(i % 200)] if i % 3 == 0 and i != 500 else ["7"] if i == 500 else []) for i, t in docs}
+
+
 def test_decontamination_of_and_by_nothing(docs, none):
     assert dec.contamination(docs, none.select("doc_id", "text"), item="doc_id").where("n_hit > 0").count() == 0
     assert dec.contamination(none, docs, item="doc_id").count() == 0
@@ -397,3 +439,73 @@ def test_words_and_tails_encode_as_the_whole_text():
         for i in range(len(texts)):
             got = e(pa.array(texts, kind).slice(i))
             assert [np.frombuffer(x, e.kind).tolist() for x in got] == want[i:]
+
+
+def test_gradients_of_tiny_chains():
+    """Training's gradients against differences of the likelihood, summed over all state sequences."""
+    import itertools
+
+    rng = np.random.default_rng(4)
+    lengths = np.array([1, 2, 4])
+    gold = rng.integers(0, 2, 7).astype(float)
+    e, trans, start = rng.normal(size=7), rng.normal(size=(2, 2)), 0.3
+
+    def likelihood(e, trans, start):
+        total, at = 0.0, 0
+        for n in lengths:
+            def score(y, at=at, n=n):
+                return start * y[0] + sum(e[at + k] * y[k] for k in range(n)) + sum(trans[y[k - 1], y[k]] for k in range(1, n))
+            total += score([int(x) for x in gold[at : at + n]]) - np.log(sum(np.exp(score(y)) for y in itertools.product((0, 1), repeat=int(n))))
+            at += n
+        return total
+
+    fwd, bwd = toxicity.messages(e, lengths, trans, start)
+    got_trans, got_start = toxicity.chain_gradient(gold, e, fwd, bwd, lengths, trans)
+    got_e = gold - 1 / (1 + np.exp(-(fwd + bwd)))
+    d = 1e-6
+    for i in range(7):
+        step = np.eye(7)[i] * d
+        assert np.isclose(got_e[i], (likelihood(e + step, trans, start) - likelihood(e - step, trans, start)) / (2 * d), atol=1e-5)
+    for i in range(2):
+        for k in range(2):
+            step = np.zeros((2, 2))
+            step[i, k] = d
+            assert np.isclose(got_trans[i, k], (likelihood(e, trans + step, start) - likelihood(e, trans - step, start)) / (2 * d), atol=1e-5)
+    assert np.isclose(got_start, (likelihood(e, trans, start + d) - likelihood(e, trans, start - d)) / (2 * d), atol=1e-5)
+    own, before, after, n = toxicity.placed([np.array([3]), np.array([4, 5])], 9)
+    assert (own.tolist(), before.tolist(), after.tolist(), n.tolist()) == ([3, 4, 5], [9, 9, 4], [9, 5, 9], [1, 2])
+
+
+def test_labels_that_are_none(spark):
+    marks = [(1, 1), (1, 1), (2, 0), (100, 0), (100, 1), (101, 7), (None, 1), (3, 1), (3, None), (4, None)]
+    got = toxicity.labelled(spark.createDataFrame(marks, "doc_id bigint, toxic int")).collect()
+    assert sorted((r.k, r.y) for r in got) == [(1, 1), (2, 0), (3, 1)]
+
+
+def test_language_features_and_scores_against_plain_loops():
+    words = [b"the", b"caf\xc3\xa9", b"a", b"\xc3\x9cber", b"abcdefgh"]
+    grams, counts = language.ngrams(words)
+    ends = np.cumsum(counts)
+    table = {}
+    for w, a, b in zip(words, ends - counts, ends, strict=True):
+        low = b" " + w.decode().lower().encode() + b" "
+        want = []
+        for n in range(1, 6):
+            for i in range(len(low) - n + 1):
+                g = low[i : i + n]
+                if g != b" ":
+                    code = 0
+                    for x in g:
+                        code = (code * 257 + x + 1) % (1 << 64)
+                    want.append(((code + n) * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - language.BITS))
+        # a space is with the word after it, and runs of five bytes may hold spaces at their ends only
+        table[w] = sorted(want)
+        assert sorted(grams[a:b].tolist()) == table[w]
+    model = language.LanguageModel([(b"the cat and the dog " * 5, "en"), (b"der hund und die katze " * 5, "de")] * 10)
+    names, score, low = language.Predictor(model)([b"the caf\xc3\xa9", b"\xc3\x9cber a", None, b"12 34"])
+    for k, text in enumerate(([b"the", b"caf\xc3\xa9"], [b"\xc3\x9cber", b"a"])):
+        every = [g for w in text for g in table[w]]
+        x = (np.mean([model.table[g] for g in every], axis=0) + model.bias) / model.temperature
+        p = np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+        assert names[k] == model.languages[int(p.argmax())] and np.isclose(score[k], p.max(), atol=1e-5)
+    assert names[2:] == ["und", "und"] and score[2:].tolist() == [0.0, 0.0]
