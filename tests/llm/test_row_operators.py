@@ -289,6 +289,43 @@ def test_warc_round_trip(spark, tmp_path):
     assert empty.count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [0, 500_000])
+def test_warc_of_large_payloads_and_groups(spark, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(warc, "REVISITS", broadcast)
+    monkeypatch.setattr(warc, "FILE_BYTES", 4 << 20)
+    big = ["é" * 1_300_000, "<p>\r\n\r\n</p>" * 200_000]
+    html = [big[i % 2] if i % 40 == 0 else "hot" if i % 3 else f"own {i}" for i in range(200)]
+    pages = spark.createDataFrame([(i, f"http://a/{i}", h) for i, h in enumerate(html)], "page_id bigint, url string, html string")
+    path = str(tmp_path / "w")
+    rows = {r.page_id: r for r in warc.deduplicate_archives(pages, path, with_payload=True).collect()}
+    kept = {h: i for i, h in enumerate(html)}
+    for i, h in enumerate(html):
+        assert rows[i].payload_bytes == len(h.encode()) and (rows[i].refers_to or i) == kept[h]
+        assert (rows[i].payload == h.encode()) if kept[h] == i else rows[i].payload is None
+    import os
+
+    large = [f for f in os.listdir(f"{path}/large") if f.startswith("part-")]
+    assert 2 <= len(large) and os.listdir(f"{path}/records")
+
+
+def test_warc_files_of_many_members_are_read_as_streams():
+    import gzip
+
+    def record(k, payload):
+        http = b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
+        return b"WARC/1.1\r\nWARC-Type: response\r\nX-Page: %d\r\nContent-Length: %d\r\n\r\n" % (k, len(http)) + http + b"\r\n\r\n"
+
+    payloads = [b"", b"\r\n\r\nWARC/1.1\r\n", bytes(range(256)) * 9000, b"z"]
+    plain = b"".join(record(k, p) for k, p in enumerate(payloads))
+    members = b"".join(gzip.compress(record(k, p)) for k, p in enumerate(payloads))
+    for data in (plain, gzip.compress(plain), members):
+        assert [(h["X-Page"], p) for h, _, p in warc.parsed(data)] == [(str(k), p) for k, p in enumerate(payloads)]
+    for bad in (plain[:-10], plain[5:]):
+        with pytest.raises(ValueError):
+            list(warc.parsed(bad))
+    assert list(warc.parsed(b"")) == list(warc.parsed(gzip.compress(b""))) == []
+
+
 def test_licenses(docs, none, spark):
     got = licenses.recognised(docs).collect()
     assert len(got) == len(TEXTS)
