@@ -49,6 +49,14 @@ SENTENCES = {
     "mpl2_ref": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "isc_grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "unlicense": "this is free and unencumbered software released into the public domain",
+    "gpl_received": "you should have received a copy of the gnu general public license along with this program",
+    "lgpl21_free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl3_free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl_hope": "this library is distributed in the hope that it will be useful but without any warranty",
+    "agpl3_free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "bsl_grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "zlib_as_is": "this software is provided as is without any express or implied warranty",
+    "zlib_grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
     "reserved": "all rights reserved",
 }
 
@@ -63,6 +71,9 @@ WHOLE = {
     SENTENCES["apache2_copy"] + " https www apache org licenses license 2 0": ["apache2_copy"],
     SENTENCES["apache2_basis"] + " without warranties or conditions of any kind either express or implied": ["apache2_basis"],
     SENTENCES["gpl_hope"] + " without even the implied warranty of merchantability or fitness for a particular purpose": ["gpl_hope"],
+    SENTENCES["lgpl_hope"] + " without even the implied warranty of merchantability or fitness for a particular purpose": ["lgpl_hope"],
+    SENTENCES["gpl_received"] + " if not see http www gnu org licenses": ["gpl_received"],
+    SENTENCES["gpl_received"] + " if not see https www gnu org licenses": ["gpl_received"],
     SENTENCES["bsd_grant"] + " 1": ["bsd_grant"],
     SENTENCES["bsd_grant"] + " " + SENTENCES["bsd_source"]: ["bsd_grant", "bsd_source"],
 }
@@ -75,6 +86,17 @@ RULES = [
     ("mit_part", "MIT", ["mit_grant", "mit_keep"]),
     ("bsd3", "BSD-3-Clause", ["bsd_grant", "bsd_source", "bsd_binary", "bsd_names"]),
     ("bsd2", "BSD-2-Clause", ["bsd_grant", "bsd_source", "bsd_binary"]),
+    ("gpl3_whole", "GPL-3.0-or-later", ["gpl_free", "gpl_hope", "gpl_received"]),
+    ("gpl2_whole", "GPL-2.0-or-later", ["gpl2_free", "gpl_hope", "gpl_received"]),
+    ("agpl3_notice", "AGPL-3.0-or-later", ["agpl3_free", "gpl_hope"]),
+    ("agpl3_free", "AGPL-3.0-or-later", ["agpl3_free"]),
+    ("lgpl21_notice", "LGPL-2.1-or-later", ["lgpl21_free", "lgpl_hope"]),
+    ("lgpl21_free", "LGPL-2.1-or-later", ["lgpl21_free"]),
+    ("lgpl3_notice", "LGPL-3.0-or-later", ["lgpl3_free", "lgpl_hope"]),
+    ("lgpl3_free", "LGPL-3.0-or-later", ["lgpl3_free"]),
+    ("bsl", "BSL-1.0", ["bsl_grant"]),
+    ("zlib", "Zlib", ["zlib_as_is", "zlib_grant"]),
+    ("zlib_part", "Zlib", ["zlib_grant"]),
     ("gpl3_notice", "GPL-3.0-or-later", ["gpl_free", "gpl_hope"]),
     ("gpl2_notice", "GPL-2.0-or-later", ["gpl2_free", "gpl_hope"]),
     ("gpl3_free", "GPL-3.0-or-later", ["gpl_free"]),
@@ -154,7 +176,9 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
+    whole = {s: [k] for k, s in SENTENCES.items()} | WHOLE
     ids = "CASE s " + " ".join(f"WHEN '{s}' THEN '{k}'" for k, s in SENTENCES.items()) + " END"
+    joined = "CASE one " + " ".join(f"WHEN '{s}' THEN [{', '.join(repr(x) for x in k)}]" for s, k in whole.items()) + " END"
     steps = []
     for i, (_, _, seq) in enumerate(RULES):
         pattern = "".join(f",{k}," for k in seq)
@@ -162,11 +186,14 @@ def _oracle() -> str:
     names = ", ".join(f"CASE WHEN hit{i} THEN '{n}' END" for i, (n, _, _) in enumerate(RULES))
     first = ", ".join(f"CASE WHEN hit{i} THEN '{x}' END" for i, (_, x, _) in enumerate(RULES))
     return f"""
-WITH s AS (
-  SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
-    '\\.[ \\t\\r\\n]|\\.$|\\n', '|', 'g'), '[^a-z0-9|]+', ' ', 'g'), '|'), lambda s: trim(s)), lambda s: s <> '') AS ss FROM documents),
+WITH low AS (SELECT doc_id, regexp_replace(translate(coalesce(text, ''), '{_UPPER}#', '{_LOWER}*'), '\\bv\\.([ \\t\\r\\n]|$)', 'v|\\1', 'g') AS t FROM documents),
+marked AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '\\.([ \\t\\r\\n]|$)', '#', 'g'), '\\n[^a-z0-9#|]*\\n', '#', 'g'), '\\.[ \\t\\r\\n]|\\.$|\\n', '|', 'g') AS t FROM low),
+each AS (SELECT doc_id, i, list_filter(list_transform(string_split(seg, '|'), lambda s: trim(s)), lambda s: s <> '') AS ss FROM (
+  SELECT doc_id, unnest(segs) AS seg, generate_subscripts(segs, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(t, '[^a-z0-9|#]+', ' ', 'g'), '#') AS segs FROM marked))),
+found AS (SELECT doc_id, i, len(ss) AS n, CASE WHEN length(one) < {min(map(len, whole))} THEN [] ELSE coalesce({joined}, list_filter(list_transform(ss, lambda s: {ids}), lambda k: k IS NOT NULL)) END AS ids
+  FROM (SELECT *, array_to_string(ss, ' ') AS one FROM each)),
 q AS (SELECT *, array_to_string(list_transform(ids, lambda k: ',' || k || ','), '') AS left0 FROM (
-  SELECT doc_id, len(ss) AS n_sentences, list_filter(list_transform(ss, lambda s: {ids}), lambda k: k IS NOT NULL) AS ids FROM s)),
+  SELECT doc_id, sum(n) AS n_sentences, flatten(list(ids ORDER BY i)) AS ids FROM found GROUP BY doc_id)),
 {", ".join(steps)}
 SELECT doc_id, CAST(n_sentences AS BIGINT) AS n_sentences, CAST(len(ids) AS BIGINT) AS n_known, coalesce(array_to_string(ids, ','), '') AS sentence_ids,
   concat_ws(',', {names}) AS rules,
