@@ -17,4 +17,4 @@ QUERIES = {
     "op10_language": language.op10_language,
 }
 
-ORACLE = {"op1_decontaminate": decontamination.ORACLE, "op3_warc": warc.ORACLE, "op5_neardup": neardup.ORACLE, "op8_licenses": licenses.ORACLE}
+ORACLE = {"op1_decontaminate": decontamination.ORACLE, "op3_warc": warc.ORACLE, "op5_neardup": neardup.ORACLE, "op7_repetition": repetition.ORACLE, "op8_licenses": licenses.ORACLE}

@@ -5,8 +5,9 @@ ones, and the characters under them are counted once however many runs cover the
 the verdict.
 
 Defined cases: a null or empty text has no words and fails; equal runs in different texts never meet; a line
-without a word is no line here; repeated rows each get the same result; input columns named like an output are
-replaced.
+without a word is no line here; of equally frequent runs the one that covers most characters counts; repeated rows each
+get the same result; very long texts are measured whole; an empty table gives no rows; input columns named like an
+output are replaced.
 """
 
 from __future__ import annotations
@@ -142,3 +143,35 @@ def repetition(df: DataFrame, text: str = "text", min_words: int = 50, max_repea
 def op7_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return repetition(docs).drop("text", "reasons")
+
+
+def _oracle() -> str:
+    space = r"[\x20\x09-\x0D]+"
+    parts = []
+    for n in (3, *DUPLICATE_SHARE):
+        parts.append(f"""g{n} AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM (SELECT doc_id, unnest(generate_series(1, len(ws) - {n - 1})) AS i, unnest(list_transform(generate_series(1, len(ws) - {n - 1}), lambda i: array_to_string(ws[i:i + {n - 1}], ' '))) AS g FROM w WHERE len(ws) >= {n})),
+c{n} AS (SELECT doc_id, count(*) AS words, sum(cs[p]) AS chars FROM (SELECT DISTINCT doc_id, unnest(generate_series(i, i + {n - 1})) AS p FROM g{n} WHERE k > 1) JOIN w USING (doc_id) GROUP BY doc_id)""")
+    for n in TOP_SHARE:
+        parts.append(f"""t{n} AS (SELECT doc_id, max(k * chars) AS chars FROM (SELECT doc_id, g, count(*) AS k, any_value(chars) AS chars FROM (SELECT doc_id, unnest(list_transform(generate_series(1, len(ws) - {n - 1}), lambda i: array_to_string(ws[i:i + {n - 1}], ' '))) AS g, unnest(list_transform(generate_series(1, len(ws) - {n - 1}), lambda i: list_sum(cs[i:i + {n - 1}]))) AS chars FROM w WHERE len(ws) >= {n}) GROUP BY doc_id, g HAVING count(*) > 1) GROUP BY doc_id)""")
+    joins = " ".join(f"LEFT JOIN c{n} USING (doc_id)" for n in (3, *DUPLICATE_SHARE)) + " " + " ".join(f"LEFT JOIN t{n} USING (doc_id)" for n in TOP_SHARE)
+    whole = "CAST(coalesce({}, 0) AS BIGINT) AS {}"
+    columns = [whole.format("len(ws)", "n_words"), whole.format("list_sum(cs)", "word_chars"), whole.format("length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))", "n_symbols")]
+    columns += [whole.format(f"l.{k}", k) for k in ("n_dup_lines", "n_lines", "dup_line_chars")] + [whole.format("c3.words", "n_repeat_words")]
+    columns += [whole.format(f"c{n}.chars", f"dup_chars_{n}") for n in DUPLICATE_SHARE] + [whole.format(f"t{n}.chars", f"top_chars_{n}") for n in TOP_SHARE]
+    limit = lambda left, share, of: f"{left} > CAST({share} AS DOUBLE) * greatest({of}, 1)"
+    rules = [limit(f"dup_chars_{n}", v, "word_chars") for n, v in DUPLICATE_SHARE.items()] + [limit(f"top_chars_{n}", v, "word_chars") for n, v in TOP_SHARE.items()]
+    rules += [limit("n_dup_lines", LINE_SHARE, "n_lines"), limit("dup_line_chars", LINE_CHARS_SHARE, "word_chars")]
+    return f"""
+WITH w AS (SELECT doc_id, text, ws, list_transform(ws, lambda x: length(x)) AS cs FROM (SELECT doc_id, text, list_filter(string_split_regex(coalesce(text, ''), '{space}'), lambda x: x <> '') AS ws FROM documents)),
+line AS (SELECT doc_id, line, i, list_sum(list_transform(string_split_regex(line, '{space}'), lambda x: length(x))) AS chars FROM (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents)),
+l AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE r > 1) AS n_dup_lines, sum(chars) FILTER (WHERE r > 1) AS dup_line_chars FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS r FROM line WHERE chars > 0) GROUP BY doc_id),
+{", ".join(parts)},
+m AS (SELECT doc_id, {", ".join(columns)} FROM w LEFT JOIN l USING (doc_id) {joins})
+SELECT *, n_words < 50 OR n_repeat_words > CAST(0.5 AS DOUBLE) * n_words AS base_failed,
+  NOT (n_words < 50 OR n_repeat_words > CAST(0.5 AS DOUBLE) * n_words OR {" OR ".join(rules)}) AS kept FROM m
+"""
+
+
+ORACLE = _oracle()
