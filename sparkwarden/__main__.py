@@ -1,4 +1,4 @@
-"""Command line: scan, train, extract-nvd, init. Exit codes: 0 done, 1 findings at or above --fail-on, 2 an error."""
+"""Command line: scan, train, dataset, benchmark, extract-nvd, init. Exit codes: 0 done, 1 findings at or above --fail-on, 2 an error."""
 
 from __future__ import annotations
 
@@ -37,6 +37,10 @@ def parser() -> argparse.ArgumentParser:
     n = sub.add_parser("extract-nvd", help="patterns of a local NVD document as CSV")
     n.add_argument("json")
     n.add_argument("csv")
+    b = sub.add_parser("benchmark", help="detection over synthetic samples, and timed scans of synthetic projects")
+    b.add_argument("out", help="a folder for the results")
+    d = sub.add_parser("dataset", help="a labelled training dataset with its mapping and summary")
+    d.add_argument("out")
     i = sub.add_parser("init", help="write a default configuration")
     i.add_argument("path", nargs="?", default=".")
     return p
@@ -89,7 +93,7 @@ def _scan(args: argparse.Namespace, spark) -> int:
 
             model = PipelineModel.load(c["ml"]["model_path"])
     folders = [*c["rules"]["additional_dirs"], *(args.rules or [])]
-    options = _tables(args, spark) | {"languages": tuple(c["scan"]["languages"]), "disabled": tuple(c["rules"]["disabled"]), "rules": load_all(folders) if folders else None}
+    options = _tables(args, spark) | {"languages": tuple(c["scan"]["languages"]), "disabled": tuple(c["rules"]["disabled"]), "rules": load_all(folders) if folders else None, "auto_train": bool(c["ml"]["enabled"])}
     baseline = readers.baseline(spark, args.baseline) if args.baseline else None
     # everything is scanned once; what is reported is a part of it
     every, errors = scan_project(spark, args.path, args.profile, "low", ignore, baseline, True, model, **options)
@@ -128,11 +132,27 @@ def run(args: argparse.Namespace, spark) -> int:
     if args.command == "scan":
         return _scan(args, spark)
     if args.command == "train":
-        from sparkwarden.operators.learning import FEATURES, features, train
+        from sparkwarden.operators.learning import FEATURES, features, trained
 
         rows = readers.read_labelled(spark, args.csv)
         x = features(rows.drop(*[n for n in ("dangerous_calls", "trace", "call_chain", "var_trace", "input_validation", "dependencies") if n in rows.columns]), ["label"])
-        train(x, FEATURES).write().overwrite().save(args.model)
+        model, metrics = trained(x, FEATURES)
+        model.write().overwrite().save(args.model)
+        print(" ".join(f"{k}={v}" for k, v in metrics.items() if k != "grp"))
+    elif args.command == "benchmark":
+        import json
+
+        from sparkwarden.plans.training import benchmark_run, benchmark_samples, timed_scans
+
+        result, _ = benchmark_run(benchmark_samples(spark), args.out)
+        print(result.where("grp IS NULL").first())
+        timings = timed_scans(spark)
+        sinks.write_text(spark, f"{args.out}/timings.json", json.dumps({"results": timings, "all_passed": all(t["passed"] for t in timings)}))
+        return int(not all(t["passed"] for t in timings))
+    elif args.command == "dataset":
+        from sparkwarden.plans.training import training_run
+
+        training_run(spark, args.out)
     elif args.command == "extract-nvd":
         text = spark.read.text(args.json, wholetext=True).select(F.col("value").alias("json"))
         sinks.write_nvd(readers.nvd_patterns(text), args.csv)
@@ -146,6 +166,8 @@ def session():
     """The session there is, or a new one; on one machine its temporary folder serves as the shared one, if none is set."""
     from pyspark.sql import SparkSession
 
+    from sparkwarden.package import ship
+
     spark = SparkSession.builder.appName("sparkwarden").getOrCreate()
     master = spark.sparkContext.master
     if spark.conf.get("spark.checkpoint.dir", None) is None and (master == "local" or master.startswith("local[")):
@@ -156,6 +178,7 @@ def session():
         folder = tempfile.mkdtemp(prefix="sparkwarden-")
         atexit.register(shutil.rmtree, folder, True)
         spark.conf.set("spark.checkpoint.dir", folder)
+    ship(spark)
     return spark
 
 

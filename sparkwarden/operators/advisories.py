@@ -69,3 +69,42 @@ def cached(queries: DataFrame, cache: DataFrame, now: Column, ttl: int = TTL) ->
     """(answered from the cache, to be asked): queries with a `key` against cache(key, ts seconds, vulns)."""
     fresh = cache.where(now - F.col("ts") <= ttl)
     return queries.join(fresh, "key"), queries.join(fresh, "key", "left_anti")
+
+
+class AdvisoryCache:
+    """Advisories by package version with the second they were asked for, as a Parquet table of appended rows; the latest row of a key counts."""
+
+    def __init__(self, spark, path: str, ttl: int = TTL):
+        self.spark, self.path, self.ttl = spark, path.rstrip("/"), ttl
+
+    def rows(self) -> DataFrame:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            return self.spark.createDataFrame([], "key string, ts double, vulns string")
+        every = self.spark.read.schema("key string, ts double, vulns string").parquet(self.path)
+        return every.groupBy("key").agg(F.max("ts").alias("ts"), F.max_by("vulns", "ts").alias("vulns"))
+
+    def put(self, answers: DataFrame, now: float) -> None:
+        """Keep answers (key, vulns) as of now."""
+        answers.select("key", F.lit(float(now)).alias("ts"), F.col("vulns").cast("string").alias("vulns")).write.mode("append").parquet(self.path)
+
+    def get(self, queries: DataFrame, now: float) -> tuple[DataFrame, DataFrame]:
+        """(answered, to be asked) of queries with a key."""
+        return cached(queries, self.rows(), F.lit(float(now)), self.ttl)
+
+    def clear(self) -> None:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        self.spark.catalog.refreshByPath(self.path)
+
+
+def answered(queries: DataFrame, cache: AdvisoryCache, ask, now: float) -> DataFrame:
+    """queries (position, key, ...) with vulns, in one batch: fresh ones from the cache, the others from ask(queries) (key, vulns), which is kept.
+
+    A query that nobody answers has null; positions tell the answers' order.
+    """
+    known, open_ = cache.get(queries, now)
+    if not open_.isEmpty():
+        cache.put(ask(open_.select("key").distinct()), now)
+        known, _ = cache.get(queries, now)
+    return queries.join(known.select("key", "vulns").distinct(), "key", "left").select(*queries.columns, "vulns")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,15 +44,39 @@ def features(findings: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return rows.crossJoin(F.broadcast(taints))  # with a single row
 
 
+def split(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(training, held) rows, 80 / 20 by a hash of the columns; under five rows both are all."""
+    if rows.limit(5).count() < 5:
+        return rows, rows
+    part = F.pmod(F.xxhash64(*columns), F.lit(5))
+    return rows.where(part != 0), rows.where(part == 0)
+
+
 def train(rows: DataFrame, columns: list[str], label: str = "label", trees: int = 100, seed: int = 42):
-    """A fitted pipeline; under five rows it is fitted and tested on all, else on a 80 / 20 split by a hash."""
+    """A pipeline fitted on the training part of rows (see split)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
     stages = [VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep"), RandomForestClassifier(labelCol=label, numTrees=trees, seed=seed)]
-    few = rows.limit(5).count() < 5
-    return Pipeline(stages=stages).fit(rows if few else rows.where(F.pmod(F.xxhash64(*columns), F.lit(5)) != 0))
+    return Pipeline(stages=stages).fit(split(rows, columns)[0])
+
+
+def trained(rows: DataFrame, columns: list[str], label: str = "label", trees: int = 100, seed: int = 42):
+    """(model, metrics): a model, and its confusion on the held part."""
+    model = train(rows, columns, label, trees, seed)
+    held = predict(model, split(rows, columns)[1]).withColumn("detected", (F.col("vuln_score") >= 0.5).cast("int"))
+    return model, confusion(held, "detected", label).first().asDict()
+
+
+def labelled_features(findings: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """features() of findings with their automatic label: what a model is trained on where no labels are given."""
+    from .scoring import auto_label
+
+    have = set(findings.columns)
+    get = lambda n, t: F.col(n) if n in have else F.lit(None).cast(t)
+    label = auto_label(get("dangerous_calls", "array<string>"), get("cyclomatic_complexity", "int"), get("max_nesting_depth", "int"), get("type", "string"))
+    return features(findings.withColumn("label", label), [*(keep or []), "label"])
 
 
 def predict(model, rows: DataFrame) -> DataFrame:
@@ -106,3 +133,22 @@ def with_embeddings(findings: DataFrame, embeddings: DataFrame, key: str, size:
     return findings.join(embeddings, key, "left").withColumn("embedding", F.coalesce("embedding", zero))
 
 
+
+
+def with_vectors(rows: DataFrame, columns: list[str], embedding: str = "embedding", out: str = "vector") -> DataFrame:
+    """rows with one vector: the static features, then the embedding's values."""
+    static = F.array(*[F.col(c).cast("double") for c in columns])
+    return rows.withColumn(out, F.concat(static, F.transform(F.coalesce(embedding, F.array().cast("array<float>")), lambda x: x.cast("double"))))
+
+
+def embedded(snippets: DataFrame, embed, size: int, code: str = "code") -> DataFrame:
+    """snippets with the vectors that embed, a function of a list of texts to a list of vectors, gives for them, in Arrow batches."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for a in batches:
+            vectors = [[float(x) for x in v] for v in embed([t or "" for t in a.to_pylist()])]
+            if any(len(v) != size for v in vectors):
+                raise ValueError(f"vectors of {size} numbers are expected")
+            yield pa.array(vectors, pa.list_(pa.float32()))
+
+    return snippets.withColumn("embedding", F.arrow_udf(run, "array<float>").asNondeterministic()(code))

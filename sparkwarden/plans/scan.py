@@ -113,12 +113,13 @@ def project_files(spark: SparkSession, path: str) -> DataFrame:
 def scan_project(
     spark: SparkSession, path: str, profile_name: str = "standard", minimum: str = "low", ignore: list[str] = (), baseline: DataFrame | None = None, show_suppressed: bool = False, model=None, *,
     languages: tuple[str, ...] = ("python", "javascript"), rules: list[dict] | None = None, disabled: tuple[str, ...] = (), latest: DataFrame | None = None, advisories: DataFrame | None = None,
-    commits: DataFrame | None = None, tools: list[DataFrame] = (), now=None,
+    commits: DataFrame | None = None, tools: list[DataFrame] = (), now=None, auto_train: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(findings, errors) below path, most severe first by severity and combined_score; suppressed ones carry their reason, if shown.
 
     disabled: rules whose findings are left out; latest, advisories: tables for dependencies; commits (file, author, ts) add
-    churn; tools: findings of captured reports (see readers.tool_findings), taken as they are.
+    churn; tools: findings of captured reports (see readers.tool_findings), taken as they are; auto_train: a profile that
+    scores, without a model, fits one on the findings' automatic labels, if there are both.
     """
     chosen = profile(profile_name)
     files = project_files(spark, path)
@@ -136,6 +137,12 @@ def scan_project(
     rule, text = fingerprint(found)
     found = found.withColumns({"known_rule": rule, "known_message": text})
     marked = suppressed(found, lines(files), list(ignore), baseline)
+    if chosen.ml_scoring and model is None and auto_train:
+        from sparkwarden.operators.learning import FEATURES, labelled_features, train
+
+        rows = labelled_features(found)
+        if rows.select("label").distinct().count() == 2:
+            model = train(rows, FEATURES)
     if chosen.ml_scoring and model is not None:
         from sparkwarden.operators.learning import FEATURES, features, predict
 

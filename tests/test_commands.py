@@ -120,3 +120,51 @@ def test_each_file_is_parsed_once(spark, tmp_path):
     facts = PythonFacts(files)
     for table in (facts.functions, facts.calls, facts.assigns, facts.errors):
         assert "Python" not in table._jdf.queryExecution().executedPlan().toString()
+
+
+def test_training_benchmark_and_timings(spark, tmp_path):
+    from sparkwarden.plans import training as T
+
+    summary = T.training_run(spark, str(tmp_path / "t"), 10)
+    assert summary["dataset_metadata"]["total"] == 70 and summary["dataset_metadata"]["vulnerable"] == 35
+    assert json.load(open(tmp_path / "t" / "cwe_mapping.json"))["CWE-89"]["severity"] and json.load(open(tmp_path / "t" / "pipeline_summary.json"))["pipeline_version"] == "1.0.0"
+    result, details = T.benchmark_run(T.benchmark_samples(spark, 4), str(tmp_path / "b"))
+    assert details.count() == 28 and {r.outcome for r in details.collect()} == {"TP", "TN", "FN"} and all(len(r.code_preview) <= 80 for r in details.collect())
+    assert spark.read.json(str(tmp_path / "b" / "summary")).count() == 8
+    run = T.timed_scans(spark, ["small_quick"])[0]
+    assert run["file_count"] == 50 and run["passed"] == (run["elapsed_seconds"] <= 5.0) and run["files_per_second"] > 0
+
+
+def test_advisory_cache(spark, tmp_path):
+    from sparkwarden.operators.advisories import AdvisoryCache, answered
+
+    cache = AdvisoryCache(spark, str(tmp_path / "cache"))
+    asked = []
+
+    def ask(open_):
+        asked.append(sorted(r.key for r in open_.collect()))
+        return open_.where("key <> 'c'").select("key", F.concat(F.lit("v"), "key").alias("vulns"))
+
+    q = spark.createDataFrame([(0, "b"), (1, "a"), (2, "b"), (3, "c")], "position int, key string")
+    get = lambda now: [(r.position, r.vulns) for r in answered(q, cache, ask, now).orderBy("position").collect()]
+    assert get(100) == get(200) == [(0, "vb"), (1, "va"), (2, "vb"), (3, None)]
+    assert asked == [["a", "b", "c"], ["c"]]
+    assert get(100 + 90_000) and asked[-1] == ["a", "b", "c"]
+    cache.clear()
+    assert cache.rows().count() == 0
+
+
+def test_vectors_and_own_embeddings(spark):
+    rows = spark.createDataFrame([(1, "ab", 2.0, [0.5, 1.5]), (2, None, 3.0, None)], "id int, code string, length double, embedding array<float>")
+    assert [r.vector for r in L.with_vectors(rows, ["length"]).orderBy("id").collect()] == [[2.0, 0.5, 1.5], [3.0]]
+    made = L.embedded(rows.drop("embedding"), lambda texts: [[len(t), 1] for t in texts], 2)
+    assert [list(r.embedding) for r in made.orderBy("id").collect()] == [[2.0, 1.0], [0.0, 1.0]]
+
+
+def test_deep_scan_trains_on_its_own_findings(spark, tmp_path):
+    from sparkwarden.plans.scan import scan
+
+    for i in range(12):
+        (tmp_path / f"f{i}.py").write_text("def f(x):\n    eval(x)\n" if i % 2 else "def f(x):\n    open(x)\n")
+    rows = scan(spark, str(tmp_path), "deep", auto_train=True).where("type = 'function_analysis'").collect()
+    assert len(rows) == 12 and min(r.vuln_score for r in rows if r.dangerous_calls) > max(r.vuln_score for r in rows if not r.dangerous_calls)
