@@ -163,21 +163,12 @@ def run(args: argparse.Namespace, spark) -> int:
 
 
 def session():
-    """The session there is, or a new one; on one machine its temporary folder serves as the shared one, if none is set."""
+    """The session there is, or a new one; its executors get this package."""
     from pyspark.sql import SparkSession
 
     from sparkwarden.package import ship
 
     spark = SparkSession.builder.appName("sparkwarden").getOrCreate()
-    master = spark.sparkContext.master
-    if spark.conf.get("spark.checkpoint.dir", None) is None and (master == "local" or master.startswith("local[")):
-        import atexit
-        import shutil
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="sparkwarden-")
-        atexit.register(shutil.rmtree, folder, True)
-        spark.conf.set("spark.checkpoint.dir", folder)
     ship(spark)
     return spark
 

@@ -3,17 +3,29 @@
 from __future__ import annotations
 
 import atexit
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
 
-def folder(spark, name: str) -> str:
-    """A path below spark.checkpoint.dir, removed when the driver ends."""
+def shared_folder(spark) -> str:
+    """spark.checkpoint.dir; where it is unset on one machine (master local or local[n]) a temporary folder is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="sparkwarden-")
+        atexit.register(shutil.rmtree, base, True)
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
+def folder(spark, name: str) -> str:
+    """A path below the shared folder, removed when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
     return path
 
