@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkwarden.plans.tables import shared_folder
+
 #: Rows a lookup side may have before it is joined by shuffle and not by broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -24,10 +26,7 @@ def scratch(spark: SparkSession) -> str:
     """This application's folder below spark.checkpoint.dir, which driver and executors share."""
     sc = spark.sparkContext
     if sc.applicationId not in _roots:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = f"{base.rstrip('/')}/sparkwarden-{uuid.uuid4().hex}"
+        root = f"{shared_folder(spark)}/sparkwarden-{uuid.uuid4().hex}"
         _roots[sc.applicationId] = root
         atexit.register(_remove, spark, root)
     return _roots[sc.applicationId]
