@@ -120,6 +120,11 @@ def js_dangerous_calls(spark, sf_dir):
     return calls.select("file", "callee", F.col("lineno").alias("line"))
 
 
+def js_functions(spark, sf_dir):
+    functions, _ = javascript(scanned(files(spark, sf_dir), "javascript"))
+    return functions.select("file", "name", F.col("lineno").alias("line"), "length", "nesting", F.array_join("validation", ",").alias("validation"))
+
+
 def scan_findings(spark, sf_dir):
     """The scan's analyzers over all files of the corpus, with patterns that SQL engines share."""
     found = findings_of(files(spark, sf_dir), profile("standard"), flags=ASCII).where(F.coalesce(F.col("rule_id") != REDOS.rule_id, F.lit(True)))
@@ -160,7 +165,7 @@ def suppression_reasons(spark, sf_dir):
 QUERIES = {
     k: globals()[k]
     for k in """secret_scan js_line_rules js_redos js_redos_backref js_postmessage_window ts_line_rules go_offset_rules terraform dockerfile kubernetes html_script_scan
-    py_function_findings py_taint_asof py_flow py_flow_propagated py_parse_errors yaml_rule_match js_dangerous_calls scan_findings scanner_dispatch suppress_ignore suppress_inline suppression_reasons""".split()
+    py_function_findings py_taint_asof py_flow py_flow_propagated py_parse_errors yaml_rule_match js_dangerous_calls js_functions scan_findings scanner_dispatch suppress_ignore suppress_inline suppression_reasons""".split()
 }
 
 
@@ -262,6 +267,7 @@ SELECT file, line_no AS line, '{_PM.rule_id}' AS rule_id, '{_PM.severity}' AS se
     "py_flow_propagated": _expected([*_FLOWS, (4, "first", "helper", "os.popen", 7, "z", 2)], "sid, a, b, sink, sink_line, tainted_var, chain_length", "file || '::' || a AS source_func, file || '::' || b AS sink_func, sink, sink_line, tainted_var, chain_length"),
     "py_parse_errors": _expected([(6, "SyntaxError")], "sid, error", "file, error"),
     "yaml_rule_match": _expected(_rule_rows(), "sid, line, callee, rule_id, severity, description", "file, line, callee, rule_id, severity, description"),
+    "js_functions": _expected([(7, "run", 1, 4, 0, "")], "sid, name, line, length, nesting, validation", "file, name, line, length, nesting, validation"),
     "js_dangerous_calls": _expected([(7, "eval", 2), (7, "setTimeout", 3)], "sid, callee, line", "file, callee, line"),
     "scanner_dispatch": f"""WITH {CODE_SQL} SELECT kind, count(*) AS n FROM (SELECT CASE WHEN file LIKE '%.tf' THEN 'terraform' WHEN file LIKE '%/Dockerfile' THEN 'dockerfile' WHEN file LIKE '%.yaml' THEN 'kubernetes' END AS kind FROM code) WHERE kind IS NOT NULL GROUP BY kind
 UNION ALL SELECT 'scannable', count(*) FILTER (WHERE regexp_matches(file, '\\.(py|js|jsx|ts|tsx)$')) FROM code""",

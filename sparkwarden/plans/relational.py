@@ -267,6 +267,19 @@ def features_matrix(spark, sf_dir):
     return L.features(_attributes(spark, sf_dir), ["doc_id"])
 
 
+def features_findings(spark, sf_dir):
+    """Features of findings of every type, with traces, chains, churn and dependencies."""
+    k = F.col("ordinal")
+    some = lambda n: F.transform(F.slice(F.array(*map(F.lit, "abcd")), 1, (k % n).cast("int")), lambda x: x)
+    f = findings(spark, sf_dir).withColumn("type", F.when(k % 9 == 8, "dependencies").otherwise(F.col("type")))
+    f = f.withColumns({
+        "trace": some(4), "call_chain": some(3), "var_trace": some(5), "dependencies": some(4), "input_validation": some(2), "length": F.when(k % 6 == 0, float("nan")).when(k % 6 == 1, float("inf")).otherwise(k % 60),
+        "commit_count": k % 17, "unique_authors": k % 5, "last_modified_days": F.when(k % 7 != 0, k % 400), "num_vulnerable_dependencies": k % 3, "num_outdated_dependencies": k % 2,
+        "max_dependency_severity": F.element_at(F.array(*map(F.lit, ("critical", "high", "medium", "low", "unknown"))), (k % 5 + 1).cast("int")), "num_sensitive_vars": k % 8,
+    })
+    return L.features(f, ["ordinal"])
+
+
 def rf_score(spark, sf_dir):
     """Scores of the held part of the findings by a model of the others, with their automatic labels."""
     rows = L.labelled_features(_attributes(spark, sf_dir), ["doc_id"])
@@ -363,7 +376,7 @@ def events_windowed(spark, sf_dir):
 
 
 _NAMES = """classify_findings combined_score severity_views messages min_severity_filter top_findings top_files top_types report_ids severity_counts json_report sarif_results sarif_context baseline_exact
-    baseline_fuzzy baseline_new deps_requirements deps_package_json dependency_report dependency_summary osv_parse most_severe nvd_patterns cwe_map cache_ttl churn_features auto_label features_matrix rf_score confusion_by_lang
+    baseline_fuzzy baseline_new deps_requirements deps_package_json dependency_report dependency_summary osv_parse most_severe nvd_patterns cwe_map cache_ttl churn_features auto_label features_matrix features_findings rf_score confusion_by_lang
     synthetic_samples benchmark_detection code_context embedding_join embedding_vectors store_scan_counts store_stats store_page store_pages store_delete union_analyzers rules_merge events_windowed""".split()
 QUERIES = {k: globals()[k] for k in _NAMES}
 
@@ -384,6 +397,16 @@ _ratio = lambda a, b: f"round(CASE WHEN {b} = 0 THEN 0 ELSE CAST({a} AS DOUBLE)
 _P, _R = "CASE WHEN tp + fp = 0 THEN 0.0::DOUBLE ELSE tp::DOUBLE / (tp + fp) END", "CASE WHEN tp + fn = 0 THEN 0.0::DOUBLE ELSE tp::DOUBLE / (tp + fn) END"
 _SAMPLES = [(g[i % len(g)], y, k, "synthetic", i) for k, (bad, good) in TEMPLATES.items() for y, g in ((1, bad), (0, good)) for i in range(10)]
 _FEATURE = {"dangerous_calls": "CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END", "cyclomatic_complexity": "doc_id % 25", "max_nesting_depth": "doc_id % 8", "sensitive_data_involved": "CASE WHEN doc_id % 13 = 0 THEN 1 ELSE 0 END"}
+_KIND = "CASE WHEN ordinal % 9 = 8 THEN 'dependencies' ELSE type END"
+_of = lambda kind, v: f"CASE WHEN kind = '{kind}' THEN {v} ELSE 0 END"
+_VALUES = {
+    "length": "CASE WHEN ordinal % 6 < 2 THEN 0 ELSE ordinal % 60 END", "input_validation": "ordinal % 2", "dependency_count": _of("dependencies", "ordinal % 4"), "taint_path_to_sink": _of("taint_analysis", 1),
+    "taint_path_length": _of("taint_analysis", "ordinal % 4"), "interprocedural_taint_path": _of("interprocedural_taint", 1), "interprocedural_call_chain_length": _of("interprocedural_taint", "ordinal % 3"),
+    "interprocedural_var_trace_length": _of("interprocedural_taint", "least(ordinal % 5, 4)"), "commit_count": "ordinal % 17", "unique_authors": "ordinal % 5", "last_modified_days": "CASE WHEN ordinal % 7 <> 0 THEN ordinal % 400 ELSE 0 END",
+    "num_vulnerable_dependencies": _of("dependencies", "ordinal % 3"), "num_outdated_dependencies": _of("dependencies", "ordinal % 2"), "max_dependency_severity": _of("dependencies", "4 - ordinal % 5"), "num_sensitive_vars": "ordinal % 8",
+    "taint_finding_count": "(SELECT count(*) FROM g WHERE kind = 'taint_analysis')",
+}
+_FEATURES_SQL = f"WITH {_F}, g AS (SELECT *, {_KIND} AS kind FROM f) SELECT ordinal, " + ", ".join(f"CAST({_VALUES.get(n, 0)} AS DOUBLE) AS {n}" for n in L.FEATURES) + " FROM g"
 #: Vulnerable samples found, where not all seven are: those of SQL by name alone are in no dictionary of calls.
 _DETECTED = {"sql_injection": 3}
 _ONE = f"{_F}, s AS (SELECT *, {_SEV} AS sv, {_CONF} AS cf FROM f)"
@@ -433,6 +456,7 @@ ORACLE = {
     "churn_features": "SELECT 'f' || CAST(event_id % 200 AS VARCHAR) AS file, count(*) AS commit_count, count(DISTINCT user_id) AS unique_authors, CAST(floor((epoch(TIMESTAMP '2030-01-01') - floor(epoch(max(ts)))) / 86400) AS BIGINT) AS last_modified_days FROM events GROUP BY 1",
     "auto_label": "SELECT doc_id, CAST(doc_id % 4 = 0 OR doc_id % 25 > 10 OR doc_id % 8 > 5 AS INTEGER) AS label FROM documents",
     "features_matrix": "SELECT doc_id, " + ", ".join(f"CAST({_FEATURE.get(n, 0)} AS DOUBLE) AS {n}" for n in L.FEATURES) + " FROM documents",
+    "features_findings": _FEATURES_SQL,
     "confusion_by_lang": f"WITH d AS (SELECT lang, toxic = 1 AS y, doc_id % 3 = 0 AS d FROM documents JOIN labels USING (doc_id)), g AS (SELECT lang AS grp, count(*) FILTER (WHERE d AND y) AS tp, count(*) FILTER (WHERE d AND NOT y) AS fp, count(*) FILTER (WHERE NOT d AND NOT y) AS tn, count(*) FILTER (WHERE NOT d AND y) AS fn FROM d GROUP BY GROUPING SETS ((lang), ())) SELECT *, round({_P}, 4) AS precision, round({_R}, 4) AS recall, round(CASE WHEN ({_P}) + ({_R}) = 0 THEN 0 ELSE 2 * ({_P}) * ({_R}) / (({_P}) + ({_R})) END, 4) AS f1_score, {_ratio('fp', 'fp + tn')} AS false_positive_rate, {_ratio('tp + tn', 'tp + fp + tn + fn')} AS accuracy FROM g",
     "synthetic_samples": f"SELECT code, CAST(label AS INTEGER) AS label, type, source, CAST(variant AS INTEGER) AS variant FROM (VALUES {_rows(_SAMPLES)}) v(code, label, type, source, variant)",
     "benchmark_detection": "SELECT grp, sum(tp) AS tp, CAST(0 AS BIGINT) AS fp, sum(tn) AS tn, sum(fn) AS fn FROM (VALUES " + ", ".join(f"('{k}', CAST({_DETECTED.get(k, 7)} AS BIGINT), CAST(8 AS BIGINT), CAST({7 - _DETECTED.get(k, 7)} AS BIGINT))" for k in TEMPLATES) + ") v(grp, tp, tn, fn) GROUP BY ROLLUP (grp)",
