@@ -127,34 +127,58 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes that are hashed at once (cut at white space, so a longer word is taken whole), and powers that are kept.
+CHUNK, KEPT_POWERS = 1 << 20, 1 << 22
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base ** i and base ** -i modulo 2 ** 64 for i < n, kept for the next call."""
-    if len(_powers[0]) < n:
-        m = 1 << int(n - 1).bit_length()
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        for k, b in ((0, _BASE), (1, inverse)):
-            steps = np.full(m, b, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
+    """base ** i and base ** -i modulo 2 ** 64 for i < n, kept for the next call if they are few."""
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    m = 1 << int(n - 1).bit_length()
+    out = []
+    for b in (_BASE, np.uint64(pow(int(_BASE), -1, 1 << 64))):
+        steps = np.full(m, b, np.uint64)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps))
+    if m <= KEPT_POWERS:
+        _powers[:] = out
+    return out[0][:n], out[1][:n]
+
+
+def _chunks(buf: np.ndarray):
+    """Runs (start, stop) of about CHUNK bytes that end after white space; the buffer ends with some."""
+    a = 0
+    while a < len(buf):
+        b = min(a + CHUNK, len(buf))
+        while b < len(buf):
+            gap = np.flatnonzero(SPACE[buf[b - 1 : b - 1 + CHUNK]])
+            if len(gap):
+                b += int(gap[0])
+                break
+            b = min(b + CHUNK, len(buf))
+        yield a, b
+        a = b
 
 
 def words_hashed(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words `[^\\x20\\x09-\\x0D]+` of the texts: buffer, starts, ends, 64-bit hashes, and per text the first word's index.
 
-    Hashes are polynomials over the bytes, one prefix sum for the whole buffer, then mixed.
+    Hashes are polynomials over the bytes, by a prefix sum for each chunk of the buffer, then mixed; they do not depend on
+    a word's place, so long texts are cut between words, and take memory in proportion to their words.
     """
     joined = b"\n".join(t or b"" for t in texts) + b"\n"
     buf = np.frombuffer(joined, np.uint8)
-    space = SPACE[buf]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], space)).view(np.int8)))
-    starts, ends = edge[0::2], edge[1::2]
-    up, down = _power(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=total[1:])
-    hashes = mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    parts = []
+    for a, b in _chunks(buf):
+        part = buf[a:b]
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], SPACE[part])).view(np.int8)))
+        starts, ends = edge[0::2], edge[1::2]
+        up, down = _power(len(part) + 1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=total[1:])
+        parts.append((starts + a, ends + a, mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))))
+    starts, ends, hashes = (np.concatenate([p[i] for p in parts]) for i in range(3))
     lengths = np.fromiter((len(t or b"") + 1 for t in texts), np.int64, len(texts))
     first = np.searchsorted(starts, np.concatenate(([0], np.cumsum(lengths))))
     return buf, starts, ends, hashes, first

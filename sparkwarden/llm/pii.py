@@ -224,3 +224,26 @@ def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = digested(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", *[f"n_{k}" for k in BASE], F.sha2("base", 256).alias("base_sha256"), "spans", F.coalesce(F.size("entities"), F.lit(0)).cast("long").alias("n_spans"))
+
+
+def pii_base_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base kinds alone, which SQL can find too: counts and the matches in order."""
+    _, found = _occurrences(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    found = found.where(F.col("kind") != "word")
+    each = found.groupBy("id", "kind").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "found"))), lambda x: x["found"]), "|").alias("found"))
+    return each.select(F.col("id").alias("doc_id"), "kind", "n", "found")
+
+
+def _oracle() -> str:
+    pattern = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    doubled = f"list_sum(list_transform(generate_series(1, length({digits})), lambda i: CASE WHEN (length({digits}) - i) % 2 = 0 THEN CAST(substr({digits}, CAST(i AS BIGINT), 1) AS INT) ELSE (CAST(substr({digits}, CAST(i AS BIGINT), 1) AS INT) * 2) // 10 + (CAST(substr({digits}, CAST(i AS BIGINT), 1) AS INT) * 2) % 10 END))"
+    valid = {
+        "email": "TRUE", "ip": "len(list_filter(string_split(m, '.'), lambda p: NOT regexp_matches(p, '^0*([0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$'))) = 0",
+        "card": f"length({digits}) BETWEEN 12 AND 19 AND {doubled} % 10 = 0", "phone": f"length({digits}) BETWEEN 9 AND 15",
+    }
+    parts = [f"SELECT doc_id, '{k}' AS kind, i, m FROM (SELECT doc_id, unnest(ms) AS m, generate_subscripts(ms, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS ms FROM documents)) WHERE {valid[k]}" for k, p in pattern.items()]
+    return f"SELECT doc_id, kind, count(*) AS n, string_agg(m, '|' ORDER BY i) AS found FROM ({' UNION ALL '.join(parts)}) GROUP BY doc_id, kind"
+
+
+ORACLE = _oracle()

@@ -15,6 +15,7 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_shard": sharding.op9_shard,
     "op10_language": language.op10_language,
+    "pii_base_kinds": pii.pii_base_kinds,
 }
 
-ORACLE = {"op1_decontaminate": decontamination.ORACLE, "op3_warc": warc.ORACLE, "op5_neardup": neardup.ORACLE, "op7_repetition": repetition.ORACLE, "op8_licenses": licenses.ORACLE}
+ORACLE = {"pii_base_kinds": pii.ORACLE, "op1_decontaminate": decontamination.ORACLE, "op3_warc": warc.ORACLE, "op5_neardup": neardup.ORACLE, "op7_repetition": repetition.ORACLE, "op8_licenses": licenses.ORACLE}

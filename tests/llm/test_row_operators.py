@@ -587,3 +587,17 @@ def test_unedited_notices_at_any_width(spark):
             rows += [(f"{name} {width}", wrapped), (f"{name} {width} c", "\n".join(("# " + x).rstrip() for x in wrapped.split("\n")))]
     got = {r.name: r.licenses for r in licenses.recognised(spark.createDataFrame(rows, "name string, text string")).collect()}
     assert {k: v for k, v in got.items() if v != [k.split()[0]]} == {}
+
+
+def test_words_of_long_texts_are_hashed_in_chunks(monkeypatch):
+    from sparkwarden.llm import common
+
+    rng = np.random.default_rng(3)
+    texts = [b" ".join(bytes(rng.integers(97, 101, rng.integers(1, 9)).astype(np.uint8)) for _ in range(300)) for _ in range(6)] + [None, b"", b"x" * 700, b" \t" * 200 + b"end", b"a"]
+    whole = common.words_hashed(texts)
+    for chunk in (1, 7, 64, 500):
+        monkeypatch.setattr(common, "CHUNK", chunk)
+        assert all((a == b).all() for a, b in zip(whole, common.words_hashed(texts), strict=True))
+    words = [w for t in texts for w in (t or b"").split()]
+    assert [bytes(whole[0][a:b]) for a, b in zip(whole[1], whole[2], strict=True)] == words
+    assert len(set(whole[3].tolist())) == len(set(words))
