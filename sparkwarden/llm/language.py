@@ -7,8 +7,8 @@ sample calibrates the probabilities, and a threshold on them rejects texts like
 After training, each n-gram's part in every logit is one table, so a word is a sum of rows, kept by word.
 
 Defined cases: a null text or one without a letter is `und` with score 0; so is every text if no row has a
-label; repeated rows get equal results; very long texts are read whole; an empty table gives no rows; input
-columns named like an output are replaced.
+label; of equally likely languages the first by name is taken; repeated rows get equal results; very long texts are read
+whole; an empty table gives no rows; input columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +27,9 @@ from .common import bounded_sample, fold, slices, table
 
 #: Training rows for each language at most (the bound of the sample), and bytes of text a training row may have.
 PER_LANGUAGE, ROW_BYTES = 300, 20_000
-BITS, DIM, EPOCHS, SNIPPET_WORDS = 15, 16, 6, 24
+#: Snippets of a training row, of shuffled words, and words of a snippet, at most.
+SNIPPETS, SNIPPET_WORDS = 6, 24
+BITS, DIM, EPOCHS = 15, 16, 6
 BUCKETS = 1 << BITS
 #: Part of correct calibration snippets that the rejection threshold keeps.
 KEPT_SHARE = 0.995
@@ -94,7 +96,7 @@ class LanguageModel:
             words = words_of(text)
             rng.shuffle(words)
             y = self.languages.index(lang)
-            for i in range(0, min(len(words), 6 * SNIPPET_WORDS), SNIPPET_WORDS):
+            for i in range(0, min(len(words), SNIPPETS * SNIPPET_WORDS), SNIPPET_WORDS):
                 size = rng.choice((3, 6, 12, SNIPPET_WORDS))
                 snippets.append((np.concatenate([known[w] for w in words[i : i + size]]), y))
         rng.shuffle(snippets)

@@ -18,7 +18,8 @@ where documents follow each other by the part of their source that is before the
 whole queue.
 
 Defined cases: a null text is empty, and has just the end id; a null source is the queue ""; repeated rows are packed
-each; an empty table gives no pieces; very long texts are cut over windows; other input columns are ignored.
+each; queues that are due at once serve in the order of their names; an empty table gives no pieces; very long texts are
+cut over windows; other input columns are ignored, also those named like an output.
 """
 
 from __future__ import annotations

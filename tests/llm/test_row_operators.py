@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkwarden.llm import decontamination as dec
 from sparkwarden.llm import language, licenses, packing, repetition, sharding, toxicity, warc
@@ -601,3 +602,18 @@ def test_words_of_long_texts_are_hashed_in_chunks(monkeypatch):
     words = [w for t in texts for w in (t or b"").split()]
     assert [bytes(whole[0][a:b]) for a, b in zip(whole[1], whole[2], strict=True)] == words
     assert len(set(whole[3].tolist())) == len(set(words))
+
+
+def test_columns_named_like_outputs(spark):
+    """Nulls in every column, repeated rows, and input columns with the names of what an operator adds."""
+    rows = [(1, "This project is licensed under the MIT License.", "s", "old", "old"), (1, "This project is licensed under the MIT License.", "s", "old", "old"), (2, None, None, None, None), (None, "", None, "old", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, shard string, licenses string")
+    found = licenses.recognised(df)
+    assert found.columns.count("licenses") == 1 and sorted(map(str, (r.licenses for r in found.collect()))) == ["['MIT']", "['MIT']", "[]", "[]"]
+    placed = sharding.shard_rows(df.withColumn("slot", F.lit("x")))
+    assert placed.columns.count("shard") == placed.columns.count("slot") == 1 and placed.count() == 4 and dict(placed.dtypes)["shard"] == "int"
+    clash = df.withColumnsRenamed({"shard": "offset", "licenses": "sequence_id"}).withColumn("ids", F.lit(1)).withColumn("queue", F.lit(None).cast("string"))
+    pieces = packing.packed(clash).collect()
+    assert len(pieces) == 4 and sorted(r.doc_tokens for r in pieces)[:2] == [1, 1]
+    named = language.identified(df.withColumn("score", F.lit("x")), language.LanguageModel([]))
+    assert {(r.lang_pred, r.score) for r in named.collect()} == {("und", 0.0)}
