@@ -117,6 +117,29 @@ def top_findings(spark, sf_dir):
     return R.top_findings(findings(spark, sf_dir)).select("ordinal", "level", "file", "line")
 
 
+def finding_details(spark, sf_dir):
+    """The findings that Markdown tells in detail."""
+    return R.finding_details(findings(spark, sf_dir)).select("ordinal", "level", "at", "text", "type", F.round("vuln_score", 4).alias("vuln_score"))
+
+
+def severity_chart(spark, sf_dir):
+    f = findings(spark, sf_dir)
+    levels = ["critical", "high", "medium", "low", "info", "unknown"]
+    return R.severity_counts(f, S.html_severity(F.col("severity"), F.lit(None).cast("string")), levels).where("n > 0")
+
+
+def sarif_lines(spark, sf_dir):
+    """SARIF results of the report, their fields read back."""
+    rows = R.sarif_rows(findings(spark, sf_dir))
+    schema = "ruleId string, ruleIndex bigint, level string, message struct<text:string>, locations array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:bigint>>>>, fingerprints map<string,string>, properties struct<confidence:double>"
+    r = rows.select("ordinal", "position", F.from_json("json", schema).alias("r"))
+    place = F.col("r.locations")[0]["physicalLocation"]
+    return r.select(
+        "ordinal", "position", F.col("r.ruleId").alias("rule"), F.col("r.ruleIndex").alias("rule_index"), F.col("r.level").alias("level"), F.col("r.message.text").alias("text"), place["artifactLocation"]["uri"].alias("uri"),
+        place["region"]["startLine"].alias("line"), F.element_at("r.fingerprints", "sparkwarden/v1").alias("fingerprint"), F.col("r.properties.confidence").alias("confidence"),
+    )
+
+
 def top_files(spark, sf_dir):
     return R.top_counts(findings(spark, sf_dir), F.col("file"), R.TOP_FILES)
 
@@ -375,7 +398,7 @@ def events_windowed(spark, sf_dir):
     return windowed_events(_table(spark, sf_dir, "events"), "1 day")
 
 
-_NAMES = """classify_findings combined_score severity_views messages min_severity_filter top_findings top_files top_types report_ids severity_counts json_report sarif_results sarif_context baseline_exact
+_NAMES = """classify_findings combined_score severity_views messages min_severity_filter top_findings finding_details severity_chart sarif_lines top_files top_types report_ids severity_counts json_report sarif_results sarif_context baseline_exact
     baseline_fuzzy baseline_new deps_requirements deps_package_json dependency_report dependency_summary osv_parse most_severe nvd_patterns cwe_map cache_ttl churn_features auto_label features_matrix features_findings rf_score confusion_by_lang
     synthetic_samples benchmark_detection code_context embedding_join embedding_vectors store_scan_counts store_stats store_page store_pages store_delete union_analyzers rules_merge events_windowed""".split()
 QUERIES = {k: globals()[k] for k in _NAMES}
@@ -436,6 +459,12 @@ ORACLE = {
   WHEN 'hardcoded_secret' THEN 'Hardcoded secret detected: ' || coalesce(variable, '?') ELSE message END AS text, '`' || file || CASE WHEN line IS NULL THEN '' ELSE ':' || CAST(line AS VARCHAR) END || '`' AS at FROM f""",
     "min_severity_filter": f"WITH {_ONE} SELECT ordinal, severity FROM s WHERE sv >= 3",
     "top_findings": f"WITH {_F}, m AS (SELECT *, {_MD} AS level FROM f) SELECT ordinal, level, file, line FROM m ORDER BY CASE level WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, coalesce(vuln_score, 0) DESC, ordinal LIMIT 20",
+    "finding_details": f"WITH {_F}, m AS (SELECT *, {_MD} AS level FROM f) SELECT ordinal, level, '`' || file || CASE WHEN line IS NULL THEN '' ELSE ':' || CAST(line AS VARCHAR) END || '`' AS at, message AS text, type, round(vuln_score, 4) AS vuln_score FROM m ORDER BY CASE level WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, coalesce(vuln_score, 0) DESC, ordinal LIMIT 50",
+    "severity_chart": f"WITH {_F} SELECT level AS severity, count(*) AS n FROM (SELECT CASE WHEN lower(severity) IN ('critical', 'high', 'medium', 'low', 'info', 'unknown') THEN lower(severity) ELSE 'medium' END AS level FROM f) GROUP BY level",
+    "sarif_lines": f"""WITH {_F}, r AS (SELECT *, {_RULE} AS rule, {_LEVEL} AS level FROM f) SELECT ordinal, row_number() OVER (ORDER BY ordinal) AS position, rule, dense_rank() OVER (ORDER BY rule) - 1 AS rule_index, level,
+  CASE type WHEN 'taint_analysis' THEN 'Tainted variable ''' || coalesce(variable, 'unknown') || ''' flows to dangerous sink ''' || coalesce(sink, 'unknown') || '''' WHEN 'interprocedural_taint' THEN 'Interprocedural taint: ''unknown'' reaches ''' || coalesce(sink, 'unknown') || ''' via '
+    WHEN 'dangerous_function' THEN 'Dangerous function call: unknown' WHEN 'hardcoded_secret' THEN 'Hardcoded secret detected in variable ''' || coalesce(variable, 'unknown') || '''' WHEN 'high_complexity' THEN 'High cyclomatic complexity: ?' ELSE message END AS text,
+  file AS uri, coalesce(line, 1) AS line, rule || '/' || file || '/' || coalesce(CAST(line AS VARCHAR), '') || '/' || coalesce(variable, '') AS fingerprint, vuln_score AS confidence FROM r""",
     "top_files": f"WITH {_F} SELECT file AS label, count(*) AS n FROM f GROUP BY file ORDER BY n DESC, min(ordinal) LIMIT 10",
     "top_types": f"WITH {_F} SELECT type AS label, count(*) AS n FROM f GROUP BY type ORDER BY n DESC, min(ordinal) LIMIT 8",
     "report_ids": "SELECT doc_id AS ordinal, 'VP-' || CASE WHEN row_number() OVER (ORDER BY doc_id) < 10000 THEN lpad(CAST(row_number() OVER (ORDER BY doc_id) AS VARCHAR), 4, '0') ELSE CAST(row_number() OVER (ORDER BY doc_id) AS VARCHAR) END AS id FROM documents",
