@@ -93,6 +93,35 @@ def py_function_findings(spark, sf_dir):
     )
 
 
+def py_calls(spark, sf_dir):
+    """Every call in the corpus's Python files, which SQL finds in the text of their lines."""
+    return _facts(spark, sf_dir).calls.select("file", F.col("lineno").alias("line"), "callee")
+
+
+#: Python text of a function whose branches, levels, sources and sinks follow from the document's id, in an expression that both engines read.
+_GENERATED = (
+    "concat('def run(a, token):\n    eval(a)\n', repeat('    if a:\n        a()\n', CAST(doc_id % 20 AS INT)), repeat('    for x in a:\n        while x:\n            x()\n', CAST(doc_id % 3 AS INT)), "
+    "repeat('    v = input()\n', CAST(doc_id % 4 AS INT)), repeat('    os.popen(v)\n', CAST(doc_id % 5 AS INT)), CASE WHEN doc_id % 7 = 0 THEN '    v = open(a)\n    os.popen(token, v)\n' ELSE '' END)"
+)
+
+
+def _generated(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.expr(_GENERATED.replace("\n", "\\n")).alias("content"))
+    return PythonFacts(d.select(F.format_string("gen/d%d.py", "doc_id").alias("file"), "content"))
+
+
+def py_metrics(spark, sf_dir):
+    """Function metrics of generated files: branches, levels and statements follow from the id."""
+    f = PY.function_findings(_generated(spark, sf_dir))
+    return f.select("file", "function", "line", "length", "cyclomatic_complexity", "max_nesting_depth", F.array_join("dangerous_calls", ",").alias("dangerous_calls"), F.array_join("path_traversal_calls", ",").alias("path_traversal_calls"), "num_sensitive_vars")
+
+
+def py_taint_lines(spark, sf_dir):
+    """Sinks of generated files with the last source before them, whose place follows from the id."""
+    t = PY.taint_findings(_generated(spark, sf_dir))
+    return t.select("file", "variable", "sink", "sink_line", F.col("source.line").alias("source_line"), F.col("source.name").alias("source"))
+
+
 def py_taint_asof(spark, sf_dir):
     t = PY.taint_findings(_facts(spark, sf_dir))
     return t.select("file", "variable", "sink", "sink_line", F.col("source.line").alias("source_line"), F.col("source.name").alias("source"), F.size("trace").cast("bigint").alias("trace_length"))
@@ -165,7 +194,7 @@ def suppression_reasons(spark, sf_dir):
 QUERIES = {
     k: globals()[k]
     for k in """secret_scan js_line_rules js_redos js_redos_backref js_postmessage_window ts_line_rules go_offset_rules terraform dockerfile kubernetes html_script_scan
-    py_function_findings py_taint_asof py_flow py_flow_propagated py_parse_errors yaml_rule_match js_dangerous_calls js_functions scan_findings scanner_dispatch suppress_ignore suppress_inline suppression_reasons""".split()
+    py_function_findings py_calls py_metrics py_taint_lines py_taint_asof py_flow py_flow_propagated py_parse_errors yaml_rule_match js_dangerous_calls js_functions scan_findings scanner_dispatch suppress_ignore suppress_inline suppression_reasons""".split()
 }
 
 
@@ -292,3 +321,13 @@ ORACLE["scan_findings"] = (
     + " UNION ALL ".join(f"SELECT {file} AS file, {kind} AS type, {line} AS line, {rule} AS rule_id FROM ({ORACLE[q]}) q" + (" JOIN t ON t.rule_id = q.rule_id" if kind == "t.type" else "") for q, kind, file, line, rule in _PARTS)
     + f" UNION ALL SELECT file, 'function_analysis', line, '' FROM ({_expected([(7, 1)], 'sid, line', 'file, line')}) q) SELECT file, type, line, rule_id, count(*) AS n FROM every GROUP BY ALL"
 )
+
+#: Lines before the sources, of sources, of sinks; all by the id.
+_COUNTS = "g AS (SELECT 'gen/d' || CAST(doc_id AS VARCHAR) || '.py' AS file, doc_id % 20 AS ifs, doc_id % 3 AS loops, doc_id % 4 AS sources, doc_id % 5 AS sinks, doc_id % 7 = 0 AS more FROM documents)"
+ORACLE["py_metrics"] = f"""WITH {_COUNTS} SELECT file, 'run' AS function, CAST(1 AS BIGINT) AS line, CAST(1 + ifs + loops + sources + sinks + CASE WHEN more THEN 2 ELSE 0 END AS BIGINT) AS length, CAST(1 + ifs + 2 * loops AS BIGINT) AS cyclomatic_complexity,
+  CAST(CASE WHEN loops > 0 THEN 3 WHEN ifs > 0 THEN 2 ELSE 1 END AS BIGINT) AS max_nesting_depth, 'eval' || repeat(',input', CAST(sources AS BIGINT)) AS dangerous_calls, CASE WHEN more THEN 'open' ELSE '' END AS path_traversal_calls, CAST(1 AS BIGINT) AS num_sensitive_vars FROM g"""
+ORACLE["py_taint_lines"] = f"""WITH {_COUNTS}, p AS (SELECT *, 2 + 2 * ifs + 3 * loops AS lead FROM g)
+SELECT file, 'v' AS variable, 'os.popen' AS sink, CAST(lead + sources + k AS BIGINT) AS sink_line, CAST(lead + sources AS BIGINT) AS source_line, 'input' AS source FROM (SELECT *, unnest(generate_series(1, sinks)) AS k FROM p WHERE sources > 0)
+UNION ALL SELECT file, 'v', 'os.popen', CAST(lead + sources + sinks + 2 AS BIGINT), CAST(lead + sources + sinks + 1 AS BIGINT), 'open' FROM p WHERE more"""
+ORACLE["py_calls"] = f"""WITH {CODE_SQL}, p AS (SELECT file, line_no, regexp_replace(line, 'def [a-z_]+\\(', '', 'g') AS line FROM lines WHERE file LIKE '%.py' AND line NOT LIKE '#%' AND file NOT IN (SELECT file FROM code WHERE contains(content, 'def broken(:')))
+SELECT file, line_no AS line, unnest(regexp_extract_all(line, '([A-Za-z_][A-Za-z0-9_.]*)\\(', 1)) AS callee FROM p"""
