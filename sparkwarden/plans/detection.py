@@ -22,6 +22,8 @@ ASCII = ""  # the flags of patterns that SQL engines share
 SHOWN = ["file", "line", "rule_id", "severity", "cwe"]
 NO_BACKREF = [r for r in C.JS_RULES if r.rule_id != "VP-JS-002"]
 REDOS = next(r for r in C.JS_RULES if r.rule_id == "VP-JS-002")
+#: The same without a back-reference: its two signs, one after the other, for engines that have none.
+REDOS_SPLIT = Rule(**{**REDOS.__dict__, "patterns": (*(REDOS.patterns[0].replace("([+*])", sign).replace(r"\1", sign) for sign in (r"\+", r"\*")), *REDOS.patterns[1:])})
 REDOS_PLAIN = Rule(**{**REDOS.__dict__, "patterns": REDOS.patterns[1:]})
 INLINE_SCRIPT = Rule("SW-HTML-001", "inline_script", "Inline Script", "low", "CWE-79", "Inline script", (r"<script>", r"document\.write\("), comments=True)
 
@@ -47,7 +49,7 @@ def js_redos(spark, sf_dir):
 
 
 def js_redos_backref(spark, sf_dir):
-    return P.line_findings(lines(scanned(files(spark, sf_dir), "js_patterns")), [REDOS]).select(*SHOWN)
+    return P.line_findings(lines(scanned(files(spark, sf_dir), "js_patterns")), [REDOS], ASCII).select(*SHOWN)
 
 
 def js_postmessage_window(spark, sf_dir):
@@ -156,8 +158,8 @@ def js_functions(spark, sf_dir):
 
 def scan_findings(spark, sf_dir):
     """The scan's analyzers over all files of the corpus, with patterns that SQL engines share."""
-    found = findings_of(files(spark, sf_dir), profile("standard"), flags=ASCII).where(F.coalesce(F.col("rule_id") != REDOS.rule_id, F.lit(True)))
-    return found.groupBy("file", "type", "line", F.coalesce("rule_id", F.lit("")).alias("rule_id")).agg(F.count("*").alias("n"))
+    found = findings_of(files(spark, sf_dir), profile("standard"), flags=ASCII).withColumn("rule_id", F.coalesce("rule_id", F.lit("")))
+    return found.groupBy("file", "type", "line", "rule_id").agg(F.count("*").alias("n"))
 
 
 def scanner_dispatch(spark, sf_dir):
@@ -280,6 +282,7 @@ _inline = lambda c, tail: f"regexp_extract(line, '(?i){c}\\s*sparkwarden-ignore{
 ORACLE = {
     "secret_scan": f"WITH {_plain_lines('documents', 'doc_id', 'text')} {_sql_rules('lines', [C.SECRET_RULE])}",
     "js_line_rules": _JS + _sql_rules("js", NO_BACKREF),
+    "js_redos_backref": _JS + _sql_rules("js", [REDOS_SPLIT]),
     "js_redos": _JS + _sql_rules("js", [REDOS_PLAIN]),
     "js_postmessage_window": _JS + f""", w AS (SELECT file, line_no, regexp_matches(line, {quoted(C.LISTENER)}) AS l, regexp_matches(line, '^\\s*(//|/\\*)') AS c,
   coalesce(bool_or({_ORIGIN}) OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING), FALSE) AS o FROM js)
@@ -313,7 +316,7 @@ SELECT reason, count(*) AS n FROM (SELECT CASE WHEN ign THEN 'ignore_file' WHEN
 _PARTS = [
     ("py_function_findings", "'function_analysis'", "file", "line", "''"), ("py_taint_asof", "'taint_analysis'", "file", "sink_line", "''"),
     ("py_flow", "'interprocedural_taint'", "split_part(sink_func, '::', 1)", "sink_line", "''"), ("js_dangerous_calls", "'dangerous_call'", "file", "line", "''"),
-    *((q, "t.type", "file", "line", "q.rule_id") for q in ("js_line_rules", "js_postmessage_window", "ts_line_rules", "go_offset_rules", "terraform", "dockerfile", "kubernetes")),
+    *((q, "t.type", "file", "line", "q.rule_id") for q in ("js_line_rules", "js_redos_backref", "js_postmessage_window", "ts_line_rules", "go_offset_rules", "terraform", "dockerfile", "kubernetes")),
 ]
 _TYPES = _values([(r.rule_id, r.type) for r in [*C.JS_RULES, C.POSTMESSAGE, *C.TS_RULES, *C.GO_RULES, *C.TF_BLOCK_RULES, *C.TF_LINE_RULES, *C.DOCKER_RULES, C.DOCKER_NO_USER, *C.K8S_RULES, C.K8S_NO_LIMITS]], "rule_id, type").replace("e(", "t(", 1)
 ORACLE["scan_findings"] = (
