@@ -18,4 +18,4 @@ QUERIES = {
     "pii_base_kinds": pii.pii_base_kinds,
 }
 
-ORACLE = {"pii_base_kinds": pii.ORACLE, "op1_decontaminate": decontamination.ORACLE, "op3_warc": warc.ORACLE, "op5_neardup": neardup.ORACLE, "op7_repetition": repetition.ORACLE, "op8_licenses": licenses.ORACLE}
+ORACLE = {"pii_base_kinds": pii.ORACLE, "op1_decontaminate": decontamination.ORACLE, "op3_warc": warc.ORACLE, "op5_neardup": neardup.ORACLE, "op7_repetition": repetition.ORACLE, "op8_licenses": licenses.ORACLE, "op9_shard": sharding.ORACLE}

@@ -92,3 +92,30 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     narrow = docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"))
     return shard_rows(narrow).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def _oracle() -> str:
+    """Slots by the table's order, which is the ids' order where one task reads it. Keys are unsigned 64-bit numbers."""
+    crc = []
+    for n in range(256):
+        for _ in range(8):
+            n = (n >> 1) ^ (0xEDB88320 if n & 1 else 0)
+        crc.append(n)
+    steps = "[" + ", ".join(f"{n}::UINTEGER" for n in crc) + "]"
+    digit = "CAST(instr('0123456789ABCDEF', substr(h, {}, 1)) - 1 AS UINTEGER)"
+    hashed = "(key * 2862933555777941757::UHUGEINT + 1::UHUGEINT) % 18446744073709551616::UHUGEINT"
+    return f"""
+WITH RECURSIVE j AS (
+  SELECT doc_id, n, CAST(doc_id AS UHUGEINT) AS key, CAST(-1 AS BIGINT) AS b, CAST(0 AS BIGINT) AS j FROM documents, (VALUES ({SHARDS}), ({SHARDS + 1})) v(n)
+  UNION ALL
+  SELECT doc_id, n, k, j, CAST(floor((j + 1) * (CAST(2147483648 AS DOUBLE) / (CAST(k // 8589934592::UHUGEINT AS DOUBLE) + 1))) AS BIGINT) FROM (SELECT doc_id, n, j, {hashed} AS k FROM j WHERE j < n)),
+s AS (SELECT doc_id, max(b) FILTER (WHERE n = {SHARDS}) AS shard, max(b) FILTER (WHERE n = {SHARDS + 1}) AS grown_shard FROM j WHERE j >= n GROUP BY doc_id),
+h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size FROM documents),
+l AS (SELECT doc_id, size, list_transform(generate_series(1, length(h) // 2), lambda i: {digit.format("2 * i - 1")} * 16 + {digit.format("2 * i")}) AS bytes FROM h)
+SELECT doc_id, size, CAST(xor(list_reduce(list_prepend(4294967295::UINTEGER, list_transform(bytes, lambda x: x::UINTEGER)), lambda a, x: xor(a >> 8, list_extract({steps}, (xor(a, x) & 255) + 1))), 4294967295::UINTEGER) AS BIGINT) AS text_crc32,
+  'key' AS law, CAST(shard AS INT) AS shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(grown_shard AS INT) AS grown_shard
+FROM l JOIN s USING (doc_id)
+"""
+
+
+ORACLE = _oracle()
