@@ -94,6 +94,19 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int,
     return on_hot.unionByName(rest)
 
 
+def released() -> None:
+    """Give memory that this process has freed back to the machine: reused workers keep it from the next stage otherwise."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has this call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(values: list, most_bytes: int = 4 << 20):
     """Runs (start, stop) of values that hold about so many bytes; one long value is a run of its own."""
     start = size = 0

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_table, mixed, slices, table, written
+from .common import drop_table, mixed, released, slices, table, written
 
 WINDOW = 10
 #: UTF-8 bytes of benchmark text that one broadcast holds, and pairs of places and windows that are compared at once.
@@ -186,6 +186,7 @@ def _searcher(held):
                 [pa.array(counts, pa.int64()), pa.array(ranges, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))],
                 ["n_words", "hit_ranges", "items"],
             )
+        released()
 
     # a filter on the result must not be evaluated apart, below the projection
     return F.arrow_udf(search, _TYPE).asNondeterministic()

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, drop_table, lookup, mixed, rolled, slices, small, small_batches, table, words_hashed, written
+from .common import BROADCAST_ROWS, drop_table, lookup, mixed, released, rolled, slices, small, small_batches, table, words_hashed, written
 from .components import components, joined
 
 #: Hashes in a sketch; values retained with few and with many frequent ones; members of a list before its value counts as frequent.
@@ -83,6 +83,7 @@ def _setter(size: int, keep: int | None):
                     ends.append(ends[-1] + len(flat[-1]))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else [], pa.int64()))
             yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(fp, pa.string()), lists], ["n", "fp", "values"])
+        released()
 
     # not to be evaluated again, below other operators, for filters that follow from joins on its result
     return F.arrow_udf(make, _SETS).asNondeterministic()

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import small, table, written
+from .common import released, small, table, written
 
 LENGTH, END_ID = 2048, 1
 #: Tokens that a queue serves at once.
@@ -46,7 +46,7 @@ QUANTUM = 256
 SHARES, WEIGHTS = 2048, 1 << 20
 #: Documents of the shared queue that are put in order together.
 BUCKET_ROWS = 20_000
-_WORDS_KEPT = 500_000
+_WORDS_KEPT = 250_000
 _REST = "\x00rest"
 
 
@@ -204,6 +204,7 @@ def _tokenise(path: str | None, end: int):
                     [b.column("doc_id").slice(i, j - i), pa.array(names, pa.string()), pa.array([part] * len(ids), pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())],
                     ["doc_id", "queue", "part", "nth", "doc_tokens", "ids"],
                 )
+        released()
 
     return run
 

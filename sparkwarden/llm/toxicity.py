@@ -18,6 +18,7 @@ are replaced.
 from __future__ import annotations
 
 import heapq
+import pickle
 import sys
 import zlib
 from collections import Counter
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, fold, slices, table
+from .common import bounded_sample, fold, released, slices, table
 
 #: Toxic and clean training rows at most (the bound of the sample), and bytes of text a training row may have.
 TOXIC_ROWS, CLEAN_ROWS, ROW_BYTES = 2000, 5000, 16_000
@@ -37,7 +38,7 @@ TOXIC_ROWS, CLEAN_ROWS, ROW_BYTES = 2000, 5000, 16_000
 #: trained on at most, and segments without for each of them.
 CUE_SUPPORT, CUE_LETTERS, CUE_SEGMENTS, PLAIN_SEGMENTS = 0.003, 80, 6000, 2
 BUCKETS, PREFIX, SEGMENT, EPOCHS = 1 << 17, 10, 128, 4
-_WORDS_KEPT = 300_000
+_WORDS_KEPT = 150_000
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 or c == 10 else 32 for c in range(256))
 
@@ -400,7 +401,19 @@ def fitted(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "d
     marks = labelled(labels, key, label)
     chosen = bounded_sample(marks, "k", "y", F.when(F.col("y") == 1, TOXIC_ROWS).otherwise(CLEAN_ROWS)).select("k", "y").limit(2 * (TOXIC_ROWS + CLEAN_ROWS))
     rows = docs.where(F.octet_length(text).between(1, ROW_BYTES)).select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t"))
-    return ToxicityModel([(bytes(r["t"]), r["y"]) for r in rows.join(F.broadcast(chosen), "k").select("t", "y").collect()])
+    # the sample is bounded, so one task holds it; the driver gets the model only
+    sample = rows.join(F.broadcast(chosen), "k").select("t", F.col("y").cast("long").alias("y")).repartition(1)
+    made = sample.mapInArrow(_train, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else ToxicityModel([])
+
+
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [(t, y) for b in batches for t, y in zip(b.column("t").to_pylist(), b.column("y").to_pylist(), strict=True)]
+    if rows:
+        model = pickle.dumps(ToxicityModel(rows))
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
+    del rows
+    released()
 
 
 _TYPE = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("toxic_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
@@ -421,6 +434,8 @@ def scored(df: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame
                 scores.append(s)
                 spans += x
             yield pa.StructArray.from_arrays([pa.array(np.concatenate(scores) if scores else [], pa.float64()), pa.array(spans, kind)], ["score", "toxic_spans"])
+        del tagger
+        released()
 
     # a filter on the result must not be evaluated apart, below the projection
     out = df.drop("score", "toxic_spans", "predicted").withColumn("_t", F.arrow_udf(score, _TYPE).asNondeterministic()(F.col(text).cast("binary")))
