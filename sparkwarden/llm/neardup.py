@@ -223,7 +223,7 @@ class Linker:
         return out
 
     def _held(self, values: DataFrame):
-        return self.spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in values.select("value").collect()], np.int64)))
+        return self.spark.sparkContext.broadcast(np.sort(values.select("value").toArrow().column(0).to_numpy()))
 
     def _without(self, hot: DataFrame) -> DataFrame:
         """Retained values by a shuffle, for more frequent values than a task may hold."""
@@ -277,8 +277,8 @@ class Linker:
         """(node, n, cold, taken) of whole sets."""
         counts = written(sets.select(F.explode("values").alias("value")).groupBy("value").count().where(F.col("count") > LIST), "frequent")
         if counts.count() <= HELD_VALUES:
-            rows = sorted((r["value"], r["count"]) for r in counts.collect())
-            values, n = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+            values, n = (x.to_numpy() for x in counts.select("value", "count").toArrow().columns)
+            values, n = values[order := np.argsort(values)], n[order]
             rank = np.empty(len(n), np.int64)
             rank[np.lexsort((values, n))] = np.arange(len(n))
             held = self.spark.sparkContext.broadcast((values, rank))
