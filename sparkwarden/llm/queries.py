@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, licenses, neardup, packing, pii, repetition, sharding, toxicity, warc
+from . import decontamination, language, licenses, neardup, packing, pii, repetition, sharding, substrings, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontamination.op1_decontaminate,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_shard": sharding.op9_shard,
     "op10_language": language.op10_language,
+    "op12_substrings": substrings.op12_substrings,
     "pii_base_kinds": pii.pii_base_kinds,
 }
 
-ORACLE = {"pii_base_kinds": pii.ORACLE, "op1_decontaminate": decontamination.ORACLE, "op3_warc": warc.ORACLE, "op5_neardup": neardup.ORACLE, "op7_repetition": repetition.ORACLE, "op8_licenses": licenses.ORACLE, "op9_shard": sharding.ORACLE}
+ORACLE = {"pii_base_kinds": pii.ORACLE, "op1_decontaminate": decontamination.ORACLE, "op3_warc": warc.ORACLE, "op5_neardup": neardup.ORACLE, "op7_repetition": repetition.ORACLE, "op8_licenses": licenses.ORACLE, "op9_shard": sharding.ORACLE, "op12_substrings": substrings.ORACLE}
