@@ -20,7 +20,8 @@ pattern leaves as soon as its count alone proves its share too low, so common wo
 Positions are code points, ends exclusive. Matching cuts a text into gaps and matches, and sums over these, not over
 characters, give positions.
 
-Defined cases: a null text is empty; repeated rows are looked at once and all get the result; a null id is a value like
+Defined cases: a null text is empty; repeated rows are looked at once, count as often as they occur on both sides of a share, and
+all get the result, so a table of doubled rows has the same spans twice; a null id is a value like
 others; texts are read whole; an empty table gives no rows; input columns named like an output are replaced.
 """
 
@@ -41,14 +42,16 @@ BASE = {
 }
 #: What a text must hold for a kind to be looked for; each is implied by its pattern and checks.
 _NEEDS = {"email": lambda t: F.contains(t, F.lit("@")), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"), "card": lambda t: t.rlike(r"[0-9][0-9\x20-]{10}"), "phone": lambda t: F.contains(t, F.lit("+"))}
-#: Least characters of an identifier-like word, and of a hexadecimal one that is a seed; characters of context.
-WORD_CHARS, SEED_CHARS, CONTEXT = 6, 16, 48
+#: Least characters of an identifier-like word, and of a hexadecimal one that is a seed.
+WORD_CHARS, SEED_CHARS = 6, 16
 _WORD = rf"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{{{WORD_CHARS},}}+"
 #: Access key ids as their issuer publishes them: a fixed format.
 _KEY = r"^A[KS]IA[0-9A-Z]{16}$"
 _SECRET = rf"^(?:(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{{{SEED_CHARS},}}|A[KS]IA[0-9A-Z]{{16}})$"
 _NAME = r"(?<![A-Za-z0-9])[A-Za-z0-9]++[^\sA-Za-z0-9]++"
-_CONTEXT = rf"((?:\S+\s+){{1,2}}[^\sA-Za-z0-9]*|{_NAME})$"
+_CONTEXT = rf"((?<!\S)(?:\S++\s++){{1,2}}[^\sA-Za-z0-9]*+|{_NAME})$"
+#: What touches a match and the two words before it, in a reversed gap: its first characters, so one attempt finds them.
+_LAST_WORDS = r"^(\S*+(?:\s++\S++){0,2}+)"
 KINDS = [*BASE, "secret", "id"]
 #: Least confidence and distinct trusted instances of a pattern, and scorings of the graph in a round.
 CONFIDENCE, SUPPORT, SCORINGS = 0.8, 5, 3
@@ -62,7 +65,7 @@ def _cut(text: Column, pattern: str, needed: Column) -> Column:
     p = F.lit(pattern)
     both = F.zip_with(
         F.regexp_extract_all(text, p, 0), F.split(text, pattern, -1),
-        lambda m, g: F.struct(F.length(g).cast("long").alias("gap"), F.length(m).cast("long").alias("size"), m.alias("found"), F.right(g, F.lit(CONTEXT)).alias("left")),
+        lambda m, g: F.struct(F.length(g).cast("long").alias("gap"), F.length(m).cast("long").alias("size"), m.alias("found"), F.reverse(F.regexp_extract(F.reverse(g), _LAST_WORDS, 1)).alias("left")),
     )
     return F.when(needed, F.filter(both, lambda x: x["size"].isNotNull())).otherwise(F.array().cast(_PIECE))
 
@@ -79,20 +82,21 @@ def _valid(kind: Column, found: Column) -> Column:
 
 
 def _occurrences(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, k), and valid matches (id, k, kind, start, end, found, pattern); k tells texts of one id apart."""
+    """Rows (id, k), and valid matches (id, k, copies, kind, start, end, found, pattern); k tells texts of one id apart, copies are a text's rows."""
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(key), t).alias("k"), t.alias("t"))
     cut = [_cut(F.col("t"), p, _NEEDS[kind](F.col("t"))).alias(kind) for kind, p in BASE.items()]
     cut.append(_cut(F.col("t"), _WORD, F.col("t").rlike(r"[0-9]")).alias("id_"))
     pieces = written(rows.select("id", "k", *cut), "pieces")
-    one = pieces.where(" OR ".join(f"size(`{c}`) > 0" for c in pieces.columns[2:])).dropDuplicates(["id", "k"])
+    some = pieces.where(" OR ".join(f"size(`{c}`) > 0" for c in pieces.columns[2:]))
+    one = some.groupBy("id", "k").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in pieces.columns[2:]])
     each = None
     for c in pieces.columns[2:]:
-        x = one.select("id", "k", F.lit("word" if c == "id_" else c).alias("kind"), F.posexplode(c).alias("i", "x"))
+        x = one.select("id", "k", "copies", F.lit("word" if c == "id_" else c).alias("kind"), F.posexplode(c).alias("i", "x"))
         each = x if each is None else each.unionByName(x)
     before = W.partitionBy("id", "k", "kind").orderBy("i")
     end = F.sum(F.col("x.gap") + F.col("x.size")).over(before)
-    found = each.select("id", "k", "kind", (end - F.col("x.size")).alias("start"), end.alias("end"), F.col("x.found").alias("found"), F.lower(F.regexp_extract("x.left", _CONTEXT, 1)).alias("pattern"))
+    found = each.select("id", "k", "copies", "kind", (end - F.col("x.size")).alias("start"), end.alias("end"), F.col("x.found").alias("found"), F.lower(F.regexp_extract("x.left", _CONTEXT, 1)).alias("pattern"))
     return pieces.select("id", "k"), written(found.where(_valid(F.col("kind"), F.col("found"))), "occurrences")
 
 
@@ -130,7 +134,8 @@ def _background(docs: DataFrame, text: str, patterns: DataFrame, confidence: flo
     left, gone = heads, []
     for part in PARTS:
         counts = written(_heads(docs, text, left.select("head").distinct(), part), "everywhere")
-        share = F.least(F.lit(1.0), c("seen") / F.greatest(F.coalesce("everywhere", F.lit(0)), F.lit(1)))
+        # words that are found nowhere prove no share: a match before cut the first of them
+        share = F.least(F.lit(1.0), c("seen") / F.coalesce("everywhere", F.lit(1) if part > 1 else F.lit(1 << 62)))
         now = written(left.join(small(counts), "head", "left").withColumn("share", share), "shares")
         gone.append(now.where(c("share") < confidence).select("pattern", F.lit(0.0).alias("share")))
         left = now.where(c("share") >= confidence).select("pattern", "seen", "head")
@@ -146,7 +151,7 @@ def induced(docs: DataFrame, occurrences: DataFrame, text: str = "text", confide
     """pattern, confidence and support of the patterns that are trusted, by iterated scores of the pattern-instance graph."""
     c = F.col
     seed = (c("kind") != "word") | c("found").rlike(_SECRET)
-    graph = occurrences.where(c("pattern") != "").groupBy("pattern", "found").agg(F.count("*").alias("n"), F.max(seed).alias("seed"))
+    graph = occurrences.where(c("pattern") != "").groupBy("pattern", "found").agg(F.sum("copies").alias("n"), F.max(seed).alias("seed"))
     graph = written(graph, "graph")
     first = written(graph.groupBy("found").agg(F.max("seed").cast("double").alias("score")), "seeds")
     scores, counted, trusted = first, None, graph.select("pattern", F.lit(0.0).alias("confidence"), F.lit(0).cast("long").alias("support")).limit(0)
@@ -172,6 +177,7 @@ def entities(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[
     """Rows (id, k) of docs, and their spans (id, k, kind, start, end, found), of base kinds and of the method's."""
     rows, occurrences = _occurrences(docs, key, text)
     trusted = induced(docs, occurrences, text)
+    occurrences = occurrences.drop("copies")
     base = occurrences.where(F.col("kind") != "word").drop("pattern")
     words = occurrences.where(F.col("kind") == "word")
     key = F.col("found").rlike(_KEY)

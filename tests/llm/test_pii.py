@@ -157,3 +157,39 @@ def test_scores_against_plain_loops(spark, monkeypatch, held):
     want = plain_induced({k: v for k, v in graph.items() if k[0]}, lambda p: pairs.get(" ".join(p.split()), 0))
     got = {r.pattern: r.confidence for r in pii.induced(df, occurrences).collect()}
     assert got == pytest.approx(want) and 1 <= len(want) < len(contexts)
+
+
+def _spans(spark, rows):
+    got = pii.digested(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    return sorted((r.doc_id, r.spans) for r in got)
+
+
+@pytest.mark.parametrize("times", [2, 40])
+def test_repeated_rows_count_on_both_sides_of_a_share(spark, times):
+    rows = [(i, f"some words {i} then account number {hashlib.sha1(str(i).encode()).hexdigest()} follows") for i in range(12)]
+    rows += [(100, "also account number Zx81qq77 ends"), (101, "the number is 200012")]
+    once = _spans(spark, rows)
+    assert sum(bool(s) for _, s in once) == 13
+    assert _spans(spark, rows * times) == sorted(once * times)
+    assert _spans(spark, rows + rows[:1] * times * 25) == sorted(once + once[:1] * times * 25)
+
+
+def test_a_copied_text_without_an_instance_counts_against_a_pattern(spark):
+    rows = [(i, f"some words {i} then account number {hashlib.sha1(str(i).encode()).hexdigest()} follows") for i in range(12)]
+    rows += [(100, "account number none")] * 30 + [(101, "an account number Zx81qq77 ends")]
+    assert dict(_spans(spark, rows))[101] == ""
+
+
+@pytest.mark.parametrize("n", [10, 60, 400])
+def test_contexts_are_whole_words_however_long(spark, n):
+    long = "q" * n
+    rows = [(i, f"words {i} then {long} key {hashlib.sha1(str(i).encode()).hexdigest()} follows") for i in range(12)]
+    known = rows + [(100, f"also {long} key Zx81qq77 ends")]
+    assert dict(_spans(spark, known))[100] == f"id:{10 + n}:{18 + n}"
+    # the same two words before others: not cut, so they are counted and the pattern is not trusted
+    assert set(dict(_spans(spark, known + [(200 + i, f"a {long} key that is none") for i in range(30)])).values()) == {""}
+
+
+def test_long_words_before_matches_cost_linear_time(spark):
+    rows = [(1, "a" * 200_000 + "= b1234567"), (2, ("x" * 50_000 + " ") * 3 + "c1234567"), (3, "-" * 200_000 + "d1234567")]
+    assert len(_spans(spark, rows)) == 3
