@@ -208,6 +208,14 @@ def rolled(hashes: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
+def excerpt(text, most: int, pieces: int = 16):
+    """A text of up to `most` bytes as it is; of a longer one, pieces from all over it, `most` characters at most, that begin and end between words."""
+    n = F.length(text)
+    cut = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring(text, F.floor(i * n / pieces).cast("int") + 1, F.lit(most // pieces)))
+    whole = F.transform(cut, lambda x: F.when(x.rlike(r"\s"), F.regexp_replace(x, r"^\S+|\S+$", "")).otherwise(x))
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.array_join(whole, "\n"))
+
+
 def bounded_sample(df: DataFrame, key: str, by: str, per_value) -> DataFrame:
     """At most about per_value (a number, or a column of `by`) rows for each value of `by`, chosen by a hash of key; all of a value that has fewer."""
     counts = small(df.groupBy(by).count().withColumnRenamed("count", "_rows"))

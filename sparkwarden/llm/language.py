@@ -4,15 +4,18 @@ A text is the mean of the embeddings of its words' n-grams (of UTF-8 bytes); emb
 stochastic gradient descent in numpy, on snippets of a bounded sample. A temperature fitted on a part of the
 sample calibrates the probabilities, and a threshold on them rejects texts like no learned language.
 
-After training, each n-gram's part in every logit is one table, so a word is a sum of rows, kept by word.
+After training, a word is a sum of its n-grams' rows, kept by word: of their parts in every logit where languages are few, of
+their embeddings otherwise, so memory does not follow the number of labels. One task trains; of a column with any number of
+labels, the MOST_LANGUAGES most frequent ones are learned, from TRAINING_ROWS rows in all.
 
 Defined cases: a null text or one without a letter is `und` with score 0; so is every text if no row has a
-label; of equally likely languages the first by name is taken; repeated rows get equal results; very long texts are read
+label; of equally likely languages the first by name is taken, and of equally frequent labels too; labelled texts of any length are learned from; repeated rows get equal results; very long texts are read
 whole; an empty table gives no rows; input columns named like an output are replaced.
 """
 
 from __future__ import annotations
 
+import pickle
 import random
 import re
 from collections.abc import Iterator
@@ -23,10 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, fold, slices, table
+from .common import excerpt, fold, released, slices, table
 
-#: Training rows for each language at most (the bound of the sample), and bytes of text a training row may have.
-PER_LANGUAGE, ROW_BYTES = 300, 20_000
+#: Training rows for each language, and in all, at most (the bounds of the sample; one for each language at least), languages at most,
+#: and bytes of text a training row may have; of longer texts, pieces from all over them are taken.
+PER_LANGUAGE, TRAINING_ROWS, MOST_LANGUAGES, ROW_BYTES = 300, 6000, 1000, 20_000
 #: Snippets of a training row, of shuffled words, and words of a snippet, at most.
 SNIPPETS, SNIPPET_WORDS = 6, 24
 BITS, DIM, EPOCHS = 15, 16, 6
@@ -77,13 +81,13 @@ def ngrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class LanguageModel:
-    """languages, table (bucket -> logit parts), bias, temperature, threshold."""
+    """languages, table (bucket -> logit parts, or embeddings if languages are more than DIM), out, bias, temperature, threshold."""
 
     def __init__(self, rows: list[tuple[bytes, str]], seed: int = 7):
         self.languages = sorted({lang for _, lang in rows})
         self.temperature, self.threshold = 1.0, 0.0
         k = len(self.languages)
-        self.table, self.bias = np.zeros((BUCKETS, k), np.float32), np.zeros(k, np.float32)
+        self.table, self.out, self.bias = np.zeros((BUCKETS, min(k, DIM)), np.float32), None, np.zeros(k, np.float32)
         if k:
             self._fit(rows, random.Random(seed), np.random.default_rng(seed))
 
@@ -92,10 +96,11 @@ class LanguageModel:
         grams, counts = ngrams(distinct) if distinct else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         known = dict(zip(distinct, np.split(grams, np.cumsum(counts)[:-1]), strict=True)) if distinct else {}
         snippets: list[tuple[np.ndarray, int]] = []
+        number = {lang: i for i, lang in enumerate(self.languages)}
         for text, lang in rows:
             words = words_of(text)
             rng.shuffle(words)
-            y = self.languages.index(lang)
+            y = number[lang]
             for i in range(0, min(len(words), SNIPPETS * SNIPPET_WORDS), SNIPPET_WORDS):
                 size = rng.choice((3, 6, 12, SNIPPET_WORDS))
                 snippets.append((np.concatenate([known[w] for w in words[i : i + size]]), y))
@@ -125,11 +130,15 @@ class LanguageModel:
                 out -= rate * (mean.T @ p).astype(np.float32)
                 bias -= rate * p.sum(0)
                 np.add.at(emb, ids, -(rate * len(batch)) * back[owner].astype(np.float32))
-        self.table, self.bias = (emb @ out).astype(np.float32), bias
+        self.table, self.out, self.bias = ((emb @ out).astype(np.float32), None, bias) if k <= DIM else (emb, out, bias)
         self._calibrate(held or train)
 
+    def logits(self, means: np.ndarray) -> np.ndarray:
+        """Logits of mean rows of the table."""
+        return (means if self.out is None else means @ self.out) + self.bias
+
     def _calibrate(self, held: list[tuple[np.ndarray, int]]) -> None:
-        logits = np.array([self.table[g].mean(0) + self.bias for g, _ in held])
+        logits = self.logits(np.array([self.table[g].mean(0) for g, _ in held]))
         y = np.array([y for _, y in held])
         fits = []
         for t in np.geomspace(0.2, 5, 25):
@@ -151,7 +160,7 @@ class _Words(dict):
 
     def __init__(self, model: LanguageModel):
         super().__init__()
-        self.model, self.rows = model, np.zeros((0, len(model.languages) + 1))
+        self.model, self.rows = model, np.zeros((0, model.table.shape[1] + 1))
 
     def learn(self, words: list[bytes]) -> None:
         for i in range(0, len(words), 1 << 13):
@@ -175,7 +184,7 @@ class Predictor:
     def __call__(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language or und, probability, and whether it is too low to be trusted."""
         m = self.model
-        sums = np.zeros((len(texts), len(m.languages) + 1))
+        sums = np.zeros((len(texts), m.table.shape[1] + 1))
         seen = np.fromiter(map(has_letter, texts), bool, len(texts))
         split = [words_of(t) for t in texts]
         if len(self.words) > _WORDS_KEPT:
@@ -188,17 +197,36 @@ class Predictor:
                 sums[k] += rows[list(map(get, words[i : i + (1 << 16)]))].sum(0)
         if not m.languages:
             return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        p = _softmax((sums[:, :-1] / np.maximum(sums[:, -1:], 1) + m.bias) / m.temperature)
-        best, score = p.argmax(1), np.where(seen, p.max(1), 0.0)
+        best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        for i in range(0, len(texts), 256):
+            p = _softmax(m.logits(sums[i : i + 256, :-1] / np.maximum(sums[i : i + 256, -1:], 1)) / m.temperature)
+            best[i : i + 256], score[i : i + 256] = p.argmax(1), p.max(1)
+        score = np.where(seen, score, 0.0)
         names = [m.languages[b] if s else "und" for b, s in zip(best.tolist(), seen.tolist(), strict=True)]
         return names, score, score < m.threshold
 
 
 def fitted(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> LanguageModel:
-    """A model of a bounded sample of df's rows that have a label."""
-    rows = df.where(F.col(lang).isNotNull() & (F.octet_length(text).between(1, ROW_BYTES))).select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t"), F.col(lang).alias("l"))
-    sample = bounded_sample(rows, "k", "l", PER_LANGUAGE).select("k", "t", "l").collect()
-    return LanguageModel(sorted((bytes(r["t"]), r["l"]) for r in sample))
+    """A model of a bounded sample of df's rows that have a label and a text. One task holds it; the driver gets the model only."""
+    rows = df.where(F.col(lang).isNotNull() & (F.octet_length(text) > 0)).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
+    known = rows.groupBy("l").agg(F.count("*").alias("_rows")).orderBy(F.desc("_rows"), "l").limit(MOST_LANGUAGES).collect()
+    if not known:
+        return LanguageModel([])
+    each = max(1, min(PER_LANGUAGE, TRAINING_ROWS // len(known)))
+    counts = df.sparkSession.createDataFrame(known, "l string, _rows long")
+    draw = F.pmod(F.xxhash64(F.lit("sample"), "k"), F.lit(1 << 30)) / float(1 << 30)
+    sample = rows.join(F.broadcast(counts), "l").where(draw * F.col("_rows") < each).select("l", excerpt(F.col("t"), ROW_BYTES).cast("binary").alias("t"))
+    made = sample.repartition(1).mapInArrow(_train, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else LanguageModel([])
+
+
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [(t, x) for b in batches for t, x in zip(b.column("t").to_pylist(), b.column("l").to_pylist(), strict=True)]
+    if rows:
+        model = pickle.dumps(LanguageModel(sorted(rows)))
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
+    del rows
+    released()
 
 
 _TYPE = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])

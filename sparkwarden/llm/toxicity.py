@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, fold, released, slices, table
+from .common import bounded_sample, excerpt, fold, released, slices, table
 
-#: Toxic and clean training rows at most (the bound of the sample), and bytes of text a training row may have.
+#: Toxic and clean training rows at most (the bound of the sample), and bytes of text a training row may have; of longer texts, pieces from all over them are taken.
 TOXIC_ROWS, CLEAN_ROWS, ROW_BYTES = 2000, 5000, 16_000
 #: Least share of the toxic training rows that a cue is in, and its letters at most; segments with cues that the chain is
 #: trained on at most, and segments without for each of them.
@@ -397,12 +397,12 @@ def labelled(labels: DataFrame, key: str = "doc_id", label: str = "toxic") -> Da
 
 
 def fitted(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> ToxicityModel:
-    """A model of a bounded sample of the documents that have a label; rows with a null label have none."""
-    marks = labelled(labels, key, label)
+    """A model of a bounded sample of the documents that have a label and a text; rows with a null label have none."""
+    rows = docs.where(F.octet_length(text) > 0).select(F.col(key).alias("k"), F.col(text).alias("t"))
+    marks = labelled(labels, key, label).join(rows.select("k"), "k", "left_semi")
     chosen = bounded_sample(marks, "k", "y", F.when(F.col("y") == 1, TOXIC_ROWS).otherwise(CLEAN_ROWS)).select("k", "y").limit(2 * (TOXIC_ROWS + CLEAN_ROWS))
-    rows = docs.where(F.octet_length(text).between(1, ROW_BYTES)).select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t"))
     # the sample is bounded, so one task holds it; the driver gets the model only
-    sample = rows.join(F.broadcast(chosen), "k").select("t", F.col("y").cast("long").alias("y")).repartition(1)
+    sample = rows.join(F.broadcast(chosen), "k").select(excerpt(F.col("t"), ROW_BYTES).cast("binary").alias("t"), F.col("y").cast("long").alias("y")).repartition(1)
     made = sample.mapInArrow(_train, "model binary").collect()
     return pickle.loads(made[0]["model"]) if made else ToxicityModel([])
 
