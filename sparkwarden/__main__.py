@@ -27,7 +27,8 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--model", help="a saved pipeline, for the deep profile")
     s.add_argument("--rules", action="append", help="a folder of further rules")
     s.add_argument("--latest", help="CSV of name, latest: the newest versions of packages")
-    s.add_argument("--advisories", help="JSON lines of package, version and advisories")
+    s.add_argument("--advisories", help="JSON lines of package, version and severity")
+    s.add_argument("--advisory-records", help="advisory records with version ranges, one JSON document a line")
     s.add_argument("--commits", help="CSV of file, author, ts, for churn")
     s.add_argument("--bandit", help="a captured report")
     s.add_argument("--eslint", help="a captured report")
@@ -57,6 +58,8 @@ def _tables(args: argparse.Namespace, spark) -> dict:
         out["latest"] = spark.read.schema("name string, latest string").csv(args.latest, header=True)
     if args.advisories:
         out["advisories"] = spark.read.schema("name string, version string, severity string").json(args.advisories)
+    if args.advisory_records:
+        out["advisories"] = spark.read.text(args.advisory_records).withColumnRenamed("value", "json")
     if args.commits:
         out["commits"] = spark.read.schema("file string, author string, ts timestamp").csv(args.commits, header=True)
     for tool in ("bandit", "eslint"):

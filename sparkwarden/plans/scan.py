@@ -15,6 +15,7 @@ from sparkwarden.operators import python_code as PY
 from sparkwarden.operators import scoring as S
 from sparkwarden.operators.rules import rule_table
 from sparkwarden.operators.suppression import fingerprint, suppressed
+from sparkwarden.operators.versions import range_report
 from sparkwarden.sources import readers as SRC
 from sparkwarden.sources.readers import iac_kind, lines, read_files, scanned
 
@@ -70,8 +71,9 @@ def findings_of(files: DataFrame, chosen: Profile, **options) -> DataFrame:
 def dependency_findings(files: DataFrame, latest: DataFrame | None = None, advisories: DataFrame | None = None) -> DataFrame:
     """A finding for each manifest in the project's root: its packages, and how many are outdated or vulnerable.
 
-    latest (name, latest) and advisories (name, version, severity) are tables; without them no package is either. As a
-    manifest of JavaScript says ranges, its packages are never outdated.
+    latest (name, latest) and advisories are tables; without them no package is either. Advisories are either answers for versions (name,
+    version, severity) or records (json), whose ranges are compared with versions. As a manifest of JavaScript says ranges,
+    its packages are never outdated.
     """
     spark = files.sparkSession
     latest = latest if latest is not None else spark.createDataFrame([], "name string, latest string")
@@ -79,7 +81,11 @@ def dependency_findings(files: DataFrame, latest: DataFrame | None = None, advis
     text = files.where(F.col("file").isin("requirements.txt", "package.json"))
     py = SRC.requirements(lines(text.where("file = 'requirements.txt'")).select(F.col("file").alias("project"), "line"))
     js = SRC.package_json(text.where("file = 'package.json'").select(F.col("file").alias("project"), F.col("content").alias("json")))
-    report = A.dependency_report(py.unionByName(js), latest, advisories)
+    if "json" in advisories.columns:
+        known = py.withColumn("ecosystem", F.lit("PyPI")).unionByName(js.withColumn("ecosystem", F.lit("npm")))
+        report = range_report(known, latest, advisories).drop("ecosystem", "n_advisories")
+    else:
+        report = A.dependency_report(py.unionByName(js), latest, advisories)
     report = report.withColumn("outdated", F.col("outdated") & (F.col("project") == "requirements.txt"))
     each = F.struct("name", "version", "outdated", "vulnerable", "severity")
     listed = report.groupBy("project").agg(F.array_sort(F.collect_list(each)).alias("dependencies"))

@@ -4,12 +4,13 @@ import os
 
 import pytest
 
-from sparkwarden.plans import detection, relational
+from sparkwarden.plans import detection, packages, relational
 
 duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-QUERIES, ORACLE = {**detection.QUERIES, **relational.QUERIES}, {**detection.ORACLE, **relational.ORACLE}
+PLANS = (detection, relational, packages)
+QUERIES, ORACLE = ({k: v for m in PLANS for k, v in getattr(m, x).items()} for x in ("QUERIES", "ORACLE"))
 
 
 @pytest.fixture(scope="module")
