@@ -6,7 +6,6 @@ One pass over a file gives its functions, calls and assignments; a file that doe
 from __future__ import annotations
 
 import ast
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,7 +15,8 @@ from pyspark.sql import types as T
 
 from sparkwarden.plans.tables import held
 
-from .catalog import JS_DANGEROUS, JS_VALIDATION, SENSITIVE_KEYWORDS, VALIDATION_FUNCTIONS, VALIDATION_MODULES
+from .catalog import SENSITIVE_KEYWORDS, VALIDATION_FUNCTIONS, VALIDATION_MODULES
+from .javascript import javascript_facts
 
 _NAME = pa.struct([("pos", pa.int64()), ("id", pa.string())])
 _FUNCTION = pa.struct([("fn_id", pa.int64()), ("name", pa.string()), ("lineno", pa.int64()), ("end_lineno", pa.int64()), ("length", pa.int64()), ("cyclomatic", pa.int64()), ("nesting", pa.int64()), ("args", pa.list_(pa.string())), ("validation", pa.list_(pa.string())), ("sensitive", pa.list_(pa.string())), ("depth", pa.int64())])
@@ -124,50 +124,9 @@ class PythonFacts:
         self.errors = facts.where("error IS NOT NULL").select("file", "error")
 
 
-_JS_TOKEN = re.compile(r"""(?P<skip>//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|(?P<name>[A-Za-z_$][\w$]*)|(?P<line>\n)|(?P<sign>[{}().;])""", re.S)
 _JS = pa.struct([("functions", pa.list_(pa.struct([("name", pa.string()), ("lineno", pa.int64()), ("length", pa.int64()), ("nesting", pa.int64()), ("validation", pa.list_(pa.string()))]))), ("calls", pa.list_(pa.struct([("callee", pa.string()), ("lineno", pa.int64())])))])
 
 
-def javascript_facts(source: str | None) -> dict:
-    """Function metrics and dangerous calls from tokens: strings and comments are skipped, `new X(` and `a.x(` are no calls."""
-    line, level, calls, functions = 1, 0, [], []
-    open_: list[dict] = []
-    tokens: list[tuple[str, int]] = []
-    for m in _JS_TOKEN.finditer(source or ""):
-        if m["line"]:
-            line += 1
-        elif m["skip"]:
-            line += m[0].count("\n")
-        else:
-            tokens.append((m[0], line))
-    for i, (t, at) in enumerate(tokens):
-        before = tokens[i - 1][0] if i else ""
-        after = tokens[i + 1][0] if i + 1 < len(tokens) else ""
-        if t == "function" and before != ".":
-            open_.append({"name": after if after not in "({" else "<anonymous>", "lineno": at, "level": None, "length": 0, "nesting": 0, "validation": []})
-        elif t == "{":
-            level += 1
-            for f in open_:
-                if f["level"] is None:
-                    f["level"] = level
-                f["nesting"] = max(f["nesting"], level - f["level"])
-        elif t == "}":
-            if open_ and open_[-1]["level"] == level:
-                functions.append(open_.pop())
-            level -= 1
-            if open_ and open_[-1]["level"] == level:
-                open_[-1]["length"] += 1
-        elif t == ";" and open_ and open_[-1]["level"] == level:
-            open_[-1]["length"] += 1
-        elif after == "(" and before not in (".", "new", "function"):
-            if t in JS_DANGEROUS:
-                calls.append({"callee": t, "lineno": at})
-            if t in JS_VALIDATION:
-                for f in open_:
-                    f["validation"].append(t)
-    return {"functions": sorted(({k: f[k] for k in ("name", "lineno", "length", "nesting", "validation")} for f in functions), key=lambda f: f["lineno"]), "calls": calls}
-
-
 def _javascript(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for a in batches:
         yield pa.array([javascript_facts(x) for x in a.to_pylist()], _JS)
