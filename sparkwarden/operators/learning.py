@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .advisories import RANK
 
@@ -117,14 +118,35 @@ def synthetic_samples(spark: SparkSession, kinds: dict[str, tuple[list[str], lis
     return each.select(code.alias("code"), label.alias("label"), "type", F.lit("synthetic").alias("source"), variant.alias("variant"))
 
 
+def enclosing(places: DataFrame, functions: DataFrame) -> DataFrame:
+    """The distinct (file, line) of places with the outermost function around each, (a, b), or nulls, and how many are open there.
+
+    functions (file, a, b: first and last line) are nested in each other or apart. One sweep over a file's lines, in order: a function that begins
+    beyond the reach of all before is an outermost one, and a line's is the last of these if it reaches so far. Findings of one line are one
+    place, so a file costs its lines and functions, however many findings it has.
+    """
+    c = F.col
+    of = functions.select("file", "a", "b")
+    starts = of.select("file", c("a").alias("line"), F.lit(0).alias("kind"), "b", F.lit(1).alias("opens"))
+    asked = places.select("file", "line").where("line IS NOT NULL").distinct().select("file", "line", F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("b"), F.lit(0).alias("opens"))
+    ends = of.select("file", c("b").alias("line"), F.lit(2).alias("kind"), F.lit(None).cast("bigint").alias("b"), F.lit(-1).alias("opens"))
+    order = W.partitionBy("file").orderBy("line", "kind", F.desc("b"))
+    reach = F.max("b").over(order.rowsBetween(W.unboundedPreceding, -1))
+    outer = F.when((c("kind") == 0) & (F.coalesce(reach, F.lit(-1)) < c("line")), F.struct(c("line").alias("a"), "b"))
+    upto = order.rowsBetween(W.unboundedPreceding, 0)
+    swept = starts.unionByName(asked).unionByName(ends).withColumn("outer", outer)
+    swept = swept.withColumns({"fn": F.last("outer", ignorenulls=True).over(upto), "open": F.sum("opens").over(upto)}).where("kind = 1")
+    here = c("fn.b") >= c("line")
+    return swept.select("file", "line", F.when(here, c("fn.a")).alias("a"), F.when(here, c("fn.b")).alias("b"), "open")
+
+
 def code_context(findings: DataFrame, lines: DataFrame, functions: DataFrame, around: int = 10) -> DataFrame:
     """(ordinal, first_line, last_line) of the outermost function around a finding, or so many lines either side."""
     f = findings.select("ordinal", "file", "line")
-    g = functions.select("file", F.col("lineno").alias("a"), F.col("end_lineno").alias("b"), "depth")
-    inside = f.join(g, "file").where(F.col("line").between(F.col("a"), F.col("b"))).groupBy("ordinal").agg(F.min_by(F.struct("a", "b"), F.struct("depth", "a")).alias("fn"))
+    at = enclosing(f, functions.select("file", F.col("lineno").alias("a"), F.col("end_lineno").alias("b")))
     n = lines.groupBy("file").agg(F.max("line_no").alias("n"))
-    out = f.join(inside, "ordinal", "left").join(n, "file")
-    return out.select("ordinal", F.coalesce("fn.a", F.greatest(F.lit(1), F.col("line") - around)).alias("first_line"), F.coalesce("fn.b", F.least(F.col("n"), F.col("line") + around)).alias("last_line"))
+    out = f.join(at, ["file", "line"], "left").join(n, "file")
+    return out.select("ordinal", F.coalesce("a", F.greatest(F.lit(1), F.col("line") - around)).alias("first_line"), F.coalesce("b", F.least(F.col("n"), F.col("line") + around)).alias("last_line"))
 
 
 def with_embeddings(findings: DataFrame, embeddings: DataFrame, key: str, size: int) -> DataFrame:
@@ -133,8 +155,6 @@ def with_embeddings(findings: DataFrame, embeddings: DataFrame, key: str, size:
     return findings.join(embeddings, key, "left").withColumn("embedding", F.coalesce("embedding", zero))
 
 
-
-
 def with_vectors(rows: DataFrame, columns: list[str], embedding: str = "embedding", out: str = "vector") -> DataFrame:
     """rows with one vector: the static features, then the embedding's values."""
     static = F.array(*[F.col(c).cast("double") for c in columns])

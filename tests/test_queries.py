@@ -4,12 +4,12 @@ import os
 
 import pytest
 
-from sparkwarden.plans import detection, packages, relational
+from sparkwarden.plans import detection, generated, packages, relational
 
 duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-PLANS = (detection, relational, packages)
+PLANS = (detection, relational, packages, generated)
 QUERIES, ORACLE = ({k: v for m in PLANS for k, v in getattr(m, x).items()} for x in ("QUERIES", "ORACLE"))
 
 
