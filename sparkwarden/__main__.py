@@ -30,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--advisories", help="JSON lines of package, version and severity")
     s.add_argument("--advisory-records", help="advisory records with version ranges, one JSON document a line")
     s.add_argument("--commits", help="CSV of file, author, ts, for churn")
+    s.add_argument("--commit-log", help="the output of git log --name-status -M, for churn that follows renames")
     s.add_argument("--bandit", help="a captured report")
     s.add_argument("--eslint", help="a captured report")
     t = sub.add_parser("train", help="fit a model on a labelled CSV")
@@ -52,6 +53,7 @@ def _tables(args: argparse.Namespace, spark) -> dict:
     from pyspark.sql import functions as F
 
     from sparkwarden.sources import readers
+    from sparkwarden.sources.commits import changes, read_log, renamed
 
     out: dict = {"tools": []}
     if args.latest:
@@ -62,6 +64,9 @@ def _tables(args: argparse.Namespace, spark) -> dict:
         out["advisories"] = spark.read.text(args.advisory_records).withColumnRenamed("value", "json")
     if args.commits:
         out["commits"] = spark.read.schema("file string, author string, ts timestamp").csv(args.commits, header=True)
+    if args.commit_log:
+        rows = renamed(changes(read_log(spark, args.commit_log)).where("ts IS NOT NULL"))
+        out["commits"] = rows.select("commit", F.col("now").alias("file"), "author", "ts").distinct().drop("commit")
     for tool in ("bandit", "eslint"):
         if path := getattr(args, tool):
             out["tools"].append(readers.tool_findings(spark.read.text(path, wholetext=True).select(F.col("value").alias("json")), tool))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkwarden.functions.facts import PythonFacts, javascript
 from sparkwarden.operators.learning import enclosing
+from sparkwarden.sources.commits import log_churn, split_log
 
 #: Statements and nested blocks of a file's first function, and statements of its method, by the document's id.
 _N, _D, _M = "doc_id % 7", "doc_id % 4", "doc_id % 5 + 1"
@@ -63,13 +64,39 @@ def function_at_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.join(at, ["file", "line"]).select("doc_id", "file", "line", F.col("a").alias("first_line"), F.col("b").alias("last_line"), "open")
 
 
-QUERIES = {f.__name__: f for f in (js_metrics, js_calls, function_at_line)}
+#: A file of every even number is renamed at two of its events; every tenth old path is made anew between.
+_K, _FIRST, _SECOND = "event_id % 200", "200 + event_id % 200", "600 + event_id % 200"
+_ANEW = f"{_K} % 10 = 4 AND event_id % 3 = 0 AND event_id > {_FIRST} AND event_id <> {_SECOND}"
+
+
+def commit_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (text): logs of fifty commits each, one for each event, newest first."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", F.col("user_id").cast("string").alias("who"), F.expr(f"CAST({_K} AS STRING)").alias("k"))
+    path = lambda x: F.concat(F.lit(f"src/{x}"), "k", F.lit(".py"))
+    even = F.expr(f"{_K} % 2 = 0")
+    change = (
+        F.when(even & F.expr(f"event_id = {_FIRST}"), F.concat(F.lit("R090\t"), path("f"), F.lit("\t"), path("g"))).when(even & F.expr(f"event_id = {_SECOND}"), F.concat(F.lit("R100\t"), path("g"), F.lit("\t"), path("h")))
+        .when(~even | F.expr(f"event_id < {_FIRST} OR {_ANEW}"), F.concat(F.lit("M\t"), path("f"))).when(F.expr(f"event_id < {_SECOND}"), F.concat(F.lit("M\t"), path("g"))).otherwise(F.concat(F.lit("M\t"), path("h")))
+    )
+    text = F.concat(F.lit("commit "), F.sha1(F.col("event_id").cast("string").cast("binary")), F.lit("\nAuthor: U"), "who", F.lit(" <u"), "who", F.lit("@x.org>\nDate:   "), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z\n\n    commit of a change\n\n"), change, F.lit("\n"))
+    logs = e.select(F.floor(F.col("event_id") / 50).alias("part"), F.struct(-F.col("event_id"), text.alias("text")).alias("c")).groupBy("part").agg(F.sort_array(F.collect_list("c")).alias("all"))
+    return logs.select(F.array_join(F.transform("all", lambda c: c["text"]), "\n").alias("text"))
+
+
+def git_log_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Churn by the files' present names, from the texts of commit logs with renames."""
+    return log_churn(split_log(commit_logs(spark, sf_dir)), F.lit("2030-01-01 00:00:00").cast("timestamp"))
+
+
+QUERIES = {f.__name__: f for f in (js_metrics, js_calls, function_at_line, git_log_churn)}
 
 _JS = f"""j AS (SELECT 'web/' || doc_id || '.js' AS file, doc_id, {_N} AS n, {_D} AS d, 2 + length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS f FROM documents)"""
 _PY = f"""p AS (SELECT doc_id, 'app/' || doc_id || '.py' AS file, doc_id % 23 + 1 AS line, 2 + {_N} AS body, least({_D}, 2) AS inner_, {_M} AS m FROM documents),
 q AS (SELECT *, body + 2 * inner_ + 1 AS a_end FROM p),
 g AS (SELECT doc_id, 1 AS a, a_end AS b, 0 AS depth FROM q UNION ALL SELECT doc_id, body + 1 + 2 * k, body + 2 + 2 * k, 1 FROM q, (VALUES (0), (1)) v(k) WHERE k < inner_ UNION ALL SELECT doc_id, a_end + 2, a_end + 2 + m, 0 FROM q)"""
 ORACLE = {
+    "git_log_churn": f"""SELECT 'src/' || CASE WHEN {_K} % 2 = 1 OR {_ANEW} THEN 'f' ELSE 'h' END || {_K} || '.py' AS file, count(*) AS commit_count, count(DISTINCT user_id) AS unique_authors,
+  CAST(floor((epoch(TIMESTAMP '2030-01-01') - floor(epoch(max(ts)))) / 86400) AS BIGINT) AS last_modified_days FROM events GROUP BY 1""",
     "js_metrics": f"""WITH {_JS} SELECT file, 'f' || doc_id AS name, f AS line, 2 * n + CASE WHEN d > 0 THEN 1 ELSE 0 END + 1 AS length, d AS nesting, 'escape' AS validation FROM j
   UNION ALL SELECT file, v.name, f + n + v.down, 1, 0, '' FROM j, (VALUES ('<anonymous>', 4), ('<anonymous>', 4), ('<anonymous>', 6), ('named', 6)) v(name, down)""",
     "js_calls": f"WITH {_JS} SELECT file, v.callee, f + n + v.down AS line FROM j, (VALUES ('eval', 2), ('setTimeout', 4), ('eval', 6)) v(callee, down)",
