@@ -1,7 +1,7 @@
-"""Queries over source files whose lines follow from a document's id and text, with SQL that computes what is in them.
+"""Queries over files, logs, stores and streams that are made from the tables, with SQL that computes what is in them.
 
-Each file has as many statements, nested blocks and methods as its id says, so results differ from file to file and grow
-with the table.
+Each file has as many statements, nested blocks and methods as a document's id says, and logs and stores hold an entry for each event,
+so results differ from row to row and grow with the tables.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from sparkwarden.functions.facts import PythonFacts, javascript
 from sparkwarden.operators.learning import enclosing
+from sparkwarden.operators.store import FindingStore, PagedTable
+from sparkwarden.plans.tables import folder
 from sparkwarden.sources.commits import log_churn, split_log
 
 #: Statements and nested blocks of a file's first function, and statements of its method, by the document's id.
@@ -88,13 +90,46 @@ def git_log_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_churn(split_log(commit_logs(spark, sf_dir)), F.lit("2030-01-01 00:00:00").cast("timestamp"))
 
 
-QUERIES = {f.__name__: f for f in (js_metrics, js_calls, function_at_line, git_log_churn)}
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as findings."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    none = F.lit(None).cast("string")
+    severity = F.get(F.array(*map(F.lit, ("critical", "high", "medium", "low"))), (F.col("user_id") % 4).cast("int"))
+    return e.select(F.col("event_id").alias("ordinal"), F.col("event_type").alias("type"), severity.alias("severity"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("file"), (F.col("event_id") % 500).alias("line"), F.col("props").alias("message"), none.alias("rule_id"), none.alias("cwe"))
+
+
+def store_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store after three scans, a delete, and a scan whose writer stopped before its commit: counts by scan and severity."""
+    store, found = FindingStore(spark, folder(spark, "store")), _events(spark, sf_dir)
+    for k in range(3):
+        scan = store.add_scan(found.where(F.col("ordinal") % 3 == k), f"part {k}")
+        if k == 1:
+            store.delete_scan(scan)
+    store._write_findings(found.limit(0).select("type"), "unfinished")
+    names = store.scans.select(F.col("id").alias("scan_id"), "scan_path", "total_findings")
+    return store.findings.groupBy("scan_id", "severity").agg(F.count("*").alias("n")).join(names, "scan_id").select("scan_path", "severity", "n", "total_findings")
+
+
+def store_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of findings of one severity and the rows after it, from ranges with counts."""
+    rows = _events(spark, sf_dir).select("line", "ordinal", "type", "severity")
+    table = PagedTable.build(rows, folder(spark, "pages"), ["line", "ordinal"], ["severity", "type"], size=5000)
+    page = table.page(4, 10, severity="high")
+    last = page.orderBy(F.desc("line"), F.desc("ordinal")).first()
+    after = table.after({"line": last["line"], "ordinal": last["ordinal"]}, 7, severity="high")
+    return page.withColumn("part", F.lit("page")).unionByName(after.withColumn("part", F.lit("after")))
+
+
+QUERIES = {f.__name__: f for f in (js_metrics, js_calls, function_at_line, git_log_churn, store_commits, store_seek)}
 
 _JS = f"""j AS (SELECT 'web/' || doc_id || '.js' AS file, doc_id, {_N} AS n, {_D} AS d, 2 + length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS f FROM documents)"""
 _PY = f"""p AS (SELECT doc_id, 'app/' || doc_id || '.py' AS file, doc_id % 23 + 1 AS line, 2 + {_N} AS body, least({_D}, 2) AS inner_, {_M} AS m FROM documents),
 q AS (SELECT *, body + 2 * inner_ + 1 AS a_end FROM p),
 g AS (SELECT doc_id, 1 AS a, a_end AS b, 0 AS depth FROM q UNION ALL SELECT doc_id, body + 1 + 2 * k, body + 2 + 2 * k, 1 FROM q, (VALUES (0), (1)) v(k) WHERE k < inner_ UNION ALL SELECT doc_id, a_end + 2, a_end + 2 + m, 0 FROM q)"""
+_FOUND = "f AS (SELECT event_id AS ordinal, event_type AS type, ['critical', 'high', 'medium', 'low'][user_id % 4 + 1] AS severity, event_id % 500 AS line FROM events)"
 ORACLE = {
+    "store_commits": f"WITH {_FOUND} SELECT 'part ' || (ordinal % 3) AS scan_path, severity, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY ordinal % 3) AS BIGINT) AS total_findings FROM f WHERE ordinal % 3 <> 1 GROUP BY ordinal % 3, severity",
+    "store_seek": f"WITH {_FOUND}, r AS (SELECT line, ordinal, type, severity, row_number() OVER (ORDER BY line, ordinal) AS i FROM f WHERE severity = 'high') SELECT line, ordinal, type, severity, CASE WHEN i <= 40 THEN 'page' ELSE 'after' END AS part FROM r WHERE i BETWEEN 31 AND 47",
     "git_log_churn": f"""SELECT 'src/' || CASE WHEN {_K} % 2 = 1 OR {_ANEW} THEN 'f' ELSE 'h' END || {_K} || '.py' AS file, count(*) AS commit_count, count(DISTINCT user_id) AS unique_authors,
   CAST(floor((epoch(TIMESTAMP '2030-01-01') - floor(epoch(max(ts)))) / 86400) AS BIGINT) AS last_modified_days FROM events GROUP BY 1""",
     "js_metrics": f"""WITH {_JS} SELECT file, 'f' || doc_id AS name, f AS line, 2 * n + CASE WHEN d > 0 THEN 1 ELSE 0 END + 1 AS length, d AS nesting, 'escape' AS validation FROM j
