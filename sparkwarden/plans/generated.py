@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwarden.functions.facts import PythonFacts, javascript
+from sparkwarden.functions.table_functions import register
 from sparkwarden.operators.learning import enclosing
 from sparkwarden.operators.store import FindingStore, PagedTable
 from sparkwarden.plans.tables import folder
 from sparkwarden.sources.commits import log_churn, split_log
+from sparkwarden.streaming.sessions import sessions, write_sessions
 
 #: Statements and nested blocks of a file's first function, and statements of its method, by the document's id.
 _N, _D, _M = "doc_id % 7", "doc_id % 4", "doc_id % 5 + 1"
@@ -120,14 +122,56 @@ def store_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.withColumn("part", F.lit("page")).unionByName(after.withColumn("part", F.lit("after")))
 
 
-QUERIES = {f.__name__: f for f in (js_metrics, js_calls, function_at_line, git_log_churn, store_commits, store_seek)}
+def sql_py_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions by file, in SQL text: a table function over the Python files."""
+    register(spark)
+    python_files(spark, sf_dir).select("file", "content").createOrReplaceTempView("sparkwarden_python_files")
+    return spark.sql("""
+        SELECT file, name, lineno, end_lineno, cyclomatic, row_number() OVER (PARTITION BY file ORDER BY lineno) AS nth
+        FROM py_facts(TABLE(sparkwarden_python_files), kind => 'functions')""")
+
+
+def sql_js_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dangerous calls by callee and validations by function, in SQL text."""
+    register(spark)
+    javascript_files(spark, sf_dir).createOrReplaceTempView("sparkwarden_javascript_files")
+    return spark.sql("""
+        SELECT 'call' AS kind, callee AS name, count(*) AS n, sum(lineno) AS lines FROM js_facts(TABLE(sparkwarden_javascript_files), kind => 'calls') GROUP BY callee
+        UNION ALL
+        SELECT 'validation', v, count(*), sum(lineno) FROM js_facts(TABLE(sparkwarden_javascript_files)) LATERAL VIEW explode(validation) AS v GROUP BY v""")
+
+
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def event_sessions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sessions that a stream of the events has closed when all has been read."""
+    path = f"{sf_dir}/events.parquet"
+    # a pattern, as the table is a file or a folder
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]")
+    out, state = folder(spark, "sessions"), folder(spark, "state")
+    write_sessions(stream, out, state).awaitTermination()
+    return spark.read.parquet(out)
+
+
+QUERIES = {f.__name__: f for f in (js_metrics, js_calls, function_at_line, git_log_churn, store_commits, store_seek, sql_py_facts, sql_js_facts, event_sessions, event_sessions_stream)}
 
 _JS = f"""j AS (SELECT 'web/' || doc_id || '.js' AS file, doc_id, {_N} AS n, {_D} AS d, 2 + length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS f FROM documents)"""
 _PY = f"""p AS (SELECT doc_id, 'app/' || doc_id || '.py' AS file, doc_id % 23 + 1 AS line, 2 + {_N} AS body, least({_D}, 2) AS inner_, {_M} AS m FROM documents),
 q AS (SELECT *, body + 2 * inner_ + 1 AS a_end FROM p),
 g AS (SELECT doc_id, 1 AS a, a_end AS b, 0 AS depth FROM q UNION ALL SELECT doc_id, body + 1 + 2 * k, body + 2 + 2 * k, 1 FROM q, (VALUES (0), (1)) v(k) WHERE k < inner_ UNION ALL SELECT doc_id, a_end + 2, a_end + 2 + m, 0 FROM q)"""
 _FOUND = "f AS (SELECT event_id AS ordinal, event_type AS type, ['critical', 'high', 'medium', 'low'][user_id % 4 + 1] AS severity, event_id % 500 AS line FROM events)"
+_SESSIONS = """e AS (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '2 hours' OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e),
+w AS (SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL '2 hours' AS session_end, count(*) AS n, round(sum(value), 4) AS total, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM s GROUP BY user_id, k)"""
 ORACLE = {
+    "event_sessions": f"WITH {_SESSIONS} SELECT * FROM w",
+    "event_sessions_stream": f"WITH {_SESSIONS} SELECT * FROM w WHERE session_end < (SELECT max(ts) FROM events) - INTERVAL '1 hour'",
+    "sql_py_facts": f"""WITH {_PY}, n AS (SELECT doc_id, 'a' AS name, a, b FROM g WHERE a = 1 UNION ALL SELECT doc_id, CASE WHEN depth = 1 THEN 'b' ELSE 'm' END, a, b FROM g WHERE a > 1)
+  SELECT q.file, n.name, CAST(n.a AS BIGINT) AS lineno, CAST(n.b AS BIGINT) AS end_lineno, CAST(1 AS BIGINT) AS cyclomatic, CAST(row_number() OVER (PARTITION BY q.file ORDER BY n.a) AS INTEGER) AS nth FROM q JOIN n USING (doc_id)""",
+    "sql_js_facts": f"""WITH {_JS}, c AS (SELECT v.callee, f + n + v.down AS line FROM j, (VALUES ('eval', 2), ('setTimeout', 4), ('eval', 6)) v(callee, down))
+  SELECT 'call' AS kind, callee AS name, count(*) AS n, CAST(sum(line) AS BIGINT) AS lines FROM c GROUP BY callee UNION ALL SELECT 'validation', 'escape', count(*), CAST(sum(f) AS BIGINT) FROM j""",
     "store_commits": f"WITH {_FOUND} SELECT 'part ' || (ordinal % 3) AS scan_path, severity, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY ordinal % 3) AS BIGINT) AS total_findings FROM f WHERE ordinal % 3 <> 1 GROUP BY ordinal % 3, severity",
     "store_seek": f"WITH {_FOUND}, r AS (SELECT line, ordinal, type, severity, row_number() OVER (ORDER BY line, ordinal) AS i FROM f WHERE severity = 'high') SELECT line, ordinal, type, severity, CASE WHEN i <= 40 THEN 'page' ELSE 'after' END AS part FROM r WHERE i BETWEEN 31 AND 47",
     "git_log_churn": f"""SELECT 'src/' || CASE WHEN {_K} % 2 = 1 OR {_ANEW} THEN 'f' ELSE 'h' END || {_K} || '.py' AS file, count(*) AS commit_count, count(DISTINCT user_id) AS unique_authors,
