@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -94,13 +95,24 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int,
     return on_hot.unionByName(rest)
 
 
-def released() -> None:
-    """Give memory that this process has freed back to the machine: reused workers keep it from the next stage otherwise."""
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def cached_by(name: str, clear: Callable[[], None]) -> None:
+    """Name what this process keeps from task to task of one operator, and how to drop it."""
+    _caches[name] = clear
+
+
+def released(keep: str = "") -> None:
+    """Drop what operators other than `keep` have kept, and give memory that this process has freed back to the machine: reused workers keep it from the next stage otherwise."""
     import ctypes
     import gc
 
     import pyarrow as pa
 
+    for name, clear in _caches.items():
+        if name != keep:
+            clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has this call

@@ -7,11 +7,13 @@ the hash of the window's last block (and its first, as a prefix check) select ca
 words confirms them.
 
 Words are numbers, windows are places in one array of the items' words, and tables are sorted arrays: about 30 bytes for
-each word of the benchmark. A buffer of texts is searched at once.
+each word of the benchmark. A buffer of texts is searched at once, so a jump is no step from place to place: all places that a
+block's shift passes over are left out together.
 
 The benchmark is cut into blocks of at most BLOCK_BYTES of text. One block is broadcast and searched at a time; with more
 than one, each pass ends in a table in the shared scratch folder, so neither driver nor workers hold more than a
-block, whatever the benchmark's size. Nothing is shuffled.
+block, whatever the benchmark's size; an item beyond half a block is cut into runs that share a window's words less one, so each
+window is in one of them. Nothing is shuffled.
 
 Defined cases: null or empty texts and items have no words, are never hit and never hit; items with the same
 window all count, and repeated items once; repeated document rows each get the same result; very long texts are searched
@@ -192,10 +194,45 @@ def _searcher(held):
     return F.arrow_udf(search, _TYPE).asNondeterministic()
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> tuple[int, Iterator[list[tuple[str, bytes | None]]]]:
+def runs(text: bytes, most: int, window: int) -> list[bytes]:
+    """A text's words in runs of about so many bytes; each window of the text is in one of them, and none holds less than a window."""
+    low = text.translate(_KEPT)
+    out, start, size = [], 0, most
+    while len(low) - start > size:
+        end = low.find(b" ", start + size)
+        if end < 0 or not low[end:].strip():
+            break
+        back = end
+        for _ in range(window - 1):
+            while back > start and low[back - 1] == 32:
+                back -= 1
+            back = low.rfind(b" ", start, back) + 1 if back > start else start
+        if back <= start:  # words so long that the run holds no window yet
+            size *= 2
+            continue
+        out.append(low[start:end])
+        start, size = back, most
+    return [*out, low[start:]]
+
+
+def _cut(most: int, window: int):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, t in zip(b.column("i").to_pylist(), b.column("t").to_pylist(), strict=True):
+                parts = [t] if len(t) <= most else runs(t, most, window)
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(parts), pa.string()), pa.array(parts, pa.binary())], ["i", "t"])
+
+    return cut
+
+
+def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int, window: int) -> tuple[int, Iterator[list[tuple[str, bytes | None]]]]:
     """How many blocks, and the items of each, so many bytes of text at a time: the driver never holds more than one."""
     narrow = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.col(text).cast("binary").alias("t")).where(F.octet_length("t") > 0)
-    total = narrow.agg(F.sum(F.octet_length("t").cast("long") + 64)).first()[0] or 0
+    total, longest = narrow.agg(F.sum(F.octet_length("t").cast("long") + 64), F.max(F.octet_length("t"))).first()
+    if (longest or 0) > block_bytes // 2:
+        narrow = narrow.mapInArrow(_cut(block_bytes // 2, window), "i string, t binary")
+        total = narrow.agg(F.sum(F.octet_length("t").cast("long") + 64)).first()[0]
+    total = total or 0
     n = max(1, -(-total // block_bytes))
     part = lambda k: narrow.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else narrow
     return n, ([(r["i"], bytes(r["t"])) for r in part(k).distinct().collect()] for k in range(n))
@@ -206,7 +243,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     out = docs.drop(*OUT, "_hits").withColumn("_hits", F.lit(None).cast(_TYPE))
     raw: Column = F.col(text).cast("binary")
     before = None
-    many, blocks = _blocks(benchmark, item, item_text, block_bytes)
+    many, blocks = _blocks(benchmark, item, item_text, block_bytes, window)
     for block in blocks:
         held = docs.sparkSession.sparkContext.broadcast(Patterns(block, window))
         out = out.withColumn("_hits", _searcher(held)(raw, F.col("_hits")))

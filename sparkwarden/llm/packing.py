@@ -19,12 +19,13 @@ whole queue.
 
 Defined cases: a null text is empty, and has just the end id; a null source is the queue ""; repeated rows are packed
 each; queues that are due at once serve in the order of their names; an empty table gives no pieces; very long texts are
-cut over windows; other input columns are ignored, also those named like an output.
+cut over windows; a tokenizer of any kind gives the ids that it gives for whole texts; other input columns are ignored, also those named like an output.
 """
 
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import released, small, table, written
+from .common import cached_by, released, small, table, written
 
 LENGTH, END_ID = 2048, 1
 #: Tokens that a queue serves at once.
@@ -67,18 +68,38 @@ _BODY_TAIL = re.compile(rb"^([^'\n]*[a-z0-9])([" + re.escape(_TAIL) + rb"]+)$",
 _SIGNS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
 
+#: Steps of a tokenizer under which words may be encoded apart: case and kinds of white space do not count, white space falls away,
+#: and letters, digits and other characters are never in one token. Fixed values of the file format.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_PRE_TOKENIZER = [_SPLIT, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+
+
+def words_apart(tokenizer: dict) -> bool:
+    """Whether a tokenizer (its file's content) is of the kind whose words may be encoded apart."""
+    steps = lambda part, name: (tokenizer.get(part) or {}).get(name)
+    model = tokenizer.get("model") or {}
+    # added tokens begin with a sign that words are looked through for, and are matched before the steps
+    plain = all(t["content"].startswith("<|") and not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]) for t in tokenizer.get("added_tokens") or [])
+    return plain and steps("normalizer", "normalizers") == _NORMALIZER and steps("pre_tokenizer", "pretokenizers") == _PRE_TOKENIZER and model.get("type") == "BPE" and not model.get("dropout")
+
+
 class Encoder:
-    """Ids of texts by a tokenizer that ignores case and white space, and keeps letters apart from other characters.
+    """Ids of texts by a tokenizer of any kind.
 
-    So texts may be cut at ASCII white space, and a word from the punctuation after its last letter or digit; each
-    part's ids are kept. Words with an apostrophe or a special token's sign stay whole.
+    One that ignores case and white space and keeps letters apart from other characters (see words_apart) lets texts be
+    cut at ASCII white space, and a word from the punctuation after its last letter or digit; each part's ids are kept.
+    Words with an apostrophe or a special token's sign stay whole. Other tokenizers get whole texts.
     """
 
     def __init__(self, path: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path or default_tokenizer())
+        path = path or default_tokenizer()
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.apart = words_apart(json.load(f))
         #: 16 bits an id where the vocabulary allows, in parts and tables
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.words: dict[bytes, bytes] = {}
@@ -86,6 +107,8 @@ class Encoder:
         # words of letters only need no look at added tokens and no splitting, if the tokenizer is of that kind
         self._merge = self.tokenizer.model.tokenize
         self.direct = False
+        if not self.apart:
+            return
         probe = ["word", "naïve", "東京", "straße", "and", "über", "ελλάδα"]
         signs = [self._signs(w) for w in probe]
         self.direct = [x and [t.id for t in self._merge(x)] for x in signs] == [self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe]
@@ -115,6 +138,12 @@ class Encoder:
         """Ids of each text and the end id, little-endian, as self.kind."""
         last = np.array([end], self.kind).tobytes()
         a = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary())).cast(pa.large_string()).fill_null("")
+        if not self.apart:
+            out: list[bytes] = []
+            for i, j in runs_of(pc.binary_length(a).to_numpy(), 1 << 20):
+                encoded = self.tokenizer.encode_batch_fast(a.slice(i, j - i).to_pylist(), add_special_tokens=False)
+                out += [np.array(e.ids, self.kind).tobytes() + last for e in encoded]
+            return out
         # a copy that starts at byte 0: the kernels below misread some slices
         a = pa.concat_arrays([a, pa.array([], pa.large_string())])
         # lower case first: fewer words. Special tokens are told by their case
@@ -166,6 +195,7 @@ class Encoder:
 
 #: Encoders of this worker by path, with the words they have seen in earlier tasks.
 _encoders: dict[str | None, Encoder] = {}
+cached_by("packing", _encoders.clear)
 
 
 def encoder(path: str | None) -> Encoder:
@@ -204,7 +234,7 @@ def _tokenise(path: str | None, end: int):
                     [b.column("doc_id").slice(i, j - i), pa.array(names, pa.string()), pa.array([part] * len(ids), pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())],
                     ["doc_id", "queue", "part", "nth", "doc_tokens", "ids"],
                 )
-        released()
+        released(keep="packing")
 
     return run
 
