@@ -162,8 +162,7 @@ def run(args: argparse.Namespace, spark) -> int:
 
         training_run(spark, args.out)
     elif args.command == "extract-nvd":
-        text = spark.read.text(args.json, wholetext=True).select(F.col("value").alias("json"))
-        sinks.write_nvd(readers.nvd_patterns(text), args.csv)
+        sinks.write_nvd(readers.nvd_elements(spark, args.json), args.csv)
     else:
         with open(os.path.join(args.path, config.NAMES[0]), "x", encoding="utf-8") as f:
             f.write(config.default_yaml())

@@ -118,6 +118,18 @@ def synthetic_samples(spark: SparkSession, kinds: dict[str, tuple[list[str], lis
     return each.select(code.alias("code"), label.alias("label"), "type", F.lit("synthetic").alias("source"), variant.alias("variant"))
 
 
+def samples_of(rows: DataFrame, key: str, kinds: dict[str, tuple[list[str], list[str]]]) -> DataFrame:
+    """A sample for each row: key, code, label, type. By the key, kinds take turns, then labels, then a kind's templates."""
+    each = [(i, label, t, len(group), k, code) for i, (k, (bad, good)) in enumerate(kinds.items()) for label, group in ((1, bad), (0, good)) for t, code in enumerate(group)]
+    templates = rows.sparkSession.createDataFrame(each, "kind long, label int, template long, size long, type string, code string")
+    n, k = len(kinds), F.col(key)
+    turn = F.floor(k / (2 * n))
+    rows = rows.select(key, F.pmod(k, F.lit(n)).alias("kind"), F.pmod(F.floor(k / n), F.lit(2)).cast("int").alias("label"), turn.alias("turn"))
+    # as many templates as a kind has
+    met = rows.join(F.broadcast(templates), ["kind", "label"]).where(F.pmod("turn", "size") == F.col("template"))
+    return met.select(key, "code", "label", "type")
+
+
 def enclosing(places: DataFrame, functions: DataFrame) -> DataFrame:
     """The distinct (file, line) of places with the outermost function around each, (a, b), or nulls, and how many are open there.
 

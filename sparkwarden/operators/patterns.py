@@ -14,13 +14,17 @@ from pyspark.sql import Window as W
 from sparkwarden.functions import catalog as C
 from sparkwarden.functions.catalog import Rule
 
+from .literals import may_match
+
 #: Flags in front of every pattern: Unicode classes and plain line ends, as in Python. "" keeps them ASCII.
 UNICODE = "(?dU)"
 COLUMNS = ["file", "line", "rule_id", "type", "name", "severity", "cwe", "message"]
 
 
 def _any(text: Column, patterns: tuple[str, ...], flags: str) -> Column:
-    return reduce(lambda a, b: a | b, [text.rlike(flags + p) for p in patterns])
+    """Whether a pattern matches; each is tried where the texts that it needs are."""
+    tests = [(may_match(text, (p,)), text.rlike(flags + p)) for p in patterns]
+    return reduce(lambda a, b: a | b, [test if need is None else need & test for need, test in tests])
 
 
 def _fields(rule: Rule) -> list[Column]:
@@ -54,10 +58,12 @@ def postmessage_findings(files: DataFrame, flags: str = UNICODE, ahead: int = 20
     text = F.regexp_replace("content", "\r\n?", "\n")
     # only files with a listener are split
     some = files.where(F.col("content").rlike(flags + C.LISTENER)).select("file", F.split(text, "\n", -1).alias("all"))
-    each = some.select("file", "all", F.posexplode("all").alias("i", "line"))
-    listens = F.col("line").rlike(flags + C.LISTENER) & ~is_comment(F.col("line"))
-    seen = F.exists(F.slice("all", F.col("i") + 2, F.lit(ahead)), lambda x: _any(x, C.ORIGIN, flags))
-    return each.where(listens & ~seen).select("file", (F.col("i") + 1).cast("bigint").alias("line"), *_fields(C.POSTMESSAGE))
+    line = lambda i: F.get("all", i)
+    listens = lambda i: _any(line(i), (C.LISTENER,), flags) & ~is_comment(line(i))
+    seen = lambda i: F.exists(F.slice("all", i + 2, F.lit(ahead)), lambda x: _any(x, C.ORIGIN, flags))
+    # only listeners are rows, without the lines
+    at = F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda i: listens(i) & ~seen(i))
+    return some.select("file", F.explode(at).alias("i")).select("file", (F.col("i") + 1).cast("bigint").alias("line"), *_fields(C.POSTMESSAGE))
 
 
 def _newlines(text: Column) -> Column:
@@ -74,7 +80,7 @@ def content_findings(files: DataFrame, rules: list[Rule], flags: str = UNICODE)
     for i, r in enumerate(rules):
         p = flags + r.patterns[0]
         pair = F.zip_with(F.regexp_extract_all("content", F.lit(p), 0), F.split("content", p, -1), lambda m, g: F.struct(m.alias("m"), (_newlines(g)).alias("g")))
-        parts.append(F.when(F.col("content").rlike(p), F.transform(F.filter(pair, lambda x: x["m"].isNotNull()), _numbered(i))).otherwise(F.array().cast("array<struct<rule:int,k:int,g:int,n:int,match:string>>")))
+        parts.append(F.when(_any(F.col("content"), r.patterns[:1], flags), F.transform(F.filter(pair, lambda x: x["m"].isNotNull()), _numbered(i))).otherwise(F.array().cast("array<struct<rule:int,k:int,g:int,n:int,match:string>>")))
     each = files.select("file", F.explode(F.flatten(F.array(*parts))).alias("x")).select("file", "x.*")
     before = W.partitionBy("file", "rule").orderBy("k")
     line = 1 + F.sum(F.col("g") + F.col("n")).over(before) - F.col("n")

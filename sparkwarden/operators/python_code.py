@@ -60,9 +60,20 @@ def taint_findings(facts: PythonFacts) -> DataFrame:
     return out.select(F.lit("taint_analysis").alias("type"), "file", "variable", "sink", "sink_line", "source", trace.alias("trace"), "visit_pos", "arg")
 
 
+#: Functions' names that are broadcast at most.
+HELD_NAMES = 200_000
+
+
 def resolved_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
-    """calls (file, callee, ...) with the function they go to (next, args), of functions (file, name, func, args)."""
+    """calls (file, callee, ...) with the function they go to (next, args), of functions (file, name, func, args).
+
+    A callee ends with its function's name, so calls whose last part no function of the project has, nearly all, leave before any
+    shuffle by callee, and frequent names of the language's own functions with them.
+    """
     c = F.col
+    names = functions.select(c("name").alias("last")).distinct()
+    names = F.broadcast(names) if names.limit(HELD_NAMES + 1).count() <= HELD_NAMES else names
+    calls = calls.withColumn("last", F.regexp_extract("callee", r"([^.]*)$", 1)).join(names, "last", "left_semi").drop("last")
     target = F.struct(c("func").alias("next"), "args")
     known = functions.withColumn("module", F.regexp_extract("file", r"([^/]+)\.py$", 1))
     here = known.select("file", c("name").alias("callee"), target.alias("here"))

@@ -44,6 +44,7 @@ def report_columns(findings: DataFrame) -> DataFrame:
     return out.withColumn("line", F.coalesce("line", "sink_line"))
 
 
+# fixed values: the sentences of message and sarif_message, which readers of these formats know findings by
 def message(kind: Column, f: dict[str, Column], text: Column) -> Column:
     """The JSON report's message of a finding by its type; f names variable, sink, tainted_var and function."""
     return (
@@ -218,14 +219,10 @@ def finding_details(findings: DataFrame, n: int = TOP_DETAILS) -> DataFrame:
 
 
 def _detail(i: int, r) -> list[str]:
-    out = ["<details>", f"<summary>#{i} {r['text']}</summary>", "", "| Field | Value |", "|---|---|", f"| **Severity** | {r['level'].capitalize()} |"]
-    cwe = r["cwe"]
-    link = f"[{cwe}](https://cwe.mitre.org/data/definitions/{cwe.removeprefix('CWE-')}.html)" if cwe else ""
-    rows = [("Location", r["at"]), ("Type", r["type"]), ("Rule", f"`{r['rule_id']}`" if r["rule_id"] else ""), ("CWE", link), ("Score", "" if r["vuln_score"] is None else f"{r['vuln_score']:.2f}"), ("Confidence", r["confidence"])]
-    out += [f"| **{k}** | {v} |" for k, v in rows if v]
-    if r["trace"]:
-        out += ["", "**Trace**:", "```", *(f"  {step}" for step in r["trace"]), "```"]
-    return [*out, "", "</details>", ""]
+    """A finding as a numbered heading, one line of what is known of it, and its way from source to sink."""
+    known = [r["level"], r["at"], r["type"], r["rule_id"] and f"rule `{r['rule_id']}`", r["cwe"], None if r["vuln_score"] is None else f"score {r['vuln_score']:.2f}", r["confidence"] and f"{r['confidence']} confidence"]
+    out = [f"#### {i}. {r['text']}", "", " · ".join(x for x in known if x), ""]
+    return [*out, *(f"{k}. `{step}`" for k, step in enumerate(r["trace"], 1)), ""] if r["trace"] else out
 
 
 def markdown(findings: DataFrame, scan_path: str = "", suppressed: int = 0) -> str:

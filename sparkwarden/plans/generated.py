@@ -15,6 +15,7 @@ from sparkwarden.operators.learning import enclosing
 from sparkwarden.operators.store import FindingStore, PagedTable
 from sparkwarden.plans.tables import folder
 from sparkwarden.sources.commits import log_churn, split_log
+from sparkwarden.sources.readers import nvd_elements
 from sparkwarden.streaming.sessions import sessions, write_sessions
 
 #: Statements and nested blocks of a file's first function, and statements of its method, by the document's id.
@@ -92,6 +93,19 @@ def git_log_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_churn(split_log(commit_logs(spark, sf_dir)), F.lit("2030-01-01 00:00:00").cast("timestamp"))
 
 
+def nvd_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns of advisory documents that hold a hundred parts each, read element by element from files that are cut anywhere."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    of = lambda **k: F.struct(*[v.alias(n) for n, v in k.items()])
+    text = F.concat(F.col("p_name"), F.lit(' }]{["\\'))
+    cwe = F.concat(F.lit("CWE-"), F.col("p_size").cast("string"))
+    cve = of(id=F.concat(F.lit("CVE-"), F.col("p_partkey").cast("string")), descriptions=F.array(of(lang=F.lit("en"), value=text)), weaknesses=F.array(of(description=F.array(of(lang=F.lit("en"), value=cwe)))))
+    documents = p.select(F.floor(F.col("p_partkey") / 100).alias("k"), of(cve=cve).alias("v")).groupBy("k").agg(F.to_json(of(format=F.lit("x"), vulnerabilities=F.collect_list("v"))).alias("value"))
+    path = folder(spark, "nvd")
+    documents.select("value").write.text(path)
+    return nvd_elements(spark, path).select("cve_id", "description", F.array_join("cwes", ",").alias("cwes"))
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as findings."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -155,7 +169,7 @@ def event_sessions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
-QUERIES = {f.__name__: f for f in (js_metrics, js_calls, function_at_line, git_log_churn, store_commits, store_seek, sql_py_facts, sql_js_facts, event_sessions, event_sessions_stream)}
+QUERIES = {f.__name__: f for f in (js_metrics, js_calls, function_at_line, git_log_churn, nvd_stream, store_commits, store_seek, sql_py_facts, sql_js_facts, event_sessions, event_sessions_stream)}
 
 _JS = f"""j AS (SELECT 'web/' || doc_id || '.js' AS file, doc_id, {_N} AS n, {_D} AS d, 2 + length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS f FROM documents)"""
 _PY = f"""p AS (SELECT doc_id, 'app/' || doc_id || '.py' AS file, doc_id % 23 + 1 AS line, 2 + {_N} AS body, least({_D}, 2) AS inner_, {_M} AS m FROM documents),
@@ -172,6 +186,7 @@ ORACLE = {
   SELECT q.file, n.name, CAST(n.a AS BIGINT) AS lineno, CAST(n.b AS BIGINT) AS end_lineno, CAST(1 AS BIGINT) AS cyclomatic, CAST(row_number() OVER (PARTITION BY q.file ORDER BY n.a) AS INTEGER) AS nth FROM q JOIN n USING (doc_id)""",
     "sql_js_facts": f"""WITH {_JS}, c AS (SELECT v.callee, f + n + v.down AS line FROM j, (VALUES ('eval', 2), ('setTimeout', 4), ('eval', 6)) v(callee, down))
   SELECT 'call' AS kind, callee AS name, count(*) AS n, CAST(sum(line) AS BIGINT) AS lines FROM c GROUP BY callee UNION ALL SELECT 'validation', 'escape', count(*), CAST(sum(f) AS BIGINT) FROM j""",
+    "nvd_stream": """SELECT 'CVE-' || p_partkey AS cve_id, p_name || ' }]{["\\' AS description, 'CWE-' || p_size AS cwes FROM part""",
     "store_commits": f"WITH {_FOUND} SELECT 'part ' || (ordinal % 3) AS scan_path, severity, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY ordinal % 3) AS BIGINT) AS total_findings FROM f WHERE ordinal % 3 <> 1 GROUP BY ordinal % 3, severity",
     "store_seek": f"WITH {_FOUND}, r AS (SELECT line, ordinal, type, severity, row_number() OVER (ORDER BY line, ordinal) AS i FROM f WHERE severity = 'high') SELECT line, ordinal, type, severity, CASE WHEN i <= 40 THEN 'page' ELSE 'after' END AS part FROM r WHERE i BETWEEN 31 AND 47",
     "git_log_churn": f"""SELECT 'src/' || CASE WHEN {_K} % 2 = 1 OR {_ANEW} THEN 'f' ELSE 'h' END || {_K} || '.py' AS file, count(*) AS commit_count, count(DISTINCT user_id) AS unique_authors,

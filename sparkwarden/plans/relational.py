@@ -21,7 +21,7 @@ from sparkwarden.sources import readers as SRC
 from sparkwarden.streaming.incremental import windowed_events
 
 from .corpus import CODE_SQL, SNIPPETS, files, quoted
-from .training import TEMPLATES, benchmark_run, benchmark_samples
+from .training import TEMPLATES, as_files, benchmark_run
 
 #: column -> expression over documents
 FINDING = {
@@ -316,11 +316,14 @@ def confusion_by_lang(spark, sf_dir):
 
 
 def synthetic_samples(spark, sf_dir):
-    return L.synthetic_samples(spark, TEMPLATES)
+    """A labelled sample of code for each document."""
+    return L.samples_of(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id", TEMPLATES)
 
 
 def benchmark_detection(spark, sf_dir):
-    return benchmark_run(benchmark_samples(spark))[0].select("grp", "tp", "fp", "tn", "fn")
+    """What the scan finds in these samples, by kind and in all."""
+    samples = synthetic_samples(spark, sf_dir).withColumn("id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    return benchmark_run(as_files(samples))[0].select("grp", "tp", "fp", "tn", "fn")
 
 
 def embedding_vectors(spark, sf_dir):
@@ -418,7 +421,8 @@ x AS (SELECT project, d.name, d.version, coalesce(latest IS NOT NULL AND d.versi
 _RANKS = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 WHEN 'unknown' THEN 4 ELSE 99 END"
 _ratio = lambda a, b: f"round(CASE WHEN {b} = 0 THEN 0 ELSE CAST({a} AS DOUBLE) / ({b}) END, 4)"
 _P, _R = "CASE WHEN tp + fp = 0 THEN 0.0::DOUBLE ELSE tp::DOUBLE / (tp + fp) END", "CASE WHEN tp + fn = 0 THEN 0.0::DOUBLE ELSE tp::DOUBLE / (tp + fn) END"
-_SAMPLES = [(g[i % len(g)], y, k, "synthetic", i) for k, (bad, good) in TEMPLATES.items() for y, g in ((1, bad), (0, good)) for i in range(10)]
+_SAMPLES = f"""t(kind, label, template, size, type, code) AS (VALUES {_rows([(i, y, t, len(g), k, code) for i, (k, (bad, good)) in enumerate(TEMPLATES.items()) for y, g in ((1, bad), (0, good)) for t, code in enumerate(g)])}),
+x AS (SELECT doc_id, code, label, type, template FROM documents JOIN t ON doc_id % {len(TEMPLATES)} = kind AND doc_id // {len(TEMPLATES)} % 2 = label AND doc_id // {2 * len(TEMPLATES)} % size = template)"""
 _FEATURE = {"dangerous_calls": "CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END", "cyclomatic_complexity": "doc_id % 25", "max_nesting_depth": "doc_id % 8", "sensitive_data_involved": "CASE WHEN doc_id % 13 = 0 THEN 1 ELSE 0 END"}
 _KIND = "CASE WHEN ordinal % 9 = 8 THEN 'dependencies' ELSE type END"
 _of = lambda kind, v: f"CASE WHEN kind = '{kind}' THEN {v} ELSE 0 END"
@@ -430,8 +434,8 @@ _VALUES = {
     "taint_finding_count": "(SELECT count(*) FROM g WHERE kind = 'taint_analysis')",
 }
 _FEATURES_SQL = f"WITH {_F}, g AS (SELECT *, {_KIND} AS kind FROM f) SELECT ordinal, " + ", ".join(f"CAST({_VALUES.get(n, 0)} AS DOUBLE) AS {n}" for n in L.FEATURES) + " FROM g"
-#: Vulnerable samples found, where not all seven are: those of SQL by name alone are in no dictionary of calls.
-_DETECTED = {"sql_injection": 3}
+#: What the scan does not find: SQL by name alone is in no dictionary of calls.
+_MISSED = "type = 'sql_injection' AND template = 0"
 _ONE = f"{_F}, s AS (SELECT *, {_SEV} AS sv, {_CONF} AS cf FROM f)"
 
 def _field(name: str, value: str, text: bool = True) -> str:
@@ -487,8 +491,8 @@ ORACLE = {
     "features_matrix": "SELECT doc_id, " + ", ".join(f"CAST({_FEATURE.get(n, 0)} AS DOUBLE) AS {n}" for n in L.FEATURES) + " FROM documents",
     "features_findings": _FEATURES_SQL,
     "confusion_by_lang": f"WITH d AS (SELECT lang, toxic = 1 AS y, doc_id % 3 = 0 AS d FROM documents JOIN labels USING (doc_id)), g AS (SELECT lang AS grp, count(*) FILTER (WHERE d AND y) AS tp, count(*) FILTER (WHERE d AND NOT y) AS fp, count(*) FILTER (WHERE NOT d AND NOT y) AS tn, count(*) FILTER (WHERE NOT d AND y) AS fn FROM d GROUP BY GROUPING SETS ((lang), ())) SELECT *, round({_P}, 4) AS precision, round({_R}, 4) AS recall, round(CASE WHEN ({_P}) + ({_R}) = 0 THEN 0 ELSE 2 * ({_P}) * ({_R}) / (({_P}) + ({_R})) END, 4) AS f1_score, {_ratio('fp', 'fp + tn')} AS false_positive_rate, {_ratio('tp + tn', 'tp + fp + tn + fn')} AS accuracy FROM g",
-    "synthetic_samples": f"SELECT code, CAST(label AS INTEGER) AS label, type, source, CAST(variant AS INTEGER) AS variant FROM (VALUES {_rows(_SAMPLES)}) v(code, label, type, source, variant)",
-    "benchmark_detection": "SELECT grp, sum(tp) AS tp, CAST(0 AS BIGINT) AS fp, sum(tn) AS tn, sum(fn) AS fn FROM (VALUES " + ", ".join(f"('{k}', CAST({_DETECTED.get(k, 7)} AS BIGINT), CAST(8 AS BIGINT), CAST({7 - _DETECTED.get(k, 7)} AS BIGINT))" for k in TEMPLATES) + ") v(grp, tp, tn, fn) GROUP BY ROLLUP (grp)",
+    "synthetic_samples": f"WITH {_SAMPLES} SELECT doc_id, code, CAST(label AS INTEGER) AS label, type FROM x",
+    "benchmark_detection": f"WITH {_SAMPLES} SELECT type AS grp, count(*) FILTER (WHERE label = 1 AND NOT ({_MISSED})) AS tp, CAST(0 AS BIGINT) AS fp, count(*) FILTER (WHERE label = 0) AS tn, count(*) FILTER (WHERE label = 1 AND {_MISSED}) AS fn FROM x GROUP BY ROLLUP (type)",
     "embedding_vectors": "SELECT doc_id, CAST(" + str(len(L.FEATURES)) + " + coalesce(len(embedding), 0) AS BIGINT) AS size, round(" + " + ".join(f"CAST({v} AS DOUBLE)" for v in _FEATURE.values()) + " + coalesce(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 0.0), 3) AS total FROM documents LEFT JOIN embeddings ON doc_id = vec_id",
     "code_context": f"WITH {CODE_SQL}, n AS (SELECT file, max(line_no) AS n FROM lines GROUP BY file), g(sid, a, b) AS (VALUES (0, 1, 4), (1, 1, 2), (2, 3, 8), (3, 1, 9), (3, 2, 3), (4, 1, 4), (4, 6, 7), (5, 1, 5), (22, 1, 7), (24, 3, 8)), x AS (SELECT doc_id, file, sid, doc_id % 9 + 1 AS line FROM code WHERE file LIKE '%.py'), i AS (SELECT doc_id, arg_min(a, a) AS a, arg_min(b, a) AS b FROM x JOIN g USING (sid) WHERE line BETWEEN a AND b GROUP BY doc_id) SELECT doc_id AS ordinal, CAST(coalesce(a, greatest(1, line - 10)) AS BIGINT) AS first_line, CAST(coalesce(b, least(n, line + 10)) AS BIGINT) AS last_line FROM x LEFT JOIN i USING (doc_id) JOIN n USING (file)",
     "embedding_join": "SELECT doc_id AS ordinal, CAST(64 AS BIGINT) AS size, round(coalesce(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 0.0), 4) AS norm FROM documents LEFT JOIN embeddings ON doc_id = vec_id",

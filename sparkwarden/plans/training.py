@@ -43,11 +43,15 @@ def training_run(spark: SparkSession, out: str, per_kind: int = 20) -> dict:
 
 
 def benchmark_samples(spark: SparkSession, per_kind: int = 15) -> DataFrame:
-    """Samples with an id, inside a function of a Python file each."""
-    samples = held(L.synthetic_samples(spark, TEMPLATES, per_kind))
+    """Synthetic samples with an id, inside a function of a Python file each."""
+    return as_files(held(L.synthetic_samples(spark, TEMPLATES, per_kind)).withColumn("id", F.concat_ws("-", "type", "label", "variant")))
+
+
+def as_files(samples: DataFrame) -> DataFrame:
+    """Samples (id, label, type, code) inside a function of a Python file each."""
     body = F.array_join(F.transform(F.split("code", "\n"), lambda x: F.concat(F.lit("    "), x)), "\n")
     whole = F.concat(F.lit("def sample(key, path, page, body, line, base, name, target, blob, text, url, link, secret, rows, paths):\n"), body)
-    return samples.select(F.concat_ws("-", "type", "label", "variant").alias("id"), "label", "type", F.lit("python").alias("language"), whole.alias("code"))
+    return samples.select("id", "label", "type", F.lit("python").alias("language"), whole.alias("code"))
 
 
 def benchmark_run(samples: DataFrame, out: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sparkwarden.functions.catalog import SCANNABLE, SCANNERS
 
+from .json_stream import read_elements
+
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """files(file, content) below path; bytes that are no UTF-8 are dropped."""
@@ -92,7 +94,17 @@ NVD = "vulnerabilities array<struct<cve:struct<id:string,descriptions:array<stru
 
 def nvd_patterns(documents: DataFrame) -> DataFrame:
     """(cve_id, description, cwes, products) from NVD documents (json): first description, first weakness's CWEs, all CPEs."""
-    each = documents.select(F.explode(F.from_json("json", NVD)["vulnerabilities"]).alias("v")).select("v.cve")
+    return _nvd_patterns(documents.select(F.explode(F.from_json("json", NVD)["vulnerabilities"]).alias("v")).select("v.cve"))
+
+
+def nvd_elements(spark: SparkSession, path: str) -> DataFrame:
+    """nvd_patterns of documents of any size at path, whose elements are read one by one."""
+    element = NVD.removeprefix("vulnerabilities array<").removesuffix(">")
+    each = read_elements(spark, path).select(F.from_json("json", element)["cve"].alias("cve"))
+    return _nvd_patterns(each.where("cve IS NOT NULL"))
+
+
+def _nvd_patterns(each: DataFrame) -> DataFrame:
     products = F.flatten(F.transform("cve.configurations", lambda c: F.flatten(F.transform(c["nodes"], lambda n: F.transform(n["cpeMatch"], lambda m: m["criteria"])))))
     none = F.array().cast("array<string>")
     return each.select(
