@@ -6,7 +6,7 @@ cell, for two dimensions at a time, so the sum of half as many look-ups as there
 bounds may enter an anchor's list of positives, or a window of a positive's negatives, are scored exactly; a list that is full
 raises the bound that later rows must reach.
 
-The file (approximations beside vectors) is written once. Anchors are taken BLOCK at a time, whatever their number: a block is
+The file (approximations beside vectors) is written once. Anchors are taken BLOCK at a time (fewer of long vectors), whatever their number: a block is
 broadcast and the file is scanned twice for it, for positives and then for negatives, and no row is shuffled. A task returns at
 most `positives` or `negatives` rows for each list, of which a window keeps the best. Bounds to begin with come from a
 sample of SAMPLE rows, as do the cells' borders; both affect speed alone, since cells at the ends reach to the least and
@@ -32,8 +32,10 @@ from .common import drop_table, scratch_path, table, written
 
 #: Bits of a cell's number (two share a byte), anchors that are broadcast at once, and rows that set borders and first bounds.
 BITS, BLOCK, SAMPLE = 4, 16_384, 2048
-#: Rows that a task holds, anchors whose tables it holds, rows whose bounds it holds, and pairs that are scored at once.
+#: Rows that a task holds, anchors whose tables it holds, rows whose bounds it holds, and pairs that are scored at once, at most.
 HELD, TABLES, STEP, PAIRS = 65_536, 256, 1024, 16_384
+#: Bytes of vectors, and of tables, that a task holds, and of anchors that are broadcast, at most: fewer rows of longer vectors.
+HELD_BYTES, TABLE_BYTES, BLOCK_BYTES = 32 << 20, 32 << 20, 16 << 20
 
 CELLS = 1 << BITS
 LEAST = np.iinfo(np.int64).min
@@ -109,6 +111,12 @@ def bounds(tables: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return out
 
 
+def _at_once(dims: int) -> tuple[int, int]:
+    """Anchors whose tables, and rows whose vectors, a task holds."""
+    dims = max(1, dims)
+    return max(1, min(TABLES, TABLE_BYTES // (4 * CELLS * CELLS * dims))), max(1, min(HELD, HELD_BYTES // (4 * dims)))
+
+
 def scores(one: np.ndarray, two: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Inner products of rows i of one and j of two."""
     out = np.empty(len(i), np.int64)
@@ -154,12 +162,12 @@ def _kth(values: np.ndarray, ok: np.ndarray, k: int) -> np.ndarray:
 
 
 def _held(batches: Iterator[pa.RecordBatch], dims: int):
-    """Ids, labels, vectors and cells of up to HELD rows (and a batch) at a time."""
-    some, n = [], 0
+    """Ids, labels, vectors and cells of so many rows (and a batch) at a time."""
+    some, n, most = [], 0, _at_once(dims)[1]
     for b in batches:
         some.append(b)
         n += b.num_rows
-        if n >= HELD:
+        if n >= most:
             yield _opened(some, dims)
             some, n = [], 0
     if n:
@@ -177,7 +185,7 @@ def _positives(shared, size: int):
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid, own = shared.value["grid"], shared.value
-        best = Best(own["floor"], size)
+        best, many = Best(own["floor"], size), _at_once(grid.dims)[0]
         by_label = np.argsort(own["label"], kind="stable")
         sorted_labels = own["label"][by_label]
         for ids, labels, vectors, cells in _held(batches, grid.dims):
@@ -185,8 +193,8 @@ def _positives(shared, size: int):
             for label in np.intersect1d(labels, sorted_labels):
                 rows = order[slice(*np.searchsorted(labels[order], (label, label + 1)))]
                 anchors = by_label[slice(*np.searchsorted(sorted_labels, (label, label + 1)))]
-                for i in range(0, len(anchors), TABLES):
-                    at = anchors[i : i + TABLES]
+                for i in range(0, len(anchors), many):
+                    at = anchors[i : i + many]
                     tables = grid.tables(own["vector"][at], True)
                     for j in range(0, len(rows), STEP):
                         r = rows[j : j + STEP]
@@ -207,11 +215,11 @@ def _negatives(shared, size: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid, own = shared.value["grid"], shared.value
         low, high, window = own["low"], own["high"], own["window"]
-        best = Best(np.maximum(own["floor"], low), size)
+        best, many = Best(np.maximum(own["floor"], low), size), _at_once(grid.dims)[0]
         has = np.flatnonzero((window >= 0).any(1))
         for ids, labels, vectors, cells in _held(batches, grid.dims):
-            for i in range(0, len(has), TABLES):
-                at = has[i : i + TABLES]
+            for i in range(0, len(has), many):
+                at = has[i : i + many]
                 uppers, lowers = grid.tables(own["vector"][at], True), grid.tables(own["vector"][at], False)
                 w = window[at]
                 most = np.where(w >= 0, high[w], LEAST).max(1)
@@ -322,6 +330,7 @@ def mined(df: DataFrame, anchors: Column, key: str = "vec_id", label: str | Colu
     file = VectorFile(rows)
     chosen = rows.where("anchor").select("id", "label", "vector").mapInArrow(_pack, "id long, label long, vector binary").distinct()
     chosen = written(chosen, "anchors")
+    block = max(1, min(block, BLOCK_BYTES // (4 * max(1, file.grid.dims))))
     blocks = -(-chosen.count() // block)
     number = F.pmod(F.xxhash64("id", "label", "vector"), F.lit(max(1, blocks)))
     if blocks == 1:

@@ -103,3 +103,9 @@ def test_bounds_hold_and_leave_few_candidates():
     assert (low <= exact).all() and (exact <= up).all()
     fifth = np.sort(exact, axis=0)[-6]
     assert (up >= fifth).sum() < 0.1 * up.size
+
+
+def test_long_vectors_are_held_in_fewer_rows(spark):
+    assert negatives._at_once(64) == (256, 65_536) and negatives._at_once(4096) == (8, 2048)
+    rows = vectors(11, 160, 1200, 4)
+    assert found(spark, rows) == brute(rows)
