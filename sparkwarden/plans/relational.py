@@ -197,7 +197,6 @@ _REQUIREMENTS = ["requests==2.19.0", "flask>=1.0", "# comment", "", "numpy", "Dj
 _REQ_OUT = [("requests", "2.19.0"), ("flask", "1.0"), ("numpy", None), ("Django", None), ("pyyaml", "5.3.1"), ("left-pad", "1.0")]
 _LATEST = [("requests", "2.31.0"), ("flask", "1.0"), ("numpy", "2.0"), ("pyyaml", "6.0")]
 _ADVISORIES = [("requests", "2.19.0", "high"), ("requests", "2.19.0", "critical"), ("pyyaml", "5.3.1", "medium"), ("left-pad", "1.0", "unknown")]
-_PACKAGE = '{"dependencies": {"a": "^1.2.3", "b": "~2.0"}, "devDependencies": {"b": ">=3.1", "c": "*"}}'
 
 
 def _projects(spark, sf_dir):
@@ -205,13 +204,17 @@ def _projects(spark, sf_dir):
 
 
 def deps_requirements(spark, sf_dir):
-    lines = F.array(*map(F.lit, _REQUIREMENTS))
-    rows = _projects(spark, sf_dir).select("project", F.explode(lines).alias("line"))
+    """Packages of manifests: lines that all have, and two of each document's own."""
+    own = F.expr("array(concat('lib', project, '==', project % 9, '.', project % 4, '  # pinned'), concat('dyn_', project % 13, CASE project % 3 WHEN 0 THEN concat('>=', project) WHEN 1 THEN concat('~=', project, ',<9') ELSE '' END))")
+    rows = _projects(spark, sf_dir).select("project", F.explode(F.concat(F.array(*map(F.lit, _REQUIREMENTS)), own)).alias("line"))
     return SRC.requirements(rows)
 
 
 def deps_package_json(spark, sf_dir):
-    rows = _projects(spark, sf_dir).select("project", F.when(F.col("project") % 7 == 0, "{broken").otherwise(_PACKAGE).alias("json"))
+    """Packages of JSON manifests: some that all have, and of each document's own one, in which the later section wins."""
+    own = F.expr("concat(', \"p', project, '\": \"^', project % 5, '.1\"')")
+    whole = F.concat(F.lit('{"dependencies": {"a": "^1.2.3", "b": "~2.0"'), own, F.lit('}, "devDependencies": {"b": ">=3.1", "c": "*"'), F.when(F.col("project") % 2 == 0, F.replace(own, F.lit("^"), F.lit("~9."))).otherwise(""), F.lit("}}"))
+    rows = _projects(spark, sf_dir).select("project", F.when(F.col("project") % 7 == 0, "{broken").otherwise(whole).alias("json"))
     return SRC.package_json(rows)
 
 
@@ -415,7 +418,7 @@ def _rows(rows) -> str:
     return ", ".join("(" + ", ".join(_lit(x) for x in r) + ")" for r in rows)
 
 
-_REQ = f"r(name, version) AS (VALUES {_rows(_REQ_OUT)}), d AS (SELECT doc_id AS project, name, version FROM documents, r)"
+_REQ = f"r(name, version) AS (VALUES {_rows(_REQ_OUT)}), d AS (SELECT doc_id AS project, name, version FROM documents, r UNION ALL SELECT doc_id, 'lib' || doc_id, (doc_id % 9) || '.' || (doc_id % 4) FROM documents UNION ALL SELECT doc_id, 'dyn_' || (doc_id % 13), CASE WHEN doc_id % 3 < 2 THEN CAST(doc_id AS VARCHAR) END FROM documents)"
 _REP = f"""{_REQ}, l(name, latest) AS (VALUES {_rows(_LATEST)}), a(name, version, severity, k) AS (VALUES {_rows([(*x, A.RANK[x[2]]) for x in _ADVISORIES])}), w AS (SELECT name, version, arg_min(severity, k) AS severity FROM a GROUP BY 1, 2),
 x AS (SELECT project, d.name, d.version, coalesce(latest IS NOT NULL AND d.version IS NOT NULL AND latest <> d.version, FALSE) AS outdated, severity IS NOT NULL AS vulnerable, severity FROM d LEFT JOIN l ON d.name = l.name LEFT JOIN w ON d.name = w.name AND d.version = w.version)"""
 _RANKS = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 WHEN 'unknown' THEN 4 ELSE 99 END"
@@ -478,7 +481,7 @@ ORACLE = {
     "sarif_context": f"WITH {CODE_SQL} SELECT doc_id AS ordinal, string_agg(l.line, chr(10) ORDER BY l.line_no) AS snippet FROM code JOIN lines l USING (file) WHERE l.line_no BETWEEN doc_id % 6 - 1 AND doc_id % 6 + 3 GROUP BY doc_id",
     "baseline_exact": _OLD.format("", 0), "baseline_fuzzy": _OLD.format("", 5), "baseline_new": _OLD.format("NOT", 5),
     "deps_requirements": f"WITH {_REQ} SELECT project, name, version FROM d",
-    "deps_package_json": "SELECT doc_id AS project, name, version FROM documents, (VALUES ('a', '1.2.3'), ('b', '3.1'), ('c', '*')) v(name, version) WHERE doc_id % 7 <> 0",
+    "deps_package_json": "SELECT doc_id AS project, name, version FROM documents, (VALUES ('a', '1.2.3'), ('b', '3.1'), ('c', '*')) v(name, version) WHERE doc_id % 7 <> 0 UNION ALL SELECT doc_id, 'p' || doc_id, CASE WHEN doc_id % 2 = 0 THEN '9.' ELSE '' END || (doc_id % 5) || '.1' FROM documents WHERE doc_id % 7 <> 0",
     "dependency_report": f"WITH {_REP} SELECT * FROM x",
     "dependency_summary": f"WITH {_REP} SELECT project, count(*) AS n_dependencies, count(*) FILTER (WHERE vulnerable) AS num_vulnerable_dependencies, count(*) FILTER (WHERE outdated) AS num_outdated_dependencies, arg_min(severity, {_RANKS}) FILTER (WHERE severity IS NOT NULL) AS max_dependency_severity FROM x GROUP BY project",
     "osv_parse": f"WITH v(k, vuln_id, summary, cves, severity, cvss_score, urls, ranges) AS (VALUES {_rows([(i, *out) for i, (_, _, out) in enumerate(_OSV)])}) SELECT doc_id AS project, vuln_id, summary, cves, severity, cvss_score, urls, ranges FROM documents JOIN v ON doc_id % 3 = k",
