@@ -82,6 +82,8 @@ def may_match(text: Column, patterns: tuple[str, ...]) -> Column | None:
         if need is None:
             return None
         literals, any_case = need
+        if any_case and p.removeprefix("(?i)").startswith("^"):
+            return None  # a pattern for a line's beginning fails sooner than a line is lower-cased
         where = F.lower(text) if any_case else text
         out += [F.contains(where, F.lit(x)) for x in sorted(literals)]
         if any_case:
