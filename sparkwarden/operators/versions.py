@@ -6,7 +6,7 @@ release, pre-, post- and development releases, local part), others semantic vers
 its release, numeric identifiers below others, build metadata does not count).
 
 Versions meet ranges once for each distinct (ecosystem, name, version), however many projects have it. Pairs come from an equality
-join on the package with the bounds as its condition. Counts by severity, which reports need, come from one ordered sweep over a
+join on the package with the bounds as its condition, and are not shuffled: a version's dependencies go to that join with it. Counts by severity, which reports need, come from one ordered sweep over a
 package's versions and bounds, so a package with many of both costs their sum, not their product.
 """
 
@@ -30,6 +30,8 @@ _PYTHON = (
 _SEMANTIC = r"^[v=\s]*([0-9]+)(?:\.([0-9]+))?(?:\.([0-9]+))?(?:\.[0-9]+)*(?:-([0-9A-Za-z.-]+))?(?:\+.*)?$"
 #: Above every key, and ecosystems whose versions are Python's.
 TOP, PYTHON = "~", ("pypi",)
+#: Dependencies of one version that go to a join together.
+BLOCK = 1000
 
 
 def _number(digits: Column) -> Column:
@@ -134,6 +136,28 @@ def affected_versions(dependencies: DataFrame, records: DataFrame) -> DataFrame:
     return ranged.unionByName(versions.where("key IS NULL").join(single, ["ecosystem", "name", "version"]).select(*out))
 
 
+def affected_dependencies(dependencies: DataFrame, records: DataFrame) -> DataFrame:
+    """dependencies (ecosystem, name, version, ...) with vuln_id and severity, a row for each advisory of the package that names the version.
+
+    Dependencies of one version are lists of up to BLOCK, taken apart after the last shuffle: what is shuffled follows dependencies
+    and records, not their pairs. A version without a key meets what is listed of its text, others the intervals.
+    """
+    package, c = ["ecosystem", "name"], F.col
+    known = dependencies.where("version IS NOT NULL AND name IS NOT NULL")
+    place = F.row_number().over(W.partitionBy(*package, "version").orderBy(F.lit(0)))
+    blocks = known.select(*package, "version", F.struct(*dependencies.columns).alias("row"), F.floor((place - 1) / BLOCK).alias("block")).groupBy(*package, "version", "block").agg(F.collect_list("row").alias("rows"))
+    blocks = blocks.withColumn("key", version_key(c("ecosystem"), c("version")))
+    blocks = blocks.select(*package, "key", "rows", F.when(c("key").isNull(), F.concat(F.lit("="), "version")).otherwise("").alias("listed"))
+    intervals, single = affected_intervals(records)
+    of = joined_intervals(intervals).withColumn("listed", F.lit(""))
+    of = of.unionByName(single.withColumn("listed", F.concat(F.lit("="), "version")).drop("version"), allowMissingColumns=True)
+    inside = (c("key") >= c("low")) & (c("high").isNull() | (c("key") < c("high")) | c("closed") & (c("key") == c("high")))
+    # the pairs are far more than what is joined, so the tasks' number must not follow the latter's size
+    by = (int(dependencies.sparkSession.conf.get("spark.sql.shuffle.partitions")), *package, "listed")
+    pairs = blocks.repartition(*by).join(of.repartition(*by), [*package, "listed"]).where(c("key").isNull() | inside)
+    return pairs.select(F.inline("rows"), "vuln_id", "severity")
+
+
 def exposure(dependencies: DataFrame, records: DataFrame) -> DataFrame:
     """(ecosystem, name, version, n_<severity>..., n_advisories, severity): advisories of each distinct version by a sweep; severity is the worst."""
     versions = distinct_versions(dependencies)

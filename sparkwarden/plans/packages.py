@@ -62,8 +62,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def advisory_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each dependency with each advisory whose ranges or versions hold its version."""
-    d = dependencies(spark, sf_dir)
-    return d.join(V.affected_versions(d, records(spark, sf_dir)), ["ecosystem", "name", "version"]).select("project", "ecosystem", "name", "version", "vuln_id", "severity")
+    return V.affected_dependencies(dependencies(spark, sf_dir), records(spark, sf_dir))
 
 
 def advisory_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,6 +86,30 @@ def test_missing_bounds_prereleases_and_listed_versions(spark):
         assert r.severity == (min((level[i] for i in ids), key=lambda s: V.RANK[s]) if ids else None)
 
 
+@pytest.mark.parametrize("block", [2, 1000])
+def test_dependencies_with_advisories(spark, monkeypatch, block):
+    monkeypatch.setattr(V, "BLOCK", block)
+    records = spark.createDataFrame([(r,) for r in RECORDS], "json string")
+    rows = [(k, "PyPI", "p", v) for k, v in enumerate([*WANT] * 3 + ["weird"] * 4)] + [(7, "PyPI", "p", "0.4")] * 3 + [(None, "PyPI", "p", "1.1"), (90, "npm", "q", "1.0.0-a"), (91, "npm", "p", "1.0.0"), (92, "PyPI", "p", None), (93, None, "p", "0.4"), (94, "PyPI", None, "0.4"), (95, "PyPI", "p", "")]
+    out = V.affected_dependencies(spark.createDataFrame(rows, "project long, ecosystem string, name string, version string"), records)
+    assert out.columns == ["project", "ecosystem", "name", "version", "vuln_id", "severity"]
+    want = [(*r, v) for r in rows for v in (WANT.get(r[3], "") if r[1:3] == ("PyPI", "p") else "J" if r[2] == "q" else "")]
+    assert sorted((tuple(r)[:5] for r in out.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_pairs_are_not_shuffled(spark):
+    from sparkwarden.plans.packages import advisory_ranges
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = advisory_ranges(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # one join, and nothing is exchanged above it
+    assert plan.count("Join") == 1 and "Exchange" not in plan[: plan.index("Join")]
+
+
 def test_report(spark):
     deps = spark.createDataFrame([(1, "PyPI", "p", "0.4"), (2, "PyPI", "p", "1.10"), (3, "PyPI", "p", None), (4, "PyPI", "z", "1.9"), (5, "npm", "q", "2.0.0-rc.1"), (6, "PyPI", "z", "odd")], "project long, ecosystem string, name string, version string")
     latest = spark.createDataFrame([("p", "1.9"), ("z", "1.10"), ("q", "2.0.0")], "name string, latest string")
