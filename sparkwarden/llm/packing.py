@@ -297,7 +297,7 @@ class Schedule:
         return row[part], w, begin - w * length, end - begin
 
 
-def _pieces(held, kind: str):
+def _pieces(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schedule: Schedule = held.value
         for b in batches:
@@ -309,6 +309,8 @@ def _pieces(held, kind: str):
                 row, window, offset, length = schedule.pieces(queue, x.column("at").to_numpy(), n)
                 before = np.cumsum(length) - length
                 start = before - (np.cumsum(n) - n)[row]
+                # ids are 16 or 32 bits wide, and each document has one
+                kind = f"<u{x.column('ids')[0].as_buffer().size // int(n[0])}"
                 # the pieces' ids are the documents' ids, cut
                 ids = b"".join(np.frombuffer(t.as_buffer(), kind).astype("<u4").tobytes() for t in x.column("ids"))
                 bounds = 4 * np.concatenate((before, [before[-1] + length[-1]]))
@@ -344,7 +346,6 @@ def packed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     named = [q for q, v in (targets or {}).items() if v > 0]
     totals = {r[0]: r[1] for r in by_source.where((F.col("n") * SHARES >= whole) | F.col("queue").isin(named)).collect()}
     rest = whole - sum(totals.values())
-    kind = encoder(tokenizer).kind
     first = runs.withColumn("first", F.sum("n").over(W.partitionBy("queue").orderBy("part")) - F.col("n")).drop("n")
     placed = tokens.join(small(first), ["queue", "part"]).select("doc_id", "queue", (F.col("first") + F.col("nth")).alias("at"), "doc_tokens", "ids")
     if rest:
@@ -352,7 +353,7 @@ def packed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         placed = placed.where(own).unionByName(_shared(placed.where(~own), by_source.where(~own)))
         totals[_REST] = rest
     held = spark.sparkContext.broadcast(Schedule(totals, targets, length))
-    return placed.mapInArrow(_pieces(held, kind), "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
+    return placed.mapInArrow(_pieces(held), "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
 
 
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
